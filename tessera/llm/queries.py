@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, url_filter
+from tessera.llm import bpe, line_dedup, quality, token_counts, url_filter
 from tessera.llm.common import table
 
 
@@ -45,5 +45,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM j GROUP BY doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_url_filter": op7_url_filter, "op10_line_dedup": op10_line_dedup}
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return out.withColumn("over_limit", F.col("n_tokens") > token_counts.MAX_TOKENS)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_token_counts": op2_token_counts,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op7_url_filter": op7_url_filter,
+    "op10_line_dedup": op10_line_dedup,
+}
 SQL: dict[str, str] = {"op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
