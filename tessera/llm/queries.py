@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, quality, token_counts, url_filter
+from tessera.llm import bpe, fingerprints, line_dedup, quality, token_counts, toxicity, url_filter
 from tessera.llm.common import table
 
 
@@ -63,12 +63,18 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op7_url_filter": op7_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {"op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
