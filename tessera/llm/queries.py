@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, quality, token_counts, token_files, toxicity, url_filter
+from tessera.llm import bpe, fingerprints, line_dedup, mixing, quality, token_counts, token_files, toxicity, url_filter
 from tessera.llm.common import shared_dir, table
 
 
@@ -75,6 +75,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, digest=True)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "source", "lang", "topic", "tokens", "probability", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_fingerprints": op6_fingerprints,
     "op7_url_filter": op7_url_filter,
+    "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
