@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, mixing, quality, token_counts, token_files, toxicity, url_filter
+from tessera.llm import bpe, fingerprints, line_dedup, mixing, near_dups, quality, token_counts, token_files, toxicity, url_filter
 from tessera.llm.common import shared_dir, table
 
 
@@ -80,9 +80,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "source", "lang", "topic", "tokens", "probability", "kept")
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op3_near_dups": op3_near_dups,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_files": op5_token_files,
     "op6_fingerprints": op6_fingerprints,
