@@ -55,7 +55,7 @@ def split_words(text: str | None) -> list[str]:
 class WordEncoder:
     """Ids of texts, word by word. special: the tokenizer's own tokens inside texts are found as the library does by default."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,8 +74,10 @@ class WordEncoder:
             self.known = {}
             new = set().union(*words)
         batch = list(new)
-        for w, e in zip(batch, self.model.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-            self.known[w] = tuple(e.ids)
+        for at in range(0, len(batch), 10_000):  # the library's results are much larger than the ids in them
+            some = batch[at : at + 10_000]
+            for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[w] = tuple(e.ids)
         ids = self.known.__getitem__
         return [np.array([i for w in x for i in ids(w)] + [END_ID], np.uint32) for x in words]
 
@@ -179,7 +181,7 @@ def encode_corpus(docs: DataFrame, model: str = MODEL, ranges: int | None = None
         ids = encoder.encode(text)
         return {"part": part, "doc_id": doc_id, "size": list(map(len, ids)), "ids": [x.astype(width).tobytes() for x in ids], "tie": [zlib.crc32((t or "").encode()) for t in text]}
 
-    made = map_rows(rows, run, "part int, doc_id long, size long, ids binary, tie long")
+    made = map_rows(rows, run, "part int, doc_id long, size long, ids binary, tie long", most_bytes=4 << 20)
     return written(made, "token-ids")
 
 
