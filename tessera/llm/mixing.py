@@ -78,11 +78,11 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, float | Mapping[str, float]]
         codes[m], names = pd.factorize(out[m], sort=True)
         totals = dict(zip(names, np.bincount(codes[m], out["tokens"].to_numpy(float), len(names)), strict=True))
         share = shares(totals, targets[m])
-        wanted[m] = np.array([share[k] for k in names])
+        wanted[m] = np.array([share[k] for k in names], float)
     for _ in range(rounds):
         worst = 0.0
         for m in MARGINS:
-            have = np.bincount(codes[m], w, len(wanted[m]))
+            have = np.bincount(codes[m], w, len(wanted[m])).astype(float)
             worst = max(worst, float(np.abs(have - wanted[m]).max(initial=0.0)))
             w = w * np.divide(wanted[m], have, out=np.zeros_like(have), where=have > 0)[codes[m]]
         if worst < tolerance:
