@@ -7,10 +7,11 @@ that share no key are farther apart, always. (At similarity 0.8 a slot differs w
 probability 0.345^12, 3 in a million. Pairs beyond the threshold that share a key are looked at as well.) All links are confirmed on full sets.
 
 Texts of equal sets form a class first, so exact copies cost nothing further. A key's members are not paired with each other but with one of
-them (its hub). Links found give components; keys whose members are then in more than one component are looked at again, their members
-outside the key's largest component against all others of it. Pairs within a component need no look, so no group of copies is paired out,
-and no link between components is lost. Texts travel packed (zstandard), one copy for each pair of a hub, in tasks of bounded size: hot hubs are
-salted. Components are found by large-star and small-star rounds over DataFrames; nothing of the corpus reaches the driver.
+them (its hub). Links found give components; keys chain classes into families. In families of more than one component the members outside the
+largest (strays) meet all other members, block by block: a task holds some strays, the others pass by, pairs that share a key are
+compared, and only links between components leave it. Pairs within a component need no look, so no group of copies is paired out, and no
+link between components is lost. Texts travel packed (zstandard), in tasks of bounded size: hot hubs are salted, families dealt to blocks by
+hash. Components are found by large-star and small-star rounds over DataFrames; nothing of the corpus reaches the driver.
 
 Defined results: texts without words have an empty set and are linked with nothing; each is kept. Texts of fewer words than a shingle are one
 shingle. Rows of one doc_id are one document, linked by any of its texts. Rows without a doc_id are linked with nothing, kept, and have no
@@ -35,6 +36,8 @@ SLOTS = CHUNKS * CHUNK_SLOTS
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 #: Pairs of one hub in one task, about.
 HUB_PAIRS = 2_000
+#: Members of a family in one block, about: those held, and those that pass by.
+STRAY_BLOCK, MEMBER_BLOCK = 256, 2_048
 
 _words = WordHashes()
 _multipliers = mix64(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -184,9 +187,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     own = usable.select("digest", F.col("code").alias("a")).join(classes.select("digest", F.col("code").alias("b")), "digest").select("a", "b").where("a <> b")
     several = usable.groupBy("code").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select(F.col("code").alias("a"))
     edges = edges.unionAll(own.join(several, "a", "left_semi").distinct())
-    rest = written(cross_pairs(listed, components(edges), near), "rest")
-    if not rest.isEmpty():
-        edges = edges.unionAll(confirm(rest, texts, size, percent))
+    edges = written(edges.unionAll(across_components(listed, components(edges), texts, size, percent)), "links")
     roots = components(edges)
 
     least_id = usable.groupBy("digest").agg(F.min("doc_id").alias("least"))
@@ -198,17 +199,75 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def cross_pairs(listed: DataFrame, roots: DataFrame, near) -> DataFrame:
-    """Pairs (a, b) that share a key, lie in different components and were not tried with the key's hub: those outside the key's largest component
-    against all of the key. Work follows the strays, not the square of a group."""
-    at = listed.join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-    parts = at.where("code <> hub").groupBy("key", "root").agg(F.count("*").alias("c"))
-    largest = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_keys = at.where("code <> hub").join(largest, "key")
-    strays = open_keys.where("root <> top").select("key", F.col("code").alias("a"), F.col("n").alias("n"), F.col("root").alias("root_a"))
-    others = open_keys.select(F.col("key").alias("key_"), F.col("code").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root_b"), "top")
-    tried = strays.join(others, (F.col("key") == F.col("key_")) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("a") < F.col("b"))) & near)
-    return tried.select("a", "b").distinct()
+def across_components(listed: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of one family: strays against all its members. A pair of components is reported once a task."""
+    families = components(listed.where("code <> hub").select("hub", "code").distinct(), "hub", "code")
+    families = families.unionAll(families.select(F.col("root").alias("node"), "root").distinct())
+    at = families.select(F.col("node").alias("code"), F.col("root").alias("family")).join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+    at = written(at, "families")
+    parts = at.groupBy("family", "root").agg(F.count("*").alias("c"))
+    whole = parts.groupBy("family").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("top"))
+    blocks = whole.where("parts > 1 and n > 2").select("family", "top", F.ceil((F.col("n") - F.col("most")) / STRAY_BLOCK).cast("int").alias("ns"), F.ceil(F.col("n") / MEMBER_BLOCK).cast("int").alias("nm"))
+    members = at.join(blocks, "family").join(texts, "code")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("code"), F.col(n)).cast("int")
+    strays = members.where("root <> top").select("family", place("ns").alias("i"), up_to("nm").alias("j"), F.lit(0).alias("kind"), "code", "root", "packed")
+    others = members.select("family", up_to("ns").alias("i"), place("nm").alias("j"), F.lit(1).alias("kind"), "code", "root", "packed")
+    target = pa_schema(listed.sparkSession, "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        at, held, index, told = None, [], None, set()
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for family, i, j, kind, code, root, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingle_set(unpack(packed).decode("utf-8", "surrogatepass"), size)
+                if at != (family, i, j):
+                    at, held, index, told = (family, i, j), [], None, set()
+                if not len(s):
+                    continue
+                if kind == 0:
+                    held.append((code, root, s))
+                    continue
+                if not held:
+                    continue
+                index = index or StrayIndex(held)
+                for k in index.matches(s, root, percent):
+                    pair = tuple(sorted((held[k][1], root)))
+                    if pair not in told:
+                        told.add(pair)
+                        found.append((held[k][0], code))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=target)
+
+    rows = strays.unionAll(others).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "kind")
+    return _arrow_map(rows, run, "a long, b long").distinct()
+
+
+class StrayIndex:
+    """Some sets, to be compared with one set at a time: shared keys first, then exact intersections of all at once."""
+
+    def __init__(self, held: list[tuple[int, int, np.ndarray]]):
+        self.sizes = np.array([len(s) for _, _, s in held])
+        self.roots = np.array([r for _, r, _ in held])
+        self.signatures = np.stack([signature(s) for _, _, s in held]).reshape(-1, CHUNKS, CHUNK_SLOTS)
+        hashes, owners = np.concatenate([s for _, _, s in held]), np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], owners[order]
+
+    def matches(self, s: np.ndarray, root: int, percent: int) -> list[int]:
+        n = len(s)
+        open_ = (self.roots != root) & (100 * np.minimum(self.sizes, n) >= percent * np.maximum(self.sizes, n))
+        if not open_.any():
+            return []
+        equal = (self.signatures == signature(s).reshape(CHUNKS, CHUNK_SLOTS)).sum(axis=2)
+        open_ &= (equal >= CHUNK_SLOTS - ERRORS).any(axis=1)
+        if not open_.any():
+            return []
+        lo, hi = np.searchsorted(self.hashes, s, "left"), np.searchsorted(self.hashes, s, "right")
+        lengths = hi - lo
+        at = np.repeat(lo - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        common = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return np.flatnonzero(open_ & (100 * common >= percent * (self.sizes + n - common))).tolist()
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
