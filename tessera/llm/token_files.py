@@ -16,8 +16,7 @@ Ids are made in one pass and written once, each row with its range; the table, t
 from that. One shuffle, of ids, puts them in order.
 No group meets in one task: ranges of doc_id are even, and rows of one doc_id hold one document.
 
-Words are encoded by the tokenizers library once each per worker and remembered (bounded); white space ends every match of the tokenizer's
-pattern and its normaliser works within words, so a text's ids are those of its words in order.
+The tokenizers library encodes each distinct piece of a batch once and workers remember pieces (bounded): ids depend on the piece alone.
 
 Defined results: null and empty texts are the end id alone. Repeated rows are written again, each with its own start, ties by text. Null doc_ids come
 first. Extra columns do no harm.
@@ -26,9 +25,9 @@ first. Extra columns do no harm.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,41 +44,80 @@ _LOW = np.uint64(1 << 31)
 BLOCK_SCHEMA = "part int, block int, docs array<long>, sizes array<long>, payload binary, crc long"
 
 
-def split_words(text: str | None) -> list[str]:
-    """At white space alone: str.split() also splits at the four information separators, which belong to words here."""
-    if not text:
-        return []
-    return re.split(r"[ \t\n\r\x0b\x0c]+", text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+#: Texts of these characters alone are split here: they are in normal form C, lower-case one by one, and their classes are the same in all versions
+#: of Unicode. (The capital sigma, whose lower case depends on its place, is not among them.)
+PLAIN = r"[\x00-\u024f\u2010-\u2027]*"
+#: The tokenizer's own pattern, with its white space spelt out for those characters.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0d\x20\x85\xa0\p{L}\p{N}]+"
 
 
 class WordEncoder:
-    """Ids of texts, word by word. special: the tokenizer's own tokens inside texts are found as the library does by default."""
+    """Ids of texts. A plain text is split by the tokenizer's pattern; the library encodes each distinct piece that is not remembered, many at once,
+    and every piece ends in the one id that carries an end of word. Any other text, or one with the tokenizer's special strings, goes to the library whole."""
 
-    MOST = 200_000
+    MOST = 250_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
         self.size = self.model.get_vocab_size()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.specials = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        vocab = self.model.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.plain, self.split = regex.compile(PLAIN).fullmatch, regex.compile(PRE_TOKEN).findall
+        self.row: dict[str, int] = {}  # piece -> row of the arrays below
+        self.flat, self.start, self.length, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def is_plain(self, text: str) -> bool:
+        return (text.isascii() or self.plain(text) is not None) and not any(s in text for s in self.specials)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remembers ids of pieces. Over MOST of them, those used once since the last time fall out, then the least used."""
+        if len(self.row) > self.MOST:
+            rank = np.argsort(-self.used, kind="stable")[: self.MOST // 2]
+            keep = np.sort(rank[self.used[rank] > 1])
+            names = list(self.row)
+            self.row = {names[k]: i for i, k in enumerate(keep.tolist())}
+            self.flat, self.length, self.used = self.gather(keep), self.length[keep], self.used[keep] // 2
+            self.start = np.cumsum(self.length) - self.length
+        new = list(pieces.difference(self.row))
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                raise ValueError("a piece has no end of word, or more than one")
+            self.row.update(zip(some, range(len(self.row), len(self.row) + len(some)), strict=True))
+            lengths = np.diff(cuts, prepend=0)
+            self.start = np.concatenate((self.start, len(self.flat) + cuts - lengths))
+            self.flat, self.length, self.used = np.concatenate((self.flat, ids)), np.concatenate((self.length, lengths)), np.concatenate((self.used, np.zeros(len(some), np.int64)))
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        """Ids of rows, one after the other."""
+        length = self.length[rows]
+        ends = np.cumsum(length)
+        return self.flat[np.repeat(self.start[rows] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [split_words(t) for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > self.MOST:
-            self.known = {}
-            new = set().union(*words)
-        batch = list(new)
-        for at in range(0, len(batch), 10_000):  # the library's results are much larger than the ids in them
-            some = batch[at : at + 10_000]
-            for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = tuple(e.ids)
-        ids = self.known.__getitem__
-        return [np.array([i for w in x for i in ids(w)] + [END_ID], np.uint32) for x in words]
+        plain = [not t or self.is_plain(t) for t in texts]
+        pieces = [self.split(t.lower()) if p and t else [] for t, p in zip(texts, plain, strict=True)]
+        self.learn(set().union(*pieces))
+        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(pieces)), np.int64)
+        self.used += np.bincount(rows, minlength=len(self.used))
+        flat = self.gather(rows)
+        stops = np.cumsum([len(x) for x in pieces])
+        ends = np.concatenate(([0], np.cumsum(self.length[rows])))[stops] if len(texts) else stops
+        out, at, end_id = [], 0, np.array([END_ID], np.uint32)
+        for t, p, stop in zip(texts, plain, ends.tolist(), strict=True):
+            out.append(np.concatenate((flat[at:stop] if p else np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32), end_id)))
+            at = stop
+        return out
 
 
 @lru_cache(maxsize=2)
