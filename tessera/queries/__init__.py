@@ -22,6 +22,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tessera.queries import capsules, graph, mining, search, state, text, transcripts  # noqa: F401
+    from tessera.queries import capsules, graph, mining, search, sequences, state, text, transcripts  # noqa: F401
 
     return QUERIES, SQL

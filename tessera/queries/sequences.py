@@ -1,0 +1,163 @@
+"""Sequences, sources, streams and functions of providers."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tessera.fixtures import edges, prelude, view
+from tessera.functions import embedding
+from tessera.operators import sequences as Q
+from tessera.operators.storage import shared_dir
+from tessera.queries import query
+from tessera.sources import jsonl, sync
+from tessera.streaming import stateful
+
+HUMAN = "role = 'user' AND block_type = 'text' AND trim(content) <> ''"
+GROUPS = f"""{prelude('messages')}, l AS (SELECT *, lag(message_uuid) OVER w AS pu, lag(line_number) OVER w AS pl FROM messages WHERE session_id IS NOT NULL WINDOW w AS (PARTITION BY transcript_path ORDER BY line_number, block_index)),
+m AS (SELECT *, CASE WHEN pl IS NULL THEN 1 WHEN message_uuid IS NULL AND pu IS NULL THEN CASE WHEN pl = line_number THEN 0 ELSE 1 END WHEN coalesce(message_uuid = pu, false) THEN 0 ELSE 1 END AS f FROM l),
+g AS (SELECT *, sum(f) OVER (PARTITION BY transcript_path ORDER BY line_number, block_index) AS group_no FROM m),
+h AS (SELECT transcript_path, group_no, bool_or({HUMAN}) AS human FROM g GROUP BY 1, 2), o AS (SELECT *, lag(human) OVER (PARTITION BY transcript_path ORDER BY group_no) AS ph FROM h),
+sg AS (SELECT transcript_path, group_no, sum(CASE WHEN ph IS NULL OR (human AND NOT ph) THEN 1 ELSE 0 END) OVER (PARTITION BY transcript_path ORDER BY group_no) AS segment_no FROM o),
+s AS (SELECT g.*, segment_no FROM g JOIN sg USING (transcript_path, group_no))"""
+
+
+@query(f"{GROUPS} SELECT block_id, CAST(group_no AS BIGINT) AS group_no, CAST(segment_no AS BIGINT) AS segment_no FROM s")
+def segments(spark, sf_dir):
+    return Q.segments(view(spark, sf_dir, "messages")).select("block_id", "group_no", "segment_no")
+
+
+@query(
+    f"""{GROUPS}, c AS (SELECT transcript_path, segment_no, tool_use_id, count(*) FILTER (WHERE block_type = 'tool_use') AS c, count(*) FILTER (WHERE block_type = 'tool_result') AS r FROM s WHERE block_type IN ('tool_use', 'tool_result') GROUP BY 1, 2, 3),
+mt AS (SELECT transcript_path, segment_no, sum(least(c, r)) AS matched, sum(greatest(0, c - r)) AS missing, sum(greatest(0, r - c)) AS orphan FROM c GROUP BY 1, 2),
+p AS (SELECT transcript_path, segment_no, count(*) FILTER (WHERE block_type = 'tool_use') AS tools, max(line_number) FILTER (WHERE block_type IN ('tool_use', 'tool_result')) AS lt, max(line_number) FILTER (WHERE role = 'assistant' AND block_type = 'text') AS fa, min(line_number) FILTER (WHERE {HUMAN}) AS st,
+ string_agg(CASE lower(tool_name) WHEN 'bash' THEN 'shell' WHEN 'read' THEN 'read_file' WHEN 'grep' THEN 'search_files' ELSE 'other' END, '>' ORDER BY line_number) FILTER (WHERE block_type = 'tool_use') AS pattern FROM s GROUP BY 1, 2)
+SELECT transcript_path, CAST(segment_no AS BIGINT) AS segment_no, tools, CAST(matched AS BIGINT) AS matched, CAST(missing AS BIGINT) AS missing, CAST(orphan AS BIGINT) AS orphan, pattern, missing = 0 AND orphan = 0 AS clean FROM p JOIN mt USING (transcript_path, segment_no) WHERE tools > 0 AND st IS NOT NULL AND fa > lt"""
+)
+def completed_rounds(spark, sf_dir):
+    return Q.completed_rounds(view(spark, sf_dir, "messages")).select("transcript_path", "segment_no", "tools", "matched", "missing", "orphan", "pattern", "clean")
+
+
+def event_rounds(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.concat_ws("/", (F.col("user_id") % 20).cast("string"), "event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_ms"), F.lpad(F.col("event_id").cast("string"), 10, "0").alias("round_id"), F.col("user_id").alias("session_id"), (F.col("event_id") % 3).alias("tools"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT CAST(user_id % 20 AS VARCHAR) || '/' || event_type AS key, epoch_us(ts) AS at_ms, lpad(CAST(event_id AS VARCHAR), 10, '0') AS rid, user_id AS sid FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_ms, rid) AS i FROM e),
+h AS (SELECT a.key, a.i, a.rid AS first_id, c.rid AS last_id, (len(list_distinct([a.sid, b.sid, c.sid])) >= 2 AND c.at_ms - a.at_ms <= 172800000000) AS hit FROM o a JOIN o b ON b.key = a.key AND b.i = a.i + 1 JOIN o c ON c.key = a.key AND c.i = a.i + 2),
+r(key, i, n, first_id, last_id, hit) AS (SELECT key, i, CASE WHEN hit THEN 1 ELSE 0 END, first_id, last_id, hit FROM h WHERE i = 1 UNION ALL SELECT h.key, h.i, r.n + CASE WHEN h.hit THEN 1 ELSE 0 END, h.first_id, h.last_id, h.hit FROM r JOIN h ON h.key = r.key AND h.i = r.i + CASE WHEN r.hit THEN 3 ELSE 1 END)
+SELECT key, CAST(n AS INTEGER) AS cohort_no, first_id, last_id FROM r WHERE hit"""
+)
+def repeat_cohorts(spark, sf_dir):
+    return Q.repeat_cohorts(event_rounds(spark, sf_dir), within_ms=172_800_000_000)
+
+
+@query(
+    """WITH e AS (SELECT CAST(user_id % 20 AS VARCHAR) || '/' || event_type AS key, epoch_us(ts) AS at_ms, lpad(CAST(event_id AS VARCHAR), 10, '0') AS rid, event_id % 3 AS tools FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_ms DESC, rid) AS pos FROM e),
+t AS (SELECT key, sum(tools) AS tools, count(*) AS rounds FROM e GROUP BY key HAVING sum(tools) >= 10) SELECT key, CAST(t.tools AS BIGINT) AS tools, rounds, string_agg(rid, ',' ORDER BY pos) AS evidence FROM t JOIN r USING (key) WHERE pos <= 8 GROUP BY key, t.tools, rounds"""
+)
+def volume_jobs(spark, sf_dir):
+    return Q.volume_jobs(event_rounds(spark, sf_dir)).withColumn("evidence", F.array_join("evidence", ","))
+
+
+TOK = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{4,}'))"
+
+
+@query(
+    f"""WITH b AS (SELECT conv_id, turn, role, {TOK} AS tk FROM conversations), r AS (SELECT conv_id, turn, unnest(tk) AS t FROM b WHERE role = 'user'), l AS (SELECT conv_id, turn AS used_line, unnest(tk) AS t FROM b WHERE role = 'assistant'),
+s AS (SELECT r.conv_id, r.turn, used_line FROM r JOIN l ON l.conv_id = r.conv_id AND l.t = r.t AND used_line > r.turn GROUP BY 1, 2, 3 HAVING count(*) >= 2) SELECT conv_id AS session_id, CAST(turn AS VARCHAR) AS capsule_id, min(used_line) AS used_line FROM s GROUP BY 1, 2"""
+)
+def evidence_credits(spark, sf_dir):
+    from tessera.functions.text import fingerprint
+
+    b = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("line_number"), "role", fingerprint(F.col("text"), 1 << 20).alias("tokens"))
+    return Q.evidence_credits(b.where("role = 'user'").withColumn("capsule_id", F.col("line_number").cast("string")), b, 2)
+
+
+def lines_of(spark, sf_dir):
+    """Conversations as transcripts of dialect A, one file's worth of lines by conversation."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    content = F.when(F.col("turn") % 2 == 0, F.to_json(F.array(text))).otherwise(F.to_json(F.struct(F.col("text").alias("x"))))
+    body = F.when(F.col("turn") % 2 == 0, content).otherwise(F.regexp_extract(content, r'^\{"x":([\s\S]*)\}$', 1))
+    line = F.concat(F.lit('{"type":"'), "role", F.lit('","sessionId":"s'), F.col("conv_id").cast("string"), F.lit('","uuid":"u'), F.col("turn").cast("string"), F.lit('","cwd":"/w","message":{"content":'), body, F.lit("}}"))
+    return c.select(F.concat(F.lit("/t/"), F.col("conv_id").cast("string")).alias("path"), (F.col("turn") + 1).cast("int").alias("line_number"), F.when(F.col("turn") == 5, "not json").otherwise(line).alias("line"))
+
+
+@query("SELECT '/t/' || CAST(conv_id AS VARCHAR) AS transcript_path, turn + 1 AS line_number, 's' || CAST(conv_id AS VARCHAR) AS session_id, role, 'text' AS block_type, text AS content, '{\"cwd\":\"/w\"}' AS meta_json, true AS embed_eligible FROM conversations WHERE turn <> 5")
+def transcript_parse(spark, sf_dir):
+    return jsonl.parse(lines_of(spark, sf_dir)).select("transcript_path", "line_number", "session_id", "role", "block_type", "content", "meta_json", "embed_eligible")
+
+
+@query("SELECT count(*) AS blocks, count(DISTINCT conv_id) AS files FROM conversations WHERE turn <> 5")
+def transcript_files(spark, sf_dir):
+    """The same through files: written, listed, numbered and parsed."""
+    out = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    lines = lines_of(spark, sf_dir)
+    lines.repartition("path").sortWithinPartitions("path", "line_number").select(F.regexp_replace("path", "/", "_").alias("p"), F.col("line").alias("value")).write.partitionBy("p").text(out)
+    spark_lines = spark.read.option("recursiveFileLookup", True).text(out).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_number"), F.col("value").alias("line"))
+    return jsonl.parse(spark_lines).agg(F.count("*").alias("blocks"), F.count_distinct("session_id").alias("files"))
+
+
+@query("WITH g AS (SELECT conv_id, unnest([0, 1, 2, 3]) AS i FROM (SELECT DISTINCT conv_id FROM conversations)) SELECT '/b/' || CAST(conv_id AS VARCHAR) AS transcript_path, i + 2 AS line_number, 'sess' || CAST(conv_id AS VARCHAR) AS session_id, CASE i WHEN 3 THEN 'user' WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE i WHEN 0 THEN 'text' WHEN 1 THEN 'thinking' WHEN 2 THEN 'tool_use' ELSE 'tool_result' END AS block_type, CASE i WHEN 0 THEN 'ab' WHEN 1 THEN 'x' || chr(10) || 'y' WHEN 2 THEN '{}' ELSE 'done' END AS content FROM g")
+def transcript_parse_b(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
+    items = ['{"type":"message","role":"user","content":[{"text":"a"},{"text":"b"}]}', '{"type":"reasoning","summary":[{"text":"x"},{"text":"y"}]}', '{"type":"function_call","name":"shell","arguments":"{}","call_id":"c"}', '{"type":"function_call_output","output":"done","call_id":"c"}']
+    head = F.concat(F.lit('{"type":"session_meta","payload":{"id":"sess'), F.col("conv_id").cast("string"), F.lit('"}}'))
+    rows = F.array(head, *(F.lit(f'{{"type":"response_item","payload":{x}}}') for x in items))
+    lines = c.select(F.concat(F.lit("/b/"), F.col("conv_id").cast("string")).alias("path"), F.posexplode(rows).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_number"), "line")
+    return jsonl.parse(lines).select("transcript_path", "line_number", "session_id", "role", "block_type", "content")
+
+
+@query("WITH s AS (SELECT 'capsules' AS domain, count(*) FILTER (WHERE doc_id % 3 <> 0) AS copied, count(*) FILTER (WHERE doc_id % 3 = 0) AS skipped FROM documents) SELECT * FROM s")
+def sync_report(spark, sf_dir):
+    c = view(spark, sf_dir, "capsules")
+    return sync.report("capsules", c, c.where("n % 3 = 0"))
+
+
+@query(f"{prelude('edges')} SELECT DISTINCT from_node, to_node, relation FROM edges WHERE valid_to IS NULL AND relation <> 'part_of'")
+def sync_edges(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    return sync.missing("edges", e, e.where("relation = 'part_of'")).select("from_node", "to_node", "relation")
+
+
+@query()
+def deterministic_embeddings(spark, sf_dir):
+    b = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return b.select("doc_id", embedding.embed()(F.col("text")).alias("embedding")).select("doc_id", F.transform("embedding", lambda x: F.round(x * 32768).cast("int")).alias("embedding"))
+
+
+def event_stream(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS f FROM events),
+s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last_at, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def streamed_sessions(spark, sf_dir):
+    out = stateful.run_once(stateful.sessions(event_stream(spark, sf_dir), late="100000 hours"), "complete")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("last_at").alias("last_at"), "n")
+
+
+@query("SELECT DISTINCT 't' || CAST(user_id % 2 AS VARCHAR) AS tenant, 'cap_' || CAST(event_id % 50 AS VARCHAR) AS capsule_id FROM events")
+def streamed_touches(spark, sf_dir):
+    used = event_stream(spark, sf_dir).select("ts", F.concat(F.lit("t"), (F.col("user_id") % 2).cast("string")).alias("tenant"), F.concat(F.lit("cap_"), (F.col("event_id") % 50).cast("string")).alias("capsule_id"))
+    return stateful.run_once(stateful.distinct_touches(used, "100000 hours"), "append").select("tenant", "capsule_id")
+
+
+GATE = """WITH RECURSIVE s AS (SELECT user_id % 40 AS cid, event_id AS sweep, event_type = 'click' AS sig FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY sweep) AS i, count(*) OVER (PARTITION BY cid) AS n FROM s),
+f(cid, i, n, sweep, e, c) AS (SELECT cid, i, n, sweep, CASE WHEN sig THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN sig THEN 1 ELSE 0 END FROM o WHERE i = 1 UNION ALL SELECT o.cid, o.i, o.n, o.sweep, f.e * 0.8::DOUBLE + CASE WHEN sig THEN 1.0 ELSE 0.0 END, CASE WHEN sig THEN f.c + 1 ELSE 0 END FROM f JOIN o ON o.cid = f.cid AND o.i = f.i + 1)
+SELECT cid AS candidate_id, CAST(round(e * 1000000) AS BIGINT) AS evidence, CAST(c AS BIGINT) AS cycles, sweep, CASE WHEN c >= 3 THEN 'execute' WHEN e < 0.25 THEN 'cancel' ELSE 'hold' END AS decision FROM f WHERE i = n"""
+
+
+@query(GATE)
+def streamed_gate(spark, sf_dir):
+    s = event_stream(spark, sf_dir).select((F.col("user_id") % 40).alias("candidate_id"), F.col("event_id").alias("sweep"), (F.col("event_type") == "click").alias("signal"))
+    out = stateful.run_once(stateful.evidence_gate(s), "update")
+    newest = out.groupBy("candidate_id").agg(F.max_by(F.struct("evidence", "cycles", "sweep", "decision"), "sweep").alias("r"))
+    return newest.select("candidate_id", "r.*")
