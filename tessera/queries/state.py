@@ -153,3 +153,101 @@ def alias_conflicts(spark, sf_dir):
     aliases = e.groupBy("tenant", registry.norm(F.col("canonical_name")).alias("alias_text")).agg(F.min("entity_id").alias("entity_id"))
     asked = e.select("tenant", "entity_id", F.concat("canonical_name", F.when(F.col("kind") == "tag", "!").otherwise("")).alias("alias"))
     return registry.alias_outcomes(asked, aliases).select("entity_id", "outcome")
+
+
+@query(
+    f"""{CAP}, k AS (SELECT capsule_id, tenant, idempotency_key, content_hash, updated_at FROM capsules WHERE n % 2 = 0), r AS (SELECT 'r_' || lpad(CAST(n AS VARCHAR), 8, '0') AS request_id, *, CASE WHEN n % 3 = 0 THEN content ELSE summary END AS s2 FROM capsules WHERE n % 4 <> 0),
+bk AS (SELECT tenant, idempotency_key, max_by(capsule_id, updated_at) AS by_key FROM k WHERE idempotency_key IS NOT NULL GROUP BY 1, 2), bh AS (SELECT tenant, content_hash, max_by(capsule_id, updated_at) AS by_hash FROM k GROUP BY 1, 2),
+x AS (SELECT r.*, by_key, by_hash, least(first_value(request_id) OVER (PARTITION BY r.tenant, coalesce(r.idempotency_key, request_id) ORDER BY request_id), first_value(request_id) OVER (PARTITION BY r.tenant, r.content_hash ORDER BY request_id)) AS first_id,
+ CASE WHEN s2 = content THEN 'summary repeats content' WHEN scope IN ('project', 'repo') AND coalesce(trim(project), '') = '' THEN 'scope needs a project' WHEN capsule_type = 'experience' AND length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) < 40 THEN 'too_short'
+ WHEN capsule_type = 'experience' AND len(code_refs) = 0 AND NOT contains(trim(content, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) AND length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) < 120 THEN 'single_line_without_evidence' END AS problem
+ FROM r LEFT JOIN bk ON bk.tenant = r.tenant AND bk.idempotency_key = r.idempotency_key LEFT JOIN bh ON bh.tenant = r.tenant AND bh.content_hash = r.content_hash)
+SELECT request_id, CASE WHEN coalesce(by_key, by_hash) IS NOT NULL THEN 'stored' WHEN problem IS NOT NULL THEN 'refused' WHEN first_id <> request_id THEN 'repeated' ELSE 'new' END AS outcome, coalesce(by_key, by_hash, CASE WHEN problem IS NULL THEN first_id END) AS stands_for, problem FROM x"""
+)
+def ingest_outcomes(spark, sf_dir):
+    from tessera.plans import ingest
+
+    c = caps(spark, sf_dir)
+    requests = c.where("n % 4 <> 0").withColumn("request_id", F.concat(F.lit("r_"), F.lpad(F.col("n").cast("string"), 8, "0"))).withColumn("summary", F.when(F.col("n") % 3 == 0, F.col("content")).otherwise(F.col("summary"))).drop("capsule_id", "updated_at")
+    return ingest.outcomes(requests, c.where("n % 2 = 0")).select("request_id", "outcome", "stands_for", "problem")
+
+
+SKILLS = """WITH v AS (SELECT 't' AS tenant, 's' || CAST(p_partkey % 40 AS VARCHAR) AS skill_id, 'v' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS version_id, p_size FROM part), hd AS (SELECT tenant, skill_id, max(version_id) AS version_id FROM v GROUP BY 1, 2),
+b AS (SELECT 't' AS tenant, 'a' || CAST(s_suppkey % 7 AS VARCHAR) AS agent_id, 's' || CAST(s_suppkey % 40 AS VARCHAR) AS skill_id, max(s_nationkey) AS priority, bool_or(s_acctbal > 0) AS enabled FROM supplier GROUP BY 1, 2, 3),
+pn AS (SELECT 't' AS tenant, 'ses' AS session_id, agent_id, skill_id, 'v00000001' AS version_id, CASE WHEN priority % 2 = 0 THEN '9' ELSE '0' END AS expires_at FROM b WHERE priority % 3 = 0), rv AS (SELECT tenant, version_id FROM hd WHERE skill_id IN ('s3', 's5'))"""
+
+
+def skill_tables(spark, sf_dir):
+    part, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "supplier"))
+    t = F.lit("t").alias("tenant")
+    skill = lambda c: F.concat(F.lit("s"), (F.col(c) % 40).cast("string")).alias("skill_id")
+    v = part.select(t, skill("p_partkey"), F.concat(F.lit("v"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("version_id"))
+    heads = v.groupBy("tenant", "skill_id").agg(F.max("version_id").alias("version_id"))
+    b = supplier.groupBy(t, F.concat(F.lit("a"), (F.col("s_suppkey") % 7).cast("string")).alias("agent_id"), skill("s_suppkey")).agg(F.max("s_nationkey").alias("priority"), F.bool_or(F.col("s_acctbal") > 0).alias("enabled"))
+    pins = b.where("priority % 3 = 0").select("tenant", F.lit("ses").alias("session_id"), "agent_id", "skill_id", F.lit("v00000001").alias("version_id"), F.when(F.col("priority") % 2 == 0, "9").otherwise("0").alias("expires_at"), F.lit(1).cast("bigint").alias("revision"))
+    return v, heads, b, pins, heads.where("skill_id in ('s3', 's5')").select("tenant", "version_id")
+
+
+@query(
+    f"""{SKILLS}, op AS (SELECT * FROM pn WHERE session_id = 'ses' AND expires_at > '5'), ch AS (SELECT b.*, coalesce(op.version_id, hd.version_id) AS version_id FROM b LEFT JOIN op USING (tenant, agent_id, skill_id) LEFT JOIN hd USING (tenant, skill_id) WHERE enabled)
+SELECT agent_id, skill_id, version_id, CAST(row_number() OVER (PARTITION BY tenant, agent_id ORDER BY priority DESC, skill_id) AS INTEGER) AS pos FROM ch WHERE version_id IS NOT NULL AND version_id NOT IN (SELECT version_id FROM rv) AND skill_id IN (SELECT skill_id FROM v WHERE p_size > 25)"""
+)
+def resolve_loadout(spark, sf_dir):
+    from tessera.operators import skills
+
+    v, heads, b, pins, revoked = skill_tables(spark, sf_dir)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    anchors = part.select(F.lit("t").alias("tenant"), F.concat(F.lit("s"), (F.col("p_partkey") % 40).cast("string")).alias("skill_id"), F.when(F.col("p_size") > 25, "active").otherwise("archived").alias("status"))
+    return skills.resolve_loadout(b, heads, pins, revoked, anchors, "ses", "5").select("agent_id", "skill_id", "version_id", "pos")
+
+
+@query(
+    f"""{SKILLS}, a AS (SELECT DISTINCT 't' AS tenant, 'ses' AS session_id, agent_id, skill_id, 'v00000002' AS version_id FROM b)
+SELECT a.agent_id, a.skill_id, CASE WHEN pn.expires_at > '5' THEN pn.version_id ELSE a.version_id END AS version_id, CASE WHEN pn.expires_at > '5' THEN pn.expires_at ELSE lpad('86400005', 20, '0') END AS expires_at, CAST(CASE WHEN pn.expires_at > '5' THEN 1 WHEN pn.version_id IS NULL THEN 1 ELSE 2 END AS BIGINT) AS revision FROM a LEFT JOIN pn USING (tenant, session_id, agent_id, skill_id)"""
+)
+def session_pins(spark, sf_dir):
+    from tessera.operators import skills
+
+    _, _, b, pins, _ = skill_tables(spark, sf_dir)
+    asked = b.select("tenant", F.lit("ses").alias("session_id"), "agent_id", "skill_id", F.lit("v00000002").alias("version_id"))
+    return skills.pin(pins, asked, "5").select("agent_id", "skill_id", "version_id", "expires_at", "revision")
+
+
+@query(
+    """WITH f AS (SELECT event_id, user_id % 30 AS s, row_number() OVER (PARTITION BY user_id % 30 ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') SELECT 's' || CAST(s AS VARCHAR) AS skill_id, CAST(n / 3 AS BIGINT) AS revision, event_id AS trigger_id FROM f WHERE n % 3 = 0"""
+)
+def revision_jobs(spark, sf_dir):
+    from tessera.operators import skills
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    f = e.select(F.lit("t").alias("tenant"), F.concat(F.lit("s"), (F.col("user_id") % 30).cast("string")).alias("skill_id"), F.lit("v").alias("version_id"), (F.col("event_type") == "error").alias("negative"), F.col("ts").alias("created_at"), F.col("event_id").alias("feedback_id"))
+    return skills.revision_jobs(f).select("skill_id", "revision", "trigger_id")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, ['use {{a}}', CASE WHEN p_size % 2 = 0 THEN 'then {{b}} and {{a}}' ELSE 'done' END] AS steps, CASE p_size % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['a'] ELSE ['a', 'c'] END AS declared, p_size FROM part)
+SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size % 3 = 0 ELSE p_size % 3 = 1 END AS valid FROM s"""
+)
+def draft_validation(spark, sf_dir):
+    from tessera.operators import skills
+
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    steps = F.array(F.lit("use {{a}}"), F.when(F.col("p_size") % 2 == 0, "then {{b}} and {{a}}").otherwise("done"))
+    declared = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("c")))
+    return p.select("p_partkey", skills.draft_valid(steps, declared).alias("valid"))
+
+
+@query("SELECT doc_id, sha256(unhex('0300000000') || encode(text)) AS fingerprint FROM documents")
+def versioned_fingerprints(spark, sf_dir):
+    from tessera.functions import hashing
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", hashing.versioned(3, F.col("text")).alias("fingerprint"))
+
+
+@query()
+def stable_ids(spark, sf_dir):
+    from tessera.functions import hashing
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", hashing.uuid5_oid(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("round_id"), hashing.framed_sha256(F.array("lang", "source", "text")).alias("evidence_key"), F.sha2(hashing.task_text(F.col("text")), 256).alias("task"))

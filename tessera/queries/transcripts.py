@@ -132,3 +132,20 @@ SELECT block_id, score, CAST(row_number() OVER (ORDER BY score DESC, block_id) A
 )
 def transcript_lexical_rank(spark, sf_dir):
     return R.bm25(msgs(spark, sf_dir).where("embed_eligible"), F.col("content"), "block_id", "the", 40, F.col("tenant") == "t1")
+
+
+@query(
+    f"""{MSG}, tk AS (SELECT *, regexp_extract_all(lower(content), '[a-z0-9]+') AS tok FROM messages WHERE embed_eligible),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(tok)) AS a, CAST(count(*) FILTER (WHERE list_contains(tok, 'the')) AS DOUBLE) AS d FROM tk),
+sc AS (SELECT block_id, CAST(round(ln(1 + (n - d + 0.5) / (d + 0.5)) * CAST(len(list_filter(tok, lambda x: x = 'the')) AS DOUBLE) * 2.2 / (CAST(len(list_filter(tok, lambda x: x = 'the')) AS DOUBLE) + (1.2 * (1 - 0.75 + 0.75 * len(tok) / a))) * 1000000) AS BIGINT) AS score FROM tk, st WHERE tenant = 't1'),
+lx AS (SELECT block_id, row_number() OVER (ORDER BY score DESC, block_id) AS rank FROM sc WHERE score > 0 ORDER BY score DESC, block_id LIMIT 160),
+an AS (SELECT block_id FROM messages WHERE tenant = 't1' AND embed_eligible AND session_id = 'conv_4' ORDER BY created_at DESC, line_number DESC, block_index DESC, block_id DESC LIMIT 160),
+c AS (SELECT * FROM messages WHERE tenant = 't1' AND embed_eligible AND block_id IN (SELECT block_id FROM lx UNION SELECT block_id FROM an)), g AS (SELECT session_id, count(*) AS k FROM c WHERE session_id IS NOT NULL GROUP BY session_id),
+s AS (SELECT c.block_id, session_id, role, CAST(coalesce(round(1000.0 / (60 + lx.rank)), 0) + 3 * least(4, coalesce(k, 1) - 1) + CASE WHEN session_id = 'conv_4' THEN 20 ELSE 0 END + 6 - least(20, floor(((SELECT max(CAST(created_at AS BIGINT)) FROM c) - CAST(created_at AS BIGINT)) / 10000.0)) AS BIGINT) AS score FROM c LEFT JOIN lx USING (block_id) LEFT JOIN g USING (session_id))
+SELECT block_id, session_id, score FROM s WHERE role = 'user' ORDER BY score DESC, block_id LIMIT 10"""
+)
+def transcript_search(spark, sf_dir):
+    from tessera.plans import transcript_search as P
+
+    m = msgs(spark, sf_dir)
+    return P.search(m, None, P.TranscriptSearch("t1", "the", limit=10, role="user", anchor_session="conv_4")).select("block_id", "session_id", "score")
