@@ -27,10 +27,11 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from tessera.llm.common import ensure_importable, map_rows, pa_schema, written
 MODEL = "word_bpe_49k.json"
 END_ID = 1
 SCALE_BITS = 20
-LANES, SEGMENT, BLOCK = 256, 1 << 16, 1 << 18
+LANES, SEGMENT, BLOCK = 1024, 1 << 18, 1 << 20
 _LOW = np.uint64(1 << 31)
 BLOCK_SCHEMA = "part int, block int, docs array<long>, sizes array<long>, payload binary, crc long"
 
@@ -47,15 +48,45 @@ BLOCK_SCHEMA = "part int, block int, docs array<long>, sizes array<long>, payloa
 #: Texts of these characters alone are split here: they are in normal form C, lower-case one by one, and their classes are the same in all versions
 #: of Unicode. (The capital sigma, whose lower case depends on its place, is not among them.)
 PLAIN = r"[\x00-\u024f\u2010-\u2027]*"
-#: The tokenizer's own pattern, with its white space spelt out for those characters.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0d\x20\x85\xa0\p{L}\p{N}]+"
+#: The tokenizer's own pattern, with its white space spelt out for those characters, and the line feed as a piece that parts words.
+PRE_TOKEN = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\x09-\x0d\x20\x85\xa0\p{L}\p{N}]+"
 
 
-class WordEncoder:
-    """Ids of texts. A plain text is split by the tokenizer's pattern; the library encodes each distinct piece that is not remembered, many at once,
-    and every piece ends in the one id that carries an end of word. Any other text, or one with the tokenizer's special strings, goes to the library whole."""
+class Memo:
+    """Strings and the ids of each, by rows of flat arrays. Over MOST of them, those used once since the last time fall out, then the least used."""
+
+    MOST = 300_000
+
+    def __init__(self):
+        self.row: dict[str, int] = {}
+        self.flat, self.start, self.length, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def forget(self) -> None:
+        if len(self.row) <= self.MOST:
+            return
+        rank = np.argsort(-self.used, kind="stable")[: self.MOST // 2]
+        keep = np.sort(rank[self.used[rank] > 1])
+        names = list(self.row)
+        self.row = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.flat, self.length, self.used = self.gather(keep), self.length[keep], self.used[keep] // 2
+        self.start = np.cumsum(self.length) - self.length
+
+    def add(self, new: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.flat, self.length, self.used = np.concatenate((self.flat, flat)), np.concatenate((self.length, lengths)), np.concatenate((self.used, np.zeros(len(new), np.int64)))
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        """Ids of rows, one after the other."""
+        length = self.length[rows]
+        ends = np.cumsum(length)
+        return self.flat[np.repeat(self.start[rows] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
 
-    MOST = 250_000
+class WordEncoder:
+    """Ids of texts. A plain text is cut at white space, and each distinct word that is not remembered is cut by the tokenizer's pattern into pieces; the library
+    encodes each distinct piece that is not remembered, many at once, and every piece ends in the one id that carries an end of word. Any other
+    text, or one with the tokenizer's special strings, goes to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,50 +102,54 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.plain, self.split = regex.compile(PLAIN).fullmatch, regex.compile(PRE_TOKEN).findall
-        self.row: dict[str, int] = {}  # piece -> row of the arrays below
-        self.flat, self.start, self.length, self.used = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words, self.pieces = Memo(), Memo()
 
     def is_plain(self, text: str) -> bool:
         return (text.isascii() or self.plain(text) is not None) and not any(s in text for s in self.specials)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Remembers ids of pieces. Over MOST of them, those used once since the last time fall out, then the least used."""
-        if len(self.row) > self.MOST:
-            rank = np.argsort(-self.used, kind="stable")[: self.MOST // 2]
-            keep = np.sort(rank[self.used[rank] > 1])
-            names = list(self.row)
-            self.row = {names[k]: i for i, k in enumerate(keep.tolist())}
-            self.flat, self.length, self.used = self.gather(keep), self.length[keep], self.used[keep] // 2
-            self.start = np.cumsum(self.length) - self.length
-        new = list(pieces.difference(self.row))
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
+    def learn(self, words: list[str]) -> None:
+        """Remembers the ids of words, all different. New ones are cut in one go, a line feed after each."""
+        self.words.forget()
+        new = [w for w in words if w not in self.words.row]
+        if not new:
+            return
+        tokens = pa.array(self.split("\n".join(new).lower() + "\n"), pa.string()).dictionary_encode()
+        pieces, index = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
+        feed = pieces.index("\n")
+        self.pieces.forget()
+        missing = [p for i, p in enumerate(pieces) if i != feed and p not in self.pieces.row]
+        for at in range(0, len(missing), 2000):
+            some = missing[at : at + 2000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
                 raise ValueError("a piece has no end of word, or more than one")
-            self.row.update(zip(some, range(len(self.row), len(self.row) + len(some)), strict=True))
-            lengths = np.diff(cuts, prepend=0)
-            self.start = np.concatenate((self.start, len(self.flat) + cuts - lengths))
-            self.flat, self.length, self.used = np.concatenate((self.flat, ids)), np.concatenate((self.length, lengths)), np.concatenate((self.used, np.zeros(len(some), np.int64)))
-
-    def gather(self, rows: np.ndarray) -> np.ndarray:
-        """Ids of rows, one after the other."""
-        length = self.length[rows]
-        ends = np.cumsum(length)
-        return self.flat[np.repeat(self.start[rows] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        plain = [not t or self.is_plain(t) for t in texts]
-        pieces = [self.split(t.lower()) if p and t else [] for t, p in zip(texts, plain, strict=True)]
-        self.learn(set().union(*pieces))
-        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(pieces)), np.int64)
-        self.used += np.bincount(rows, minlength=len(self.used))
-        flat = self.gather(rows)
-        stops = np.cumsum([len(x) for x in pieces])
-        ends = np.concatenate(([0], np.cumsum(self.length[rows])))[stops] if len(texts) else stops
+            self.pieces.add(some, ids, np.diff(stops, prepend=0))
+        row_of = np.fromiter((self.pieces.row.get(p, -1) for p in pieces), np.int64, len(pieces))
+        is_feed = index == feed
+        rows = row_of[index[~is_feed]]
+        self.pieces.used += np.bincount(rows, minlength=len(self.pieces.used))
+        upto = np.concatenate(([0], np.cumsum(self.pieces.length[rows])))
+        per_word = np.diff(np.flatnonzero(is_feed) - np.arange(len(new)), prepend=0)
+        self.words.add(new, self.pieces.gather(rows), np.diff(upto[np.concatenate(([0], np.cumsum(per_word)))]))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Words are cut and told apart by Arrow, so Python sees each distinct word of a batch once."""
+        given = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        strings = given.to_pylist()
+        plain = [not t or self.is_plain(t) for t in strings]
+        cut = pc.ascii_split_whitespace(pc.if_else(pa.array(plain, pa.bool_()), pc.fill_null(given, ""), ""))
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self.learn(distinct)
+        of = np.fromiter(map(self.words.row.__getitem__, distinct), np.int64, len(distinct))
+        rows = of[words.indices.to_numpy()] if len(distinct) else np.empty(0, np.int64)
+        self.words.used += np.bincount(rows, minlength=len(self.words.used))
+        flat = self.words.gather(rows)
+        n_words = np.cumsum(pc.list_value_length(cut).to_numpy())
+        stops = np.concatenate(([0], np.cumsum(self.words.length[rows])))[n_words]
         out, at, end_id = [], 0, np.array([END_ID], np.uint32)
-        for t, p, stop in zip(texts, plain, ends.tolist(), strict=True):
+        for t, p, stop in zip(strings, plain, stops.tolist(), strict=True):
             out.append(np.concatenate((flat[at:stop] if p else np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32), end_id)))
             at = stop
         return out
@@ -219,7 +254,7 @@ def encode_corpus(docs: DataFrame, model: str = MODEL, ranges: int | None = None
         ids = encoder.encode(text)
         return {"part": part, "doc_id": doc_id, "size": list(map(len, ids)), "ids": [x.astype(width).tobytes() for x in ids], "tie": [zlib.crc32((t or "").encode()) for t in text]}
 
-    made = map_rows(rows, run, "part int, doc_id long, size long, ids binary, tie long", most_bytes=4 << 20)
+    made = map_rows(rows, run, "part int, doc_id long, size long, ids binary, tie long", most_bytes=8 << 20)
     return written(made, "token-ids")
 
 
@@ -230,8 +265,6 @@ def count_ids(encoded: DataFrame, size: int) -> np.ndarray:
     width = "<u2" if size <= 1 << 16 else "<u4"
 
     def run(batches):
-        import pyarrow as pa
-
         total = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0):
@@ -257,8 +290,6 @@ def write_token_files(docs: DataFrame, path: str, model: str = MODEL, ranges: in
     target = pa_schema(spark, BLOCK_SCHEMA)
 
     def run(batches):
-        import pyarrow as pa
-
         coder = Rans(freq)
         part, block, docs_, sizes, held, n = None, 0, [], [], [], 0
 
@@ -304,8 +335,6 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     target = pa_schema(spark, schema)
 
     def run(batches):
-        import pyarrow as pa
-
         coder = Rans(freq)
         for batch in batches:
             for part, block, docs_, sizes, payload, crc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
