@@ -69,7 +69,7 @@ def task_text(text: Column) -> Column:
     for pattern, tag in TASK_TAGS:
         out = F.regexp_replace(out, pattern, tag)
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
-    return F.when(out.rlike(r"\p{L}") & (F.octet_length(out) >= 8), out)
+    return F.when(F.regexp_replace(out, "<[a-z]+>", "").rlike(r"\p{L}") & (F.octet_length(out) >= 8), out)
 
 
 def valid_capsule_id(c: Column) -> Column:

@@ -233,8 +233,8 @@ def shared_themes(members: DataFrame, *keys: str) -> DataFrame:
 def version_chain(capsules: DataFrame, tenant: str, capsule_id: str, most: int = 64) -> DataFrame:
     """The undirected closure of supersedes_id around one row, inside its tenant. Rounds of one semi join; at most `most` of them."""
     mine = capsules.where(F.col("tenant") == tenant)
-    links = mine.where(F.col("supersedes_id").isNotNull()).select(F.col("capsule_id").alias("a"), F.col("supersedes_id").alias("b"))
-    links = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(mine.select(F.col("capsule_id").alias("b")), "b", "left_semi").select("a", "b").persist()
+    links = mine.where(F.col("supersedes_id").isNotNull()).select(F.col("capsule_id").alias("a"), F.col("supersedes_id").alias("b")).join(mine.select(F.col("capsule_id").alias("b")), "b", "left_semi").select("a", "b")
+    links = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
     seen, frontier = {capsule_id}, [capsule_id]
     for _ in range(most):  # a chain is a handful of versions; only ids of this one travel
         frontier = [r["b"] for r in links.where(F.col("a").isin(frontier)).select("b").distinct().collect() if r["b"] not in seen]
