@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.scoring import freshness_anchor, half_up, lifecycle_score
 from tessera.operators import capsules as C
-from tessera.operators.retrieval import hybrid, query_terms
+from tessera.operators.retrieval import hybrid, query_terms, ranked
 
 # Fixed values of ranking.
 HYBRID_K = 48
@@ -34,6 +34,7 @@ class Search:
     source_cap: int = SOURCE_CAP
     k: int = HYBRID_K
     budget: int = 400
+    limit: int = 1000
 
 
 def candidates(capsules: DataFrame, vectors: DataFrame, s: Search) -> DataFrame:
@@ -59,7 +60,8 @@ def finalize(scored: DataFrame, s: Search) -> DataFrame:
     order = (F.desc("score"), F.desc("updated_at"), F.desc("version"), F.asc("capsule_id"))
     source = F.coalesce("session_id", "capsule_id")
     capped = admitted.withColumn("overflow", F.row_number().over(Window.partitionBy(source).orderBy(*order)) > (s.source_cap or 1 << 30))
-    return capped.withColumn("rank", F.row_number().over(Window.partitionBy("tenant").orderBy("overflow", *order)))
+    # a top-k: only s.limit rows are ranked, however many are admitted
+    return ranked(capped.orderBy("overflow", *order).limit(s.limit), F.asc("overflow"), *order)
 
 
 def section() -> Column:

@@ -103,7 +103,7 @@ sd AS (SELECT *, CAST({text} AS BIGINT) AS text_score, CASE WHEN repo = 'repo_1'
 ss AS (SELECT *, text_score + scope_points + type_points + trust + fresh + unsettled + fused AS score FROM sd),
 ad AS (SELECT * FROM ss WHERE CASE WHEN capsule_type IN ('preference', 'workflow') THEN (scope NOT IN ('project', 'repo') OR repo = 'repo_1' OR project = 'src0') ELSE score > 25 END),
 ov AS (SELECT *, row_number() OVER (PARTITION BY coalesce(session_id, capsule_id) ORDER BY score DESC, updated_at DESC, version DESC, capsule_id) > 3 AS overflow FROM ad),
-rk AS (SELECT *, row_number() OVER (ORDER BY overflow, score DESC, updated_at DESC, version DESC, capsule_id) AS rank FROM ov)"""
+rk AS (SELECT *, row_number() OVER (ORDER BY overflow, score DESC, updated_at DESC, version DESC, capsule_id) AS rank FROM ov QUALIFY rank <= 1000)"""
 
 
 @query(f"{search_sql()} SELECT capsule_id, CAST(score AS BIGINT) AS score, overflow, CAST(rank AS INTEGER) AS rank FROM rk")
