@@ -31,11 +31,12 @@ def bm25(corpus: DataFrame, text: Column, id_column: str, query: str, k: int, wi
     terms = query_terms(query)
     if not terms:
         return corpus.select(F.col(id_column), F.lit(0).cast("bigint").alias("score"), F.lit(0).alias("rank")).limit(0)
-    t = corpus.withColumn("tokens_", tokens(text))
-    count = lambda q: F.size(F.filter("tokens_", lambda x: x == q)).cast("double")
-    stats = t.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("tokens_")).alias("avg"), *(F.count_if(F.array_contains("tokens_", q)).cast("double").alias(f"df{i}") for i, q in enumerate(terms))).persist()
+    # one pass over the words leaves those of the query; the rest is counted on that short list
+    t = corpus.withColumn("tokens_", tokens(text)).withColumn("length_", F.size("tokens_")).withColumn("found_", F.filter("tokens_", lambda x: x.isin(*terms))).drop("tokens_")
+    count = lambda q: F.size(F.filter("found_", lambda x: x == q)).cast("double")
+    stats = t.agg(F.count("*").cast("double").alias("n"), F.avg("length_").alias("avg"), *(F.count_if(F.array_contains("found_", q)).cast("double").alias(f"df{i}") for i, q in enumerate(terms))).persist()
     one = lambda c: stats.select(c).scalar()
-    norm = F.lit(K1) * (1 - B + B * F.size("tokens_") / one("avg"))
+    norm = F.lit(K1) * (1 - B + B * F.col("length_") / one("avg"))
     score = F.lit(0.0)
     for i, q in enumerate(terms):
         idf = F.log(1 + (one("n") - one(f"df{i}") + 0.5) / (one(f"df{i}") + 0.5))

@@ -39,7 +39,7 @@ class Search:
 
 def candidates(capsules: DataFrame, vectors: DataFrame, s: Search) -> DataFrame:
     """Pool and hybrid hits together (a row of both is one row), expired and inadmissible ones dropped; rrf is null outside the hits."""
-    hits = hybrid(capsules, vectors, s.tenant, s.query, s.vector, s.k * FETCH).orderBy("rank").limit(s.k).select("capsule_id", "rrf")
+    hits = hybrid(capsules, vectors, s.tenant, s.query, s.vector, s.k * FETCH).orderBy("rank").limit(s.k).select("capsule_id", "rrf").persist()  # s.k rows, read four times
     pool = C.recall_pool(capsules, s.tenant).select("capsule_id").unionByName(hits.select("capsule_id")).distinct()
     rows = capsules.where(F.col("tenant") == s.tenant).join(pool, "capsule_id", "left_semi").where(~C.is_expired(s.now) & C.allowed_in_recall())
     return rows.join(hits, "capsule_id", "left")
