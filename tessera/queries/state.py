@@ -251,3 +251,42 @@ def stable_ids(spark, sf_dir):
 
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", hashing.uuid5_oid(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("round_id"), hashing.framed_sha256(F.array("lang", "source", "text")).alias("evidence_key"), F.sha2(hashing.task_text(F.col("text")), 256).alias("task"))
+
+
+SES = "ss AS (SELECT 'ses_' || CAST(c_custkey AS VARCHAR) AS session_id, 't' || CAST(c_nationkey % 2 AS VARCHAR) AS tenant, 'a' || CAST(c_custkey % 60 AS VARCHAR) AS caller_agent, lpad(CAST(1704067200000 + c_custkey * 60000 AS VARCHAR), 20, '0') AS last_seen_at, CASE WHEN c_custkey % 3 = 0 THEN '1' END AS ended_at, CAST(c_custkey % 4 AS BIGINT) AS memory_count FROM customer)"
+
+
+def session_table(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    s = lambda x: x.cast("string")
+    return c.select(F.concat(F.lit("ses_"), s(k)).alias("session_id"), F.concat(F.lit("t"), s(F.col("c_nationkey") % 2)).alias("tenant"), F.concat(F.lit("a"), s(k % 60)).alias("caller_agent"), F.lpad(s(k * 60000 + 1704067200000), 20, "0").alias("last_seen_at"), F.when(k % 3 == 0, "1").alias("ended_at"), (k % 4).cast("bigint").alias("memory_count"))
+
+
+AT = "00000001704067200000"
+
+
+@query(f"WITH {SES}, o AS (SELECT *, row_number() OVER (PARTITION BY tenant, caller_agent ORDER BY last_seen_at DESC, session_id) AS rn FROM ss WHERE ended_at IS NULL), a AS (SELECT DISTINCT tenant, caller_agent, lpad(CAST(1704067200000 + 1500 * 60000 + 120000 AS VARCHAR), 20, '0') AS now FROM ss) SELECT a.tenant, a.caller_agent, CASE WHEN trunc((CAST(now AS BIGINT) - CAST(last_seen_at AS BIGINT)) / 60000.0) BETWEEN 0 AND 29 THEN session_id END AS session_id FROM a LEFT JOIN o ON o.tenant = a.tenant AND o.caller_agent = a.caller_agent AND rn = 1")
+def session_decisions(spark, sf_dir):
+    from tessera.operators import sessions as S
+
+    t = session_table(spark, sf_dir)
+    arrivals = t.select("tenant", "caller_agent").distinct().withColumn("now", F.lit(str(1704067200000 + 1500 * 60000 + 120000).rjust(20, "0")))
+    return S.decide(t, arrivals).select("tenant", "caller_agent", "session_id")
+
+
+@query(f"WITH {SES}, e AS (SELECT 'ses_' || CAST(user_id AS VARCHAR) AS session_id, lpad(CAST(epoch_us(ts) // 1000 AS VARCHAR), 20, '0') AS seen FROM events), p AS (SELECT session_id, max(seen) AS seen, count(*) AS n FROM e GROUP BY 1) SELECT ss.session_id, greatest(last_seen_at, coalesce(seen, last_seen_at)) AS last_seen_at, memory_count + coalesce(n, 0) AS memory_count FROM ss LEFT JOIN p USING (session_id)")
+def session_touches(spark, sf_dir):
+    from tessera.functions.timefn import stamp
+    from tessera.operators import sessions as S
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("ses_"), F.col("user_id").cast("string")).alias("session_id"), stamp(F.unix_millis(F.col("ts").cast("timestamp"))).alias("at"))
+    return S.touch(session_table(spark, sf_dir), e).select("session_id", "last_seen_at", "memory_count")
+
+
+@query(f"{CAP} SELECT capsule_id, CASE WHEN status = 'pending_confirmation' AND n % 3 <> 0 THEN 'active' ELSE status END AS status FROM capsules")
+def promoted_capsules(spark, sf_dir):
+    from tessera.operators import sessions as S
+
+    c = caps(spark, sf_dir)
+    return S.promote(c, c.where("n % 3 <> 0"), NOW)[0].select("capsule_id", "status")

@@ -212,3 +212,14 @@ def test_ingest_side_effects(spark):
     edges, jobs = ingest.side_effects(c, "p1", "9")
     assert {(r["relation"], r["to_node"]) for r in edges.collect()} == {("applies_to", "project:p"), ("supersedes", "capability_capsule:old"), ("extracted_from", "session:s1"), ("discusses", "topic:t"), ("tagged", "tag:x"), ("mentions_file", "file:a.py")}
     assert jobs.first()["job_id"] == "job_c1"
+
+
+def test_replies_and_adapters(spark):
+    from tessera.operators import sessions as S
+
+    assert one(spark, S.reply_list(F.col("t"), 2), t='```json\n["a first long item", "short", "a first long item", "another long item", "one more long item"]\n```') == ["a first long item", "another long item"]
+    assert one(spark, S.reply_list(F.col("t"), 2), t="no list") == []
+    assert one(spark, S.reply_object(F.col("t")), t='x {"title": " T ", "steps": ["a  b", " "]} y').asDict() == {"title": "T", "steps": ["a b"]}
+    assert one(spark, S.reply_object(F.col("t")), t='{"title": "", "steps": ["a"]}') is None
+    assert one(spark, S.scope_from_path(F.col("t")), t="/home/x/proj/") == ["project:proj", "repo:proj"]
+    assert [one(spark, S.agent_of(F.col("t")), t=x) for x in ("Claude-x", "codex", "pi-1", "z")] == ["claude_code", "codex", "pi", "unknown"]
