@@ -34,15 +34,17 @@ def bm25(corpus: DataFrame, text: Column, id_column: str, query: str, k: int, wi
     # one pass over the words leaves those of the query; the rest is counted on that short list
     t = corpus.withColumn("tokens_", tokens(text)).withColumn("length_", F.size("tokens_")).withColumn("found_", F.filter("tokens_", lambda x: x.isin(*terms))).drop("tokens_")
     count = lambda q: F.size(F.filter("found_", lambda x: x == q)).cast("double")
-    stats = t.agg(F.count("*").cast("double").alias("n"), F.avg("length_").alias("avg"), *(F.count_if(F.array_contains("found_", q)).cast("double").alias(f"df{i}") for i, q in enumerate(terms))).persist()
-    one = lambda c: stats.select(c).scalar()
+    stats = t.agg(F.count("*").cast("double").alias("n"), F.avg("length_").alias("avg"), *(F.count_if(F.array_contains("found_", q)).cast("double").alias(f"df{i}") for i, q in enumerate(terms)))
+    whole = stats.select(F.struct("*").alias("s")).scalar()  # one subquery, run once
+    one = whole.getField
     norm = F.lit(K1) * (1 - B + B * F.col("length_") / one("avg"))
     score = F.lit(0.0)
     for i, q in enumerate(terms):
         idf = F.log(1 + (one("n") - one(f"df{i}") + 0.5) / (one(f"df{i}") + 0.5))
         score = score + idf * count(q) * (K1 + 1) / (count(q) + norm)
-    scored = (t if within is None else t.where(within)).select(F.col(id_column), F.round(score * SCALE).cast("bigint").alias("score")).where(F.col("score") > 0)
-    return ranked(scored.orderBy(F.desc("score"), id_column).limit(k), F.desc("score"), F.col(id_column))
+    scored = (t if within is None else t.where(within)).select(F.col(id_column), F.round(score * SCALE).cast("bigint").alias("score"))
+    # rows without a match come last, so they are dropped after the limit: a filter before it would be pushed down and count everything again
+    return ranked(scored.orderBy(F.desc("score"), id_column).limit(k).where("score > 0"), F.desc("score"), F.col(id_column))
 
 
 def ranked(top: DataFrame, *order: Column) -> DataFrame:
