@@ -68,7 +68,7 @@ class MinimalPerfectHash:
 
 class Bpe:
     #: Distinct pre-tokens remembered from one batch to the next, at most.
-    REMEMBER = 300_000
+    REMEMBER = 200_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -123,11 +123,10 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
         split = [self.split(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
-        if len(self.known) + len(new) > self.REMEMBER:
-            self.known = {}
-            new = set(chain.from_iterable(split))
-        self.known.update(self.resolve(list(new)))
+        pieces = set(chain.from_iterable(split))
+        if len(self.known) > self.REMEMBER:  # what this batch uses stays
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        self.known.update(self.resolve(list(pieces.difference(self.known))))
         ids = self.known.__getitem__
         return [np.fromiter(chain.from_iterable(map(ids, x)), np.uint32) for x in split]
 

@@ -36,37 +36,62 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read back: lineage ends there and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: lineage ends there and a lost executor loses nothing. `files`: how many, where rows are few
+    for the partitions that make them; every file costs a file system several calls."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def files_for(rows: int, each: int = 250_000) -> int:
+    return max(1, -(-rows // each))
+
+
+#: Rows of an Arrow batch in place of Spark's default of 10,000: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = "1000"
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package when the driver found it by sys.path alone."""
+    """Lets Python workers import this package when the driver found it by sys.path alone, and keeps Arrow batches small unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, most_bytes: int = 16 << 20) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, most_bytes: int = 4 << 20) -> DataFrame:
     """fn gets the columns of df as lists, for some rows at a time, and returns columns; runs are cut at most_bytes of Arrow data, so a batch of very long texts stays small."""
     ensure_importable(df.sparkSession)
     target = pa_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, most_bytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                out = fn(*(c.to_pylist() for c in batch.slice(at, step).columns))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+        for rows in regrouped(batches, most_bytes):
+            out = fn(*(c.to_pylist() for c in rows.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
+    """The rows in runs of about most_bytes: small batches together, large ones in parts."""
+    held, size = [], 0
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, most_bytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            held.append(part)
+            size += part.nbytes
+            if size >= most_bytes:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -92,7 +117,7 @@ def lower_ascii(data: bytes) -> bytes:
 class WordHashes(dict):
     """64-bit hash of each word. A memo of at most `most` words; what falls out is hashed anew, with the same result."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

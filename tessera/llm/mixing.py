@@ -108,14 +108,14 @@ def rake_distributed(cells: DataFrame, targets: Mapping[str, float | Mapping[str
             raw = F.when(F.col("t") > 0, F.pow("t", F.lit(float(targets[m])))).otherwise(0.0)
         own = own.select(m, raw.alias("raw"))
         all_raw = own.agg(F.sum("raw")).first()[0] or 1.0
-        wanted[m] = written(own.select(m, (F.col("raw") / F.lit(all_raw)).alias("wanted")), f"margin-{m}")
+        wanted[m] = written(own.select(m, (F.col("raw") / F.lit(all_raw)).alias("wanted")), f"margin-{m}", 8)
     for _ in range(rounds):
         worst = 0.0
         for m in MARGINS:
             have = w.groupBy(m).agg(F.sum("weight").alias("have")).join(wanted[m], m)
             worst = max(worst, have.agg(F.max(F.abs(F.col("have") - F.col("wanted")))).first()[0] or 0.0)
             w = w.join(have, m).withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col("wanted") / F.col("have")).otherwise(0.0)).drop("have", "wanted")
-        w = written(w, "raked")
+        w = written(w, "raked", 8)
         if worst < tolerance:
             break
     top = w.agg(F.max(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))).first()[0] or 0.0
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = PO
     """For each row of docs: `row` (its columns as a struct), source, lang, topic, tokens, probability and kept."""
     spark = docs.sparkSession
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in cell_columns(docs).items()), draw(F.col("doc_id"), F.col("text"), seed).alias("drawn"))
-    cells = written(held.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")), "cells")
+    cells = written(held.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")), "cells", 8)
     if cells.count() <= max_cells:
         raked = rake(cells.toPandas().sort_values(list(MARGINS)), targets)
         known = spark.createDataFrame(raked[[*MARGINS, "probability"]], "source string, lang string, topic string, probability double")

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, ensure_importable, lower_ascii, map_rows, mix64, pa_schema, shingle_hashes, words_of, written
+from tessera.llm.common import WordHashes, ensure_importable, files_for, lower_ascii, map_rows, mix64, pa_schema, shingle_hashes, words_of, written
 
 CHUNKS, CHUNK_SLOTS, ERRORS, BITS = 12, 6, 1, 16
 SLOTS = CHUNKS * CHUNK_SLOTS
@@ -152,16 +152,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     """node, root: the least node of each component of an undirected graph. Large-star and small-star rounds until nothing changes; each star
-    is a minimum, aggregated before its shuffle, joined back. Written each round."""
-    state = written(edges.select(F.greatest(u, v).alias("x"), F.least(u, v).alias("y")).where("x <> y").distinct(), "edges")
-    mark = None
+    is a minimum, aggregated before its shuffle, joined back. Written each round; edges should be a written table, as they are read more than once."""
+    state = edges.select(F.greatest(u, v).alias("x"), F.least(u, v).alias("y")).where("x <> y").distinct()
+    files, mark = files_for(edges.count()), None
     while True:
         both = state.unionAll(state.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).unionAll(least.select("x", F.col("m").alias("y")))
-        state = written(small.where("x <> y").distinct(), "edges")
+        state = written(small.where("x <> y").distinct(), "edges", files)
         now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y")), F.sum(F.xxhash64("y", "x").cast("decimal(38,0)"))).first()
         if now == mark:
             return state.select(F.col("x").alias("node"), F.col("y").alias("root"))
@@ -172,22 +172,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     rows = written(sketch(docs, size), "sketches")
     usable = rows.where("digest is not null and doc_id is not null")
+    files = files_for(rows.count())
     classes = written(usable.groupBy("digest").agg(F.min("code").alias("code"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     keys = list_keys(classes)
     hubs = keys.groupBy("key").agg(F.min("code").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    listed = written(keys.join(hubs, "key"), "listed")  # members of keys that more than one class has
+    listed = written(keys.join(hubs, "key"), "listed", 4 * files)  # members of keys that more than one class has
     ids = usable.select("doc_id", "code").join(listed.select("code").distinct(), "code", "left_semi").distinct()
     texts = written(pack_texts(docs).join(ids, "doc_id").select("code", "packed").distinct(), "texts")
     near = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
 
     sizes = classes.groupBy(F.col("code").alias("hub")).agg(F.max("n").alias("n2"))
     stars = listed.where("code <> hub").select("hub", "code", "n").distinct().join(sizes, "hub").where(near).select(F.col("hub").alias("a"), F.col("code").alias("b")).distinct()
-    edges = written(confirm(stars, texts, size, percent), "links")
+    edges = written(confirm(stars, texts, size, percent), "links", files)
     # a document of several texts joins their classes
     own = usable.select("digest", F.col("code").alias("a")).join(classes.select("digest", F.col("code").alias("b")), "digest").select("a", "b").where("a <> b")
     several = usable.groupBy("code").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select(F.col("code").alias("a"))
     edges = edges.unionAll(own.join(several, "a", "left_semi").distinct())
-    edges = written(edges.unionAll(across_components(listed, components(edges), texts, size, percent)), "links")
+    edges = written(edges.unionAll(across_components(listed, components(edges), texts, size, percent, files)), "links", files)
     roots = components(edges)
 
     least_id = usable.groupBy("digest").agg(F.min("doc_id").alias("least"))
@@ -199,12 +200,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def across_components(listed: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def across_components(listed: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int, files: int) -> DataFrame:
     """Links (a, b) between components of one family: strays against all its members. A pair of components is reported once a task."""
     families = components(listed.where("code <> hub").select("hub", "code").distinct(), "hub", "code")
     families = families.unionAll(families.select(F.col("root").alias("node"), "root").distinct())
     at = families.select(F.col("node").alias("code"), F.col("root").alias("family")).join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-    at = written(at, "families")
+    at = written(at, "families", files)
     parts = at.groupBy("family", "root").agg(F.count("*").alias("c"))
     whole = parts.groupBy("family").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("top"))
     blocks = whole.where("parts > 1 and n > 2").select("family", "top", F.ceil((F.col("n") - F.col("most")) / STRAY_BLOCK).cast("int").alias("ns"), F.ceil(F.col("n") / MEMBER_BLOCK).cast("int").alias("nm"))
