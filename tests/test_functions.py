@@ -223,3 +223,18 @@ def test_replies_and_adapters(spark):
     assert one(spark, S.reply_object(F.col("t")), t='{"title": "", "steps": ["a"]}') is None
     assert one(spark, S.scope_from_path(F.col("t")), t="/home/x/proj/") == ["project:proj", "repo:proj"]
     assert [one(spark, S.agent_of(F.col("t")), t=x) for x in ("Claude-x", "codex", "pi-1", "z")] == ["claude_code", "codex", "pi", "unknown"]
+
+
+def test_codecs(spark):
+    from tessera.functions import codec
+
+    assert one(spark, codec.decode_ids(codec.encode_ids(F.array(F.lit("a"), F.lit('b"'))))) == ["a", 'b"']
+    assert one(spark, codec.decode_ids(F.col("t")), t="no") == []
+    v = F.array(F.lit(1.5), F.lit(-2.0)).cast("array<float>")
+    assert one(spark, codec.decode_vector(2)(codec.encode_vector()(v))) == [1.5, -2.0]
+    assert one(spark, codec.decode_vector(3)(codec.encode_vector()(v))) is None
+    assert one(spark, codec.in_domain(F.col("t"), ("a",)), t="b") is None
+    assert len(one(spark, codec.truncate_error(F.col("t")), t="é" * 1500).encode()) == 2000
+    assert [one(spark, codec.path_problem(F.col("t")), t=p) for p in ("a/b.md", "/a", "a/../b", "a\\b", "")] == [None, "absolute", "segment", "character", "length"]
+    at = lambda a, b: (F.lit(a), F.lit(b))
+    assert one(spark, codec.within(F.lit(3), F.lit(1), at(3, 0), at(4, 0))) and not one(spark, codec.within(F.lit(4), F.lit(1), at(3, 0), at(4, 0)))
