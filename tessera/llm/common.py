@@ -19,6 +19,7 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +43,20 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.repartition(files) if files else df).write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Deletes what written() has left in the shared folder for this process; to be called when no DataFrame that reads it is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _written:
+        at = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n
+
+
 def files_for(rows: int, each: int = 250_000) -> int:
     return max(1, -(-rows // each))
 

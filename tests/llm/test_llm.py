@@ -493,3 +493,13 @@ def test_pipeline_runs_whole(spark, sf_dir):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, sf_dir)
     same(p.run(spark, sf_dir).collect(), docs.collect())
+
+
+def test_written_tables_can_be_removed(spark):
+    from tessera.llm import common
+
+    common.remove_written(spark)
+    df = common.written(spark.range(5), "few", 2)
+    assert df.count() == 5 and common.remove_written(spark) == 1
+    with pytest.raises(Exception, match=r"FILE_NOT_EXIST|does not exist|FileNotFound"):
+        df.collect()
