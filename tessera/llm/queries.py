@@ -12,6 +12,19 @@ from tessera.llm import bpe, fingerprints, line_dedup, mixing, near_dups, qualit
 from tessera.llm.common import shared_dir, table
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct([w[i] || ' ' || w[i + 1] for i in generate_series(1, len(w) - 1)]) ELSE w END AS sh FROM w),
+s AS (SELECT doc_id, unnest(sh) AS x FROM t), n AS (SELECT doc_id, len(sh) AS n FROM t),
+c AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p, q FROM c JOIN n np ON np.doc_id = p JOIN n nq ON nq.doc_id = q WHERE 100 * k >= 80 * (np.n + nq.n - k)),
+b AS (SELECT p, q FROM l UNION SELECT q, p FROM l),
+r(id, root) AS (SELECT doc_id, doc_id FROM t UNION SELECT b.q, r.root FROM r JOIN b ON b.p = r.id),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT n.doc_id, n.n AS n_shingles, m.root AS component_id, n.doc_id = m.root AS kept FROM n JOIN m ON m.id = n.doc_id
+"""
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -96,4 +109,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
-SQL: dict[str, str] = {"op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op3_near_dups": OP3_SQL, "op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}

@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -84,9 +85,9 @@ class Memo:
 
 
 class WordEncoder:
-    """Ids of texts. A plain text is cut at white space, and each distinct word that is not remembered is cut by the tokenizer's pattern into pieces; the library
-    encodes each distinct piece that is not remembered, many at once, and every piece ends in the one id that carries an end of word. Any other
-    text, or one with the tokenizer's special strings, goes to the library whole."""
+    """Ids of texts. A plain text is cut at white space, and each distinct word of a batch by the tokenizer's pattern into pieces; the library encodes each
+    distinct piece that is not remembered, many at once, and every piece ends in the one id that carries an end of word. Any other text, or one
+    with the tokenizer's special strings, goes to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,52 +103,52 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.plain, self.split = regex.compile(PLAIN).fullmatch, regex.compile(PRE_TOKEN).findall
-        self.words, self.pieces = Memo(), Memo()
+        self.pieces = Memo()
 
     def is_plain(self, text: str) -> bool:
         return (text.isascii() or self.plain(text) is not None) and not any(s in text for s in self.specials)
 
-    def learn(self, words: list[str]) -> None:
-        """Remembers the ids of words, all different. New ones are cut in one go, a line feed after each."""
-        self.words.forget()
-        new = [w for w in words if w not in self.words.row]
-        if not new:
-            return
-        tokens = pa.array(self.split("\n".join(new).lower() + "\n"), pa.string()).dictionary_encode()
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has. All are cut in one go, a line feed after each."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py().lower() + "\n"
+        tokens = pa.array(self.split(joined), pa.string()).dictionary_encode()
         pieces, index = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
         feed = pieces.index("\n")
         self.pieces.forget()
-        missing = [p for i, p in enumerate(pieces) if i != feed and p not in self.pieces.row]
-        for at in range(0, len(missing), 2000):
-            some = missing[at : at + 2000]
+        known = self.pieces.row
+        missing = [p for i, p in enumerate(pieces) if p not in known and i != feed]
+        for at in range(0, len(missing), 5000):
+            some = missing[at : at + 5000]
             ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("a piece has no end of word, or more than one")
             self.pieces.add(some, ids, np.diff(stops, prepend=0))
-        row_of = np.fromiter((self.pieces.row.get(p, -1) for p in pieces), np.int64, len(pieces))
+        pieces[feed] = pieces[feed - 1] if feed else pieces[-1]  # any known piece; its ids are not taken
+        row_of = np.fromiter(map(known.get, pieces, repeat(0)), np.int64, len(pieces))
         is_feed = index == feed
         rows = row_of[index[~is_feed]]
         self.pieces.used += np.bincount(rows, minlength=len(self.pieces.used))
         upto = np.concatenate(([0], np.cumsum(self.pieces.length[rows])))
-        per_word = np.diff(np.flatnonzero(is_feed) - np.arange(len(new)), prepend=0)
-        self.words.add(new, self.pieces.gather(rows), np.diff(upto[np.concatenate(([0], np.cumsum(per_word)))]))
+        per_word = np.diff(np.flatnonzero(is_feed) - np.arange(len(words)), prepend=0)
+        return self.pieces.gather(rows), np.diff(upto[np.concatenate(([0], np.cumsum(per_word)))])
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
-        """Words are cut and told apart by Arrow, so Python sees each distinct word of a batch once."""
+        """Words are cut and told apart by Arrow, so each distinct word of a batch is looked at once."""
         given = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         strings = given.to_pylist()
         plain = [not t or self.is_plain(t) for t in strings]
         cut = pc.ascii_split_whitespace(pc.if_else(pa.array(plain, pa.bool_()), pc.fill_null(given, ""), ""))
         words = cut.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        self.learn(distinct)
-        of = np.fromiter(map(self.words.row.__getitem__, distinct), np.int64, len(distinct))
-        rows = of[words.indices.to_numpy()] if len(distinct) else np.empty(0, np.int64)
-        self.words.used += np.bincount(rows, minlength=len(self.words.used))
-        flat = self.words.gather(rows)
+        if len(words):
+            flat_of, length = self.of_words(words.dictionary)
+            start, rows = np.cumsum(length) - length, words.indices.to_numpy()
+            ends = np.cumsum(length[rows])
+            flat = flat_of[np.repeat(start[rows] - ends + length[rows], length[rows]) + np.arange(ends[-1])]
+        else:
+            ends, flat = np.empty(0, np.int64), np.empty(0, np.uint32)
         n_words = np.cumsum(pc.list_value_length(cut).to_numpy())
-        stops = np.concatenate(([0], np.cumsum(self.words.length[rows])))[n_words]
+        stops = np.concatenate(([0], ends))[n_words]
         out, at, end_id = [], 0, np.array([END_ID], np.uint32)
         for t, p, stop in zip(strings, plain, stops.tolist(), strict=True):
             out.append(np.concatenate((flat[at:stop] if p else np.array(self.model.encode(t, add_special_tokens=False).ids, np.uint32), end_id)))
@@ -254,7 +255,7 @@ def encode_corpus(docs: DataFrame, model: str = MODEL, ranges: int | None = None
         ids = encoder.encode(text)
         return {"part": part, "doc_id": doc_id, "size": list(map(len, ids)), "ids": [x.astype(width).tobytes() for x in ids], "tie": [zlib.crc32((t or "").encode()) for t in text]}
 
-    made = map_rows(rows, run, "part int, doc_id long, size long, ids binary, tie long", most_bytes=8 << 20)
+    made = map_rows(rows, run, "part int, doc_id long, size long, ids binary, tie long", most_bytes=16 << 20)
     return written(made, "token-ids")
 
 
