@@ -101,7 +101,7 @@ def similarity_pairs(vectors: DataFrame, threshold: float, upper: float | None =
     rows = vectors.select(*(F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)), F.col(id_column).cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
     names = [f"k{i}" for i in range(len(keys))]
     sizes = rows.groupBy(*names).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    placed = (rows.join(sizes, names) if names else rows.crossJoin(F.broadcast(sizes))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))  # sizes without keys: one row
+    placed = (rows.join(sizes, names) if names else rows.withColumn("n", sizes.select("n").scalar())).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*names, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "e")
 
     def run(group: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:

@@ -136,8 +136,8 @@ def content_hashes(spark, sf_dir):
     return caps(spark, sf_dir).select("capsule_id", "content_hash", F.substring("content_hash", 1, 8).alias("key_suffix"), F.sha2(F.concat_ws("\x1f", "tenant", "project", "repo", "capsule_type", "scope", "content"), 256).alias("record_hash"))
 
 
-RUNS = """qr AS (SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-rn AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY (item_id * 7919 + query_id * 31) % 101, item_id) AS rank FROM (SELECT query_id, item_id FROM qr UNION SELECT query_id, (item_id * 3) % 100 FROM qr))"""
+RUNS = """qr AS (SELECT DISTINCT doc_id % 40 AS query_id, doc_id AS item_id FROM labels WHERE quality = 1 AND doc_id % 3 <> 0),
+rn AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY (item_id * 7919 + query_id * 31) % 101, item_id) AS rank FROM (SELECT DISTINCT doc_id % 40 AS query_id, doc_id AS item_id FROM labels))"""
 
 
 @query(
@@ -150,10 +150,9 @@ CAST(round(hits * 1000000.0 / relevant) AS BIGINT) AS recall, CAST(hits > 0 AS B
 def ranking_metrics(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    b, d = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("benchmark", "documents"))
-    # a benchmark is a fixed list of short passages: its side of the containment join is the small one
-    qr = d.join(F.broadcast(b.select("item_id", F.col("text").alias("needle"))), F.contains(d["text"], F.col("needle"))).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item_id")).persist()
-    items = qr.unionByName(qr.select("query_id", ((F.col("item_id") * 3) % 100).alias("item_id"))).distinct()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("query_id", F.col("doc_id") % 40).withColumnRenamed("doc_id", "item_id")
+    items = labels.select("query_id", "item_id").distinct()
+    qr = labels.where("quality = 1 and item_id % 3 <> 0").select("query_id", "item_id")
     runs = items.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("item_id") * 7919 + F.col("query_id") * 31) % 101, "item_id")))
     out = metrics.evaluate(runs, qr, 5)
     return out.select("query_id", *(F.round(F.col(c) * 1_000_000).cast("bigint").alias(c) for c in ("dcg", "ndcg", "mrr", "recall", "recall_any", "recall_all", "precision")))
