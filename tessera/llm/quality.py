@@ -168,10 +168,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("quality", "text")  # fit_rows rows of two numbers at most
     found = map_rows(sample, _fit_columns, "quality int, x array<double>").limit(2 * fit_rows).toPandas()
-    y = found["quality"].to_numpy(float)
+    rows = sorted(zip(map(tuple, found["x"]), found["quality"], strict=True))  # the order of arrival must not matter
+    y = np.array([q for _, q in rows], float)
     if len(y) == 0 or y.min() == y.max():
         return None
-    return fit_trees(np.array(found["x"].tolist(), float), y, list(FEATURES.values()))
+    return fit_trees(np.array([x for x, _ in rows], float), y, list(FEATURES.values()))
 
 
 def _fit_columns(quality: list, text: list) -> dict[str, list]:
