@@ -144,8 +144,8 @@ rn AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER
     f"""WITH {RUNS}, n AS (SELECT query_id, count(*) AS relevant FROM (SELECT DISTINCT query_id, item_id FROM qr) GROUP BY query_id),
 h AS (SELECT r.*, CASE WHEN q.item_id IS NULL THEN 0 ELSE 1 END AS hit FROM rn r LEFT JOIN (SELECT DISTINCT query_id, item_id FROM qr) q USING (query_id, item_id)),
 p AS (SELECT query_id, sum(CASE WHEN rank <= 5 THEN hit / log2(rank + 1.0) ELSE 0 END) AS dcg, sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) AS hits, min(CASE WHEN hit = 1 THEN rank END) AS first FROM h GROUP BY query_id)
-SELECT query_id, CAST(round(dcg * 1000000) AS BIGINT) AS dcg, CAST(round(dcg / list_sum(list_transform(generate_series(1, least(relevant, 5)), lambda i: 1 / log2(i + 1.0))) * 1000000) AS BIGINT) AS ndcg, CAST(round(coalesce(1.0 / first, 0) * 1000000) AS BIGINT) AS mrr,
-CAST(round(hits * 1000000.0 / relevant) AS BIGINT) AS recall, CAST(hits > 0 AS BIGINT) * 1000000 AS recall_any, CAST(hits = relevant AS BIGINT) * 1000000 AS recall_all, CAST(round(hits * 200000.0) AS BIGINT) AS precision FROM n JOIN p USING (query_id)"""
+SELECT query_id, CAST(round(dcg * 1000000) AS BIGINT) AS dcg, CASE WHEN relevant IS NULL THEN 0 ELSE CAST(round(dcg / list_sum(list_transform(generate_series(1, least(relevant, 5)), lambda i: 1 / log2(i + 1.0))) * 1000000) AS BIGINT) END AS ndcg, CAST(round(coalesce(1.0 / first, 0) * 1000000) AS BIGINT) AS mrr,
+CASE WHEN relevant IS NULL THEN 0 ELSE CAST(round(hits * 1000000.0 / relevant) AS BIGINT) END AS recall, CAST(hits > 0 AS BIGINT) * 1000000 AS recall_any, CASE WHEN relevant IS NULL THEN 0 ELSE CAST(hits = relevant AS BIGINT) * 1000000 END AS recall_all, CAST(round(hits * 200000.0) AS BIGINT) AS precision FROM p LEFT JOIN n USING (query_id)"""
 )
 def ranking_metrics(spark, sf_dir):
     from pyspark.sql.window import Window
