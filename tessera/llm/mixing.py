@@ -1,9 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-Documents are summed to cells (source, language, topic) of tokens, pre-aggregated before their one small shuffle. The cells' token weights are raked:
-each round scales them to the target shares of sources, then of languages, then of topics, until all three hold. A document is then kept
-with the probability of its cell, weight / tokens, scaled so that the largest probability is 1: the largest sample without repetition whose
-expected token shares are the targets. The draw is a hash of the document, so a lost executor redraws alike.
+Documents are summed to cells (source, language, topic) of tokens, pre-aggregated before their one small shuffle. A document is kept with the
+probability of its cell, 1 at most. The sample's size is a given share of the tokens of all cells that have a target (`SHARE`, expected), whatever cells
+there are. The cells' probabilities are raked: each round scales those of the cells that are not yet whole until the kept tokens of sources, then of languages,
+then of topics have the target shares, and all three hold. A category that has fewer tokens than its target share of the sample is kept whole and the others
+share what it lacks, so a rare category neither shrinks the sample nor the others. The draw is a hash of the document, so a lost executor redraws alike.
+Where no probabilities meet all margins at this size, the rounds end when they bring nothing more; a smaller share leaves more room for far targets.
 
 Targets are given as shares, or as a power of the corpus's own token shares (0 uniform, 1 as they are). Cells number at most
 |sources| x |languages| x |topics|: up to `max_cells` they are raked on the driver and their probabilities broadcast; beyond that the same rounds run
@@ -38,7 +40,11 @@ OTHER_TOPIC = "prose"
 MARGINS = ("source", "lang", "topic")
 #: Powers of the corpus's shares that the targets are: sources and languages are evened out, topics stay.
 POWERS: dict[str, float | Mapping[str, float]] = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+#: Tokens of the sample, as a share of the tokens in cells that have a target.
+SHARE = 2 / 3
 ROUNDS, TOLERANCE = 100, 1e-9
+#: Rounds without a closer one after which targets count as out of reach.
+STALLED = 10
 MAX_CELLS = 50_000
 SEED = "mix-1"
 NONE = "\x00none"
@@ -68,59 +74,107 @@ def shares(totals: Mapping[str, float], target: float | Mapping[str, float]) ->
     return {k: v / total if total else 0.0 for k, v in raw.items()}
 
 
-def rake(cells: pd.DataFrame, targets: Mapping[str, float | Mapping[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> pd.DataFrame:
-    """cells (source, lang, topic, tokens) with `weight`, whose sums along each margin are the target shares as closely as the cells allow."""
+def filled(total: np.ndarray, share: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens wanted of each category: its share of `size`, or all it has where that is less and the others share the rest; and which are wanted whole."""
+    level, n = 0.0, -1
+    while True:
+        whole = level * share >= total
+        if whole.sum() == n or whole.all():
+            return np.minimum(total, level * share), whole
+        n = whole.sum()
+        level = (size - total[whole].sum()) / share[~whole].sum()
+
+
+class Progress:
+    """Tells when to stop: the worst gap is within the tolerance, or has not shrunk for STALLED rounds."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance, self.best, self.since = tolerance, np.inf, 0
+
+    def done(self, worst: float) -> bool:
+        self.since = 0 if worst < self.best * 0.999 else self.since + 1
+        self.best = min(self.best, worst)
+        return worst < self.tolerance or self.since >= STALLED
+
+
+def rake(cells: pd.DataFrame, targets: Mapping[str, float | Mapping[str, float]], share: float = SHARE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> pd.DataFrame:
+    """cells (source, lang, topic, tokens) with `probability`: kept tokens are `share` of all, and along each margin in the target shares as closely as the cells allow."""
     out = cells.copy()
-    w = out["tokens"].to_numpy(float)
-    w = w / max(w.sum(), 1.0)
-    codes, wanted = {}, {}
+    t = out["tokens"].to_numpy(float)
+    codes, given, wanted = {}, {}, {}
     for m in MARGINS:
         codes[m], names = pd.factorize(out[m], sort=True)
-        totals = dict(zip(names, np.bincount(codes[m], out["tokens"].to_numpy(float), len(names)), strict=True))
-        share = shares(totals, targets[m])
-        wanted[m] = np.array([share[k] for k in names], float)
-    for _ in range(rounds):
+        totals = dict(zip(names, np.bincount(codes[m], t, len(names)), strict=True))
+        of = shares(totals, targets[m])
+        given[m] = np.array([of[k] for k in names], float)
+    open_ = (t > 0) & np.logical_and.reduce([given[m][codes[m]] > 0 for m in MARGINS])
+    t = np.where(open_, t, 0.0)
+    size = share * t.sum()
+    u = np.where(open_, share, 0.0)  # the probability before it is cut at 1
+    for m in MARGINS:
+        wanted[m], whole = filled(np.bincount(codes[m], t, len(given[m])).astype(float), given[m], size)
+        u = np.where(open_ & whole[codes[m]], np.inf, u)
+    progress = Progress(tolerance)
+    for _ in range(rounds if size > 0 else 0):
         worst = 0.0
         for m in MARGINS:
-            have = np.bincount(codes[m], w, len(wanted[m])).astype(float)
-            worst = max(worst, float(np.abs(have - wanted[m]).max(initial=0.0)))
-            w = w * np.divide(wanted[m], have, out=np.zeros_like(have), where=have > 0)[codes[m]]
-        if worst < tolerance:
+            want, n = wanted[m], len(wanted[m])
+            have = np.bincount(codes[m], t * np.minimum(u, 1.0), n).astype(float)
+            free = np.bincount(codes[m], np.where(u < 1, t * u, 0.0), n).astype(float)
+            worst = max(worst, float(np.abs(have - want).max(initial=0.0)) / size)
+            step = np.divide(want - have + free, free, out=np.zeros(n), where=free > 0)  # a Newton step; from below it never goes too far
+            back = np.divide(want, have, out=np.ones(n), where=have > 0) ** 4
+            factor = np.where(have < want, step, np.maximum(step, back))
+            u = u * np.where(factor > 0, factor, 1.0)[codes[m]]
+        if progress.done(worst):
             break
-    out["weight"] = w
-    ratio = np.divide(w, out["tokens"].to_numpy(float), out=np.zeros_like(w), where=out["tokens"].to_numpy() > 0)
-    top = ratio.max(initial=0.0)
-    out["probability"] = np.where(out["tokens"] > 0, ratio / top if top > 0 else 0.0, 1.0)
+    out["probability"] = np.where(out["tokens"] > 0, np.minimum(u, 1.0), 1.0)
     return out
 
 
-def rake_distributed(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake_distributed(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], share: float = SHARE, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The same for any number of cells: each margin's sums are aggregated and joined back. Written each round, so lineage stays short."""
-    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
-    w = cells.withColumn("weight", F.col("tokens") / F.lit(total))
-    wanted = {}
+    w = cells.withColumn("t", F.greatest(F.col("tokens").cast("double"), F.lit(0.0)))
+    given, wanted = {}, {}
     for m in MARGINS:
-        own = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("t"))
+        own = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("total"))
         if isinstance(targets[m], Mapping):
-            given = F.create_map(*[F.lit(x) for kv in targets[m].items() for x in kv])
-            raw = F.when(F.col("t") > 0, F.coalesce(F.try_element_at(given, F.col(m)), F.lit(0.0))).otherwise(0.0)
+            named = F.create_map(*[F.lit(x) for kv in targets[m].items() for x in kv])
+            raw = F.when(F.col("total") > 0, F.coalesce(F.try_element_at(named, F.col(m)), F.lit(0.0))).otherwise(0.0)
         else:
-            raw = F.when(F.col("t") > 0, F.pow("t", F.lit(float(targets[m])))).otherwise(0.0)
+            raw = F.when(F.col("total") > 0, F.pow("total", F.lit(float(targets[m])))).otherwise(0.0)
         own = own.select(m, raw.alias("raw"))
         all_raw = own.agg(F.sum("raw")).first()[0] or 1.0
-        wanted[m] = written(own.select(m, (F.col("raw") / F.lit(all_raw)).alias("wanted")), f"margin-{m}", 8)
-    for _ in range(rounds):
+        given[m] = written(own.select(m, (F.col("raw") / F.lit(all_raw)).alias("given")), f"margin-{m}", 8)
+        w = w.join(given[m], m).withColumn("t", F.when(F.col("given") > 0, F.col("t")).otherwise(0.0)).drop("given")
+    w = written(w.withColumn("u", F.when(F.col("t") > 0, F.lit(float(share))).otherwise(0.0)), "raked", 8)
+    size = share * (w.agg(F.sum("t")).first()[0] or 0.0)
+    start = w
+    for m in MARGINS:
+        own = written(w.groupBy(m).agg(F.sum("t").alias("total")).join(given[m], m), f"margin-{m}", 8)
+        level, n, whole = 0.0, -1, F.col("total") <= 0
+        while True:  # as filled() does
+            now, rest, taken = own.agg(F.count_if(whole), F.sum(F.when(~whole, F.col("given"))), F.sum(F.when(whole, F.col("total")))).first()
+            if now == n or not rest:
+                break
+            n, level = now, (size - (taken or 0.0)) / rest
+            whole = F.lit(level) * F.col("given") >= F.col("total")
+        wanted[m] = written(own.select(m, F.least("total", F.lit(level) * F.col("given")).alias("wanted"), whole.alias("whole")), f"wanted-{m}", 8)
+        start = start.join(wanted[m].select(m, "whole"), m).withColumn("u", F.when(F.col("whole") & (F.col("t") > 0), F.lit(float("inf"))).otherwise(F.col("u"))).drop("whole")
+    w, progress = written(start, "raked", 8), Progress(tolerance)
+    for _ in range(rounds if size > 0 else 0):
         worst = 0.0
         for m in MARGINS:
-            have = w.groupBy(m).agg(F.sum("weight").alias("have")).join(wanted[m], m)
-            worst = max(worst, have.agg(F.max(F.abs(F.col("have") - F.col("wanted")))).first()[0] or 0.0)
-            w = w.join(have, m).withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col("wanted") / F.col("have")).otherwise(0.0)).drop("have", "wanted")
+            sums = w.groupBy(m).agg(F.sum(F.col("t") * F.least("u", F.lit(1.0))).alias("have"), F.sum(F.when(F.col("u") < 1, F.col("t") * F.col("u")).otherwise(0.0)).alias("free")).join(wanted[m], m)
+            worst = max(worst, (sums.agg(F.max(F.abs(F.col("have") - F.col("wanted")))).first()[0] or 0.0) / size)
+            step = F.when(F.col("free") > 0, (F.col("wanted") - F.col("have") + F.col("free")) / F.col("free")).otherwise(0.0)
+            back = F.when(F.col("have") > 0, F.pow(F.col("wanted") / F.col("have"), F.lit(4.0))).otherwise(1.0)
+            factor = F.when(F.col("have") < F.col("wanted"), step).otherwise(F.greatest(step, back))
+            w = w.join(sums.select(m, F.when(factor > 0, factor).otherwise(1.0).alias("factor")), m).withColumn("u", F.col("u") * F.col("factor")).drop("factor")
         w = written(w, "raked", 8)
-        if worst < tolerance:
+        if progress.done(worst):
             break
-    top = w.agg(F.max(F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))).first()[0] or 0.0
-    p = F.when(F.col("tokens") <= 0, 1.0).otherwise(F.col("weight") / F.col("tokens") / F.lit(top) if top > 0 else F.lit(0.0))
-    return w.withColumn("probability", p)
+    return w.withColumn("probability", F.when(F.col("tokens") <= 0, 1.0).otherwise(F.least("u", F.lit(1.0))))
 
 
 def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
@@ -128,17 +182,17 @@ def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = POWERS, max_cells: int = MAX_CELLS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = POWERS, max_cells: int = MAX_CELLS, seed: str = SEED, share: float = SHARE) -> DataFrame:
     """For each row of docs: `row` (its columns as a struct), source, lang, topic, tokens, probability and kept."""
     spark = docs.sparkSession
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in cell_columns(docs).items()), draw(F.col("doc_id"), F.col("text"), seed).alias("drawn"))
     cells = written(held.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")), "cells", 8)
     if cells.count() <= max_cells:
-        raked = rake(cells.toPandas().sort_values(list(MARGINS)), targets)
+        raked = rake(cells.toPandas().sort_values(list(MARGINS)), targets, share)
         known = spark.createDataFrame(raked[[*MARGINS, "probability"]], "source string, lang string, topic string, probability double")
         known = F.broadcast(known)  # max_cells rows at most
     else:
-        known = rake_distributed(cells, targets).select(*MARGINS, "probability")
+        known = rake_distributed(cells, targets, share).select(*MARGINS, "probability")
     return held.join(known, list(MARGINS), "left").select("row", *MARGINS, "tokens", "probability", (F.col("drawn") < F.col("probability")).alias("kept"))
 
 

@@ -398,6 +398,23 @@ def test_mixing(spark, docs, empty, rows, sf_dir):
     assert set(named[named["kept"] & (named["tokens"] > 0)]["source"]) <= {"a", "b"}
 
 
+def test_a_rare_cell_shrinks_no_other(spark, sf_dir):
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    stray = spark.createDataFrame([(-1, " ".join(["stray"] * 5), "xx", "stray")], real.schema)
+    at = {}
+    for name, d, most in (("alone", real, 50_000), ("both", real.unionAll(stray), 50_000), ("wide", real.unionAll(stray), 0)):
+        at[name] = mixing.mix(d, max_cells=most).select("row.doc_id", *mixing.MARGINS, "tokens", "probability").toPandas().set_index("doc_id").sort_index()
+        t = at[name]["tokens"]
+        assert abs((t * at[name]["probability"]).sum() / t.sum() - mixing.SHARE) < 1e-6
+    assert at["both"]["probability"][-1] == 1 and (at["both"]["probability"] <= 1).all()
+    assert np.allclose(at["both"]["probability"][at["alone"].index], at["alone"]["probability"], atol=0.01)
+    assert np.allclose(at["both"]["probability"], at["wide"]["probability"], atol=1e-6)
+    kept = (at["both"]["tokens"] * at["both"]["probability"]).groupby(at["both"]["lang"]).sum()
+    share = mixing.shares(at["both"].groupby("lang")["tokens"].sum().to_dict(), 0.7)
+    rest = sorted(set(share) - {"xx"})  # all of the stray stays; the others keep their proportions
+    assert kept["xx"] == 5 and np.allclose(kept[rest] / kept[rest].sum(), [share[k] / (1 - share["xx"]) for k in rest], atol=1e-6)
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
