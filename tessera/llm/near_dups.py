@@ -179,9 +179,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     listed = written(keys.join(hubs, "key"), "listed", 4 * files)  # members of keys that more than one class has
     ids = usable.select("doc_id", "code").join(listed.select("code").distinct(), "code", "left_semi").distinct()
     texts = written(pack_texts(docs).join(ids, "doc_id").select("code", "packed").distinct(), "texts")
-    near = F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
+    near = F.exists("sizes", lambda n2: F.lit(100) * F.least("n", n2) >= F.lit(percent) * F.greatest("n", n2))
 
-    sizes = classes.groupBy(F.col("code").alias("hub")).agg(F.max("n").alias("n2"))
+    sizes = classes.groupBy(F.col("code").alias("hub")).agg(F.collect_set("n").alias("sizes"))  # more than one where rows share a doc_id
     stars = listed.where("code <> hub").select("hub", "code", "n").distinct().join(sizes, "hub").where(near).select(F.col("hub").alias("a"), F.col("code").alias("b")).distinct()
     edges = written(confirm(stars, texts, size, percent), "links", files)
     # a document of several texts joins their classes

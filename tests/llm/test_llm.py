@@ -190,6 +190,16 @@ def test_near_dups_chains_and_groups(spark):
     same(near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2, 80).collect(), brute_components(rows, 2, 80))
 
 
+def test_near_dups_of_a_document_of_unlike_texts(spark):
+    """Whichever of the two documents is the hub."""
+    g, rows = random.Random(3), []
+    some = lambda n: [f"w{g.randrange(100_000)}" for _ in range(n)]
+    for i in range(12):
+        short, long = some(100), some(1000)
+        rows += [(2 * i, " ".join(short), "", "", 0), (2 * i, " ".join(long), "", "", 0), (2 * i + 1, " ".join(short[:99]), "", "", 0)]
+    same(near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2, 80).collect(), brute_components(rows, 2, 80))
+
+
 def test_signatures_within_the_threshold_share_a_key():
     g = np.random.default_rng(5)
     for _ in range(200):
