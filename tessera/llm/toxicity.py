@@ -158,7 +158,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, f
         return None
     own = toxic_words(*sides)
     spans = [b" " + b" ".join(hit) + b" " for x in sides[0] if (hit := [w for w in b" ".join(x).split() if not own.isdisjoint(forms(w))])]
-    ordinary = trained([w for x in sides[1] for w in x[:16]], ORDINARY_BYTES)
+    ordinary = trained([w for x in sides[1] for w in x], ORDINARY_BYTES)
     model = ToxicityModel(ordinary, (trained(spans, TOXIC_BYTES) if spans else b"") + ordinary, np.zeros(7))
     x = np.array([model.features(b" ".join(w).decode("utf-8", "ignore")) for _, w in rest])
     y = np.array([k for k, _ in rest])

@@ -453,6 +453,15 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
 
 
+def test_ordinary_dictionary_learns_from_whole_texts(spark):
+    g = random.Random(4)
+    late = "lateordinaryvocabulary behindthefirstwindows"
+    rows = [(i, " ".join([*(f"{g.getrandbits(40):x}" for _ in range(300)), *[late] * 30, *["vilewretch"] * (i % 2)])) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(d, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert all(w.encode() in model.ordinary for w in late.split())
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
