@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained. The ordinary one holds windows of texts labelled 0. The toxic one holds the same, and before it a
 dictionary trained on what texts labelled 1 have of their own: their words of which a form (the word or its start) has a log-likelihood ratio against ordinary texts that is significant
-after correction for the size of the vocabulary. As both share their ordinary part, a clean window compresses alike under both and the
+after correction for the size of the vocabulary; none of these words is left out, TOXIC_BYTES is no bound to them. As both share their ordinary part, a clean window compresses alike under both and the
 difference counts what only toxic text explains. Window differences (largest three, mean, share over 3 bytes) go through a logistic calibration
 that knows the share of toxic labels; it is fitted to a half of the sample from which no dictionary is made.
 
@@ -78,12 +78,12 @@ def forms(word: bytes) -> tuple[bytes, ...]:
     return word, *(b"^" + text[:n].encode() for n in (4, 5, 6) if len(text) >= n)
 
 
-def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], most: int = 512) -> set[bytes]:
-    """Forms of words of toxic texts by their log-likelihood ratio in document counts."""
+def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
+    """All forms of words of toxic texts by their log-likelihood ratio in document counts."""
     n1, n0 = len(toxic), len(ordinary)
     c1, c0 = (Counter(f for x in side for f in {f for w in set(b" ".join(x).split()) for f in forms(w)}) for side in (toxic, ordinary))
     least = 2 * math.log(len(c1) + len(c0) + 1) + 10
-    found = []
+    found = set()
     for w, k1 in c1.items():
         k0 = c0.get(w, 0)
         if k1 < 3 or k1 / n1 < 4 * k0 / n0:
@@ -92,8 +92,18 @@ def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], most: int
         ll = lambda k, n, q: (k * math.log(q) if k else 0) + ((n - k) * math.log(1 - q) if n > k else 0)
         g = 2 * (ll(k1, n1, p1) + ll(k0, n0, p0) - ll(k1, n1, p) - ll(k0, n0, p))
         if g > least:
-            found.append((g, w))
-    return {w for _, w in sorted(found, reverse=True)[:most]}
+            found.add(w)
+    return found
+
+
+def own_content(toxic: list[list[bytes]], own: set[bytes]) -> bytes:
+    """What the toxic dictionary has before the ordinary part: a dictionary trained on the words with a form in own, and before it those of them that it lacks."""
+    spans = [hit for x in toxic if (hit := [w for w in b" ".join(x).split() if not own.isdisjoint(forms(w))])]
+    if not spans:
+        return b""
+    content = trained([b" " + b" ".join(hit) + b" " for hit in spans], TOXIC_BYTES)
+    lacking = [w for w, _ in reversed(Counter(w for hit in spans for w in hit).most_common()) if w not in content]
+    return b" ".join([*lacking, content])
 
 
 @dataclass
@@ -156,10 +166,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, f
     sides = [[w for y, w in made if y == k] for k in (1, 0)]
     if not all(sides):
         return None
-    own = toxic_words(*sides)
-    spans = [b" " + b" ".join(hit) + b" " for x in sides[0] if (hit := [w for w in b" ".join(x).split() if not own.isdisjoint(forms(w))])]
     ordinary = trained([w for x in sides[1] for w in x], ORDINARY_BYTES)
-    model = ToxicityModel(ordinary, (trained(spans, TOXIC_BYTES) if spans else b"") + ordinary, np.zeros(7))
+    model = ToxicityModel(ordinary, own_content(sides[0], toxic_words(*sides)) + ordinary, np.zeros(7))
     x = np.array([model.features(b" ".join(w).decode("utf-8", "ignore")) for _, w in rest])
     y = np.array([k for k, _ in rest])
     if len(rest) and 0 < y.mean() < 1:

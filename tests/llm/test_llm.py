@@ -462,6 +462,17 @@ def test_ordinary_dictionary_learns_from_whole_texts(spark):
     assert all(w.encode() in model.ordinary for w in late.split())
 
 
+def test_no_significant_toxic_word_is_left_out():
+    g = random.Random(6)
+    word = lambda n: "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode()
+    bad, plain = [word(12) for _ in range(800)], [word(12) for _ in range(800)]
+    toxic, ordinary = ([toxicity.windows(b" ".join([*g.sample(plain, 40), *(own[(40 * i + j) % 800] for j in range(40))]).decode()) for i in range(600)] for own in (bad, plain))
+    own = toxicity.toxic_words(toxic, ordinary)
+    assert set(bad) <= own
+    content = toxicity.own_content(toxic, own)
+    assert all(w in content for w in bad)
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
