@@ -1,4 +1,4 @@
-"""The store's workers as Structured Streaming: sessions by inactivity, touches without repeats, an evidence gate with state, job ticks.
+"""The store's workers as Structured Streaming: sessions by inactivity, touches without repeats, an evidence gate with state.
 
 Each function takes a streaming DataFrame and returns one (or a writer's query), so a batch over the same rows is its test."""
 
