@@ -7,14 +7,14 @@ that share no key are farther apart, always. (At similarity 0.8 a slot differs w
 probability 0.345^12, 3 in a million. Pairs beyond the threshold that share a key are looked at as well.) All links are confirmed on full sets.
 
 Texts of equal sets form a class first, so exact copies cost nothing further. A key's members are not paired with each other but with one of
-them (its hub). Links found give components; keys chain classes into families. In families of more than one component the members outside the
-largest (strays) meet all other members, block by block: a task holds some strays, the others pass by, pairs that share a key are
-compared, and only links between components leave it. Pairs within a component need no look, so no group of copies is paired out, and no
-link between components is lost. Texts travel packed (zstandard), in tasks of bounded size: hot hubs are salted, families dealt to blocks by
-hash. Components are found by large-star and small-star rounds over DataFrames; nothing of the corpus reaches the driver.
+them (its hub). Links found give components. In keys that then hold more than one component, the signatures of members outside the largest one
+(strays) meet those of the others, in blocks of bounded size; pairs of unlike components that differ in at most MOST_DIFFERENT slots are confirmed:
+first each stray with its nearest, which joins most of them, then all that are left. Pairs within a component need no look, so no group of copies
+is paired out, and no link between components is lost. Only signatures meet by keys; texts travel packed (zstandard), to confirmed pairs alone, hot
+hubs salted. Components are found by large-star and small-star rounds over DataFrames; nothing of the corpus reaches the driver.
 
 Defined results: texts without words have an empty set and are linked with nothing; each is kept. Texts of fewer words than a shingle are one
-shingle. Rows of one doc_id are one document, linked by any of its texts. Rows without a doc_id are linked with nothing, kept, and have no
+shingle. doc_id is an integer, or text that reads as one. Rows of one doc_id are one document, linked by any of its texts. Rows without a doc_id are linked with nothing, kept, and have no
 component. Extra columns do no harm.
 """
 
@@ -28,6 +28,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import WordHashes, ensure_importable, files_for, lower_ascii, map_rows, mix64, pa_schema, shingle_hashes, words_of, written
 
@@ -36,8 +37,10 @@ SLOTS = CHUNKS * CHUNK_SLOTS
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 #: Pairs of one hub in one task, about.
 HUB_PAIRS = 2_000
-#: Members of a family in one block, about: those held, and those that pass by.
-STRAY_BLOCK, MEMBER_BLOCK = 256, 2_048
+#: Members of a key in one block, about: those held, and those that pass by. Signatures, not texts.
+STRAY_BLOCK, MEMBER_BLOCK = 512, 8_192
+#: Signatures that differ in more slots are not confirmed: at similarity 0.8 that is a chance of 2 in ten million.
+MOST_DIFFERENT = 34
 
 _words = WordHashes()
 _multipliers = mix64(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -188,7 +191,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     own = usable.select("digest", F.col("code").alias("a")).join(classes.select("digest", F.col("code").alias("b")), "digest").select("a", "b").where("a <> b")
     several = usable.groupBy("code").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select(F.col("code").alias("a"))
     edges = edges.unionAll(own.join(several, "a", "left_semi").distinct())
-    edges = written(edges.unionAll(across_components(listed, components(edges), texts, size, percent, files)), "links", files)
+    edges = written(edges, "links", files)
+    # first each stray with its nearest member of another component, which joins most of them; then all pairs that are left between components
+    for nearest in (True, False):
+        pairs = written(across_components(listed, components(edges), classes, percent, nearest, files), "pairs", files)
+        edges = written(edges.unionAll(confirm(pairs, texts, size, percent)), "links", files)
     roots = components(edges)
 
     least_id = usable.groupBy("digest").agg(F.min("doc_id").alias("least"))
@@ -200,84 +207,84 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def across_components(listed: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int, files: int) -> DataFrame:
-    """Links (a, b) between components of one family: strays against all its members. A pair of components is reported once a task."""
-    families = components(listed.where("code <> hub").select("hub", "code").distinct(), "hub", "code")
-    families = families.unionAll(families.select(F.col("root").alias("node"), "root").distinct())
-    at = families.select(F.col("node").alias("code"), F.col("root").alias("family")).join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-    at = written(at, "families", files)
-    parts = at.groupBy("family", "root").agg(F.count("*").alias("c"))
-    whole = parts.groupBy("family").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("top"))
-    blocks = whole.where("parts > 1 and n > 2").select("family", "top", F.ceil((F.col("n") - F.col("most")) / STRAY_BLOCK).cast("int").alias("ns"), F.ceil(F.col("n") / MEMBER_BLOCK).cast("int").alias("nm"))
-    members = at.join(blocks, "family").join(texts, "code")
+def across_components(listed: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, nearest: bool, files: int) -> DataFrame:
+    """Pairs (a, b) of codes in different components that share a key, whose signatures differ in at most MOST_DIFFERENT slots and whose sizes allow a link;
+    with `nearest`, of each member outside a key's largest component (stray) only the nearest. Pairs with a key's hub were looked at before.
+
+    Members of a key meet in blocks of bounded size: a task holds the signatures of some strays, the other members pass by."""
+    at = listed.select("key", "code", "hub").distinct().join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+    several = at.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("n > 2 and r1 <> r2").select("key")
+    at = written(at.join(several, "key", "left_semi"), "open-keys", files)
+    parts = at.groupBy("key", "root").agg(F.count("*").alias("c"))
+    whole = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("top"))
+    blocks = whole.select("key", "top", F.ceil((F.col("n") - F.col("most")) / STRAY_BLOCK).cast("int").alias("ns"), F.ceil(F.col("n") / MEMBER_BLOCK).cast("int").alias("nm"))
+    members = at.join(blocks, "key").join(classes.select("code", F.col("n").alias("size"), "sig"), "code")
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("code"), F.col(n)).cast("int")
-    strays = members.where("root <> top").select("family", place("ns").alias("i"), up_to("nm").alias("j"), F.lit(0).alias("kind"), "code", "root", "packed")
-    others = members.select("family", up_to("ns").alias("i"), place("nm").alias("j"), F.lit(1).alias("kind"), "code", "root", "packed")
-    target = pa_schema(listed.sparkSession, "a long, b long")
+    strays = members.where("root <> top and code <> hub").select("key", place("ns").alias("i"), up_to("nm").alias("j"), F.lit(0).alias("kind"), "code", "root", "size", "sig", F.lit(False).alias("in_top"))
+    others = members.where("code <> hub").select("key", up_to("ns").alias("i"), place("nm").alias("j"), F.lit(1).alias("kind"), "code", "root", "size", "sig", (F.col("root") == F.col("top")).alias("in_top"))
+    schema = "a long, b long, different int"
+    target = pa_schema(listed.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        at, held, index, told = None, [], None, set()
+        at, held, passing = None, [], []
+
+        def compared() -> list[tuple[int, int, int]]:
+            """Of the held strays with the members that have passed."""
+            out: list[tuple[int, int, int]] = []
+            if held and passing:
+                code, root, n, sig = (np.array([x[k] for x in held]) for k in (0, 1, 2, 3))
+                code2, root2, n2, sig2, top2 = (np.array([x[k] for x in passing]) for k in (0, 1, 2, 3, 4))
+                different = np.zeros((len(held), len(passing)), np.int16)
+                for slot in range(SLOTS):
+                    different += sig[:, slot, None] != sig2[None, :, slot]
+                fits = (different <= MOST_DIFFERENT) & (root[:, None] != root2) & (100 * np.minimum(n[:, None], n2) >= percent * np.maximum(n[:, None], n2))
+                fits &= top2 | (code[:, None] < code2)  # two strays meet twice
+                if nearest:
+                    best = np.where(fits, different, SLOTS + 1).argmin(axis=1)
+                    fits &= best[:, None] == np.arange(len(passing))
+                out = [(int(code[x]), int(code2[y]), int(different[x, y])) for x, y in zip(*np.nonzero(fits), strict=True)]
+            passing.clear()
+            return out
+
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for family, i, j, kind, code, root, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingle_set(unpack(packed).decode("utf-8", "surrogatepass"), size)
-                if at != (family, i, j):
-                    at, held, index, told = (family, i, j), [], None, set()
-                if not len(s):
-                    continue
+            found: list[tuple[int, int, int]] = []
+            for key, i, j, kind, code, root, size, sig, in_top in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (key, i, j):
+                    found += compared()
+                    at, held = (key, i, j), []
+                row = (code, root, size, np.frombuffer(sig, "<u2"), in_top)
                 if kind == 0:
-                    held.append((code, root, s))
-                    continue
-                if not held:
+                    held.append(row)
                     continue
-                index = index or StrayIndex(held)
-                for k in index.matches(s, root, percent):
-                    pair = tuple(sorted((held[k][1], root)))
-                    if pair not in told:
-                        told.add(pair)
-                        found.append((held[k][0], code))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=target)
-
-    rows = strays.unionAll(others).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "kind")
-    return _arrow_map(rows, run, "a long, b long").distinct()
+                passing.append(row)
+                if len(passing) == 512:
+                    found += compared()
+            yield _pairs(found, target)
+        yield _pairs(compared(), target)
+
+    rows = strays.unionAll(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "kind")
+    found = _arrow_map(rows, run, schema)
+    if not nearest:
+        return found.select("a", "b").distinct()
+    return found.groupBy("a").agg(F.min_by("b", F.struct("different", "b")).alias("b"))
 
 
-class StrayIndex:
-    """Some sets, to be compared with one set at a time: shared keys first, then exact intersections of all at once."""
-
-    def __init__(self, held: list[tuple[int, int, np.ndarray]]):
-        self.sizes = np.array([len(s) for _, _, s in held])
-        self.roots = np.array([r for _, r, _ in held])
-        self.signatures = np.stack([signature(s) for _, _, s in held]).reshape(-1, CHUNKS, CHUNK_SLOTS)
-        hashes, owners = np.concatenate([s for _, _, s in held]), np.repeat(np.arange(len(held)), self.sizes)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owners = hashes[order], owners[order]
-
-    def matches(self, s: np.ndarray, root: int, percent: int) -> list[int]:
-        n = len(s)
-        open_ = (self.roots != root) & (100 * np.minimum(self.sizes, n) >= percent * np.maximum(self.sizes, n))
-        if not open_.any():
-            return []
-        equal = (self.signatures == signature(s).reshape(CHUNKS, CHUNK_SLOTS)).sum(axis=2)
-        open_ &= (equal >= CHUNK_SLOTS - ERRORS).any(axis=1)
-        if not open_.any():
-            return []
-        lo, hi = np.searchsorted(self.hashes, s, "left"), np.searchsorted(self.hashes, s, "right")
-        lengths = hi - lo
-        at = np.repeat(lo - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        common = np.bincount(self.owners[at], minlength=len(self.sizes))
-        return np.flatnonzero(open_ & (100 * common >= percent * (self.sizes + n - common))).tolist()
+def _pairs(found: list[tuple[int, int, int]], target: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], f.type) for k, f in enumerate(target)], schema=target)
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near-duplicates: of each component the document of the least doc_id stays, once. All columns pass."""
+    """docs without near-duplicates: of each component the document of the least doc_id stays, once (of rows that share it, the one whose JSON comes
+    first, so that a retry keeps the same). All columns pass."""
     verdict = near_duplicates(docs, size, percent)
     dropped = verdict.where("not kept").select(F.col("doc_id").alias("d_id")).distinct()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("d_id_"))
-    left = rows.join(dropped, F.col("d_id_") == F.col("d_id"), "left_anti").select("row.*")
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    left = rows.join(dropped, F.col("d_id_") == F.col("d_id"), "left_anti")
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"))
     if repeats.isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+        return left.select("row.*")
+    repeated = F.col("d_id_") == F.col("r_id")
+    first = F.row_number().over(Window.partitionBy("d_id_").orderBy(F.to_json("row"))) == 1
+    again = left.join(repeats, repeated, "left_semi").withColumn("first_", first).where("first_")
+    return left.join(repeats, repeated, "left_anti").select("row.*").unionAll(again.select("row.*"))
