@@ -1,7 +1,9 @@
 """Line dedup: explode normalised lines, hash, count distinct documents per hash, drop lines over the threshold, reassemble by position.
 
 DataFrame functions only. The exploded table carries hashes and positions, not texts; it is written once and read for the counts and for the
-drops. Counts are pre-aggregated before their shuffle. The one shuffle that carries texts brings each document its dropped positions.
+drops. Counts are pre-aggregated before their shuffle. Lines that make up more than 1 / HOT of all (HOT keys at most, however large the corpus) meet
+their verdict by broadcast, the others by a shuffle on their hash, so no key fills a task. The one shuffle that carries texts brings each document its
+dropped positions.
 
 Defined results: a null or empty text is one empty line. Rows without a doc_id are not counted as documents and keep all lines. Rows that
 repeat a doc_id count as one document; each keeps the lines its own text may keep, so equal rows stay equal. Short keys are never dropped.
@@ -17,6 +19,8 @@ from tessera.llm.common import ASCII_SPACE, ascii_lower, written
 
 MIN_KEY_CHARS = 40
 MIN_DOCUMENTS = 5
+#: Keys with more than 1 / HOT of all lines are hot; there can be no more than HOT of them.
+HOT = 1_000
 
 
 def line_key(line: Column) -> Column:
@@ -33,10 +37,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_documents:
         "doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2")
     )
     lines = written(lines, "line-hashes")
-    common = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_documents)
+    counted = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+    common = written(counted.where(F.col("n") >= min_documents), "common-lines")
+    least = lines.count() / HOT
+    hot = F.broadcast(common.where(F.col("n") > least).select("h1", "h2", F.col("keeper").alias("hot_keeper")))
+    told = lines.join(hot, ["h1", "h2"], "left")
+    cold = told.where("hot_keeper is null").drop("hot_keeper").join(common.where(F.col("n") <= least).drop("n"), ["h1", "h2"])
+    judged = told.where("hot_keeper is not null").withColumnRenamed("hot_keeper", "keeper").unionByName(cold)
     drops = (
-        lines.join(common.drop("n"), ["h1", "h2"])
-        .where(F.col("doc_id") < F.col("keeper"))
+        judged.where(F.col("doc_id") < F.col("keeper"))
         .groupBy("doc_id", "th")
         .agg(F.collect_set("pos").alias("drop"))
         .select(F.col("doc_id").alias("d_id"), F.col("th").alias("d_th"), "drop")
