@@ -3,7 +3,8 @@
 Level 1 encodes the listed keys. Level 2 encodes those unlisted keys of the corpus that level 1 lets through, level 3 those listed keys that
 level 2 lets through, and so on until none is left. The universe is every key that any url of the corpus can form, so on that corpus the
 cascade never errs. Its size follows the list, not the corpus: level 1 has a false positive rate of about |listed| / |universe|.
-DataFrame functions only; the bits travel as a literal of checked size, beyond which a semi-join does the same.
+DataFrame functions only; the bits travel as a literal of checked size. A list whose cascade would be larger is split by a hash of the key into as
+many shards as it takes, each with a cascade of its own over its part of the universe; urls pass one cascade after the other, without a join.
 
 A rule is a host and a path prefix, like `example.com/en/7`. The keys of a url are, for each shape of rule (labels of the host, characters of
 the path), the end of its host and the start of its path. The rule that applies is the longest key that is listed (ties: block before allow
@@ -26,6 +27,8 @@ from tessera.llm.common import ascii_lower, written
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Bits of all levels of one cascade that may travel with a plan; 8 MB.
 MAX_BITS = 64 << 20
+#: Fewer cannot hold a single key among a few others.
+LEAST_BITS = 16
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -122,26 +125,58 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BI
         inside, outside = through, inside
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, max_bits: int = MAX_BITS, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """keep, host, path, rule, verdict for each row of pages."""
+def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...]) -> DataFrame:
+    """key, verdict; literals in the plan."""
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(r).alias("key"), F.lit(v).alias("verdict")) for r, v in rules))))
+
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards).cast("bigint"))
+
+
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame = RULES, max_bits: int = MAX_BITS, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """keep, host, path, rule, verdict for each row of pages. rules: pairs, or a table (key, verdict) for long lists."""
     spark: SparkSession = pages.sparkSession
-    shapes = shapes_of([r for r, _ in rules])
+    listed = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
+    if isinstance(rules, DataFrame):
+        host_, path_ = F.substring_index("key", "/", 1), F.regexp_extract("key", "(/.*)$", 1)
+        shapes = sorted((r["l"], r["n"]) for r in rules.select(F.regexp_count(host_, F.lit("[.]")).alias("l") + 1, F.char_length(path_).alias("n")).toDF("l", "n").distinct().collect())
+    else:
+        shapes = shapes_of([r for r, _ in rules])
     host, path = url_parts(F.col(url))
     parts = pages.select(*keep, host.alias("host"), path.alias("path"))
-    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), shapes))
-    listed = spark.createDataFrame([(r, v) for r, v in rules], "key string, verdict string")
-    universe = keyed.select(F.explode("keys").alias("key"))
-    cascade = build_cascade(listed.select("key"), universe, max_bits)
-    blocks = cascade and build_cascade(listed.where("verdict = 'block'").select("key"), listed.select("key"), max_bits)
-    if cascade is None or blocks is None:
-        return _judge_by_join(keyed, listed, keep)
-    longest = F.array_sort(F.transform(F.filter("keys", cascade.contains), lambda k: F.struct((-F.char_length(k)).alias("n"), k.alias("k"))))
-    rule = F.try_element_at(longest, F.lit(1))["k"]
-    return keyed.select(*keep, "host", "path", rule.alias("rule")).withColumn("verdict", F.when(F.col("rule").isNull(), "allow").when(blocks.contains(F.col("rule")), "block").otherwise("allow"))
-
-
-def _judge_by_join(keyed: DataFrame, listed: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The same for lists whose cascade would be too large to travel: distinct key lists are matched, not single rows, so hot urls shrink first."""
-    distinct = keyed.select("keys").distinct()
-    hits = distinct.select("keys", F.explode("keys").alias("key")).join(listed, "key").groupBy("keys").agg(F.min_by(F.struct("key", "verdict"), F.struct(-F.char_length("key"), "key")).alias("hit"))
-    return keyed.join(hits, "keys", "left").select(*keep, "host", "path", F.col("hit.key").alias("rule"), F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"))
+    keyed = parts.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), shapes)).withColumn("hits", F.expr("CAST(array() AS array<struct<n: int, k: string, blocked: boolean>>)"))
+    universe = written(keyed.select(F.explode("keys").alias("key")).distinct(), "keys")
+    if max_bits < LEAST_BITS:
+        raise ValueError(f"max_bits = {max_bits}: at least {LEAST_BITS}")
+    n, m = listed.count(), universe.count()
+    bits = 1.2 * n * -math.log(min(0.5, max(n, 1) * math.sqrt(0.5) / max(m, 1))) / math.log(2) ** 2
+    shards = 1 << max(0, math.ceil(math.log2(max(bits, 1) / max_bits)))
+    while (cascades := sharded(listed, universe, shards, max_bits)) is None:
+        shards *= 2
+    for i, (member, blocked) in enumerate(cascades):
+        keyed = keyed.withColumn("hits", F.concat("hits", hits_in(member, blocked, i, shards)))
+        if shards > 1:
+            keyed = written(keyed, "judged")  # the bits of one shard at a time travel with a plan
+    first = F.try_element_at(F.array_sort("hits"), F.lit(1))
+    return keyed.withColumn("hit", first).select(*keep, "host", "path", F.col("hit.k").alias("rule"), F.when(F.col("hit.blocked"), "block").otherwise("allow").alias("verdict"))
+
+
+def hits_in(member: Cascade, blocked: Cascade, shard: int, shards: int) -> Column:
+    """The keys of a url that are listed in a shard: (minus its length, key, whether it blocks), so that the longest sorts first."""
+    own = F.filter("keys", lambda k: (shard_of(k, shards) == shard) & member.contains(k))
+    return F.transform(own, lambda k: F.struct((-F.char_length(k)).alias("n"), k.alias("k"), blocked.contains(k).alias("blocked")))
+
+
+def sharded(listed: DataFrame, universe: DataFrame, shards: int, max_bits: int) -> list[tuple[Cascade, Cascade]] | None:
+    """For each shard, what tells listed keys from the universe, and blocked keys from listed ones; None if a shard needs more bits than may travel."""
+    out = []
+    for i in range(shards):
+        in_shard = F.lit(True) if shards == 1 else shard_of(F.col("key"), shards) == i
+        mine = listed.where(in_shard)
+        member = build_cascade(mine.select("key"), universe.where(in_shard), max_bits)
+        blocked = member and build_cascade(mine.where("verdict = 'block'").select("key"), mine.select("key"), max_bits)
+        if member is None or blocked is None:
+            return None
+        out.append((member, blocked))
+    return out

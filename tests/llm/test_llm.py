@@ -366,13 +366,23 @@ def judge(url):
     return host, path, best[0] if best else None, best[1] if best else "allow"
 
 
-@pytest.mark.parametrize("max_bits", [url_filter.MAX_BITS, 1])
+@pytest.mark.parametrize("max_bits", [url_filter.MAX_BITS, 24])
 def test_url_filter(spark, max_bits):
+    """24 bits are too few for one cascade: the list is split into shards."""
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
     same(url_filter.judge_urls(pages, max_bits=max_bits).collect(), [(i, *judge(u)) for i, u in enumerate(URLS)])
     assert url_filter.judge_urls(pages.limit(0), max_bits=max_bits).count() == 0
 
 
+def test_url_rules_as_a_table(spark):
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, rule string")
+    rules = spark.createDataFrame(url_filter.RULES, "key string, verdict string")
+    same(url_filter.judge_urls(pages, rules).collect(), [(i, *judge(u)) for i, u in enumerate(URLS)])
+    assert {r["verdict"] for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+    with pytest.raises(ValueError):
+        url_filter.judge_urls(pages, max_bits=1)
+
+
 def test_cascade_is_exact(spark):
     g = random.Random(4)
     universe = [f"host{g.random()}" for _ in range(3000)]
