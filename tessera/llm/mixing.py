@@ -5,7 +5,8 @@ probability of its cell, 1 at most. The sample's size is a given share of the to
 there are. The cells' probabilities are raked: each round scales those of the cells that are not yet whole until the kept tokens of sources, then of languages,
 then of topics have the target shares, and all three hold. A category that has fewer tokens than its target share of the sample is kept whole and the others
 share what it lacks, so a rare category neither shrinks the sample nor the others. The draw is a hash of the document, so a lost executor redraws alike.
-Where no probabilities meet all margins at this size, the rounds end when they bring nothing more; a smaller share leaves more room for far targets.
+Where no probabilities meet all margins at this size, the rounds end when they bring nothing more; `residual` tells how far the worst category then is
+from its target, as a share of the sample (below TOLERANCE where the targets hold). A smaller share leaves more room for far targets.
 
 Targets are given as shares, or as a power of the corpus's own token shares (0 uniform, 1 as they are). Cells number at most
 |sources| x |languages| x |topics|: up to `max_cells` they are raked on the driver and their probabilities broadcast; beyond that the same rounds run
@@ -114,7 +115,7 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, float | Mapping[str, float]]
     for m in MARGINS:
         wanted[m], whole = filled(np.bincount(codes[m], t, len(given[m])).astype(float), given[m], size)
         u = np.where(open_ & whole[codes[m]], np.inf, u)
-    progress = Progress(tolerance)
+    progress, worst = Progress(tolerance), 0.0
     for _ in range(rounds if size > 0 else 0):
         worst = 0.0
         for m in MARGINS:
@@ -129,6 +130,7 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, float | Mapping[str, float]]
         if progress.done(worst):
             break
     out["probability"] = np.where(out["tokens"] > 0, np.minimum(u, 1.0), 1.0)
+    out["residual"] = worst
     return out
 
 
@@ -161,7 +163,7 @@ def rake_distributed(cells: DataFrame, targets: Mapping[str, float | Mapping[str
             whole = F.lit(level) * F.col("given") >= F.col("total")
         wanted[m] = written(own.select(m, F.least("total", F.lit(level) * F.col("given")).alias("wanted"), whole.alias("whole")), f"wanted-{m}", 8)
         start = start.join(wanted[m].select(m, "whole"), m).withColumn("u", F.when(F.col("whole") & (F.col("t") > 0), F.lit(float("inf"))).otherwise(F.col("u"))).drop("whole")
-    w, progress = written(start, "raked", 8), Progress(tolerance)
+    w, progress, worst = written(start, "raked", 8), Progress(tolerance), 0.0
     for _ in range(rounds if size > 0 else 0):
         worst = 0.0
         for m in MARGINS:
@@ -174,7 +176,7 @@ def rake_distributed(cells: DataFrame, targets: Mapping[str, float | Mapping[str
         w = written(w, "raked", 8)
         if progress.done(worst):
             break
-    return w.withColumn("probability", F.when(F.col("tokens") <= 0, 1.0).otherwise(F.least("u", F.lit(1.0))))
+    return w.withColumn("probability", F.when(F.col("tokens") <= 0, 1.0).otherwise(F.least("u", F.lit(1.0)))).withColumn("residual", F.lit(worst))
 
 
 def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
@@ -182,18 +184,21 @@ def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = POWERS, max_cells: int = MAX_CELLS, seed: str = SEED, share: float = SHARE) -> DataFrame:
-    """For each row of docs: `row` (its columns as a struct), source, lang, topic, tokens, probability and kept."""
+def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = POWERS, max_cells: int = MAX_CELLS, seed: str = SEED, share: float = SHARE, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """For each row of docs: `row` (its columns, or those of `keep`, as a struct), source, lang, topic, tokens, probability, residual and kept.
+
+    Texts are read once: what is told of them is written with the row, then summed, then drawn from."""
     spark = docs.sparkSession
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in cell_columns(docs).items()), draw(F.col("doc_id"), F.col("text"), seed).alias("drawn"))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row")
+    held = written(docs.select(row, *(c.alias(n) for n, c in cell_columns(docs).items()), draw(F.col("doc_id"), F.col("text"), seed).alias("drawn")), "told")
     cells = written(held.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")), "cells", 8)
     if cells.count() <= max_cells:
         raked = rake(cells.toPandas().sort_values(list(MARGINS)), targets, share)
-        known = spark.createDataFrame(raked[[*MARGINS, "probability"]], "source string, lang string, topic string, probability double")
+        known = spark.createDataFrame(raked[[*MARGINS, "probability", "residual"]], "source string, lang string, topic string, probability double, residual double")
         known = F.broadcast(known)  # max_cells rows at most
     else:
-        known = rake_distributed(cells, targets, share).select(*MARGINS, "probability")
-    return held.join(known, list(MARGINS), "left").select("row", *MARGINS, "tokens", "probability", (F.col("drawn") < F.col("probability")).alias("kept"))
+        known = rake_distributed(cells, targets, share).select(*MARGINS, "probability", "residual")
+    return held.join(known, list(MARGINS), "left").select("row", *MARGINS, "tokens", "probability", "residual", (F.col("drawn") < F.col("probability")).alias("kept"))
 
 
 def sample_documents(docs: DataFrame, **settings) -> DataFrame:

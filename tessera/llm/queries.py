@@ -65,7 +65,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"))  # a cache of its own, so that its figures are those of counting, not of reading counts
     return out.withColumn("over_limit", F.col("n_tokens") > token_counts.MAX_TOKENS)
 
 
@@ -89,8 +89,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("row.doc_id", "source", "lang", "topic", "tokens", "probability", "kept")
+    out = mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return out.select("row.doc_id", "source", "lang", "topic", "tokens", "probability", "residual", "kept")
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
