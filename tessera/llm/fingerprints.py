@@ -4,7 +4,9 @@ Every word shingle is hashed once; its top bits name one of `bins` bins and each
 densification: bin j tries bins h(j, 1), h(j, 2), ... until one is not empty, a choice that depends on j and the attempt alone. The low `bits` bits
 of each bin are packed. The likeness of two fingerprints is the share of equal bins, corrected for equality by chance (2^-bits).
 
-Defined results: texts without words have an all-zero fingerprint marked `-` (empty string for the packed form); two of them are alike (1.0), one
+Defined results: rows without a doc_id come first in the order and have a next document like all others; rows that repeat a doc_id follow each other by
+text. doc_id is an integer, or text that reads as one. Very long texts are hashed whole, one at a time. Extra columns, whatever their names, do no harm.
+Texts without words have an all-zero fingerprint marked `-` (empty string for the packed form); two of them are alike (1.0), one
 of them and any other are not (0.0). Texts of fewer words than a shingle are one shingle. Equal texts have equal fingerprints.
 """
 
@@ -127,7 +129,7 @@ def fingerprint_documents(docs: DataFrame, ranges: int | None = None, bins: int
     The next document is the next row by (doc_id, text), nulls first; a single row is its own next one."""
     spark = docs.sparkSession
     ensure_importable(spark)
-    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     target = pa_schema(spark, schema)
 
