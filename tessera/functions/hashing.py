@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.functions.text import redact
+from tessera.functions.text import SPACE, redact, trimmed
 
 # Tags that stand for what varies between tasks.
 TASK_TAGS = (
@@ -68,7 +68,7 @@ def task_text(text: Column) -> Column:
     out = F.lower(nfkc(redact(text)))
     for pattern, tag in TASK_TAGS:
         out = F.regexp_replace(out, pattern, tag)
-    out = F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = trimmed(F.regexp_replace(out, SPACE + "+", " "))
     return F.when(F.regexp_replace(out, "<[a-z]+>", "").rlike(r"\p{L}") & (F.octet_length(out) >= 8), out)
 
 

@@ -38,6 +38,10 @@ def staleness_penalty(d: Column) -> Column:
     return half_up(d * 12)
 
 
+def validation_score(validated_at: Column) -> Column:
+    return F.when(validated_at.isNotNull(), 3).otherwise(0).cast("bigint")
+
+
 def freshness_score(newest: Column, current: Column) -> Column:
     """6 for the newest; a point less for every ten seconds, 20 at most."""
     return F.lit(6) - F.least(F.lit(20), F.floor((newest - current) / 10000)).cast("bigint")
@@ -87,7 +91,7 @@ def text_match_score(terms: list[str]) -> Column:
 def lifecycle_score(newest: Column, terms: list[str], filters: list[str], intent: str, graph_boost: Column) -> Column:
     unsettled = F.when(F.col("status").isin("provisional", "pending_confirmation"), -4).otherwise(0)
     return (
-        text_match_score(terms) + scope_score(filters) + type_score(F.col("capsule_type"), intent) + confidence_score(F.col("confidence")) - staleness_penalty(F.col("decay_score"))
+        text_match_score(terms) + scope_score(filters) + type_score(F.col("capsule_type"), intent) + confidence_score(F.col("confidence")) + validation_score(F.col("last_validated_at")) - staleness_penalty(F.col("decay_score"))
         + freshness_score(newest, freshness_anchor()) + F.coalesce(graph_boost, F.lit(0)) + unsettled
     ).cast("bigint")
 

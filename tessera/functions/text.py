@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns, words and limits of the text rules.
+#: Unicode white space, as characters and as a class of patterns (the engines' own \\s is narrower, each in its way).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{WHITE}]"
 MEMORY_TAG = r"<mem-save>([\s\S]*?)</mem-save>"
 CAPSULE_ID = r"\[(mem_[0-9a-f]{8}-[0-9a-f-]+)\]"
 HEX_ANCHOR = r"\b[0-9a-f]{7,40}\b"
@@ -33,6 +36,19 @@ STRONG_ERROR = (
     r"cannot open|unresolved|undefined reference|[0-9]+ (failed|errors?)|E[0-9]{3,4}|[A-Za-z_.]+(Error|Exception)"
 )
 ROUTINE_COMMIT = r"^(chore\(deps\)|chore\(makefile\)|chore\(logging\)|docs(\(|:)|test(\(|:)|style(\(|:))"
+CUES = (
+    "决定", "选择", "采用", "改用", "因为", "由于", "导致", "的原因", "修复", "解决了", "报错", "踩坑", "坑是", "结论是",
+    "decided to", "we'll use", "we will use", "let's use", "chose ", "going with", "because ", "due to",
+    "root cause", "fixed by", "resolved by", "the fix is", "the fix was", "workaround", "gotcha", "turns out",
+)
+CODE_FILES = ("rs", "ts", "tsx", "js", "jsx", "py", "go", "toml", "json", "md", "sql", "sh", "yaml", "yml")
+CODE_REFERENCE = r"`|::|\(\)|[\p{L}\p{N}\p{M}_./-]\.(" + "|".join(CODE_FILES) + r")([^\p{L}\p{N}\p{M}_]|\z)"
+GIT_COMMIT = rf"(^|[{WHITE}&;|`(])git{SPACE}+commit($|{SPACE})"
+INJECTED_ID = r"\[(mem_[0-9a-fA-F]{8}-[^\]]*)\]"
+TOOL_PREFIXES = ("mcp__mem__", "mcp__plugin_mem_mem__")
+RECALL_TOOLS = ("memory_search", "memory_search_contextual", "memory_bootstrap", "capability_capsule_search", "capability_capsule_search_contextual", "capability_capsule_bootstrap")
+GET_TOOLS = ("memory_get", "capability_capsule_get")
+SUMMARY_CHARS, RERANK_CHARS, CANDIDATES, FINGERPRINT_TOKENS = 100, 1200, 2, 64
 CONTINUATIONS = ("继续", "继续吧", "嗯", "好", "好的", "行", "可以", "go", "ok", "okay", "yes", "y", "yep", "yeah", "sure", "proceed", "continue", "do it", "next", "go on")
 TOOL_FAMILIES = {
     "shell": ("bash", "shell", "exec", "exec_command", "run_command"),
@@ -43,8 +59,13 @@ TOOL_FAMILIES = {
 CHUNK_TOKENS, CHUNK_OVERLAP = 2000, 200
 
 
+def trimmed(s: Column | str) -> Column:
+    """Without Unicode white space at both ends."""
+    return F.btrim(s if isinstance(s, Column) else F.col(s), F.lit(WHITE))
+
+
 def collapse(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return trimmed(F.regexp_replace(s, SPACE + "+", " "))
 
 
 def normalize_alias(s: Column) -> Column:
@@ -61,34 +82,57 @@ def looks_real(s: Column) -> Column:
 
 
 def memory_tag(text: Column) -> Column:
-    found = F.trim(F.regexp_extract(text, MEMORY_TAG, 1))
+    found = trimmed(F.regexp_extract(text, MEMORY_TAG, 1))
     return F.when(looks_real(found), found)
 
 
 def strip_markdown(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"^[\s#>`*+-]+", ""))
+    """A trimmed line without marks of headings, quotes and code before it and without one bullet; empty if it is decoration alone."""
+    bare = F.regexp_replace(F.regexp_replace(line, f"^[#>`]+{SPACE}*", ""), r"^[-*+] ", "")
+    return F.when(line.rlike(r"^[#*_=> -]*\z"), "").otherwise(trimmed(bare))
+
+
+def without_fences(content: Column) -> Column:
+    """Fenced code blocks dropped, an open one to the end."""
+    return F.regexp_replace(content, r"(\A|\n)[ \t\r\x0b\x0c]*```[\s\S]*?(\n[ \t\r\x0b\x0c]*```[^\n]*|\z)", "\n")
 
 
-def first_sentence(line: Column, cap: int = 100) -> Column:
-    """Up to the first . ! or ? that white space or the end follows, or a full-width one; else the first `cap` characters."""
-    cut = F.regexp_extract(line, r"^([\s\S]*?[.!?])(\s|$)", 1)
-    return F.when((cut != "") & (F.char_length(cut) <= cap), cut).otherwise(F.substring(line, 1, cap))
+def first_sentence(line: Column, cap: int = SUMMARY_CHARS) -> Column:
+    """Up to the first . ! or ? that white space or the end follows, or a full-width one, within `cap` characters; else the line, cut at `cap`, or at the last
+    white space before it if that keeps 60 % of them."""
+    cut = trimmed(F.regexp_extract(line, rf"^([\s\S]*?([。！？]|[.!?]({SPACE}|\z)))", 1))
+    head = F.substring(line, 1, cap)
+    words = F.regexp_extract(head, rf"^([\s\S]*){SPACE}", 1)
+    rest = F.when(F.char_length(line) <= cap, line).when(F.char_length(words) >= cap * 6 // 10, words).otherwise(head)
+    return trimmed(F.when((cut != "") & (F.char_length(cut) <= cap), cut).otherwise(rest))
 
 
 def summarize(content: Column) -> Column:
-    """The first line that is neither empty, a fence nor decoration, without its marks: its first sentence or start."""
-    lines = F.transform(F.split(content, "\n"), strip_markdown)
-    usable = F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    return F.coalesce(first_sentence(F.try_element_at(usable, F.lit(1))), F.lit("memory"))
+    """The first line outside code blocks that is not decoration, without its marks: its first sentence or start."""
+    lines = F.transform(F.split(without_fences(content), "\n"), lambda x: strip_markdown(trimmed(x)))
+    found = first_sentence(F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(1)))
+    return F.when(found != "", found).otherwise("memory")
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "[\n。！？]"), lambda x: F.trim(x)), lambda x: x != "")
+    """Cut at line ends and full-width stops, and at . ! ? before white space; trimmed, blanks dropped."""
+    return F.filter(F.transform(F.split(text, rf"[。！？\n\r]+|[.!?]{SPACE}+"), trimmed), lambda x: x != "")
+
+
+def has_cue(sentence: Column, aliases: tuple[str, ...] = ()) -> Column:
+    """A cue phrase, a code reference, or an alias (in normal form) of something known."""
+    low = F.lower(sentence)
+    out = sentence.rlike(CODE_REFERENCE)
+    for cue in CUES:
+        out = out | F.contains(low, F.lit(cue))
+    for alias in aliases:
+        out = out | F.contains(normalize_alias(sentence), F.lit(alias))
+    return out
 
 
-def candidate_sentences(text: Column, cue: str, most: int = 2) -> Column:
-    """Sentences of 12 to 400 characters with a cue or a code reference, distinct, two at most."""
-    good = F.filter(sentences(text), lambda s: (F.char_length(s) <= 400) & looks_real(s) & (F.lower(s).rlike(cue) | s.rlike(r"`|::|\(\)|[A-Za-z0-9_/]+\.(rs|py|ts|js|go|java|md|toml|json)\b")))
+def candidate_sentences(text: Column, aliases: tuple[str, ...] = (), most: int = CANDIDATES) -> Column:
+    """Sentences of 12 to 400 characters, four of them letters or digits, that have a cue; distinct, in order, two at most."""
+    good = F.filter(sentences(text), lambda s: (F.char_length(s) <= 400) & looks_real(s) & has_cue(s, aliases))
     return F.slice(F.array_distinct(good), 1, most)
 
 
@@ -100,13 +144,15 @@ def error_signature(text: Column) -> Column:
 
 
 def prompt_to_recall(prompt: Column) -> Column:
-    """Null for prompts that ask nothing new: empty, commands, under four characters, mere continuations."""
-    p = F.trim(prompt)
+    """Null for prompts that ask nothing new: empty, commands, under four characters, mere continuations. Else the prompt as it is, cut."""
+    p = trimmed(prompt)
     skip = (p == "") | p.startswith("/") | p.startswith("!") | (F.char_length(p) < 4) | F.lower(p).isin(*CONTINUATIONS)
-    return F.when(~skip, F.substring(p, 1, 1000))
+    return F.when(~skip, F.substring(prompt, 1, 1000))
 
 
-def redact(text: Column) -> Column:
+def redact(text: Column, on: bool = True) -> Column:
+    if not on:
+        return text
     for pattern, mark in SECRETS:
         text = F.regexp_replace(text, pattern, mark)
     return text
@@ -120,9 +166,15 @@ def parameterize(text: Column, literals: dict[str, str] | None = None) -> Column
     return text
 
 
-def fingerprint(text: Column, most: int = 64) -> Column:
-    """Distinct runs of four or more ASCII letters and digits, in order."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{4,}"), 0)), 1, most)
+def fingerprint(text: Column, most: int = FINGERPRINT_TOKENS) -> Column:
+    """Distinct tokens in order: runs of four or more ASCII letters and digits; runs with any other letter as pairs of neighbouring characters."""
+    low = F.lower(text)
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    none = F.expr("CAST(array() AS array<string>)")
+    tokens_of = lambda r: F.when(r.rlike("^[a-z0-9]+\\z"), F.when(F.char_length(r) >= 4, F.array(r)).otherwise(none)).otherwise(F.when(F.char_length(r) >= 2, pairs(r)).otherwise(none))
+    ascii_only = F.regexp_extract_all(low, F.lit("[a-z0-9]{4,}"), 0)
+    runs = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), 0), tokens_of))
+    return F.slice(F.array_distinct(F.when(F.octet_length(low) == F.char_length(low), ascii_only).otherwise(runs)), 1, most)
 
 
 def fact_anchors(text: Column, refs: Column) -> Column:
@@ -133,7 +185,7 @@ def fact_anchors(text: Column, refs: Column) -> Column:
 
 
 def normalize_file_ref(ref: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(F.trim(ref), r"(:[0-9]+)+$", ""), r"/+$", "")
+    out = F.regexp_replace(F.regexp_replace(trimmed(ref), r"(:[0-9]+)+$", ""), r"/+$", "")
     return F.when(out != "", out)
 
 
@@ -143,20 +195,83 @@ def file_alias(repo: Column, path: Column) -> Column:
 
 def steps(content: Column) -> Column:
     """Lines without their numbers, blanks dropped."""
-    return F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^[0-9]+[.)]\s*", ""))), lambda x: x != "")
+    return F.filter(F.transform(F.split(content, "\n"), lambda x: trimmed(F.regexp_replace(trimmed(x), r"^[0-9]+[.)]\s*", ""))), lambda x: x != "")
 
 
 def split_steps(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "[\n;•]"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^-\s*", ""))), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[\n;•]"), lambda x: trimmed(F.regexp_replace(trimmed(x), "^-+", ""))), lambda x: x != "")
 
 
 def commit_subject(out: Column) -> Column:
-    found = F.regexp_extract(out, r"\[[^\]\n]+ [0-9a-f]{7,}\] ([^\n]+)", 1)
-    return F.when(found != "", found)
+    """What follows `[branch sha]` on the first line; null if the commit did not land."""
+    subject = F.regexp_replace(F.regexp_extract(out, r"\A([^\n]*)", 1), rf"\A\[[^\]]+\]{SPACE}*", "")
+    return F.when(out.startswith("[") & (trimmed(subject) != ""), subject)
+
+
+def is_routine_commit(subject: Column) -> Column:
+    return subject.rlike(ROUTINE_COMMIT)
+
+
+def contains_git_commit(command: Column) -> Column:
+    return command.rlike(GIT_COMMIT)
+
+
+def _one_of(name: Column, suffixes: tuple[str, ...]) -> Column:
+    return name.isin(*(p + x for p in TOOL_PREFIXES for x in suffixes))
+
+
+def is_recall_tool(name: Column) -> Column:
+    return _one_of(name, RECALL_TOOLS)
+
+
+def is_get_tool(name: Column) -> Column:
+    return _one_of(name, GET_TOOLS)
+
+
+def injected_ids(line: Column) -> Column:
+    """Ids of capsules in brackets, in order; placeholders are no ids."""
+    return F.regexp_extract_all(line, F.lit(INJECTED_ID), 1)
+
+
+def applicability(project: Column, repo: Column, module: Column) -> Column:
+    parts = [F.when(c.isNotNull(), F.concat(F.lit(name + " "), c)) for name, c in (("project", project), ("repo", repo), ("module", module))]
+    return F.nullif(F.concat_ws(", ", *parts), F.lit(""))
+
+
+def truncate_for_rerank(text: Column) -> Column:
+    return F.substring(text, 1, RERANK_CHARS)
+
+
+def within_tokens(text: Column, budget: int) -> Column:
+    """Secrets masked, then at most max(8, budget) tokens. Tokens are runs of non-space here, each with the space before it: an approximation of subword tokens."""
+    masked = redact(text)
+    most = max(8, budget)
+    return F.when(F.regexp_count(masked, F.lit(rf"[^{WHITE}]+")) <= most, masked).otherwise(trimmed(F.regexp_extract(masked, rf"^({SPACE}*([^{WHITE}]+{SPACE}+){{{most}}})", 1)))
+
+
+def final_answer_phase(meta: Column) -> Column:
+    """The phase that the metadata name, else how the turn stopped, else yes."""
+    phase, stop = F.get_json_object(meta, "$.phase"), F.get_json_object(meta, "$.stop_reason")
+    return F.when(phase.isNotNull(), phase == "final_answer").when(stop.isNotNull(), stop.isin("stop", "end_turn")).otherwise(True)
+
+
+def tool_result_is_error(meta: Column) -> Column:
+    """Null where the metadata say nothing."""
+    flag = F.get_json_object(meta, "$.is_error")
+    return F.when(flag == "true", True).when(flag == "false", False)
+
+
+def cwd_of(meta: Column) -> Column:
+    return F.nullif(F.get_json_object(meta, "$.cwd"), F.lit(""))
+
+
+def source_agent(dialect: Column, flag: Column) -> Column:
+    """Two dialects tell their agent; the third takes what the caller says."""
+    return F.when(dialect == "b", "codex").when(dialect == "c", "pi").otherwise(flag)
 
 
 def tool_family(name: Column) -> Column:
-    low = F.lower(F.trim(name))
+    low = F.lower(trimmed(name))
     out = F.lit("other")
     for family, names in TOOL_FAMILIES.items():
         out = F.when(low.isin(*names), family).otherwise(out)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.text import trimmed
 from tessera.schemas import FEEDBACK, STATUSES
 
 GUIDANCE = ("preference", "workflow")
@@ -139,7 +140,7 @@ def default_confidence(status: Column) -> Column:
 
 def low_value_reason(min_chars: int = 40) -> Column:
     """Experiences only: too short, or one line without evidence or references and under three times the least length."""
-    text = F.btrim(F.col("content"), F.lit(" \t\n\r"))
+    text = trimmed("content")
     bare = (F.size("code_refs") <= 0) & ~F.contains(text, F.lit("\n")) & (F.char_length(text) < 3 * min_chars)
     return F.when(F.col("capsule_type") != "experience", F.lit(None).cast("string")).when(F.char_length(text) < min_chars, "too_short").when(bare, "single_line_without_evidence")
 
@@ -219,7 +220,7 @@ def shared_value(column: str) -> Column:
 
 def themes() -> Column:
     """Topics and tags, trimmed and lower-cased, blanks dropped."""
-    cleaned = F.transform(F.concat("topics", "tags"), lambda x: F.lower(F.trim(x)))
+    cleaned = F.transform(F.concat("topics", "tags"), lambda x: F.lower(trimmed(x)))
     return F.array_sort(F.array_distinct(F.filter(cleaned, lambda x: x != "")))
 
 
@@ -230,16 +231,14 @@ def shared_themes(members: DataFrame, *keys: str) -> DataFrame:
     return per.join(sizes, list(keys)).where(F.col("n") == F.col("members")).select(*keys, "theme", "members")
 
 
-def version_chain(capsules: DataFrame, tenant: str, capsule_id: str, most: int = 64) -> DataFrame:
-    """The undirected closure of supersedes_id around one row, inside its tenant. Rounds of one semi join; at most `most` of them."""
+def version_chain(capsules: DataFrame, tenant: str, capsule_id: str) -> DataFrame:
+    """The undirected closure of supersedes_id around one row, inside its tenant, however long: one component of the tenant's links."""
+    from tessera.operators.retrieval import components
+
     mine = capsules.where(F.col("tenant") == tenant)
     links = mine.where(F.col("supersedes_id").isNotNull()).select(F.col("capsule_id").alias("a"), F.col("supersedes_id").alias("b")).join(mine.select(F.col("capsule_id").alias("b")), "b", "left_semi").select("a", "b")
-    links = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    seen, frontier = {capsule_id}, [capsule_id]
-    for _ in range(most):  # a chain is a handful of versions; only ids of this one travel
-        frontier = [r["b"] for r in links.where(F.col("a").isin(frontier)).select("b").distinct().collect() if r["b"] not in seen]
-        if not frontier:
-            break
-        seen.update(frontier)
-    links.unpersist()
-    return mine.where(F.col("capsule_id").isin(sorted(seen))).orderBy(F.desc("version"), F.desc("updated_at"))
+    roots = components(links)
+    own = roots.where(F.col("node") == capsule_id).select("root")
+    ends = own.select(F.col("root").alias("node")).unionAll(roots.join(own, "root", "left_semi").select("node")).unionAll(mine.sparkSession.createDataFrame([(capsule_id,)], "node string"))
+    ends = ends.unionAll(roots.where(F.col("root") == capsule_id).select("node"))
+    return mine.join(ends.select(F.col("node").alias("capsule_id")).distinct(), "capsule_id", "left_semi").orderBy(F.desc("version"), F.desc("updated_at"))

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scoring import spread_decay
+from tessera.functions.text import trimmed
 from tessera.operators.storage import cut, update_where
 
 # Fixed values of graph boosts and edge dynamics.
 GRAPH_BOOST, SIMILARITY_BOOST = 12, 4
-DAMPING, ROUNDS = 0.5, 20
+DAMPING, ROUNDS, TOLERANCE = 0.5, 20, 1e-6
 FRONTIER, VISITED = 2048, 10_000
+#: Rounds of the walk in one plan.
+CUT = 10
 SIMILARITY_EXTRACTORS = ("ingest_link", "o7_neardup_cluster")
 
 
@@ -94,8 +97,21 @@ def top_relations(edges: DataFrame, limit: int = 16) -> DataFrame:
     return edges.groupBy("relation").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "relation").limit(limit)
 
 
-def add_edges(edges: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Edges that land: intervals that run forward, triples without an active edge."""
+CAPSULE_NODE = "capability_capsule:"
+
+
+def without_deleted_ends(incoming: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Edges none of whose ends is a capsule that was deleted for good (deleted: capsule_id)."""
+    gone = deleted.select(F.concat(F.lit(CAPSULE_NODE), "capsule_id").alias("node_")).distinct()
+    for end in ("from_node", "to_node"):
+        incoming = incoming.join(gone, F.col(end) == F.col("node_"), "left_anti")
+    return incoming
+
+
+def add_edges(edges: DataFrame, incoming: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """Edges that land: intervals that run forward, triples without an active edge, ends that were not deleted."""
+    if deleted is not None:
+        incoming = without_deleted_ends(incoming, deleted)
     valid = incoming.where(F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("valid_from")))
     key = ["from_node", "to_node", "relation"]
     return valid.dropDuplicates(key).join(edges.where(active()).select(*key), key, "left_anti")
@@ -143,21 +159,28 @@ def frontier(edges: DataFrame, anchors: list[str]) -> DataFrame:
     return first.unionByName(incident(edges, nodes)).dropDuplicates(["from_node", "to_node", "relation", "valid_from"])
 
 
-def personalised_pagerank(edges: DataFrame, anchors: list[str], rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """node, p: mass that starts at the anchors and walks edges by weight, without direction. A join and an aggregation a round."""
+def personalised_pagerank(edges: DataFrame, anchors: list[str], rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """node, p: mass that starts at the anchors and walks edges by weight, without direction. A join and an aggregation a round, written every CUT rounds;
+    ends there once the last round moved less than the tolerance. Only an anchor can lack edges: its mass returns to the anchors, as arcs to them."""
     weight = base_boost()
     arcs = edges.select(F.col("from_node").alias("u"), F.col("to_node").alias("v"), weight.alias("w")).unionAll(edges.select(F.col("to_node").alias("u"), F.col("from_node").alias("v"), weight.alias("w"))).where("w > 0")
     total = arcs.groupBy("u").agg(F.sum("w").alias("t"))
-    steps = cut(arcs.join(total, "u").groupBy("u", "v").agg(F.sum(F.col("w") / F.col("t")).alias("share")))
-    seeds = edges.sparkSession.createDataFrame([(a, 1.0 / len(anchors)) for a in anchors], "node string, seed double")
+    seeds = edges.sparkSession.createDataFrame([(a, 1.0 / len(set(anchors))) for a in dict.fromkeys(anchors)], "node string, seed double")
+    walks = arcs.join(total, "u").groupBy("u", "v").agg(F.sum(F.col("w") / F.col("t")).alias("share"))
+    home = F.broadcast(seeds.select(F.col("node").alias("v"), F.col("seed").alias("share")))  # one row an anchor
+    bare = seeds.select(F.col("node").alias("u")).join(total, "u", "left_anti").join(home, F.lit(True)).select("u", "v", "share")
+    steps = cut(walks.unionAll(bare))
+    start = seeds.select("node", ((1 - damping) * F.col("seed")).alias("x"))
     p = seeds.select("node", F.col("seed").alias("p"))
-    out_nodes = steps.select(F.col("u").alias("node")).distinct()
     for i in range(rounds):
-        walked = p.join(steps, p["node"] == steps["u"]).groupBy(F.col("v").alias("node")).agg(F.sum(F.col("p") * F.col("share")).alias("flow"))
-        stuck = p.join(out_nodes, "node", "left_anti").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("x"))  # mass without an edge returns to the anchors
-        lost = stuck.first()["x"]
-        p = walked.join(seeds, "node", "full_outer").select("node", (damping * (F.coalesce("flow", F.lit(0.0)) + lost * F.coalesce("seed", F.lit(0.0))) + (1 - damping) * F.coalesce("seed", F.lit(0.0))).alias("p"))
-        p = cut(p) if i % 5 == 4 or i == rounds - 1 else p.persist()
+        before = p
+        walked = p.join(steps, p["node"] == steps["u"]).select(F.col("v").alias("node"), (damping * F.col("p") * F.col("share")).alias("x"))
+        p = walked.unionAll(start).groupBy("node").agg(F.sum("x").alias("p"))
+        if i % CUT == CUT - 1 and i < rounds - 1:
+            both = cut(p.join(before.withColumnRenamed("p", "q"), "node", "full_outer").select("node", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q")))
+            p = both.select("node", "p")
+            if both.agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0] < tolerance:
+                break
     return p
 
 
@@ -176,7 +199,7 @@ def edge_drafts(capsules: DataFrame) -> DataFrame:
     many = lambda relation, prefix, items: F.transform(items, lambda x: F.struct(F.lit(relation).alias("relation"), F.concat(F.lit(prefix), x).alias("to_node")))
     parts = [
         one("applies_to", to("project:", "project")), one("observed_in", to("repo:", "repo")), one("relevant_to", to("module:", "module")), one("supersedes", to("capability_capsule:", "supersedes_id")), one("extracted_from", to("session:", "session_id")),
-        many("discusses", "topic:", F.transform("topics", lambda x: F.lower(F.trim(x)))), many("tagged", "tag:", F.filter(F.transform("tags", lambda x: F.lower(F.trim(x))), lambda x: ~x.startswith("contradicts:"))),
+        many("discusses", "topic:", F.transform("topics", lambda x: F.lower(trimmed(x)))), many("tagged", "tag:", F.filter(F.transform("tags", lambda x: F.lower(trimmed(x))), lambda x: ~x.startswith("contradicts:"))),
         many("mentions_file", "file:", F.transform("code_refs", lambda x: F.regexp_replace(x, r"(:[0-9]+)+$|/$", ""))),
     ]
     drafts = capsules.select(me.alias("from_node"), F.explode(reduce(lambda a, b: F.concat(a, b), parts)).alias("d"))

@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.scoring import rrf_raw
+from tessera.operators.storage import ensure_importable
 
 K1, B = 1.2, 0.75
 #: Scores leave as whole millionths, so that engines agree on order.
 SCALE = 1_000_000
 
 
+#: Scripts written without spaces: their runs are cut into pairs of neighbouring characters (a lone one stands for itself).
+UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+WORD = r"[\p{L}\p{N}\p{M}]+"
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    """Words as they are written: runs of letters, digits and marks, unspaced scripts in pairs."""
+    text = F.coalesce(text, F.lit(""))
+    apart = F.regexp_replace(text, f"([{UNSPACED}]+)", " $1 ")
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(r) - 1)), lambda i: F.substring(r, i, F.lit(2)))
+    mixed = F.flatten(F.transform(F.regexp_extract_all(apart, F.lit(WORD), 0), lambda r: F.when(r.rlike(f"^[{UNSPACED}]"), pairs(r)).otherwise(F.array(r))))
+    words = F.when(F.octet_length(text) == F.char_length(text), F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), 0)).otherwise(F.regexp_extract_all(text, F.lit(WORD), 0))
+    return F.when(text.rlike(f"[{UNSPACED}]"), mixed).otherwise(words)
 
 
 def query_terms(query: str) -> list[str]:
-    """Distinct, in order."""
+    """Distinct, in order; cut as texts are."""
+    import regex
+
+    out = []
+    for run in regex.findall(WORD, regex.sub(f"([{UNSPACED}]+)", r" \1 ", query)):
+        out += [run[i : i + 2] for i in range(max(1, len(run) - 1))] if regex.match(f"[{UNSPACED}]", run) else [run]
+    return list(dict.fromkeys(out))
+
+
+def score_terms(query: str) -> list[str]:
+    """What the lifecycle score looks for in fields: lower-case runs of ASCII letters and digits."""
     import re
 
-    return list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
+    return re.findall("[a-z0-9]+", query.lower())
 
 
 def bm25(corpus: DataFrame, text: Column, id_column: str, query: str, k: int, within: Column | None = None) -> DataFrame:
@@ -62,11 +90,38 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (norms == 0), 0.0).otherwise(dot(a, b) / norms)
 
 
+def vectors_of(column) -> np.ndarray:
+    """Rows of an Arrow list column whose lists are of one length, as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, id_column: str = "capsule_id") -> DataFrame:
-    """The k ids with the nearest vector, best chunk of each id: id, sim (millionths), rank."""
-    literal = F.array(*(F.lit(float(x)) for x in query))
-    best = vectors.select(id_column, F.round(cosine(F.col("embedding"), literal) * SCALE).cast("bigint").alias("sim")).groupBy(id_column).agg(F.max("sim").alias("sim"))
-    return ranked(best.orderBy(F.desc("sim"), id_column).limit(k), F.desc("sim"), F.col(id_column))
+    """The k ids with the nearest vector, by Euclidean distance, best chunk of each id: id, distance (millionths), rank. Vectors of another length never rank.
+
+    One pass: a batch leaves its k best ids alone, so what is sorted is k rows a batch, whatever the table."""
+    ensure_importable(vectors.sparkSession)
+    q = np.array(query, float)
+    kind = vectors.schema[id_column].dataType.simpleString()
+    usable = vectors.where(F.col(id_column).isNotNull() & (F.size("embedding") == len(q)) & ~F.exists("embedding", lambda x: x.isNull()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = vectors_of(batch.column(1)).astype(float)
+            best: dict = {}
+            away = np.rint(np.sqrt(((m - q) ** 2).sum(axis=1)) * SCALE).astype(np.int64)
+            ids = batch.column(0).to_pylist()
+            order = sorted(range(len(ids)), key=lambda i: (away[i], ids[i]))
+            for i in order:
+                best.setdefault(ids[i], int(away[i]))
+                if len(best) == k:
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), batch.schema.field(0).type), pa.array(list(best.values()), pa.int64())], names=[id_column, "distance"])
+
+    found = usable.select(id_column, "embedding").mapInArrow(run, f"{id_column} {kind}, distance bigint")
+    best = found.groupBy(id_column).agg(F.min("distance").alias("distance"))
+    return ranked(best.orderBy("distance", id_column).limit(k), F.col("distance"), F.col(id_column))
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, id_column: str = "capsule_id") -> DataFrame:
@@ -81,38 +136,69 @@ def hybrid(capsules: DataFrame, vectors: DataFrame, tenant: str, query: str, vec
     corpus = capsules.where(searchable)
     lexical = bm25(corpus, F.concat_ws(" ", "summary", "content"), "capsule_id", query, 2 * k, F.col("tenant") == tenant)
     near = nearest(vectors, vector, 2 * k).join(capsules.where(F.col("tenant") == tenant).select("capsule_id"), "capsule_id", "left_semi").drop("rank")
-    near = ranked(near, F.desc("sim"), F.col("capsule_id"))
+    near = ranked(near, F.col("distance"), F.col("capsule_id"))
     fused = fuse(lexical, near)
     hydrated = fused.join(corpus.where(F.col("tenant") == tenant), "capsule_id").withColumn("rrf_score", F.round(F.col("rrf") * SCALE).cast("bigint"))
     order = (F.desc("rrf_score"), F.desc("updated_at"), F.asc("capsule_id"))
     return ranked(hydrated.orderBy(*order).limit(k), *order)
 
 
-def similarity_pairs(vectors: DataFrame, threshold: float, upper: float | None = None, keys: tuple[str, ...] = (), id_column: str = "capsule_id", block: int = 1024) -> DataFrame:
-    """a, b (a < b), sim (millionths) of all pairs at or over the threshold (and under `upper`), within equal keys.
+def similarity_pairs(vectors: DataFrame, threshold: float, upper: float | None = None, keys: tuple[str, ...] = (), id_column: str = "capsule_id", block: int = 1024, cells: int = 1024) -> DataFrame:
+    """a, b (a < b), sim (millionths) of all pairs at or over the threshold (and under `upper`), within equal keys. Exact.
 
-    Rows are dealt to blocks by hash and each pair of blocks is one task that multiplies two matrices, so memory is bounded by the block and
-    only pairs that hold leave it; the number of blocks follows from the counts."""
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-
-    rows = vectors.select(*(F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)), F.col(id_column).cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    Vectors of unit length go to the cell of the nearest of at most `cells` centres (rows of least hash). Two vectors within the threshold lie within
+    e = sqrt(2 - 2 threshold) of each other, so one of them can only meet members of another cell if it is within e of the plane halfway between both
+    centres: to such cells (of a higher number than its own) it goes as a visitor, and no pair is missed. Cells of more than `block` rows are dealt to blocks by
+    hash, and a task multiplies two blocks, so memory is bounded; only pairs that hold leave it."""
+    spark = vectors.sparkSession
+    ensure_importable(spark)
     names = [f"k{i}" for i in range(len(keys))]
-    sizes = rows.groupBy(*names).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    placed = (rows.join(sizes, names) if names else rows.withColumn("n", sizes.select("n").scalar())).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*names, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "e")
-
-    def run(group: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        g = group
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        m = unit(np.array(g["e"].tolist(), float))
+    rows = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(*(F.col(k).cast("string").alias(n) for k, n in zip(keys, names, strict=True)), F.col(id_column).cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    top = rows.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim, wanted = (top["dim"], min(cells, -(-top["n"] // block))) if top else (0, 1)
+    centres = unit(np.array([r["e"] for r in rows.where(F.size("e") == dim).orderBy(F.xxhash64("id"), "id").limit(wanted).collect()], float).reshape(-1, dim or 1))
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    apart = np.sqrt(((centres[:, None] - centres) ** 2).sum(axis=2))
+    kinds = [f.type for f in pa_schema("id string, e array<double>, cell int, visits boolean")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row to its cell, and to those that it visits; vectors of another length than most have a cell for their length."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = part.column(part.num_columns - 1)
+                sizes = np.array([len(x) for x in lists])
+                place, cell, visits = [np.flatnonzero(sizes != dim)], [-sizes[sizes != dim]], [np.zeros((sizes != dim).sum(), bool)]
+                usual = np.flatnonzero(sizes == dim)
+                if len(usual):
+                    m = unit(vectors_of(lists.take(pa.array(usual))).astype(float))
+                    away = np.maximum(0.0, 2 - 2 * (m @ centres.T))
+                    home = away.argmin(axis=1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        plane = (away - away[np.arange(len(m)), home, None]) / (2 * apart[home])
+                    near = (np.nan_to_num(plane, nan=0.0) <= reach) & (np.arange(len(centres)) > home[:, None])
+                    x, y = np.nonzero(near)
+                    place += [usual, usual[x]]
+                    cell += [home, y]
+                    visits += [np.zeros(len(m), bool), np.ones(len(x), bool)]
+                index = pa.array(np.concatenate(place))
+                columns = [c.take(index) for c in part.columns] + [pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(visits))]
+                yield pa.RecordBatch.from_arrays([c.cast(kinds[1]) if i == len(names) + 1 else c for i, c in enumerate(columns)], names=[*names, "id", "e", "cell", "visits"])
+
+    key_ddl = "".join(f"{n} string, " for n in names)
+    dealt = rows.mapInArrow(deal, key_ddl + "id string, e array<double>, cell int, visits boolean") if len(centres) > 1 else rows.withColumn("cell", -F.size("e")).withColumn("visits", F.lit(False))
+    names = [*names, "cell"]
+    sizes = dealt.groupBy(*names).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    placed = dealt.join(sizes, names).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*names, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "visits", "id", "e")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        m = unit(np.vstack(g["e"].to_numpy()).astype(float))
         i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        left, right = np.flatnonzero(g["own"] == i), np.flatnonzero(g["own"] == j)
+        own, visits, ids = g["own"].to_numpy(), g["visits"].to_numpy(bool), g["id"].to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         sims = np.rint(m[left] @ m[right].T * SCALE).astype(np.int64)
-        x, y = np.nonzero((sims >= round(threshold * SCALE)) & (sims < (2 * SCALE if upper is None else round(upper * SCALE))))
-        ids = g["id"].to_numpy()
+        x, y = np.nonzero((sims >= round(threshold * SCALE)) & (sims < (2 * SCALE if upper is None else round(upper * SCALE))) & ~(visits[left][:, None] & visits[right]))
         a, b = ids[left[x]], ids[right[y]]
         out = pd.DataFrame({"a": np.minimum(a, b) if len(a) else a, "b": np.maximum(a, b) if len(a) else b, "sim": sims[x, y]})
         return out[out["a"] < out["b"]].drop_duplicates()
@@ -121,6 +207,17 @@ def similarity_pairs(vectors: DataFrame, threshold: float, upper: float | None =
     return found.distinct()
 
 
+def unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def pa_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def components(edges: DataFrame, spark_dir: str | None = None) -> DataFrame:
     """node, root: least node of each connected component, by rounds of large-star and small-star contraction until nothing changes. Each round is
     written (checkpoint), so the plan does not grow and a lost executor costs no more than a round."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import tool_family
+from tessera.functions.text import final_answer_phase, tool_family, trimmed
 from tessera.operators.transcripts import message_groups
 
 STREAM = ["tenant", "caller_agent", "session_id", "transcript_path"]
@@ -22,7 +22,7 @@ VOLUME_TOOLS, MOST_EVIDENCE = 10, 8
 
 def segments(blocks: DataFrame) -> DataFrame:
     """segment_no for each block: a segment opens at human input that follows something else."""
-    human = (F.col("role") == "user") & (F.col("block_type") == "text") & (F.trim("content") != "")
+    human = (F.col("role") == "user") & (F.col("block_type") == "text") & (trimmed("content") != "")
     grouped = message_groups(blocks.where(F.col("session_id").isNotNull()))
     per = grouped.groupBy(*STREAM, "group_no").agg(F.bool_or(human).alias("human"))
     w = Window.partitionBy(*STREAM).orderBy("group_no")
@@ -37,7 +37,7 @@ def completed_rounds(blocks: DataFrame) -> DataFrame:
     s = segments(blocks)
     at = F.struct("line_number", "block_index")
     tool = F.col("block_type").isin("tool_use", "tool_result")
-    human = (F.col("role") == "user") & (F.col("block_type") == "text") & (F.trim("content") != "")
+    human = (F.col("role") == "user") & (F.col("block_type") == "text") & (trimmed("content") != "")
     calls = s.where(tool).groupBy(*key, "tool_use_id").agg(F.count_if(F.col("block_type") == "tool_use").alias("c"), F.count_if(F.col("block_type") == "tool_result").alias("r"))
     matched = calls.groupBy(*key).agg(F.sum(F.least("c", "r")).alias("matched"), F.sum(F.greatest(F.lit(0), F.col("c") - F.col("r"))).alias("missing"), F.sum(F.greatest(F.lit(0), F.col("r") - F.col("c"))).alias("orphan"))
     per = s.groupBy(*key).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import SPACE, trimmed
 from tessera.functions.timefn import minutes_between
 from tessera.operators.storage import first_of_each, update_where
 
@@ -90,14 +91,14 @@ def reply_list(reply: Column, most: int) -> Column:
     """Strings of the outermost [...] of a reply, of 12 to 400 characters, distinct, `most` at most; empty where there is none."""
     body = F.regexp_extract(reply, r"(\[[\s\S]*\])", 1)
     items = F.coalesce(F.from_json(body, "array<string>"), F.array().cast("array<string>"))
-    return F.slice(F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: F.char_length(x).between(12, 400))), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(items, lambda x: trimmed(x)), lambda x: F.char_length(x).between(12, 400))), 1, most)
 
 
 def reply_object(reply: Column) -> Column:
     """title and steps of the outermost {...} of a reply; null without both."""
     parsed = F.from_json(F.regexp_extract(reply, r"(\{[\s\S]*\})", 1), "title string, steps array<string>")
-    steps = F.filter(F.transform(parsed["steps"], lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    return F.when((F.trim(parsed["title"]) != "") & (F.size(steps) > 0), F.struct(F.trim(parsed["title"]).alias("title"), steps.alias("steps")))
+    steps = F.filter(F.transform(parsed["steps"], lambda x: trimmed(F.regexp_replace(x, SPACE + "+", " "))), lambda x: x != "")
+    return F.when((trimmed(parsed["title"]) != "") & (F.size(steps) > 0), F.struct(trimmed(parsed["title"]).alias("title"), steps.alias("steps")))
 
 
 def evidence_block() -> Column:

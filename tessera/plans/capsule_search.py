@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.scoring import freshness_anchor, half_up, lifecycle_score
 from tessera.operators import capsules as C
-from tessera.operators.retrieval import hybrid, query_terms, ranked
+from tessera.operators.retrieval import hybrid, ranked, score_terms
 
 # Fixed values of ranking.
 HYBRID_K = 48
@@ -39,7 +39,8 @@ class Search:
 
 def candidates(capsules: DataFrame, vectors: DataFrame, s: Search) -> DataFrame:
     """Pool and hybrid hits together (a row of both is one row), expired and inadmissible ones dropped; rrf is null outside the hits."""
-    hits = hybrid(capsules, vectors, s.tenant, s.query, s.vector, s.k * FETCH).orderBy("rank").limit(s.k).select("capsule_id", "rrf").persist()  # s.k rows, read four times
+    hits = hybrid(capsules, vectors, s.tenant, s.query, s.vector, s.k * FETCH).orderBy("rank").limit(s.k).select("capsule_id", "rrf")
+    hits = capsules.sparkSession.createDataFrame(hits.collect(), hits.schema)  # s.k rows, read four times
     pool = C.recall_pool(capsules, s.tenant).select("capsule_id").unionByName(hits.select("capsule_id")).distinct()
     rows = capsules.where(F.col("tenant") == s.tenant).join(pool, "capsule_id", "left_semi").where(~C.is_expired(s.now) & C.allowed_in_recall())
     return rows.join(hits, "capsule_id", "left")
@@ -47,7 +48,7 @@ def candidates(capsules: DataFrame, vectors: DataFrame, s: Search) -> DataFrame:
 
 def score(rows: DataFrame, s: Search, boosts: DataFrame | None = None) -> DataFrame:
     boosted = rows.join(boosts, "capsule_id", "left") if boosts is not None else rows.withColumn("graph_boost", F.lit(0).cast("bigint"))
-    base = lifecycle_score(F.col("newest"), query_terms(s.query), s.scope_filters, s.intent, F.col("graph_boost"))
+    base = lifecycle_score(F.col("newest"), score_terms(s.query), s.scope_filters, s.intent, F.col("graph_boost"))
     fused = F.when(F.col("rrf").isNotNull(), half_up(F.col("rrf") * 1000) + EVIDENCE_BONUS).otherwise(0)
     # the newest anchor is one aggregate, read as a scalar: no window over the tenant
     top = rows.agg(F.max(freshness_anchor()).alias("m")).scalar()

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import redact, summarize
+from tessera.functions.text import redact, summarize, trimmed
 from tessera.operators.capsules import initial_status, low_value_reason
 from tessera.operators.graph import edge_drafts
 
 
 def problem(quality_gate: bool = True) -> Column:
     """Why a request is refused; null if it is not."""
-    out = F.when(F.col("summary") == F.col("content"), "summary repeats content").when(F.col("scope").isin("project", "repo") & (F.coalesce(F.trim("project"), F.lit("")) == ""), "scope needs a project")
+    out = F.when(F.col("summary") == F.col("content"), "summary repeats content").when(F.col("scope").isin("project", "repo") & (F.coalesce(trimmed("project"), F.lit("")) == ""), "scope needs a project")
     return out.when(low_value_reason().isNotNull(), low_value_reason()) if quality_gate else out
 
 
@@ -35,7 +35,7 @@ def outcomes(requests: DataFrame, capsules: DataFrame, quality_gate: bool = True
 def new_capsules(decided: DataFrame, now: str) -> DataFrame:
     """Rows to append for the new ones: summary, first status, stamps."""
     mode = F.coalesce("write_mode", F.lit("auto")) if "write_mode" in decided.columns else F.lit("auto")
-    summary = F.coalesce(F.when(F.trim("summary") != "", F.col("summary")), summarize(F.col("content")))
+    summary = F.coalesce(F.when(trimmed("summary") != "", F.col("summary")), summarize(F.col("content")))
     return decided.where("outcome = 'new'").withColumn("summary", summary).withColumn("status", initial_status(F.col("capsule_type"), mode)).withColumn("created_at", F.lit(now)).withColumn("updated_at", F.lit(now))
 
 

@@ -8,10 +8,12 @@ from tessera.fixtures import prelude, view
 from tessera.operators import retrieval as R
 from tessera.plans import capsule_search as S
 from tessera.queries import query
+from tessera.queries.dialect import words
 from tessera.schemas import CAPSULE_TYPES
 
-QUERY = "the thing of erin than in heer"
+QUERY = "the thing of erin für than in heer"
 TERMS = R.query_terms(QUERY)
+SCORED = R.score_terms(QUERY)
 #: A fixed query vector, by rule: component i is sin(i).
 VECTOR = [round(__import__("math").sin(i), 6) for i in range(64)]
 NOW = "00000001704070000000"
@@ -29,20 +31,20 @@ def bm25_sql(k: int, tenant: bool = True) -> str:
     df = ", ".join(f"CAST(count(*) FILTER (WHERE list_contains(tok, '{q}')) AS DOUBLE) AS df{i}" for i, q in enumerate(TERMS))
     norm = f"({R.K1} * (1 - {R.B} + {R.B} * len(tok) / avg_len))"
     score = " + ".join(f"ln(1 + (n_all - df{i} + 0.5) / (df{i} + 0.5)) * {count(q)} * {R.K1 + 1} / ({count(q)} + {norm})" for i, q in enumerate(TERMS))
-    return f"""tk AS (SELECT capsule_id, tenant, regexp_extract_all(lower(concat_ws(' ', summary, content)), '[a-z0-9]+') AS tok FROM capsules WHERE {LIVE}),
+    return f"""tk AS (SELECT capsule_id, tenant, {words("concat_ws(' ', summary, content)")} AS tok FROM capsules WHERE {LIVE}),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n_all, avg(len(tok)) AS avg_len, {df} FROM tk),
 sc AS (SELECT capsule_id, CAST(round(({score}) * 1000000) AS BIGINT) AS score FROM tk, st {"WHERE tenant = '" + TENANT + "'" if tenant else ""}),
 lex AS (SELECT capsule_id, score, row_number() OVER (ORDER BY score DESC, capsule_id) AS rank FROM sc WHERE score > 0 ORDER BY score DESC, capsule_id LIMIT {k})"""
 
 
 def near_sql(k: int) -> str:
-    return f"""sm AS (SELECT capsule_id, CAST(round(list_dot_product(CAST(embedding AS DOUBLE[]), {vector_sql()}) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) / sqrt(list_dot_product({vector_sql()}, {vector_sql()})) * 1000000) AS BIGINT) AS sim FROM vectors),
-nr AS (SELECT capsule_id, sim, row_number() OVER (ORDER BY sim DESC, capsule_id) AS rank FROM sm ORDER BY sim DESC, capsule_id LIMIT {k})"""
+    return f"""sm AS (SELECT capsule_id, CAST(round(list_distance(CAST(embedding AS DOUBLE[]), {vector_sql()}) * 1000000) AS BIGINT) AS distance FROM vectors),
+nr AS (SELECT capsule_id, distance, row_number() OVER (ORDER BY distance, capsule_id) AS rank FROM sm ORDER BY distance, capsule_id LIMIT {k})"""
 
 
 def hybrid_sql(k: int) -> str:
     return f"""{prelude('capsules', 'vectors')}, {bm25_sql(2 * k)}, {near_sql(2 * k)},
-nt AS (SELECT capsule_id, row_number() OVER (ORDER BY sim DESC, capsule_id) AS rank FROM nr WHERE capsule_id IN (SELECT capsule_id FROM capsules WHERE tenant = '{TENANT}')),
+nt AS (SELECT capsule_id, row_number() OVER (ORDER BY distance, capsule_id) AS rank FROM nr WHERE capsule_id IN (SELECT capsule_id FROM capsules WHERE tenant = '{TENANT}')),
 fu AS (SELECT capsule_id, coalesce(1.0 / (60 + lex.rank), 0) + coalesce(1.0 / (60 + nt.rank), 0) AS rrf FROM lex FULL OUTER JOIN nt USING (capsule_id)),
 hy AS (SELECT c.*, fu.rrf, CAST(round(fu.rrf * 1000000) AS BIGINT) AS rrf_score FROM fu JOIN capsules c USING (capsule_id) WHERE tenant = '{TENANT}' AND {LIVE}),
 hits AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, updated_at DESC, capsule_id) AS rank FROM hy ORDER BY rrf_score DESC, updated_at DESC, capsule_id LIMIT {k})"""
@@ -54,7 +56,31 @@ def lexical_rank(spark, sf_dir):
     return R.bm25(corpus, F.concat_ws(" ", "summary", "content"), "capsule_id", QUERY, 50)
 
 
-@query(f"{prelude('vectors')}, {near_sql(50)} SELECT capsule_id, sim, CAST(rank AS INTEGER) AS rank FROM nr")
+#: Texts of scripts with and without spaces, with accents, in both cases.
+MANY = ("修复了报错，改用缓存", "缓存失效导致报错", "Straße café Über", "strasse cafe uber", "Kubernetes 报错 café", "日本語のテキスト検索", "한국어 검색 엔진", "café CAFÉ Café", "étude de cas", "")
+MANY_SQL = " UNION ALL ".join(f"SELECT 'x{i}' AS capsule_id, '{x}' AS content" for i, x in enumerate(MANY))
+MANY_QUERY = "报错 café Straße テキスト 검색"
+
+
+def many_sql() -> str:
+    terms = R.query_terms(MANY_QUERY)
+    count = lambda q: f"CAST(len(list_filter(tok, lambda x: x = '{q}')) AS DOUBLE)"
+    df = ", ".join(f"CAST(count(*) FILTER (WHERE list_contains(tok, '{q}')) AS DOUBLE) AS df{i}" for i, q in enumerate(terms))
+    norm = f"({R.K1} * (1 - {R.B} + {R.B} * len(tok) / avg_len))"
+    score = " + ".join(f"ln(1 + (n_all - df{i} + 0.5) / (df{i} + 0.5)) * {count(q)} * {R.K1 + 1} / ({count(q)} + {norm})" for i, q in enumerate(terms))
+    return f"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS capsule_id, text AS content FROM documents UNION ALL {MANY_SQL}), tk AS (SELECT capsule_id, {words("content")} AS tok FROM c),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n_all, avg(len(tok)) AS avg_len, {df} FROM tk), sc AS (SELECT capsule_id, CAST(round(({score}) * 1000000) AS BIGINT) AS score FROM tk, st)
+SELECT capsule_id, score, CAST(row_number() OVER (ORDER BY score DESC, capsule_id) AS INTEGER) AS rank FROM sc WHERE score > 0 ORDER BY score DESC, capsule_id LIMIT 50"""
+
+
+@query(many_sql())
+def lexical_rank_of_many_scripts(spark, sf_dir):
+    more = spark.createDataFrame([(f"x{i}", x) for i, x in enumerate(MANY)], "capsule_id string, content string")
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("capsule_id"), F.col("text").alias("content"))
+    return R.bm25(corpus.unionByName(more), F.col("content"), "capsule_id", MANY_QUERY, 50)
+
+
+@query(f"{prelude('vectors')}, {near_sql(50)} SELECT capsule_id, distance, CAST(rank AS INTEGER) AS rank FROM nr")
 def vector_rank(spark, sf_dir):
     return R.nearest(view(spark, sf_dir, "vectors"), VECTOR, 50)
 
@@ -87,7 +113,7 @@ def search_sql() -> str:
 
     has = lambda field, t: f"contains({field}, '{t}')"
     fields = {"lower(coalesce(summary, ''))": 8, "lower(coalesce(content, ''))": 6, "lower(array_to_string(code_refs, ' '))": 3, "lower(array_to_string(tags, ' '))": 3, "lower(coalesce(project, ''))": 2, "lower(coalesce(repo, ''))": 2, "lower(coalesce(module, ''))": 2}
-    text = " + ".join(" + ".join(f"CASE WHEN {has(f, t)} THEN {w} ELSE 0 END" for f, w in fields.items()) + f" + CASE WHEN {' OR '.join(has(f, t) for f in fields)} THEN 4 ELSE 0 END" for t in TERMS)
+    text = " + ".join(" + ".join(f"CASE WHEN {has(f, t)} THEN {w} ELSE 0 END" for f, w in fields.items()) + f" + CASE WHEN {' OR '.join(has(f, t) for f in fields)} THEN 4 ELSE 0 END" for t in SCORED)
     kind = "CASE capsule_type " + " ".join(f"WHEN '{t}' THEN {INTENT_SCORES['debug'][t]}" for t in CAPSULE_TYPES) + " END"
     anchor = "CAST(coalesce(last_used_at, updated_at) AS BIGINT)"
     return f"""{hybrid_sql(192)},
@@ -97,7 +123,7 @@ pool AS (SELECT capsule_id FROM capsules c WHERE tenant = '{TENANT}' AND {LIVE}
 rw AS (SELECT c.*, top.rrf FROM capsules c JOIN pool USING (capsule_id) LEFT JOIN top USING (capsule_id) WHERE tenant = '{TENANT}'
  AND NOT coalesce(length(expires_at) = 20 AND expires_at <= '{NOW}', false) AND NOT (capsule_type = 'workflow' AND source_agent = 'skill-proposal-compiler')),
 sd AS (SELECT *, CAST({text} AS BIGINT) AS text_score, CASE WHEN repo = 'repo_1' THEN 18 ELSE -4 END + CASE WHEN project = 'src0' THEN 18 ELSE -4 END AS scope_points,
- {kind} AS type_points, CAST(round(confidence * 10) AS BIGINT) - CAST(round(decay_score * 12) AS BIGINT) AS trust,
+ {kind} AS type_points, CAST(round(confidence * 10) AS BIGINT) + CASE WHEN last_validated_at IS NULL THEN 0 ELSE 3 END - CAST(round(decay_score * 12) AS BIGINT) AS trust,
  6 - least(20, CAST(floor(((SELECT max({anchor}) FROM rw) - {anchor}) / 10000.0) AS BIGINT)) AS fresh,
  CASE WHEN status IN ('provisional', 'pending_confirmation') THEN -4 ELSE 0 END AS unsettled, CASE WHEN rrf IS NOT NULL THEN CAST(round(rrf * 1000) AS BIGINT) + 2 ELSE 0 END AS fused FROM rw),
 ss AS (SELECT *, text_score + scope_points + type_points + trust + fresh + unsettled + fused AS score FROM sd),
@@ -117,7 +143,7 @@ def recall_score(spark, sf_dir):
     from tessera.functions.scoring import freshness_anchor, freshness_score, text_match_score
 
     out = S.score(S.candidates(view(spark, sf_dir, "capsules"), view(spark, sf_dir, "vectors"), request()), request())
-    return out.select("capsule_id", "score", text_match_score(TERMS).alias("text_score"), freshness_score(F.col("newest"), freshness_anchor()).alias("fresh"))
+    return out.select("capsule_id", "score", text_match_score(SCORED).alias("text_score"), freshness_score(F.col("newest"), freshness_anchor()).alias("fresh"))
 
 
 @query(

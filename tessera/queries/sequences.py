@@ -11,6 +11,7 @@ from tessera.functions import embedding
 from tessera.operators import sequences as Q
 from tessera.operators.storage import shared_dir
 from tessera.queries import query
+from tessera.queries.dialect import fingerprint as fingerprint_sql
 from tessera.sources import jsonl, sync
 from tessera.streaming import stateful
 
@@ -63,7 +64,8 @@ def volume_jobs(spark, sf_dir):
     return Q.volume_jobs(event_rounds(spark, sf_dir)).withColumn("evidence", F.array_join("evidence", ","))
 
 
-TOK = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{4,}'))"
+#: The query compares whole token sets: the least number of shared tokens is its feature, the budget of 64 is tested with lexical_fingerprint.
+TOK = f"list_distinct({fingerprint_sql('text')})"
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.fixtures import prelude, view
 from tessera.functions import metrics, text, timefn
 from tessera.queries import query
+from tessera.queries.dialect import SPACE, fingerprint, trim
 
 CAP = prelude("capsules")
 
@@ -19,20 +20,40 @@ def j(array):
     return F.array_join(array, "|")
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS alias, array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), '|') AS words FROM documents")
+@query(f"SELECT doc_id, lower({trim(f"regexp_replace(text, '{SPACE}+', ' ', 'g')")}) AS alias, array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), '|') AS words FROM documents")
 def normal_forms(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", text.normalize_alias(F.col("text")).alias("alias"), j(text.tokenize(F.col("text"))).alias("words"))
 
 
-@query(
-    r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^[\s#>`*+-]+', ''))), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))[1] AS line FROM documents),
-c AS (SELECT doc_id, line, regexp_extract(line, '^([\s\S]*?[.!?])(\s|$)', 1) AS cut FROM l)
-SELECT doc_id, coalesce(CASE WHEN cut <> '' AND length(cut) <= 100 THEN cut ELSE substring(line, 1, 100) END, 'memory') AS summary FROM c"""
-)
+#: Lines that a generated text seldom has: marks, fences, bullets, full-width stops, long lines, other white space.
+LINES = (
+    "# Title. More", "> quoted! yes", "- a bullet item", "---", "```\ncode line\n```\nafter the fence", "```open\nnever closed", "第一句。第二句", "v3.5.0.3 is out. Next", "   \t ", "", "## **bold** heading", "* * *", "中文！后面",
+    "word " * 40, "x" * 130, "a" * 50 + " " + "b" * 80, "\u3000\u3000ideographic space? yes", "```a\nb\n```\n\n+ plus item. rest", "1. numbered",
+)
+SUMMARY_TEXTS = "SELECT CAST(doc_id AS VARCHAR(20)) AS id, text FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT 'l{i}', '{x}'" for i, x in enumerate(LINES))
+
+
+def texts(spark, sf_dir, more):
+    """Every document, and lines of the query's own."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), "text")
+    return d.unionByName(spark.createDataFrame([(f"l{i}", x) for i, x in enumerate(more)], "id string, text string"))
+
+
+def summary_sql() -> str:
+    bare = f"regexp_replace(regexp_replace(x, '^[#>`]+{SPACE}*', ''), '^[-*+] ', '')"
+    line = f"list_filter(list_transform(list_transform(string_split(body, chr(10)), lambda x: {trim('x')}), lambda x: CASE WHEN regexp_full_match(x, '[#*_=> -]*') THEN '' ELSE {trim(bare)} END), lambda x: x <> '')[1]"
+    fence = r"(\A|\n)[ \t\r\x0b\x0c]*```[\s\S]*?(\n[ \t\r\x0b\x0c]*```[^\n]*|\z)"
+    cut = trim(f"regexp_extract(line, '^([\\s\\S]*?([。！？]|[.!?]({SPACE}|\\z)))', 1)")
+    back = f"regexp_extract(substring(line, 1, 100), '^([\\s\\S]*){SPACE}', 1)"
+    return f"""WITH t AS ({SUMMARY_TEXTS}), b AS (SELECT id, regexp_replace(text, '{fence}', chr(10), 'g') AS body FROM t), l AS (SELECT id, {line} AS line FROM b),
+c AS (SELECT id, line, {cut} AS cut, {back} AS back FROM l),
+s AS (SELECT id, {trim("CASE WHEN cut <> '' AND length(cut) <= 100 THEN cut WHEN length(line) <= 100 THEN line WHEN length(back) >= 60 THEN back ELSE substring(line, 1, 100) END")} AS s FROM c) SELECT id, CASE WHEN s <> '' THEN s ELSE 'memory' END AS summary FROM s"""
+
+
+@query(summary_sql())
 def summaries(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", text.summarize(F.col("text")).alias("summary"))
+    return texts(spark, sf_dir, LINES).select("id", text.summarize(F.col("text")).alias("summary"))
 
 
 def redact_sql(column: str) -> str:
@@ -61,14 +82,29 @@ def parameterization(spark, sf_dir):
     return d.select("doc_id", F.md5(text.parameterize(F.col("text"))).alias("parameterized"))
 
 
-@query(
-    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '[\n。！？]'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
-g AS (SELECT doc_id, s, list_filter(s, lambda x: length(x) <= 400 AND length(x) >= 12 AND length(regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')) >= 4 AND (regexp_matches(lower(x), 'license|always|never|must') OR regexp_matches(x, '`|::|\(\)|[A-Za-z0-9_/]+\.(rs|py|ts|js|go|java|md|toml|json)\b'))) AS g FROM s)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, CAST(len(list_distinct(g)) AS BIGINT) AS candidates FROM g"""
-)
+SAID = (
+    "我们最终决定采用 Lance 作为本地存储后端", "default vacuum stays off because aggressive prune deletes a referenced manifest", "报错 Text file busy，最后改用 rm 加 cp 绕过去解决了", "The retry lives in src/storage/decay.py and runs on update",
+    "the maintenance window for ProjectFalcon spans the whole weekend", "the weather is nice today and i went out", "因为", "团队决定采用甲方案来处理。团队决定采用乙方案来处理。团队决定采用丙方案来处理", "我们决定采用方案甲来落地实现。我们决定采用方案甲来落地实现",
+    "Because the cache was cold we edited deploy.yaml. It helped! We will use version 0.6 now? ok", "a.json\u00a0is read at start\r\nand   turns out\u3000fine", "call reset() before std::move of `x`", "shell.shx is no such file here", "",
+)
+ALIASES = ("projectfalcon",)
+
+
+def candidates_sql() -> str:
+    cues = " OR ".join(f"contains(lower(x), '{c.replace(chr(39), chr(39) * 2)}')" for c in text.CUES)
+    code = r"regexp_matches(x, '`|::|\(\)|[\p{L}\p{N}\p{M}_./-]\.(rs|ts|tsx|js|jsx|py|go|toml|json|md|sql|sh|yaml|yml)([^\p{L}\p{N}\p{M}_]|\z)')"
+    known = f"contains(lower({trim(f"regexp_replace(x, '{SPACE}+', ' ', 'g')")}), 'projectfalcon')"
+    rows = " UNION ALL ".join(f"SELECT 'l{i}', '{x}'" for i, x in enumerate(SAID))
+    return f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR(20)) AS id, text FROM documents UNION ALL {rows}), s AS (SELECT id, list_filter(list_transform(string_split_regex(text, '[。！？\\n\\r]+|[.!?]{SPACE}+'), lambda x: {trim('x')}), lambda x: x <> '') AS s FROM t),
+g AS (SELECT id, s, list_filter(s, lambda x: length(x) BETWEEN 12 AND 400 AND length(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 4 AND ({cues} OR {code} OR {known})) AS g FROM s),
+u AS (SELECT id, i, g[i] AS x FROM (SELECT id, g, unnest(generate_series(1, len(g))) AS i FROM g)), f AS (SELECT id, x, min(i) AS i FROM u GROUP BY 1, 2), k AS (SELECT id, list(x ORDER BY i)[1:2] AS c FROM f GROUP BY id)
+SELECT id, CAST(len(s) AS BIGINT) AS sentences, coalesce(array_to_string(c, '|'), '') AS candidates FROM g LEFT JOIN k USING (id)"""
+
+
+@query(candidates_sql())
 def sentence_candidates(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", F.size(text.sentences(F.col("text"))).cast("bigint").alias("sentences"), F.size(text.candidate_sentences(F.col("text"), "license|always|never|must", 1 << 20)).cast("bigint").alias("candidates"))
+    found = text.candidate_sentences(F.col("text"), ALIASES)
+    return texts(spark, sf_dir, SAID).select("id", F.size(text.sentences(F.col("text"))).cast("bigint").alias("sentences"), j(found).alias("candidates"))
 
 
 @query(
@@ -81,10 +117,19 @@ def error_signatures(spark, sf_dir):
     return p.select("page_id", text.error_signature(F.col("html")).alias("signature"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{4,}'))), '|') AS tokens FROM documents")
+FINGERPRINTED = ("广信息学校排查", "今天又翻了一遍广信息学校的排查手册", "duckdb广信息 ok", "DuckDB_single-writer MVCC", "a é bb éé Straße", "per but the", "")
+
+
+def fingerprint_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT 'l{i}', '{x}'" for i, x in enumerate(FINGERPRINTED))
+    return f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR(20)) AS id, text FROM documents UNION ALL {rows}), r AS (SELECT id, {fingerprint('text')} AS r FROM t),
+u AS (SELECT id, i, r[i] AS x FROM (SELECT id, r, unnest(generate_series(1, len(r))) AS i FROM r)), f AS (SELECT id, x, min(i) AS i FROM u GROUP BY 1, 2), k AS (SELECT id, list(x ORDER BY i)[1:64] AS c FROM f GROUP BY id)
+SELECT id, coalesce(array_to_string(c, '|'), '') AS tokens FROM t LEFT JOIN k USING (id)"""
+
+
+@query(fingerprint_sql())
 def lexical_fingerprint(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", j(F.array_sort(text.fingerprint(F.col("text"), 1 << 20))).alias("tokens"))
+    return texts(spark, sf_dir, FINGERPRINTED).select("id", j(text.fingerprint(F.col("text"))).alias("tokens"))
 
 
 @query(
@@ -113,12 +158,22 @@ def file_references(spark, sf_dir):
     return r.select("capsule_id", "ref", path.alias("path"), text.file_alias(F.col("repo"), path).alias("alias"))
 
 
-@query(
-    r"""SELECT conv_id, turn, CASE WHEN trim(text) = '' OR starts_with(trim(text), '/') OR starts_with(trim(text), '!') OR length(trim(text)) < 4 OR lower(trim(text)) IN ('go', 'ok', 'okay', 'yes', 'y', 'yep', 'yeah', 'sure', 'proceed', 'continue', 'do it', 'next', 'go on') THEN NULL ELSE substring(trim(text), 1, 1000) END AS prompt FROM conversations"""
-)
+PROMPTS = ("\tok\n", " why is it slow ", "继续吧", "!ls", " /help", "abc", "\u3000好的\u3000", "x" * 1200, "  " + "y" * 1200)
+
+
+def prompts_sql() -> str:
+    p = trim("text")
+    rows = " UNION ALL ".join(f"SELECT 'l{i}', '{x}'" for i, x in enumerate(PROMPTS))
+    said = ", ".join(f"'{c}'" for c in text.CONTINUATIONS)
+    return f"""WITH t AS (SELECT conv_id || '/' || turn AS id, text FROM conversations UNION ALL {rows})
+SELECT id, CASE WHEN {p} = '' OR starts_with({p}, '/') OR starts_with({p}, '!') OR length({p}) < 4 OR lower({p}) IN ({said}) THEN NULL ELSE substring(text, 1, 1000) END AS prompt FROM t"""
+
+
+@query(prompts_sql())
 def recall_prompts(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select("conv_id", "turn", text.prompt_to_recall(F.col("text")).alias("prompt"))
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    more = spark.createDataFrame([(f"l{i}", x) for i, x in enumerate(PROMPTS)], "id string, text string")
+    return c.unionByName(more).select("id", text.prompt_to_recall(F.col("text")).alias("prompt"))
 
 
 @query(

@@ -8,6 +8,7 @@ from tessera.fixtures import prelude, view
 from tessera.operators import retrieval as R
 from tessera.operators import transcripts as X
 from tessera.queries import query
+from tessera.queries.dialect import words
 
 MSG = prelude("messages")
 
@@ -124,7 +125,7 @@ def recent_highlights(spark, sf_dir):
 
 
 @query(
-    f"""{MSG}, tk AS (SELECT block_id AS capsule_id, tenant, regexp_extract_all(lower(content), '[a-z0-9]+') AS tok FROM messages WHERE embed_eligible),
+    f"""{MSG}, tk AS (SELECT block_id AS capsule_id, tenant, {words('content')} AS tok FROM messages WHERE embed_eligible),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(tok)) AS a, CAST(count(*) FILTER (WHERE list_contains(tok, 'the')) AS DOUBLE) AS d FROM tk),
 sc AS (SELECT capsule_id, CAST(len(list_filter(tok, lambda x: x = 'the')) AS DOUBLE) AS tf, len(tok) AS l FROM tk WHERE tenant = 't1'),
 rs AS (SELECT capsule_id AS block_id, CAST(round(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + (1.2 * (1 - 0.75 + 0.75 * l / a))) * 1000000) AS BIGINT) AS score FROM sc, st)
@@ -135,7 +136,7 @@ def transcript_lexical_rank(spark, sf_dir):
 
 
 @query(
-    f"""{MSG}, tk AS (SELECT *, regexp_extract_all(lower(content), '[a-z0-9]+') AS tok FROM messages WHERE embed_eligible),
+    f"""{MSG}, tk AS (SELECT *, {words('content')} AS tok FROM messages WHERE embed_eligible),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(tok)) AS a, CAST(count(*) FILTER (WHERE list_contains(tok, 'the')) AS DOUBLE) AS d FROM tk),
 sc AS (SELECT block_id, CAST(round(ln(1 + (n - d + 0.5) / (d + 0.5)) * CAST(len(list_filter(tok, lambda x: x = 'the')) AS DOUBLE) * 2.2 / (CAST(len(list_filter(tok, lambda x: x = 'the')) AS DOUBLE) + (1.2 * (1 - 0.75 + 0.75 * len(tok) / a))) * 1000000) AS BIGINT) AS score FROM tk, st WHERE tenant = 't1'),
 lx AS (SELECT block_id, row_number() OVER (ORDER BY score DESC, block_id) AS rank FROM sc WHERE score > 0 ORDER BY score DESC, block_id LIMIT 160),

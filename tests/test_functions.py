@@ -34,9 +34,9 @@ def test_text_rules(spark):
     assert one(spark, text.memory_tag(F.col("t")), t="x <mem-save> remember this fact </mem-save> y") == "remember this fact"
     assert one(spark, text.memory_tag(F.col("t")), t="<mem-save>short</mem-save>") is None
     assert one(spark, text.normalize_alias(F.col("t")), t="  Rust \n Async ") == "rust async"
-    assert one(spark, text.summarize(F.col("t")), t="```\n---\n# Title. More") == "Title."
+    assert one(spark, text.summarize(F.col("t")), t="```\n---\n```\n# Title. More") == "Title."
     assert one(spark, text.prompt_to_recall(F.col("t")), t="continue") is None
-    assert one(spark, text.prompt_to_recall(F.col("t")), t=" why is it slow ") == "why is it slow"
+    assert one(spark, text.prompt_to_recall(F.col("t")), t=" why is it slow ") == " why is it slow "
     assert one(spark, text.error_signature(F.col("t")), t="ok\nValueError: bad   value\nfine") == "ValueError: bad value"
     assert one(spark, text.parameterize(F.col("t"), {"bob": "user"}), t="bob opens https://x.io/a at 10.0.0.1 in /usr/lib/x") == "{{user}} opens {{url}} at {{ip}} in {{path}}"
     assert one(spark, text.normalize_file_ref(F.col("t")), t="src/a.py:10:2") == "src/a.py"
