@@ -8,10 +8,10 @@ probability 0.345^12, 3 in a million. Pairs beyond the threshold that share a ke
 
 Texts of equal sets form a class first, so exact copies cost nothing further. A key's members are not paired with each other but with one of
 them (its hub). Links found give components. In keys that then hold more than one component, the signatures of members outside the largest one
-(strays) meet those of the others, in blocks of bounded size; pairs of unlike components that differ in at most MOST_DIFFERENT slots are confirmed:
-first each stray with its nearest, which joins most of them, then all that are left. Pairs within a component need no look, so no group of copies
-is paired out, and no link between components is lost. Only signatures meet by keys; texts travel packed (zstandard), to confirmed pairs alone, hot
-hubs salted. Components are found by large-star and small-star rounds over DataFrames; nothing of the corpus reaches the driver.
+(strays) meet those of the others, in blocks of bounded size, to tell who may be linked with anybody: signatures that differ in more than MOST_DIFFERENT slots
+are not. The texts of those meet block by block, and only links between components leave a task. Pairs within a component need no look, so no group of copies
+is paired out; no pair leaves a task but links; and no link between components is lost. Texts travel packed (zstandard), hot hubs are salted. Components are
+found by large-star and small-star rounds over DataFrames; nothing of the corpus reaches the driver.
 
 Defined results: texts without words have an empty set and are linked with nothing; each is kept. Texts of fewer words than a shingle are one
 shingle. doc_id is an integer, or text that reads as one. Rows of one doc_id are one document, linked by any of its texts. Rows without a doc_id are linked with nothing, kept, and have no
@@ -37,8 +37,10 @@ SLOTS = CHUNKS * CHUNK_SLOTS
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 #: Pairs of one hub in one task, about.
 HUB_PAIRS = 2_000
-#: Members of a key in one block, about: those held, and those that pass by. Signatures, not texts.
-STRAY_BLOCK, MEMBER_BLOCK = 512, 8_192
+#: Members of a family in one block of texts, about: those held, and those that pass by.
+STRAY_BLOCK, MEMBER_BLOCK = 256, 2_048
+#: The same for members of a key in one block of signatures.
+KEY_STRAYS, KEY_MEMBERS = 512, 8_192
 #: Signatures that differ in more slots are not confirmed: at similarity 0.8 that is a chance of 2 in ten million.
 MOST_DIFFERENT = 34
 
@@ -192,10 +194,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     several = usable.groupBy("code").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select(F.col("code").alias("a"))
     edges = edges.unionAll(own.join(several, "a", "left_semi").distinct())
     edges = written(edges, "links", files)
-    # first each stray with its nearest member of another component, which joins most of them; then all pairs that are left between components
-    for nearest in (True, False):
-        pairs = written(across_components(listed, components(edges), classes, percent, nearest, files), "pairs", files)
-        edges = written(edges.unionAll(confirm(pairs, texts, size, percent)), "links", files)
+    edges = written(edges.unionAll(across_components(listed, components(edges), classes, texts, size, percent, files)), "links", files)
     roots = components(edges)
 
     least_id = usable.groupBy("digest").agg(F.min("doc_id").alias("least"))
@@ -207,73 +206,144 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def across_components(listed: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, nearest: bool, files: int) -> DataFrame:
-    """Pairs (a, b) of codes in different components that share a key, whose signatures differ in at most MOST_DIFFERENT slots and whose sizes allow a link;
-    with `nearest`, of each member outside a key's largest component (stray) only the nearest. Pairs with a key's hub were looked at before.
+def across_components(listed: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, files: int) -> DataFrame:
+    """Links (a, b) between components: of members of a key that lie in different ones. A pair of components is reported once a task.
 
-    Members of a key meet in blocks of bounded size: a task holds the signatures of some strays, the other members pass by."""
+    Keys with one component are done. The others chain their members into families; members outside a family's largest component are strays. First the
+    signatures of a key's strays meet those of its other members, in blocks, and what comes out is who takes part where: (family, block of the stray, block of the
+    member, code), never pairs. Then the texts of those that take part meet, block by block."""
     at = listed.select("key", "code", "hub").distinct().join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
     several = at.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("n > 2 and r1 <> r2").select("key")
     at = written(at.join(several, "key", "left_semi"), "open-keys", files)
-    parts = at.groupBy("key", "root").agg(F.count("*").alias("c"))
-    whole = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("top"))
-    blocks = whole.select("key", "top", F.ceil((F.col("n") - F.col("most")) / STRAY_BLOCK).cast("int").alias("ns"), F.ceil(F.col("n") / MEMBER_BLOCK).cast("int").alias("nm"))
-    members = at.join(blocks, "key").join(classes.select("code", F.col("n").alias("size"), "sig"), "code")
+    chains = components(written(at.where("code <> hub").select("hub", "code").distinct(), "chains", files), "hub", "code")
+    chains = chains.unionAll(chains.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("code"), F.col("root").alias("family"))
+    own = at.select("code", "root").distinct().join(chains, "code")
+    parts = own.groupBy("family", "root").agg(F.count("*").alias("c"))
+    whole = parts.groupBy("family").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("top"))
+    blocks = whole.select("family", "top", F.ceil((F.col("n") - F.col("most")) / STRAY_BLOCK).cast("int").alias("fs"), F.ceil(F.col("n") / MEMBER_BLOCK).cast("int").alias("fm"))
+    place = lambda n: F.pmod(F.xxhash64("code"), F.greatest(F.lit(1), F.col(n))).cast("int")
+    placed = own.join(blocks, "family").select("code", "root", "family", (F.col("root") != F.col("top")).alias("stray"), place("fs").alias("i"), place("fm").alias("j"))
+    placed = written(placed, "families", files)
+
+    told = written(participants(at.select("key", "code", "hub"), placed, classes, percent), "participants", files)
+    rows = told.join(placed.select("code", "root"), "code").join(texts, "code")
+    target = pa_schema(listed.sparkSession, "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        at, held, index, seen = None, [], None, set()
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for family, i, j, kind, code, root, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingle_set(unpack(packed).decode("utf-8", "surrogatepass"), size)
+                if at != (family, i, j):
+                    at, held, index, seen = (family, i, j), [], None, set()
+                if not len(s):
+                    continue
+                if kind == 0:
+                    held.append((code, root, s))
+                    continue
+                if not held:
+                    continue
+                index = index or StrayIndex(held)
+                for k in index.matches(s, root, percent):
+                    pair = tuple(sorted((held[k][1], root)))
+                    if pair not in seen:
+                        seen.add(pair)
+                        found.append((held[k][0], code))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=target)
+
+    rows = rows.select("family", "i", "j", "kind", "code", "root", "packed").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "kind")
+    return _arrow_map(rows, run, "a long, b long").distinct()
+
+
+def participants(at: DataFrame, placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(family, i, j, kind, code): strays (kind 0) of block i and members (1) of block j that share a key with each other, in different components, with sizes that allow a
+    link and signatures that differ in at most MOST_DIFFERENT slots. Pairs with a key's hub were looked at before."""
+    marked = at.join(placed, "code")
+    sizes = marked.where("code <> hub").groupBy("key").agg(F.ceil(F.count_if("stray") / KEY_STRAYS).cast("int").alias("ks"), F.ceil(F.count("*") / KEY_MEMBERS).cast("int").alias("km")).where("ks > 0")
+    members = marked.where("code <> hub").join(sizes, "key").join(classes.select("code", F.col("n").alias("size"), "sig"), "code")
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    place = lambda n: F.pmod(F.xxhash64("code"), F.col(n)).cast("int")
-    strays = members.where("root <> top and code <> hub").select("key", place("ns").alias("i"), up_to("nm").alias("j"), F.lit(0).alias("kind"), "code", "root", "size", "sig", F.lit(False).alias("in_top"))
-    others = members.where("code <> hub").select("key", up_to("ns").alias("i"), place("nm").alias("j"), F.lit(1).alias("kind"), "code", "root", "size", "sig", (F.col("root") == F.col("top")).alias("in_top"))
-    schema = "a long, b long, different int"
-    target = pa_schema(listed.sparkSession, schema)
+    deal = lambda n: F.pmod(F.xxhash64(F.lit(1), "code"), F.col(n)).cast("int")
+    columns = ("family", "code", "root", "stray", "i", "j", "size", "sig")
+    strays = members.where("stray").select("key", deal("ks").alias("ki"), up_to("km").alias("kj"), F.lit(0).alias("kind"), *columns)
+    others = members.select("key", up_to("ks").alias("ki"), deal("km").alias("kj"), F.lit(1).alias("kind"), *columns)
+    schema = "family long, i int, j int, kind int, code long"
+    target = pa_schema(at.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, passing = None, [], []
+        at, held, passing, told = None, [], [], set()
 
-        def compared() -> list[tuple[int, int, int]]:
-            """Of the held strays with the members that have passed."""
-            out: list[tuple[int, int, int]] = []
+        def meet() -> None:
+            """The held strays and the members that have passed."""
             if held and passing:
-                code, root, n, sig = (np.array([x[k] for x in held]) for k in (0, 1, 2, 3))
-                code2, root2, n2, sig2, top2 = (np.array([x[k] for x in passing]) for k in (0, 1, 2, 3, 4))
+                code, root, n = (np.array([x[k] for x in held]) for k in (1, 2, 6))
+                code2, root2, n2, stray2 = (np.array([x[k] for x in passing]) for k in (1, 2, 6, 3))
+                sig, sig2 = (np.stack([np.frombuffer(x[7], "<u2") for x in side]) for side in (held, passing))
                 different = np.zeros((len(held), len(passing)), np.int16)
                 for slot in range(SLOTS):
                     different += sig[:, slot, None] != sig2[None, :, slot]
                 fits = (different <= MOST_DIFFERENT) & (root[:, None] != root2) & (100 * np.minimum(n[:, None], n2) >= percent * np.maximum(n[:, None], n2))
-                fits &= top2 | (code[:, None] < code2)  # two strays meet twice
-                if nearest:
-                    best = np.where(fits, different, SLOTS + 1).argmin(axis=1)
-                    fits &= best[:, None] == np.arange(len(passing))
-                out = [(int(code[x]), int(code2[y]), int(different[x, y])) for x, y in zip(*np.nonzero(fits), strict=True)]
+                fits &= ~stray2 | (code[:, None] < code2)  # two strays meet twice
+                family, i, j = held[0][0], np.array([x[4] for x in held]), np.array([x[5] for x in passing])
+                for block in np.unique(j):
+                    told.update((family, int(i[x]), int(block), 0, int(code[x])) for x in np.flatnonzero(fits[:, j == block].any(axis=1)))
+                for block in np.unique(i):
+                    told.update((family, int(block), int(j[y]), 1, int(code2[y])) for y in np.flatnonzero(fits[i == block].any(axis=0)))
             passing.clear()
-            return out
 
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            for key, i, j, kind, code, root, size, sig, in_top in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (key, i, j):
-                    found += compared()
-                    at, held = (key, i, j), []
-                row = (code, root, size, np.frombuffer(sig, "<u2"), in_top)
+            for key, ki, kj, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (key, ki, kj):
+                    meet()
+                    at, held = (key, ki, kj), []
                 if kind == 0:
                     held.append(row)
                     continue
                 passing.append(row)
                 if len(passing) == 512:
-                    found += compared()
-            yield _pairs(found, target)
-        yield _pairs(compared(), target)
+                    meet()
+            if len(told) > 10_000:
+                yield _rows(told, target)
+                told.clear()
+        meet()
+        yield _rows(told, target)
 
-    rows = strays.unionAll(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "kind")
-    found = _arrow_map(rows, run, schema)
-    if not nearest:
-        return found.select("a", "b").distinct()
-    return found.groupBy("a").agg(F.min_by("b", F.struct("different", "b")).alias("b"))
+    rows = strays.unionAll(others).repartition("key", "ki", "kj").sortWithinPartitions("key", "ki", "kj", "kind")
+    return _arrow_map(rows, run, schema).distinct()
 
 
-def _pairs(found: list[tuple[int, int, int]], target: pa.Schema) -> pa.RecordBatch:
+def _rows(found: set[tuple], target: pa.Schema) -> pa.RecordBatch:
+    found = list(found)
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], f.type) for k, f in enumerate(target)], schema=target)
 
 
+class StrayIndex:
+    """Some sets, to be compared with one set at a time: signatures first, then exact intersections of all at once."""
+
+    def __init__(self, held: list[tuple[int, int, np.ndarray]]):
+        self.sizes = np.array([len(s) for _, _, s in held])
+        self.roots = np.array([r for _, r, _ in held])
+        self.signatures = np.stack([signature(s) for _, _, s in held])
+        hashes, owners = np.concatenate([s for _, _, s in held]), np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], owners[order]
+
+    def matches(self, s: np.ndarray, root: int, percent: int) -> list[int]:
+        n = len(s)
+        open_ = (self.roots != root) & (100 * np.minimum(self.sizes, n) >= percent * np.maximum(self.sizes, n))
+        if not open_.any():
+            return []
+        open_ &= (self.signatures != signature(s)).sum(axis=1) <= MOST_DIFFERENT
+        if not open_.any():
+            return []
+        lo, hi = np.searchsorted(self.hashes, s, "left"), np.searchsorted(self.hashes, s, "right")
+        lengths = hi - lo
+        at = np.repeat(lo - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        common = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return np.flatnonzero(open_ & (100 * common >= percent * (self.sizes + n - common))).tolist()
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs without near-duplicates: of each component the document of the least doc_id stays, once (of rows that share it, the one whose JSON comes
     first, so that a retry keeps the same). All columns pass."""
