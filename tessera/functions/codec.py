@@ -70,3 +70,8 @@ def anchor_nodes() -> Column:
     """The graph nodes a ranked row stands for."""
     node = lambda prefix, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(prefix), c))
     return F.array_compact(F.array(node("capability_capsule:", "capsule_id"), node("project:", "project"), node("repo:", "repo"), node("module:", "module"), F.when(F.col("capsule_type") == "workflow", F.concat(F.lit("workflow:"), "capsule_id"))))
+
+
+def sql_quote(text: str) -> str:
+    """A literal of SQL. Queries of this package bind parameters instead; this serves SQL text that is made for other engines."""
+    return "'" + text.replace("'", "''") + "'"

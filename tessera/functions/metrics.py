@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,9 @@ def evaluate(runs: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
         "query_id", "dcg", F.when(none, 0.0).otherwise(F.col("dcg") / ideal).alias("ndcg"), F.when(F.col("first").isNull(), 0.0).otherwise(1.0 / F.col("first")).alias("mrr"),
         F.when(none, 0.0).otherwise(F.col("hits") / F.col("relevant")).alias("recall"), (F.col("hits") > 0).cast("double").alias("recall_any"), F.when(none, 0.0).otherwise((F.col("hits") == F.col("relevant")).cast("double")).alias("recall_all"), (F.col("hits") / k).alias("precision"),
     )
+
+
+def counted(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """df as it is, and counters that its next action fills on the way, without a pass of their own: `.get` is the snapshot."""
+    seen = Observation(name)
+    return df.observe(seen, *(c.alias(n) for n, c in counters.items())), seen

@@ -47,6 +47,39 @@ def rollback_merge(capsules: DataFrame, edges: DataFrame, members: DataFrame, no
     return c, e
 
 
+PLACEHOLDER_KINDS = ("generalize", "workflow_generalize", "refine", "split")
+
+
+def rollback(capsules: DataFrame, edges: DataFrame, candidates: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(verdicts, capsules, edges, candidates). candidates: candidate_id, op_kind, member_ids, result_ids, status; all of them are asked to roll back.
+
+    A merge: losers are active again and their merged_into edges close. A proposal: it is archived and all its edges close. A link of rows recalled together: it
+    closes. Only executed candidates roll back; moves of weight are undone by their feedback, not here."""
+    result, kind = F.try_element_at("result_ids", F.lit(1)), F.col("op_kind")
+    pair = F.size("member_ids") >= 2
+    verdict = (
+        F.when(F.col("status") != "executed", "not_executed").when(kind == "merge", F.when(result.isNotNull(), "rolled_back").otherwise("no_result")).when(kind.isin(*PLACEHOLDER_KINDS), F.when(result.isNotNull(), "rolled_back").otherwise("no_result"))
+        .when(kind == "corecall", F.when(pair, "rolled_back").otherwise("no_pair")).when(kind.isin("reweight_up", "reweight_decay"), "recurring").otherwise("unknown_kind")
+    )
+    judged = candidates.withColumn("verdict", verdict)
+    back = judged.where("verdict = 'rolled_back'").withColumn("result", result)
+    losers = back.where("op_kind = 'merge'").select(F.explode("member_ids").alias("capsule_id"), "result").where("capsule_id <> result")
+    proposals = back.where(kind.isin(*PLACEHOLDER_KINDS)).select(F.col("result").alias("capsule_id"))
+    change = losers.select("capsule_id", F.lit("active").alias("s_")).unionAll(proposals.select("capsule_id", F.lit("archived").alias("s_"))).groupBy("capsule_id").agg(F.max("s_").alias("s_"))
+    out = update_where(capsules.join(change, "capsule_id", "left"), F.col("s_").isNotNull(), status=F.col("s_"), updated_at=F.lit(now)).select(*capsules.columns)
+    key = ["from_node", "to_node", "relation"]
+    ends = lambda rows, a, b, relation: rows.select(node(F.col(a)).alias("from_node"), node(F.col(b)).alias("to_node"), F.lit(relation).alias("relation"))
+    pairs = back.where(kind == "corecall").select(F.try_element_at("member_ids", F.lit(1)).alias("a"), F.try_element_at("member_ids", F.lit(2)).alias("b"))
+    named = ends(losers, "capsule_id", "result", "merged_into").unionAll(ends(pairs, "a", "b", "co_recalled_with"))
+    nodes = proposals.select(node(F.col("capsule_id")).alias("n")).distinct()
+    live = edges.where("valid_to is null")
+    touched = live.join(nodes, live["from_node"] == nodes["n"], "left_semi").select(*key).unionAll(live.join(nodes, live["to_node"] == nodes["n"], "left_semi").select(*key))
+    hit = named.unionAll(touched).distinct().withColumn("hit_", F.lit(True))
+    closed = update_where(edges.join(hit, key, "left"), F.col("hit_") & F.col("valid_to").isNull(), valid_to=F.lit(now)).select(*edges.columns)
+    state = judged.withColumn("status", F.when(F.col("verdict") == "rolled_back", "rolled_back").otherwise(F.col("status"))).select(*candidates.columns)
+    return judged.select("candidate_id", "verdict"), out, closed, state
+
+
 def execute_reweight(capsules: DataFrame, moves: DataFrame) -> DataFrame:
     """moves (capsule_id, way): up raises confidence, decay raises decay (to .9 at most); far decayed rows stay."""
     up, down = FEEDBACK["system_reweight_up"][0], FEEDBACK["system_reweight_decay"][1]

@@ -33,6 +33,21 @@ def recurrent_workflows(episodes: DataFrame, least: int = 2) -> DataFrame:
     return counted.where(F.col("n") >= least)
 
 
+def ingest_episodes(history: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(episodes, drafts). Each tenant with a new episode gets a draft of the first workflow (by goal and steps in normal form) that two of its successful episodes share, old
+    or new: content, evidence and a key under which a draft lands once. episodes: episode_id, tenant, goal, steps, outcome, evidence."""
+    every = history.unionByName(incoming.select(*history.columns))
+    mine = every.where(normalize_alias(F.col("outcome")) == "success").join(incoming.select("tenant").distinct(), "tenant", "left_semi")
+    e = mine.withColumn("key", workflow_key(F.col("goal"), F.col("steps"))).withColumn("g", normalize_alias(F.col("goal"))).withColumn("s", F.transform("steps", normalize_alias))
+    counted = e.groupBy("tenant", "key").agg(F.count("*").alias("n"), F.first("g").alias("goal"), F.first("s").alias("steps")).where("n >= 2")
+    first = counted.groupBy("tenant").agg(F.min_by(F.struct("key", "goal", "steps"), "key").alias("w")).select("tenant", "w.*")
+    proof = e.join(first.select("tenant", "key"), ["tenant", "key"]).select("tenant", "key", F.explode("evidence").alias("x")).distinct().groupBy("tenant", "key").agg(F.array_sort(F.collect_list("x")).alias("evidence"))
+    lines = F.transform("steps", lambda x: F.concat(F.lit("- "), x, F.lit("\n")))
+    content = F.concat(F.lit("workflow goal: "), "goal", F.lit("\nsteps:\n"), F.array_join(lines, ""), F.lit("success signals:\n- outcome == success"))
+    drafts = first.join(proof, ["tenant", "key"], "left")
+    return every, drafts.select("tenant", F.concat(F.lit("workflow:"), F.sha2("key", 256)).alias("idempotency_key"), content.alias("content"), F.coalesce("evidence", F.expr("CAST(array() AS array<string>)")).alias("evidence"), F.array(F.lit("workflow_candidate")).alias("tags"))
+
+
 def corecall(capsules: DataFrame, linked: DataFrame, least: int = 2, most: int = 12) -> DataFrame:
     """Pairs recalled at one instant, in batches of 2 to 12, not linked yet. Larger batches are left out before any pair is made."""
     r = capsules.where("status = 'active' and last_recalled_at is not null").select("tenant", "last_recalled_at", "capsule_id")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import final_answer_phase, tool_family, trimmed
+from tessera.functions.text import final_answer_phase, tool_family, tool_result_is_error, trimmed
 from tessera.operators.transcripts import message_groups
 
 STREAM = ["tenant", "caller_agent", "session_id", "transcript_path"]
@@ -34,14 +34,17 @@ def segments(blocks: DataFrame) -> DataFrame:
 def completed_rounds(blocks: DataFrame) -> DataFrame:
     """One row per complete segment: it has tool calls, starts from a human, and its last assistant text comes after all tool activity."""
     key = [*STREAM, "segment_no"]
-    s = segments(blocks)
+    s = segments(blocks).withColumn("uses", F.max(F.col("block_type") == "tool_use").over(Window.partitionBy(*STREAM, "group_no")))
     at = F.struct("line_number", "block_index")
     tool = F.col("block_type").isin("tool_use", "tool_result")
     human = (F.col("role") == "user") & (F.col("block_type") == "text") & (trimmed("content") != "")
+    # the last word of the agent: text, in a message without tool calls, that its metadata do not call a step
+    final = (F.col("role") == "assistant") & (F.col("block_type") == "text") & (trimmed("content") != "") & ~F.col("uses") & final_answer_phase(F.col("meta_json"))
     calls = s.where(tool).groupBy(*key, "tool_use_id").agg(F.count_if(F.col("block_type") == "tool_use").alias("c"), F.count_if(F.col("block_type") == "tool_result").alias("r"))
     matched = calls.groupBy(*key).agg(F.sum(F.least("c", "r")).alias("matched"), F.sum(F.greatest(F.lit(0), F.col("c") - F.col("r"))).alias("missing"), F.sum(F.greatest(F.lit(0), F.col("r") - F.col("c"))).alias("orphan"))
     per = s.groupBy(*key).agg(
-        F.count_if(F.col("block_type") == "tool_use").alias("tools"), F.max(F.when(tool, at)).alias("last_tool"), F.max(F.when((F.col("role") == "assistant") & (F.col("block_type") == "text"), at)).alias("final_at"),
+        F.count_if(F.col("block_type") == "tool_use").alias("tools"), F.max(F.when(tool, at)).alias("last_tool"), F.max(F.when(final, at)).alias("final_at"),
+        F.count_if((F.col("block_type") == "tool_result") & F.coalesce(tool_result_is_error(F.col("meta_json")), F.lit(False))).alias("errors"),
         F.min(F.when(human, at)).alias("start_at"), F.max("created_at").alias("completed_at"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("block_type") == "tool_use", F.struct("line_number", "block_index", tool_family(F.col("tool_name")).alias("family"))))), lambda x: x["family"]), ">").alias("pattern"),
     )

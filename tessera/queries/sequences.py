@@ -12,16 +12,19 @@ from tessera.operators import sequences as Q
 from tessera.operators.storage import shared_dir
 from tessera.queries import query
 from tessera.queries.dialect import fingerprint as fingerprint_sql
+from tessera.queries.dialect import trim
 from tessera.sources import jsonl, sync
 from tessera.streaming import stateful
 
-HUMAN = "role = 'user' AND block_type = 'text' AND trim(content) <> ''"
+HUMAN = f"role = 'user' AND block_type = 'text' AND {trim('content')} <> ''"
+FINAL = f"""role = 'assistant' AND block_type = 'text' AND {trim('content')} <> '' AND NOT uses AND CASE WHEN json_extract_string(meta_json, '$.phase') IS NOT NULL THEN json_extract_string(meta_json, '$.phase') = 'final_answer'
+ WHEN json_extract_string(meta_json, '$.stop_reason') IS NOT NULL THEN json_extract_string(meta_json, '$.stop_reason') IN ('stop', 'end_turn') ELSE true END"""
 GROUPS = f"""{prelude('messages')}, l AS (SELECT *, lag(message_uuid) OVER w AS pu, lag(line_number) OVER w AS pl FROM messages WHERE session_id IS NOT NULL WINDOW w AS (PARTITION BY transcript_path ORDER BY line_number, block_index)),
 m AS (SELECT *, CASE WHEN pl IS NULL THEN 1 WHEN message_uuid IS NULL AND pu IS NULL THEN CASE WHEN pl = line_number THEN 0 ELSE 1 END WHEN coalesce(message_uuid = pu, false) THEN 0 ELSE 1 END AS f FROM l),
 g AS (SELECT *, sum(f) OVER (PARTITION BY transcript_path ORDER BY line_number, block_index) AS group_no FROM m),
 h AS (SELECT transcript_path, group_no, bool_or({HUMAN}) AS human FROM g GROUP BY 1, 2), o AS (SELECT *, lag(human) OVER (PARTITION BY transcript_path ORDER BY group_no) AS ph FROM h),
 sg AS (SELECT transcript_path, group_no, sum(CASE WHEN ph IS NULL OR (human AND NOT ph) THEN 1 ELSE 0 END) OVER (PARTITION BY transcript_path ORDER BY group_no) AS segment_no FROM o),
-s AS (SELECT g.*, segment_no FROM g JOIN sg USING (transcript_path, group_no))"""
+s AS (SELECT g.*, segment_no, bool_or(block_type = 'tool_use') OVER (PARTITION BY transcript_path, group_no) AS uses FROM g JOIN sg USING (transcript_path, group_no))"""
 
 
 @query(f"{GROUPS} SELECT block_id, CAST(group_no AS BIGINT) AS group_no, CAST(segment_no AS BIGINT) AS segment_no FROM s")
@@ -32,12 +35,12 @@ def segments(spark, sf_dir):
 @query(
     f"""{GROUPS}, c AS (SELECT transcript_path, segment_no, tool_use_id, count(*) FILTER (WHERE block_type = 'tool_use') AS c, count(*) FILTER (WHERE block_type = 'tool_result') AS r FROM s WHERE block_type IN ('tool_use', 'tool_result') GROUP BY 1, 2, 3),
 mt AS (SELECT transcript_path, segment_no, sum(least(c, r)) AS matched, sum(greatest(0, c - r)) AS missing, sum(greatest(0, r - c)) AS orphan FROM c GROUP BY 1, 2),
-p AS (SELECT transcript_path, segment_no, count(*) FILTER (WHERE block_type = 'tool_use') AS tools, max(line_number) FILTER (WHERE block_type IN ('tool_use', 'tool_result')) AS lt, max(line_number) FILTER (WHERE role = 'assistant' AND block_type = 'text') AS fa, min(line_number) FILTER (WHERE {HUMAN}) AS st,
+p AS (SELECT transcript_path, segment_no, count(*) FILTER (WHERE block_type = 'tool_use') AS tools, max(line_number) FILTER (WHERE block_type IN ('tool_use', 'tool_result')) AS lt, max(line_number) FILTER (WHERE {FINAL}) AS fa, count(*) FILTER (WHERE block_type = 'tool_result' AND json_extract_string(meta_json, '$.is_error') = 'true') AS errors, min(line_number) FILTER (WHERE {HUMAN}) AS st,
  string_agg(CASE lower(tool_name) WHEN 'bash' THEN 'shell' WHEN 'read' THEN 'read_file' WHEN 'grep' THEN 'search_files' ELSE 'other' END, '>' ORDER BY line_number) FILTER (WHERE block_type = 'tool_use') AS pattern FROM s GROUP BY 1, 2)
-SELECT transcript_path, CAST(segment_no AS BIGINT) AS segment_no, tools, CAST(matched AS BIGINT) AS matched, CAST(missing AS BIGINT) AS missing, CAST(orphan AS BIGINT) AS orphan, pattern, missing = 0 AND orphan = 0 AS clean FROM p JOIN mt USING (transcript_path, segment_no) WHERE tools > 0 AND st IS NOT NULL AND fa > lt"""
+SELECT transcript_path, CAST(segment_no AS BIGINT) AS segment_no, tools, CAST(matched AS BIGINT) AS matched, CAST(missing AS BIGINT) AS missing, CAST(orphan AS BIGINT) AS orphan, pattern, missing = 0 AND orphan = 0 AS clean, errors FROM p JOIN mt USING (transcript_path, segment_no) WHERE tools > 0 AND st IS NOT NULL AND fa > lt"""
 )
 def completed_rounds(spark, sf_dir):
-    return Q.completed_rounds(view(spark, sf_dir, "messages")).select("transcript_path", "segment_no", "tools", "matched", "missing", "orphan", "pattern", "clean")
+    return Q.completed_rounds(view(spark, sf_dir, "messages")).select("transcript_path", "segment_no", "tools", "matched", "missing", "orphan", "pattern", "clean", "errors")
 
 
 def event_rounds(spark, sf_dir):
