@@ -17,6 +17,8 @@ from tessera.schemas import FEEDBACK, STATUSES
 
 GUIDANCE = ("preference", "workflow")
 EPISODIC = ("experience", "episode")
+#: Parts in which a tenant's rows are ranked before the parts' best are.
+RANK_PARTS = 64
 COMPILER_AGENT = "skill-proposal-compiler"
 NEWEST = (F.desc, "updated_at"), (F.asc, "capsule_id")
 
@@ -93,8 +95,13 @@ def recall_pool(capsules: DataFrame, tenant: str | None = None, newest: int | No
     pool = live(capsules).join(superseded(capsules), ["tenant", "capsule_id"], "left_anti")
     if newest is None:
         return pool
-    rank = F.row_number().over(Window.partitionBy("tenant").orderBy(F.desc("updated_at"), F.desc("version"), "capsule_id"))
-    return pool.withColumn("rank_", rank).where((F.col("rank_") <= newest) | F.col("capsule_type").isin(*GUIDANCE)).drop("rank_")
+    # ranked in parts first, so that no task holds more of a tenant than a part, or than the parts' best
+    order = (F.desc("updated_at"), F.desc("version"), F.asc("capsule_id"))
+    part = F.pmod(F.xxhash64("capsule_id"), F.lit(RANK_PARTS))
+    dealt = pool.withColumn("part_", part).withColumn("rank_", F.row_number().over(Window.partitionBy("tenant", "part_").orderBy(*order)))
+    best = dealt.where(F.col("rank_") <= newest).withColumn("rank_", F.row_number().over(Window.partitionBy("tenant").orderBy(*order))).where(F.col("rank_") <= newest)
+    rest = pool.where(is_guidance()).join(best.select("tenant", "capsule_id"), ["tenant", "capsule_id"], "left_anti")
+    return best.drop("part_", "rank_").unionByName(rest)
 
 
 def recent_pool(capsules: DataFrame, tenant: str, limit: int) -> DataFrame:

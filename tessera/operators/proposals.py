@@ -27,7 +27,7 @@ def signature(title: Column, listed: Column) -> Column:
 def catalogue(capsules: DataFrame, bundles: DataFrame, bounded: bool = True) -> DataFrame:
     """Active and pending workflows with their bundle, secrets masked, texts bounded for a prompt."""
     rows = capsules.where((F.col("capsule_type") == "workflow") & F.col("status").isin("active", "pending_confirmation"))
-    title, listed = redact(F.col("summary")), F.transform(steps(F.col("content")), redact)
+    title, listed = redact(F.col("summary")), F.transform(steps(F.col("content")), lambda x: redact(x))
     if bounded:
         title = F.substring(collapse(title), 1, CATALOGUE_TITLE)
         listed = F.transform(F.slice(listed, 1, CATALOGUE_STEPS), lambda x: F.substring(collapse(x), 1, CATALOGUE_STEP))

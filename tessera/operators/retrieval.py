@@ -55,22 +55,20 @@ def score_terms(query: str) -> list[str]:
 def bm25(corpus: DataFrame, text: Column, id_column: str, query: str, k: int, within: Column | None = None) -> DataFrame:
     """id, score (millionths), rank of the k best rows. Statistics are of the whole corpus, `within` only filters what may rank.
 
-    Term counts are made in the scan, so nothing but k rows a task is shuffled; document frequencies and the mean length are one aggregate."""
+    Term counts are made in the scan, so nothing but k rows a task is shuffled; document frequencies and the mean length are one aggregate. Written as SQL text: a
+    query's plan is made anew each time, and one expression a term by way of Python takes longer than a small corpus takes to search."""
     terms = query_terms(query)
     if not terms:
         return corpus.select(F.col(id_column), F.lit(0).cast("bigint").alias("score"), F.lit(0).alias("rank")).limit(0)
+    listed = ", ".join(f"'{q}'" for q in terms)  # letters, digits and marks alone: nothing to escape
+    inside = F.lit(True) if within is None else within
     # one pass over the words leaves those of the query; the rest is counted on that short list
-    t = corpus.withColumn("tokens_", tokens(text)).withColumn("length_", F.size("tokens_")).withColumn("found_", F.filter("tokens_", lambda x: x.isin(*terms))).drop("tokens_")
-    count = lambda q: F.size(F.filter("found_", lambda x: x == q)).cast("double")
-    stats = t.agg(F.count("*").cast("double").alias("n"), F.avg("length_").alias("avg"), *(F.count_if(F.array_contains("found_", q)).cast("double").alias(f"df{i}") for i, q in enumerate(terms)))
-    whole = stats.select(F.struct("*").alias("s")).scalar()  # one subquery, run once
-    one = whole.getField
-    norm = F.lit(K1) * (1 - B + B * F.col("length_") / one("avg"))
-    score = F.lit(0.0)
-    for i, q in enumerate(terms):
-        idf = F.log(1 + (one("n") - one(f"df{i}") + 0.5) / (one(f"df{i}") + 0.5))
-        score = score + idf * count(q) * (K1 + 1) / (count(q) + norm)
-    scored = (t if within is None else t.where(within)).select(F.col(id_column), F.round(score * SCALE).cast("bigint").alias("score"))
+    t = corpus.select(F.col(id_column), tokens(text).alias("words_"), inside.alias("within_")).selectExpr(f"`{id_column}`", "within_", "size(words_) AS length_", f"filter(words_, x -> x IN ({listed})) AS found_")
+    whole = t.selectExpr("count(*) AS n", "avg(length_) AS avg", "array(" + ", ".join(f"CAST(count_if(array_contains(found_, '{q}')) AS DOUBLE)" for q in terms) + ") AS df")
+    counted = t.where("within_").selectExpr(f"`{id_column}`", "length_", f"transform(array({listed}), q -> CAST(size(filter(found_, x -> x = q)) AS DOUBLE)) AS c_").withColumn("s_", whole.select(F.struct("*")).scalar())  # one subquery, run once
+    norm = f"({K1} * (1 - {B} + {B} * length_ / s_.avg))"
+    score = f"aggregate(zip_with(c_, s_.df, (c, d) -> ln(1 + (s_.n - d + 0.5D) / (d + 0.5D)) * c * CAST({K1 + 1} AS DOUBLE) / (c + CAST({norm} AS DOUBLE))), 0D, (a, x) -> a + x)".replace(f"{K1} *", f"{K1}D *").replace(f"- {B} + {B} *", f"- {B}D + {B}D *")
+    scored = counted.selectExpr(f"`{id_column}`", f"CAST(round({score} * {SCALE}) AS BIGINT) AS score")
     # rows without a match come last, so they are dropped after the limit: a filter before it would be pushed down and count everything again
     return ranked(scored.orderBy(F.desc("score"), id_column).limit(k).where("score > 0"), F.desc("score"), F.col(id_column))
 
@@ -125,20 +123,24 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_column: str = "ca
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, id_column: str = "capsule_id") -> DataFrame:
-    """id, rrf (double): the sum of 1 / (60 + rank) over both lists."""
-    both = lexical.select(id_column, F.col("rank").alias("lexical_rank")).join(vector.select(id_column, F.col("rank").alias("vector_rank")), id_column, "full_outer")
-    return both.withColumn("rrf", rrf_raw(F.col("lexical_rank")) + rrf_raw(F.col("vector_rank")))
+    """id, ranks, rrf (double): the sum of 1 / (60 + rank) over both lists."""
+    none = F.lit(None).cast("int")
+    both = lexical.select(id_column, F.col("rank").alias("lexical_rank"), none.alias("vector_rank")).unionAll(vector.select(id_column, none, F.col("rank")))
+    ranks = both.groupBy(id_column).agg(F.max("lexical_rank").alias("lexical_rank"), F.max("vector_rank").alias("vector_rank"))
+    return ranks.withColumn("rrf", rrf_raw(F.col("lexical_rank")) + rrf_raw(F.col("vector_rank")))
 
 
 def hybrid(capsules: DataFrame, vectors: DataFrame, tenant: str, query: str, vector: list[float], k: int) -> DataFrame:
-    """The k best live rows of a tenant: twice k of each channel, fused, hydrated. Vector neighbours are taken over all tenants and filtered then."""
+    """The k best live rows of a tenant: twice k of each channel, fused, hydrated. Vector neighbours are taken over all tenants and filtered then.
+
+    Both lists have 2 k rows at most, so they are what is broadcast, and the tables are scanned, not shuffled."""
     searchable = ~F.col("status").isin("archived", "rejected") & (F.col("capsule_type") != "diary")
     corpus = capsules.where(searchable)
-    lexical = bm25(corpus, F.concat_ws(" ", "summary", "content"), "capsule_id", query, 2 * k, F.col("tenant") == tenant)
-    near = nearest(vectors, vector, 2 * k).join(capsules.where(F.col("tenant") == tenant).select("capsule_id"), "capsule_id", "left_semi").drop("rank")
+    mine = F.col("tenant") == tenant
+    lexical = bm25(corpus, F.concat_ws(" ", "summary", "content"), "capsule_id", query, 2 * k, mine)
+    near = capsules.where(mine).select("capsule_id").join(F.broadcast(nearest(vectors, vector, 2 * k).drop("rank")), "capsule_id")  # 2 k rows
     near = ranked(near, F.col("distance"), F.col("capsule_id"))
-    fused = fuse(lexical, near)
-    hydrated = fused.join(corpus.where(F.col("tenant") == tenant), "capsule_id").withColumn("rrf_score", F.round(F.col("rrf") * SCALE).cast("bigint"))
+    hydrated = corpus.where(mine).join(F.broadcast(fuse(lexical, near)), "capsule_id").withColumn("rrf_score", F.round(F.col("rrf") * SCALE).cast("bigint"))  # 4 k rows
     order = (F.desc("rrf_score"), F.desc("updated_at"), F.asc("capsule_id"))
     return ranked(hydrated.orderBy(*order).limit(k), *order)
 

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _own: dict[str, str] = {}
+_cuts: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own only where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named.rstrip("/") if named else _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
 
 
@@ -32,9 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _cuts.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_cuts(spark: SparkSession) -> int:
+    """Deletes what cut() has left for this process; to be called when nothing that reads it is needed any more."""
+    n = 0
+    while _cuts:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        n += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return n
+
+
 def first_of_each(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn_ = 1").drop("rn_")
 

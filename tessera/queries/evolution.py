@@ -89,14 +89,14 @@ def reactivatable_candidate_jobs(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT s_suppkey AS pid, [CAST(s_suppkey % 50 AS VARCHAR), CAST(s_suppkey % 50 + 1 AS VARCHAR), 'x'] AS m FROM supplier WHERE s_suppkey % 2 = 0), e AS (SELECT 'w' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS target, [CAST(p_partkey % 50 AS VARCHAR), CAST(p_partkey % 7 AS VARCHAR)] AS m, CAST(p_partkey % 9 AS VARCHAR) AS made FROM part),
+    """WITH p AS (SELECT s_suppkey AS pid, [CAST(s_suppkey % 50 AS VARCHAR), CAST(s_suppkey % 50 + 1 AS VARCHAR), 'x'] AS m FROM supplier), e AS (SELECT 'w' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS target, [CAST(p_partkey % 50 AS VARCHAR), CAST(p_partkey % 7 AS VARCHAR)] AS m, CAST(p_partkey % 9 AS VARCHAR) AS made FROM part),
 j AS (SELECT pid, target, made, CAST(round(len(list_intersect(p.m, e.m)) / least(len(list_distinct(p.m)), len(list_distinct(e.m))) * 1000000) AS BIGINT) AS s FROM p JOIN e ON len(list_intersect(p.m, e.m)) > 0)
 SELECT pid AS proposal_id, target, s AS score FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s DESC, made DESC, target) AS rn FROM j WHERE s >= 500000) WHERE rn = 1"""
 )
 def supersede_targets(spark, sf_dir):
     s, p = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "part"))
     t = lambda c: c.cast("string")
-    proposals = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("proposal_id"), F.array(t(F.col("s_suppkey") % 50), t(F.col("s_suppkey") % 50 + 1), F.lit("x")).alias("members"))
+    proposals = s.select(F.col("s_suppkey").alias("proposal_id"), F.array(t(F.col("s_suppkey") % 50), t(F.col("s_suppkey") % 50 + 1), F.lit("x")).alias("members"))
     existing = p.select(F.concat(F.lit("w"), F.lpad(t(F.col("p_partkey")), 6, "0")).alias("capsule_id"), F.array(t(F.col("p_partkey") % 50), t(F.col("p_partkey") % 7)).alias("members"), t(F.col("p_partkey") % 9).alias("created_at"))
     return V.supersede_target(proposals, existing)
 

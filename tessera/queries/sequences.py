@@ -107,14 +107,31 @@ def transcript_files(spark, sf_dir):
     return jsonl.parse(spark_lines).agg(F.count("*").alias("blocks"), F.count_distinct("session_id").alias("files"))
 
 
-@query("WITH g AS (SELECT conv_id, unnest([0, 1, 2, 3]) AS i FROM (SELECT DISTINCT conv_id FROM conversations)) SELECT '/b/' || CAST(conv_id AS VARCHAR) AS transcript_path, i + 2 AS line_number, 'sess' || CAST(conv_id AS VARCHAR) AS session_id, CASE i WHEN 3 THEN 'user' WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE i WHEN 0 THEN 'text' WHEN 1 THEN 'thinking' WHEN 2 THEN 'tool_use' ELSE 'tool_result' END AS block_type, CASE i WHEN 0 THEN 'ab' WHEN 1 THEN 'x' || chr(10) || 'y' WHEN 2 THEN '{}' ELSE 'done' END AS content FROM g")
+#: Dialect B: a line of every turn, by its place: a message in two parts, a thought in two parts, a call with the text as its argument, its output.
+_KIND = "CASE turn % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'thinking' WHEN 2 THEN 'tool_use' ELSE 'tool_result' END"
+
+
+def lines_of_b(spark, sf_dir):
+    c, k = spark.read.parquet(f"{sf_dir}/conversations.parquet"), F.col("turn") % 4
+    said = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(said) / 2).cast("int")
+    parts = F.array(F.struct(F.substring(said, F.lit(1), half).alias("text")), F.struct(F.substring(said, half + 1, F.lit(1 << 30)).alias("text")))
+    s = lambda x: F.lit(x).alias("type")
+    payload = (
+        F.when(k == 0, F.to_json(F.struct(s("message"), F.col("role").alias("role"), parts.alias("content")))).when(k == 1, F.to_json(F.struct(s("reasoning"), parts.alias("summary"))))
+        .when(k == 2, F.to_json(F.struct(s("function_call"), F.lit("shell").alias("name"), said.alias("arguments"), F.lit("c").alias("call_id")))).otherwise(F.to_json(F.struct(s("function_call_output"), said.alias("output"), F.lit("c").alias("call_id"))))
+    )
+    path = F.concat(F.lit("/b/"), F.col("conv_id").cast("string")).alias("path")
+    head = c.select("conv_id").distinct().select(path, F.lit(1).alias("line_number"), F.concat(F.lit('{"type":"session_meta","payload":{"id":"sess'), F.col("conv_id").cast("string"), F.lit('"}}')).alias("line"))
+    return head.unionAll(c.select(path, (F.col("turn") + 2).cast("int"), F.concat(F.lit('{"type":"response_item","payload":'), payload, F.lit("}"))))
+
+
+@query(
+    f"""WITH c AS (SELECT *, coalesce(text, '') AS said, length(coalesce(text, '')) // 2 AS h FROM conversations)
+SELECT '/b/' || conv_id AS transcript_path, turn + 2 AS line_number, 'sess' || conv_id AS session_id, CASE turn % 4 WHEN 0 THEN role WHEN 3 THEN 'user' ELSE 'assistant' END AS role, {_KIND} AS block_type, CASE turn % 4 WHEN 1 THEN substring(said, 1, h) || chr(10) || substring(said, h + 1) ELSE said END AS content FROM c WHERE said <> '' OR turn % 4 = 1"""
+)
 def transcript_parse_b(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
-    items = ['{"type":"message","role":"user","content":[{"text":"a"},{"text":"b"}]}', '{"type":"reasoning","summary":[{"text":"x"},{"text":"y"}]}', '{"type":"function_call","name":"shell","arguments":"{}","call_id":"c"}', '{"type":"function_call_output","output":"done","call_id":"c"}']
-    head = F.concat(F.lit('{"type":"session_meta","payload":{"id":"sess'), F.col("conv_id").cast("string"), F.lit('"}}'))
-    rows = F.array(head, *(F.lit(f'{{"type":"response_item","payload":{x}}}') for x in items))
-    lines = c.select(F.concat(F.lit("/b/"), F.col("conv_id").cast("string")).alias("path"), F.posexplode(rows).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_number"), "line")
-    return jsonl.parse(lines).select("transcript_path", "line_number", "session_id", "role", "block_type", "content")
+    return jsonl.parse(lines_of_b(spark, sf_dir)).select("transcript_path", "line_number", "session_id", "role", "block_type", "content")
 
 
 @query("WITH s AS (SELECT 'capsules' AS domain, count(*) FILTER (WHERE doc_id % 3 <> 0) AS copied, count(*) FILTER (WHERE doc_id % 3 = 0) AS skipped FROM documents) SELECT * FROM s")

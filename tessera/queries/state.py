@@ -156,7 +156,7 @@ def alias_conflicts(spark, sf_dir):
 
 
 @query(
-    f"""{CAP}, k AS (SELECT capsule_id, tenant, idempotency_key, content_hash, updated_at FROM capsules WHERE n % 2 = 0), r AS (SELECT 'r_' || lpad(CAST(n AS VARCHAR), 8, '0') AS request_id, *, CASE WHEN n % 3 = 0 THEN content ELSE summary END AS s2 FROM capsules WHERE n % 4 <> 0),
+    f"""{CAP}, k AS (SELECT capsule_id, tenant, idempotency_key, content_hash, updated_at FROM capsules WHERE n % 2 = 0), r AS (SELECT 'r_' || lpad(CAST(n AS VARCHAR), 8, '0') AS request_id, *, CASE WHEN n % 3 = 0 THEN content ELSE summary END AS s2 FROM capsules),
 bk AS (SELECT tenant, idempotency_key, max_by(capsule_id, updated_at) AS by_key FROM k WHERE idempotency_key IS NOT NULL GROUP BY 1, 2), bh AS (SELECT tenant, content_hash, max_by(capsule_id, updated_at) AS by_hash FROM k GROUP BY 1, 2),
 x AS (SELECT r.*, by_key, by_hash, least(first_value(request_id) OVER (PARTITION BY r.tenant, coalesce(r.idempotency_key, request_id) ORDER BY request_id), first_value(request_id) OVER (PARTITION BY r.tenant, r.content_hash ORDER BY request_id)) AS first_id,
  CASE WHEN s2 = content THEN 'summary repeats content' WHEN scope IN ('project', 'repo') AND coalesce(trim(project), '') = '' THEN 'scope needs a project' WHEN capsule_type = 'experience' AND length(trim(content, ' ' || chr(9) || chr(10) || chr(13))) < 40 THEN 'too_short'
@@ -168,7 +168,7 @@ def ingest_outcomes(spark, sf_dir):
     from tessera.plans import ingest
 
     c = caps(spark, sf_dir)
-    requests = c.where("n % 4 <> 0").withColumn("request_id", F.concat(F.lit("r_"), F.lpad(F.col("n").cast("string"), 8, "0"))).withColumn("summary", F.when(F.col("n") % 3 == 0, F.col("content")).otherwise(F.col("summary"))).drop("capsule_id", "updated_at")
+    requests = c.withColumn("request_id", F.concat(F.lit("r_"), F.lpad(F.col("n").cast("string"), 8, "0"))).withColumn("summary", F.when(F.col("n") % 3 == 0, F.col("content")).otherwise(F.col("summary"))).drop("capsule_id", "updated_at")
     return ingest.outcomes(requests, c.where("n % 2 = 0")).select("request_id", "outcome", "stands_for", "problem")
 
 

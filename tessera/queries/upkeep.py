@@ -419,7 +419,7 @@ def accepted_proposals(spark, sf_dir):
 
 @query(
     f"""{catalogue_sql()}, jb AS (SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 2 = 0 THEN 'en' ELSE 'de' END AS tenant, lpad(CAST((o_orderkey * 37) % 1000003 AS VARCHAR), 20, '0') AS available_at FROM orders WHERE o_orderkey % 3 <> 0), pk AS (SELECT * FROM jb ORDER BY available_at, job_id LIMIT 30)
-SELECT job_id, tenant, available_at, coalesce(refs, '') AS refs, coalesce(least(c, 32), 0) AS offered FROM pk LEFT JOIN (SELECT l_orderkey AS job_id, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS refs FROM lineitem GROUP BY 1) USING (job_id) LEFT JOIN (SELECT tenant, count(*) AS c FROM ent GROUP BY 1) USING (tenant)"""
+SELECT job_id, tenant, available_at, coalesce(refs, '') AS refs, coalesce(least(c, 32), 0) AS offered FROM pk LEFT JOIN (SELECT l_orderkey AS job_id, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS refs FROM lineitem GROUP BY 1) USING (job_id) LEFT JOIN (SELECT tenant, count(*) AS c FROM ent GROUP BY 1) USING (tenant)"""
 )
 def claimed_compilations(spark, sf_dir):
     k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
@@ -593,14 +593,14 @@ def overlap_scorer(a: list[str], b: list[str]) -> list[float]:
 
 @query(
     """WITH w AS (SELECT conv_id, turn, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b, text AS a FROM conversations), t AS (SELECT *, list_distinct(list_filter(string_split_regex(a, '\\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split_regex(coalesce(b, ''), '\\s+'), lambda x: x <> '')) AS y FROM w)
-SELECT conv_id, turn, CASE WHEN len(x) = 0 THEN 0 ELSE CAST(floor(CAST(len(list_intersect(x, y)) / len(x) AS FLOAT) * 1000) AS BIGINT) END AS score, md5('Instruct: Given a query, retrieve relevant passages that answer it' || chr(10) || 'Query: ' || a) AS asked FROM t"""
+SELECT conv_id, turn, CASE WHEN len(x) = 0 THEN 0 ELSE CAST(round(CAST(CAST(len(list_intersect(x, y)) / len(x) AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) END AS score, md5('Instruct: Given a query, retrieve relevant passages that answer it' || chr(10) || 'Query: ' || a) AS asked FROM t"""
 )
 def pair_scores(spark, sf_dir):
     from pyspark.sql.window import Window
 
     c = table(spark, sf_dir, "conversations").withColumn("b", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
     s = embedding.score_pairs(overlap_scorer)(F.col("text"), F.col("b"))
-    return c.select("conv_id", "turn", F.floor(s * 1000).cast("bigint").alias("score"), F.md5(embedding.query_text(F.col("text"), True)).alias("asked"))
+    return c.select("conv_id", "turn", F.round(s.cast("double") * 1000).cast("bigint").alias("score"), F.md5(embedding.query_text(F.col("text"), True)).alias("asked"))
 
 
 @query(
