@@ -7,11 +7,12 @@ that share no key are farther apart, always. (At similarity 0.8 a slot differs w
 probability 0.345^12, 3 in a million. Pairs beyond the threshold that share a key are looked at as well.) All links are confirmed on full sets.
 
 Texts of equal sets form a class first, so exact copies cost nothing further. A key's members are not paired with each other but with one of
-them (its hub). Links found give components. In keys that then hold more than one component, the signatures of members outside the largest one
-(strays) meet those of the others, in blocks of bounded size, to tell who may be linked with anybody: signatures that differ in more than MOST_DIFFERENT slots
-are not. The texts of those meet block by block, and only links between components leave a task. Pairs within a component need no look, so no group of copies
-is paired out; no pair leaves a task but links; and no link between components is lost. Texts travel packed (zstandard), hot hubs are salted. Components are
-found by large-star and small-star rounds over DataFrames; nothing of the corpus reaches the driver.
+them (its hub). Links found give components. Keys whose members then lie in more than one chain these into families. In a family the members outside the
+largest component (strays) meet all others, block by block: a task holds some strays, the others pass by, signatures that differ in at most MOST_DIFFERENT
+slots are compared on full sets, and only links between components leave it. Pairs within a component need no look, so no group of copies is paired out, and no
+link between components is lost. Texts travel packed (zstandard), in tasks of bounded size: hot hubs are salted, families dealt to blocks by hash; a family of n
+members, s of them strays, costs about n s / STRAY_BLOCK copies of a text. Components are found by large-star and small-star rounds over DataFrames; nothing of
+the corpus reaches the driver.
 
 Defined results: texts without words have an empty set and are linked with nothing; each is kept. Texts of fewer words than a shingle are one
 shingle. doc_id is an integer, or text that reads as one. Rows of one doc_id are one document, linked by any of its texts. Rows without a doc_id are linked with nothing, kept, and have no
@@ -39,8 +40,6 @@ THRESHOLD = CHUNKS * (ERRORS + 1) - 1
 HUB_PAIRS = 2_000
 #: Members of a family in one block of texts, about: those held, and those that pass by.
 STRAY_BLOCK, MEMBER_BLOCK = 256, 2_048
-#: The same for members of a key in one block of signatures.
-KEY_STRAYS, KEY_MEMBERS = 512, 8_192
 #: Signatures that differ in more slots are not confirmed: at similarity 0.8 that is a chance of 2 in ten million.
 MOST_DIFFERENT = 34
 
@@ -194,7 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     several = usable.groupBy("code").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select(F.col("code").alias("a"))
     edges = edges.unionAll(own.join(several, "a", "left_semi").distinct())
     edges = written(edges, "links", files)
-    edges = written(edges.unionAll(across_components(listed, components(edges), classes, texts, size, percent, files)), "links", files)
+    edges = written(edges.unionAll(across_components(listed, components(edges), texts, size, percent, files)), "links", files)
     roots = components(edges)
 
     least_id = usable.groupBy("digest").agg(F.min("doc_id").alias("least"))
@@ -206,12 +205,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def across_components(listed: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, files: int) -> DataFrame:
+def across_components(listed: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int, files: int) -> DataFrame:
     """Links (a, b) between components: of members of a key that lie in different ones. A pair of components is reported once a task.
 
-    Keys with one component are done. The others chain their members into families; members outside a family's largest component are strays. First the
-    signatures of a key's strays meet those of its other members, in blocks, and what comes out is who takes part where: (family, block of the stray, block of the
-    member, code), never pairs. Then the texts of those that take part meet, block by block."""
+    Keys with one component are done. The others chain their members into families; members outside a family's largest component are strays, and these meet all
+    members, block by block."""
     at = listed.select("key", "code", "hub").distinct().join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
     several = at.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("n > 2 and r1 <> r2").select("key")
     at = written(at.join(several, "key", "left_semi"), "open-keys", files)
@@ -225,8 +223,10 @@ def across_components(listed: DataFrame, roots: DataFrame, classes: DataFrame, t
     placed = own.join(blocks, "family").select("code", "root", "family", (F.col("root") != F.col("top")).alias("stray"), place("fs").alias("i"), place("fm").alias("j"))
     placed = written(placed, "families", files)
 
-    told = written(participants(at.select("key", "code", "hub"), placed, classes, percent), "participants", files)
-    rows = told.join(placed.select("code", "root"), "code").join(texts, "code")
+    members = placed.join(blocks.select("family", "fs", "fm"), "family").where("fs > 0").join(texts, "code")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = members.where("stray").select("family", "i", up_to("fm").alias("j"), F.lit(0).alias("kind"), "code", "root", "packed")
+    rows = strays.unionAll(members.select("family", up_to("fs").alias("i"), "j", F.lit(1).alias("kind"), "code", "root", "packed"))
     target = pa_schema(listed.sparkSession, "a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,71 +253,10 @@ def across_components(listed: DataFrame, roots: DataFrame, classes: DataFrame, t
                         found.append((held[k][0], code))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=target)
 
-    rows = rows.select("family", "i", "j", "kind", "code", "root", "packed").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "kind")
+    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "kind")
     return _arrow_map(rows, run, "a long, b long").distinct()
 
 
-def participants(at: DataFrame, placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(family, i, j, kind, code): strays (kind 0) of block i and members (1) of block j that share a key with each other, in different components, with sizes that allow a
-    link and signatures that differ in at most MOST_DIFFERENT slots. Pairs with a key's hub were looked at before."""
-    marked = at.join(placed, "code")
-    sizes = marked.where("code <> hub").groupBy("key").agg(F.ceil(F.count_if("stray") / KEY_STRAYS).cast("int").alias("ks"), F.ceil(F.count("*") / KEY_MEMBERS).cast("int").alias("km")).where("ks > 0")
-    members = marked.where("code <> hub").join(sizes, "key").join(classes.select("code", F.col("n").alias("size"), "sig"), "code")
-    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    deal = lambda n: F.pmod(F.xxhash64(F.lit(1), "code"), F.col(n)).cast("int")
-    columns = ("family", "code", "root", "stray", "i", "j", "size", "sig")
-    strays = members.where("stray").select("key", deal("ks").alias("ki"), up_to("km").alias("kj"), F.lit(0).alias("kind"), *columns)
-    others = members.select("key", up_to("ks").alias("ki"), deal("km").alias("kj"), F.lit(1).alias("kind"), *columns)
-    schema = "family long, i int, j int, kind int, code long"
-    target = pa_schema(at.sparkSession, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, passing, told = None, [], [], set()
-
-        def meet() -> None:
-            """The held strays and the members that have passed."""
-            if held and passing:
-                code, root, n = (np.array([x[k] for x in held]) for k in (1, 2, 6))
-                code2, root2, n2, stray2 = (np.array([x[k] for x in passing]) for k in (1, 2, 6, 3))
-                sig, sig2 = (np.stack([np.frombuffer(x[7], "<u2") for x in side]) for side in (held, passing))
-                different = np.zeros((len(held), len(passing)), np.int16)
-                for slot in range(SLOTS):
-                    different += sig[:, slot, None] != sig2[None, :, slot]
-                fits = (different <= MOST_DIFFERENT) & (root[:, None] != root2) & (100 * np.minimum(n[:, None], n2) >= percent * np.maximum(n[:, None], n2))
-                fits &= ~stray2 | (code[:, None] < code2)  # two strays meet twice
-                family, i, j = held[0][0], np.array([x[4] for x in held]), np.array([x[5] for x in passing])
-                for block in np.unique(j):
-                    told.update((family, int(i[x]), int(block), 0, int(code[x])) for x in np.flatnonzero(fits[:, j == block].any(axis=1)))
-                for block in np.unique(i):
-                    told.update((family, int(block), int(j[y]), 1, int(code2[y])) for y in np.flatnonzero(fits[i == block].any(axis=0)))
-            passing.clear()
-
-        for batch in batches:
-            for key, ki, kj, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (key, ki, kj):
-                    meet()
-                    at, held = (key, ki, kj), []
-                if kind == 0:
-                    held.append(row)
-                    continue
-                passing.append(row)
-                if len(passing) == 512:
-                    meet()
-            if len(told) > 10_000:
-                yield _rows(told, target)
-                told.clear()
-        meet()
-        yield _rows(told, target)
-
-    rows = strays.unionAll(others).repartition("key", "ki", "kj").sortWithinPartitions("key", "ki", "kj", "kind")
-    return _arrow_map(rows, run, schema).distinct()
-
-
-def _rows(found: set[tuple], target: pa.Schema) -> pa.RecordBatch:
-    found = list(found)
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], f.type) for k, f in enumerate(target)], schema=target)
-
-
 class StrayIndex:
     """Some sets, to be compared with one set at a time: signatures first, then exact intersections of all at once."""
 

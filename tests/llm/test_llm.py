@@ -190,6 +190,22 @@ def test_near_dups_chains_and_groups(spark):
     same(near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2, 80).collect(), brute_components(rows, 2, 80))
 
 
+def test_near_dups_in_small_blocks(spark, monkeypatch):
+    """A template with many blanks: most pairs share keys, few are linked, and they lie in different blocks."""
+    for name, most in (("STRAY_BLOCK", 3), ("MEMBER_BLOCK", 5), ("HUB_PAIRS", 4)):
+        monkeypatch.setattr(near_dups, name, most)
+    g, base = random.Random(8), words(150)
+    rows = []
+    for i in range(70):
+        text = list(base)
+        for at in g.sample(range(150), g.choice([2, 6, 10, 14])):
+            text[at] = f"x{g.randrange(40)}"
+        rows.append((i * 3, " ".join(text), "", "", 0))
+    wanted = brute_components(rows, 2, 80)
+    assert 2 < len({w[2] for w in wanted}) < 70
+    same(near_dups.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2, 80).collect(), wanted)
+
+
 def test_near_dups_of_a_document_of_unlike_texts(spark):
     """Whichever of the two documents is the hub."""
     g, rows = random.Random(3), []
