@@ -30,6 +30,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tessera.queries import capsules, evolution, graph, mining, search, sequences, state, text, transcripts, upkeep  # noqa: F401
+    from tessera.queries import capsules, evolution, graph, mining, search, sequences, state, tables, text, transcripts, upkeep  # noqa: F401
 
     return QUERIES, SQL
