@@ -99,6 +99,37 @@ def test_quality_trees(spark, sf_dir):
     assert np.allclose(trees.score(x), one_by_one)
 
 
+def test_quality_on_documents_that_were_not_learnt(spark, sf_dir):
+    """Fitted to one half of the labels, judged on the other, each class by itself."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    trees = quality.fit_quality(docs, labels.where("doc_id % 2 = 0"))
+    found = {r["doc_id"]: r["score"] for r in quality.judge_quality(docs, trees).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 2 = 1").collect()}
+    right = [np.mean([(found[d] >= 0.5) == q for d, q in truth.items() if q == k]) for k in (0, 1)]
+    assert min(right) > 0.5 and np.mean(right) > 0.75, right  # of each class
+
+
+def test_a_split_against_all_splits():
+    """One tree of one level: its split has the largest gain of all thresholds of all features."""
+    g = np.random.default_rng(9)
+    x = g.integers(0, 12, (300, 3)).astype(float)
+    y = (x[:, 1] + g.normal(size=300) > 6).astype(float)
+    trees = quality.fit_trees(x, y, [0, 0, 0], n_trees=1, depth=1)
+    root = trees.roots[0]
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    p = 0.5
+    best = {}
+    for f in range(3):
+        for cut in np.unique(x[:, f])[:-1]:
+            side = x[:, f] <= cut
+            for w in (weight, np.ones(300)):
+                gain = sum((w[s] * (p - y[s])).sum() ** 2 / ((w[s] * p * (1 - p)).sum() + 1.0) for s in (side, ~side))
+                best.setdefault(len(w) if w is weight else 0, []).append((gain, f, cut))
+    chosen = {(max(v)[1], max(v)[2]) for v in best.values()}
+    at = int(trees.feature[root]), x[x[:, int(trees.feature[root])] <= trees.threshold[root], int(trees.feature[root])].max()
+    assert at in chosen
+
+
 def test_quality_is_monotonic():
     g = np.random.default_rng(3)
     x = g.random((800, 3))
@@ -345,6 +376,47 @@ def test_fingerprints(spark, docs, empty, rows):
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
+def naive_fingerprint(text, bins=64, bits=4, size=5):
+    """Bin by bin, with plain integers."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    hashes = [xxhash.xxh3_64_intdigest(w.encode()) for w in find_words(text)]
+    if not hashes:
+        return b""
+    width = min(size, len(hashes))
+    found = {}
+    for i in range(len(hashes) - width + 1):
+        h = width
+        for w in hashes[i : i + width]:
+            h = mix((h * 0x9E3779B97F4A7C15 + w) & mask)
+        at = h >> (64 - bins.bit_length() + 1)
+        found[at] = min(h, found.get(at, mask))
+    values = []
+    for j in range(bins):
+        at, attempt = j, 0
+        while at not in found:
+            at, attempt = mix((mix(j + 1) * 31 + attempt) & mask) & (bins - 1), attempt + 1
+        values.append(mix(found[at]) & ((1 << bits) - 1))
+    per = 8 // bits
+    return bytes(sum(values[i + k] << (k * bits) for k in range(per)) for i in range(0, bins, per))
+
+
+def test_fingerprints_against_plain_integers():
+    g = random.Random(2)
+    for bits in (1, 4, 8):
+        sketch = fingerprints.OnePermutation(64, bits, 5)
+        for n in (0, 1, 3, 6, 40, 400):
+            text = " ".join(f"w{g.randrange(10_000)}" for _ in range(n))
+            assert sketch.fingerprint(text) == naive_fingerprint(text, 64, bits)
+
+
 def test_fingerprint_likeness():
     sketch = fingerprints.sketcher()
     g = random.Random(2)
@@ -434,6 +506,39 @@ def test_mixing(spark, docs, empty, rows, sf_dir):
     assert set(named[named["kept"] & (named["tokens"] > 0)]["source"]) <= {"a", "b"}
 
 
+def test_raking_against_plain_proportional_fitting():
+    """Where no cell is full, scaling rows, columns and layers in turn gives the same table."""
+    import itertools
+
+    import pandas as pd
+
+    g = random.Random(6)
+    cells = pd.DataFrame([(a, b, c, g.randrange(200, 2_000)) for a, b, c in itertools.product("stu", "xy", "pq")], columns=["source", "lang", "topic", "tokens"])
+    targets = {"source": {"s": 2, "t": 1, "u": 1}, "lang": {"x": 1, "y": 1}, "topic": 1.0}
+    share = 0.2
+    kept = {(r.source, r.lang, r.topic): share * r.tokens for r in cells.itertuples()}
+    size = share * cells["tokens"].sum()
+    for _ in range(300):
+        for i, m in enumerate(("source", "lang", "topic")):
+            wanted = targets[m] if isinstance(targets[m], dict) else cells.groupby(m)["tokens"].sum().to_dict()
+            total = sum(wanted.values())
+            for k, w in wanted.items():
+                now = sum(v for key, v in kept.items() if key[i] == k)
+                kept = {key: v * (size * w / total / now if key[i] == k else 1) for key, v in kept.items()}
+    out = mixing.rake(cells, targets, share)
+    assert out["residual"].max() < 1e-8 and out["probability"].max() < 1
+    for r in out.itertuples():
+        assert abs(r.probability * r.tokens - kept[r.source, r.lang, r.topic]) < 1e-4 * size
+
+
+def test_targets_out_of_reach_leave_a_residual():
+    import pandas as pd
+
+    cells = pd.DataFrame([("s", "x", "p", 100), ("t", "y", "p", 100)], columns=["source", "lang", "topic", "tokens"])
+    out = mixing.rake(cells, {"source": {"s": 3, "t": 1}, "lang": {"x": 1, "y": 3}, "topic": 1.0}, 0.5)
+    assert out["residual"].min() > 0.1
+
+
 def test_a_rare_cell_shrinks_no_other(spark, sf_dir):
     real = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     stray = spark.createDataFrame([(-1, " ".join(["stray"] * 5), "xx", "stray")], real.schema)
@@ -479,6 +584,25 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] for r in toxicity.score_toxicity(docs, None).collect()} == {0.0}
 
 
+def test_compression_lengths_against_the_library():
+    """Lengths under a dictionary that is prepared once are those of a compressor made for each window, and the windows come back."""
+    import zstandard
+
+    g = random.Random(12)
+    vocabulary = ["".join(g.choice("abcdefgh") for _ in range(g.randrange(2, 9))) for _ in range(80)]
+    content = " ".join(vocabulary).encode()
+    form = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, min_match=toxicity.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    for _ in range(40):
+        text = " ".join(g.choices(vocabulary, k=g.randrange(1, 120)))
+        pieces = toxicity.windows(text)
+        assert b" ".join(pieces).split() == text.encode().split()
+        for w in pieces:
+            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made = toxicity.compressor(content)(w)
+            assert zstandard.ZstdDecompressor(dict_data=raw, format=zstandard.FORMAT_ZSTD1_MAGICLESS).decompress(made, max_output_size=1 << 16) == w
+            assert abs(len(made) - len(zstandard.ZstdCompressor(dict_data=raw, compression_params=form).compress(w))) <= 1
+
+
 def test_ordinary_dictionary_learns_from_whole_texts(spark):
     g = random.Random(4)
     late = "lateordinaryvocabulary behindthefirstwindows"
