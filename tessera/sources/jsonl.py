@@ -15,10 +15,16 @@ PART = "array<struct<type string, text string, thinking string, id string, name
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_number, line of all *.jsonl below path."""
+    """path, line_number, line of all *.jsonl below path.
+
+    Lines are numbered without sorting them: each split counts its own, and what comes before it in its file is a running sum over splits, so a file of any size
+    is read by as many tasks as it has splits."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
     placed = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("order_"), F.col("value").alias("line"))
-    return placed.withColumn("line_number", F.row_number().over(Window.partitionBy("path").orderBy("start", "order_"))).select("path", "line_number", "line")
+    splits = placed.groupBy("path", "start").agg(F.min("order_").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("path", "start", (before - F.col("first") + 1).alias("offset"))
+    return placed.join(offsets, ["path", "start"]).select("path", (F.col("order_") + F.col("offset")).cast("int").alias("line_number"), "line")
 
 
 def at(path: str) -> Column:

@@ -171,8 +171,11 @@ def test_files_keep_their_line_numbers(spark, tmp_path):
     for name in ("x", "y"):
         (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"i":{i}}}\n' for i in range(50)))
     (tmp_path / "z.txt").write_text("no\n")
-    found = jsonl.read_lines(spark, f"file://{tmp_path}").select("path", "line_number", F.get_json_object("line", "$.i").cast("int").alias("i")).collect()
-    assert len(found) == 100 and all(r["line_number"] == r["i"] + 1 for r in found)
+    for split in ("128m", "60"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        found = jsonl.read_lines(spark, f"file://{tmp_path}").select("path", "line_number", F.get_json_object("line", "$.i").cast("int").alias("i")).collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(found) == 100 and all(r["line_number"] == r["i"] + 1 for r in found)
 
 
 def test_sync(spark):
