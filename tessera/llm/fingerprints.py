@@ -109,11 +109,18 @@ def in_order_with_next(docs: DataFrame, ranges: int) -> DataFrame:
 
     dealt = rows.withColumn("part", F.pandas_udf(part_of, "int")("doc_id"))
     firsts = sorted((r["part"], None if r["nulls"] else r["first"]) for r in dealt.groupBy("part").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect())
-    # the head of each range goes to the range before it as well, that of the first to the last
-    before = {head: firsts[i - 1][0] for i, (_, head) in enumerate(firsts)}
+    # the head of each range goes to the range before it as well, that of the first to the last; a null head is the first range's
+    to = [firsts[i - 1][0] for i in range(len(firsts))]
+    null_to = next((t for (_, head), t in zip(firsts, to, strict=True) if head is None), -1)
+    heads, goals = (np.array(x, np.int64) for x in ([h for _, h in firsts if h is not None], [t for (_, h), t in zip(firsts, to, strict=True) if h is not None]))
 
     def ghost_of(doc_id: pd.Series) -> pd.Series:
-        return pd.Series([before.get(None if x is None or x != x else int(x)) for x in doc_id.tolist()], dtype="Int32")
+        ids = doc_id.fillna(0).astype("int64").to_numpy()
+        place = np.minimum(np.searchsorted(heads, ids), max(len(heads) - 1, 0))
+        hit = (heads[place] == ids) if len(heads) else np.zeros(len(ids), bool)
+        goal = np.where(hit, goals[place] if len(heads) else 0, -1)
+        goal = np.where(doc_id.isna(), null_to, goal)
+        return pd.Series(goal, dtype="Int32").where(goal >= 0)
 
     ghost = F.pandas_udf(ghost_of, "int")("doc_id")
     places = F.array_compact(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), F.lit(True).alias("ghost")))))

@@ -1,5 +1,8 @@
 """Toxicity by compression distance: a text is toxic as far as a dictionary of toxic text compresses its windows better than one of ordinary text.
 
+Toxic texts are ordinary prose but for a word here and there, so dictionaries trained on whole windows of both classes hold much the same and their difference
+is noise (README has the figures). Hence what the toxic one is trained on is chosen, and both share what is ordinary.
+
 Two zstandard dictionaries are trained. The ordinary one holds windows of texts labelled 0. The toxic one holds the same, and before it a
 dictionary trained on what texts labelled 1 have of their own: their words of which a form (the word or its start) has a log-likelihood ratio against ordinary texts that is significant
 after correction for the size of the vocabulary; none of these words is left out, TOXIC_BYTES is no bound to them. As both share their ordinary part, a clean window compresses alike under both and the
@@ -10,7 +13,8 @@ The fit takes at most `fit_rows` labelled texts of each class, those of the leas
 over the whole text. All else is one stage over whole texts: no shuffle, bounded memory.
 
 Defined results: null and empty texts have no windows and get the score of that (low). Without both classes among the rows to learn from, every
-score is 0.0. Equal texts get equal scores; null doc_ids are not held out and teach nothing; a doc_id labelled twice takes its larger label.
+score is 0.0. Equal texts get equal scores; null doc_ids are not held out and teach nothing; a doc_id labelled twice takes its larger label. Very long texts
+are scored whole, window by window. Extra columns, whatever their names, do no harm.
 """
 
 from __future__ import annotations
