@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, map_rows, words_of
+from tessera.llm.common import lower_ascii, map_rows
 
 WINDOW_BYTES = 96
 LEVEL, MIN_MATCH = 12, 4
