@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.operators import capsules as C
 from tessera.operators import graph as G
 from tessera.operators import mining as M
 from tessera.operators import queue as Q
-from tessera.operators import registry, sequences
+from tessera.operators import evolution, maintenance, proposals, registry, rounds, sequences, workers
 from tessera.operators import transcripts as X
 from tessera.plans import capsule_search, ingest, transcript_search
 
@@ -98,6 +99,38 @@ class KnowledgeStore:
     def rounds(self) -> DataFrame:
         return sequences.completed_rounds(self.blocks)
 
+    def rebuild_rounds(self, builds: DataFrame, now: str, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return rounds.rebuild(self.blocks, builds, now, dry_run)
+
+    # workers and upkeep
+    def embed_capsules(self, settings: workers.Settings, now: str) -> workers.Tick:
+        return workers.embed_capsules(self.jobs, self.capsules, self.vectors, settings, now)
+
+    def embed_blocks(self, jobs: DataFrame, vectors: DataFrame, settings: workers.Settings, now: str) -> workers.Tick:
+        return workers.embed_blocks(jobs, self.blocks, vectors, settings, now)
+
+    def job_preview(self, now: str, most_attempts: int = 3, limit: int = 50) -> DataFrame:
+        return workers.preview(self.jobs, now, most_attempts, limit)
+
+    def postings(self) -> DataFrame:
+        return maintenance.postings(C.live(self.capsules), F.concat_ws(" ", "summary", "content"), "capsule_id")
+
+    def ingest_episodes(self, history: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return M.ingest_episodes(history, incoming)
+
+    def rollback(self, candidates: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        return evolution.rollback(self.capsules, self.edges, candidates, now)
+
+    # skill proposals
+    def workflow_catalogue(self, bundles: DataFrame, bounded: bool = True) -> DataFrame:
+        return proposals.catalogue(self.capsules, bundles, bounded)
+
+    def compile_replies(self, replies: DataFrame, bundles: DataFrame) -> DataFrame:
+        return proposals.compile_replies(replies, self.workflow_catalogue(bundles))
+
+    def crystallize(self, replies: DataFrame, now: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
+        return proposals.crystallize(self.capsules, replies, now, dry_run)
+
     # graph
     def neighbors(self, node: str, hops: int = 1, as_of: str | None = None) -> DataFrame:
         return G.within_hops(self.edges, node, hops, as_of)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from tessera.fixtures import edges, prelude, view
 from tessera.functions import codec, embedding, metrics, text
-from tessera.operators import evolution, graph, maintenance, mining, proposals, queue, retrieval, rounds, sessions, storage, workers
+from tessera.operators import evolution, graph, maintenance, mining, proposals, retrieval, rounds, sessions, storage, workers
 from tessera.operators import skills as K
 from tessera.queries import query
 from tessera.queries.dialect import SPACE, trim, words
 from tessera.queries.text import redact_sql
 from tessera.sources import writers
+from tessera.streaming import stateful
 
 CAP, MSG = prelude("capsules"), prelude("messages")
 NOW, NOW_MS = "00000001704070000000", 1704070000000
@@ -154,6 +155,26 @@ def embed_blocks_tick(spark, sf_dir):
     return t.outcomes.join(made, "block_id", "left").select("job_id", "outcome", "stored")
 
 
+@query(
+    f"""{MSG} SELECT 'job_' || block_id AS job_id, CASE WHEN line_number = 0 THEN 'no_provider' WHEN line_number = 1 THEN 'missing' ELSE 'completed' END AS outcome, line_number >= 2 AS stored FROM messages"""
+)
+def streamed_embeddings(spark, sf_dir):
+    """Every block as a job of a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    c = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    k = F.col("turn")
+    block = F.concat_ws("_", F.lit("mb"), F.col("conv_id").cast("string"), k.cast("string"))
+    jobs = c.select(
+        F.concat(F.lit("job_"), block).alias("job_id"), F.when(F.col("conv_id") % 3 == 0, "t2").otherwise("t1").alias("tenant"), F.when(k == 1, F.concat(block, F.lit("x"))).otherwise(block).alias("block_id"), F.lit("").alias("content_hash"), F.when(k == 0, "p2").otherwise("p1").alias("provider"),
+        F.lit("pending").alias("status"), F.lit(0).cast("bigint").alias("attempts"), F.lit("0" * 20).alias("available_at"), F.lit("0" * 20).alias("created_at"), F.lit("0" * 20).alias("updated_at"),
+    )
+    blocks = view(spark, sf_dir, "messages")
+    none = spark.createDataFrame([], "block_id string, tenant string, chunk int, embedding array<float>, content_hash string")
+    outcomes, vectors = stateful.embedded(jobs, lambda batch: workers.embed_blocks(batch, blocks, none, workers.Settings("p1", batch=1 << 30), NOW))
+    made = vectors.select("block_id", F.lit(True).alias("stored")).distinct()
+    return outcomes.join(made, "block_id", "left").select("job_id", "outcome", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 @query(f"{prelude('jobs')} SELECT job_id, tenant, status, attempts, available_at FROM jobs WHERE available_at <= '{NOW}' AND (status = 'pending' OR (status = 'failed' AND attempts < 3) OR (status = 'processing' AND CAST(updated_at AS BIGINT) <= {NOW_MS - 300_000})) ORDER BY available_at, created_at, job_id LIMIT 40")
 def job_preview(spark, sf_dir):
     return workers.preview(view(spark, sf_dir, "jobs"), NOW, 3, 40)

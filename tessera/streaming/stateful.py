@@ -1,4 +1,5 @@
-"""The store's workers as Structured Streaming: sessions by inactivity, touches without repeats, an evidence gate with state.
+"""The store's workers as Structured Streaming: sessions by inactivity, touches without repeats, an evidence gate with state, and
+embedding jobs batch by batch.
 
 Each function takes a streaming DataFrame and returns one (or a writer's query), so a batch over the same rows is its test."""
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tessera.operators import workers
 from tessera.operators.storage import shared_dir
 
 
@@ -60,3 +62,18 @@ def run_once(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+
+
+def embedded(jobs: DataFrame, tick: Callable[[DataFrame], workers.Tick]) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, vectors) of a stream of jobs that has been drained. Each micro-batch is one tick; what it writes lies in a folder of its number, so a batch that is replayed
+    after a failure replaces itself, and a job is embedded once."""
+    spark = jobs.sparkSession
+    base = f"{shared_dir(spark)}/embedded-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        done = tick(batch)
+        done.vectors.write.mode("overwrite").parquet(f"{base}/vectors/b={number}")
+        done.outcomes.write.mode("overwrite").parquet(f"{base}/outcomes/b={number}")
+
+    jobs.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return tuple(spark.read.option("recursiveFileLookup", True).parquet(f"{base}/{name}") for name in ("outcomes", "vectors"))
