@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -77,6 +78,25 @@ def ensure_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def give_back() -> None:
+    """Hands memory that nothing uses back to the system. Python workers outlive their tasks, and what Arrow and the allocator keep of one stage counts against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another allocator
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, then give_back()."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, most_bytes: int = 4 << 20) -> DataFrame:
     """fn gets the columns of df as lists, for some rows at a time, and returns columns; runs are cut at most_bytes of Arrow data, so a batch of very long texts stays small."""
     ensure_importable(df.sparkSession)
@@ -87,7 +107,7 @@ def map_rows(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, mos
             out = fn(*(c.to_pylist() for c in rows.columns))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def regrouped(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, ensure_importable, mix64, pa_schema, shingle_hashes, words_of
+from tessera.llm.common import WordHashes, ensure_importable, mix64, pa_schema, shingle_hashes, tidy, words_of
 
 BINS, BITS, SHINGLE = 512, 4, 5
 
@@ -160,4 +160,4 @@ def fingerprint_documents(docs: DataFrame, ranges: int | None = None, bins: int
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
 
-    return in_order_with_next(docs, ranges).select("doc_id", "text", "part", "ghost").mapInArrow(run, schema)
+    return in_order_with_next(docs, ranges).select("doc_id", "text", "part", "ghost").mapInArrow(tidy(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import WordHashes, ensure_importable, files_for, lower_ascii, map_rows, mix64, pa_schema, shingle_hashes, words_of, written
+from tessera.llm.common import WordHashes, ensure_importable, files_for, lower_ascii, map_rows, mix64, pa_schema, shingle_hashes, tidy, words_of, written
 
 CHUNKS, CHUNK_SLOTS, ERRORS, BITS = 12, 6, 1, 16
 SLOTS = CHUNKS * CHUNK_SLOTS
@@ -81,7 +81,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     ensure_importable(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ensure_importable, map_rows, pa_schema, written
+from tessera.llm.common import ensure_importable, map_rows, pa_schema, tidy, written
 
 MODEL = "word_bpe_49k.json"
 END_ID = 1
@@ -275,7 +275,7 @@ def count_ids(encoded: DataFrame, size: int) -> np.ndarray:
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], schema=target)
 
-    found = encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = encoded.select("ids").mapInArrow(tidy(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
     out[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
@@ -314,7 +314,7 @@ def write_token_files(docs: DataFrame, path: str, model: str = MODEL, ranges: in
     # a file may be read in pieces, so rows are dealt and sorted by part again
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = encoded.repartitionById(n, F.col("part") % n).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "tie", "ids")
-    ordered.select("part", "doc_id", "ids").mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    ordered.select("part", "doc_id", "ids").mapInArrow(tidy(run), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     totals = encoded.groupBy("part").agg(F.sum("size").alias("n")).toPandas().sort_values("part")  # one row a part
     before = pd.DataFrame({"part": totals["part"].astype("int32"), "before": totals["n"].cumsum() - totals["n"]})
     spark.createDataFrame(before, "part int, before long").write.parquet(f"{path}/parts")
@@ -349,6 +349,6 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, target, strict=True)], schema=target)
 
     ensure_importable(spark)
-    rows = blocks.mapInArrow(run, schema)
+    rows = blocks.mapInArrow(tidy(run), schema)
     out = rows.join(starts, ["p", "b"])
     return out.select("doc_id", (F.col("start") + F.col("ahead")).alias("start"), "n_tokens", kind.split()[0])
