@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, line_dedup, mixing, near_dups, quality, token_counts, token_files, toxicity, url_filter
+from tessera.llm import bpe, filter_audit, fingerprints, line_dedup, mixing, near_dups, personal_data, quality, token_counts, token_files, toxicity, url_filter
 from tessera.llm.common import shared_dir, table
 
 
@@ -97,6 +97,40 @@ def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, len(w) < 100 AS fa, 100 * len(list_distinct(w)) < 80 * len(w) AS fb, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS fc,
+  regexp_matches(text, '[#$%&*|]') AS fd, coalesce(w.doc_id > first, false) AS fe, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS (SELECT part, [x[1] FOR x IN [['A', fa::VARCHAR], ['B', fb::VARCHAR], ['C', fc::VARCHAR], ['D', fd::VARCHAR], ['E', fe::VARCHAR]] IF x[2] = 'true'] AS failed, good, toxic FROM f),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(generate_series(1, 5)) AS step FROM o),
+r AS (SELECT c.part, s.filter_order, s.step, s.filter_order[s.step] AS name, c.n, c.good, c.toxic, len(failed) AS k,
+  list_contains(failed, s.filter_order[s.step]) AS fails, len([y FOR y IN failed IF strpos(s.filter_order, y) < s.step]) > 0 AS earlier FROM c CROSS JOIN s),
+a AS (SELECT part, filter_order, step, name, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (WHERE fails AND NOT earlier), 0) AS removed,
+  coalesce(sum(n) FILTER (WHERE fails AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails AND k = 1), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE fails AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails AND NOT earlier), 0) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley FROM a
+"""
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = personal_data.find_personal_data(docs, personal_data.fit_crf(docs))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, personal_data.KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -108,5 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_personal_data": op12_personal_data,
 }
-SQL: dict[str, str] = {"op3_near_dups": OP3_SQL, "op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op3_near_dups": OP3_SQL, "op7_url_filter": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_filter_audit": OP11_SQL}
