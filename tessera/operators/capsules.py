@@ -73,10 +73,13 @@ def pending_review(capsules: DataFrame, tenant: str) -> DataFrame:
     return capsules.where((F.col("tenant") == tenant) & (F.col("status") == "pending_confirmation")).orderBy(F.desc("created_at"), "capsule_id")
 
 
+def promotable(cutoff: str, types: Iterable[str], max_decay: float) -> Column:
+    """Pending rows of these types that have lain untouched since the cutoff and have hardly decayed."""
+    return (F.col("status") == "pending_confirmation") & (F.col("updated_at") < cutoff) & (F.col("decay_score") < max_decay) & F.col("capsule_type").isin(list(types))
+
+
 def auto_promote_candidates(capsules: DataFrame, tenant: str, cutoff: str, types: Iterable[str], max_decay: float) -> DataFrame:
-    return capsules.where(
-        (F.col("tenant") == tenant) & (F.col("status") == "pending_confirmation") & (F.col("updated_at") < cutoff) & (F.col("decay_score") < max_decay) & F.col("capsule_type").isin(list(types))
-    ).orderBy("created_at", "capsule_id")
+    return capsules.where((F.col("tenant") == tenant) & promotable(cutoff, types, max_decay)).orderBy("created_at", "capsule_id")
 
 
 def superseded(capsules: DataFrame) -> DataFrame:
@@ -180,10 +183,12 @@ def guidance_in_scope(filters: list[str]) -> Column:
     return F.when(F.col("scope").isin("project", "repo") & F.lit(bool(filters)), matches_any_scope(filters)).otherwise(F.lit(True))
 
 
-def idle_candidate(cutoff: str, max_confidence: float, min_decay: float, min_chars: int = 40) -> Column:
+def idle_candidate(cutoff: str, max_confidence: float, min_decay: float, min_chars: int = 40, low_value: Column | None = None) -> Column:
+    """low_value: whether the content is of low value, where that is known already."""
+    low_value = low_value_reason(min_chars).isNotNull() if low_value is None else low_value
     return (
         (F.col("status") == "active") & F.col("last_recalled_at").isNull() & (F.col("created_at") <= cutoff)
-        & (F.col("confidence") <= max_confidence + 1e-6) & (F.col("decay_score") >= min_decay) & low_value_reason(min_chars).isNotNull()
+        & (F.col("confidence") <= max_confidence + 1e-6) & (F.col("decay_score") >= min_decay) & low_value
     )
 
 
