@@ -11,16 +11,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tessera.functions.text import SPACE, redact, trimmed
+from tessera.functions.text import SPACE, WHITE, redact, trimmed
 
-# Tags that stand for what varies between tasks.
+# Tags that stand for what varies between tasks, in the order in which they are put in; a word ends where no ASCII letter, digit or _ follows.
+NO_WORD_BEFORE, NO_WORD_AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 TASK_TAGS = (
-    (r"https?://\S+", "<url>"),
-    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
-    (r"(^|\s)/\S+", "$1<path>"),
-    (r"\b[0-9a-f]{7,64}\b", "<hex>"),
-    (r"\b[0-9]+\b", "<num>"),
+    (rf"(?i)https?://[^{WHITE}]+\b", "<url>"),
+    (rf"(?i){NO_WORD_BEFORE}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}{NO_WORD_AFTER}", "<uuid>"),
+    (rf"(?i)(?:[a-z]:\\[^{WHITE}]+|/(?:[^{WHITE}/]+/)+[^{WHITE}]+)", "<path>"),
+    (rf"(?i){NO_WORD_BEFORE}[0-9a-f]{{12,}}{NO_WORD_AFTER}", "<hex>"),
+    (rf"{NO_WORD_BEFORE}[0-9]+{NO_WORD_AFTER}", "<num>"),
 )
+ROUND_ID_TAG = "mem.completed_tool_round.id.v3"
+TASK_VERSION, LEAST_TASK_BYTES, MOST_TASK_BYTES = 1, 8, 64 << 10
 
 
 def framed(parts: list[str | None]) -> str:
@@ -40,7 +43,7 @@ def framed_sha256(parts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def uuid5_oid(name: pd.Series) -> pd.Series:
-    return pd.Series([None if n is None else str(uuid.uuid5(uuid.NAMESPACE_OID, n)) for n in name])
+    return pd.Series([None if n is None else str(uuid.uuid5(uuid.NAMESPACE_OID, n)) for n in name])  # text, or bytes
 
 
 @F.pandas_udf(StringType())
@@ -64,12 +67,30 @@ def key_suffix(content: Column) -> Column:
 
 
 def task_text(text: Column) -> Column:
-    """Redacted, compatibility normal form, lower case, what varies replaced by tags, collapsed; null without a letter or under eight bytes."""
+    """Redacted, compatibility normal form, lower case, what varies replaced by tags, collapsed; null without a letter (those of tags count) or under eight bytes."""
     out = F.lower(nfkc(redact(text)))
     for pattern, tag in TASK_TAGS:
-        out = F.regexp_replace(out, pattern, tag)
+        out = F.regexp_replace(out, pattern, f" {tag} ")
     out = trimmed(F.regexp_replace(out, SPACE + "+", " "))
-    return F.when(F.regexp_replace(out, "<[a-z]+>", "").rlike(r"\p{L}") & (F.octet_length(out) >= 8), out)
+    return F.when(out.rlike(r"\p{IsAlphabetic}") & (F.octet_length(out) >= LEAST_TASK_BYTES), out)
+
+
+def le64(n: Column) -> Column:
+    """A number as eight little-endian bytes."""
+    digits = F.lpad(F.hex(n.cast("bigint")), 16, "0")
+    return F.unhex(F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2))))
+
+
+def with_length(value: Column) -> Column:
+    """The bytes of a text (none where it is null) behind their number."""
+    data = F.encode(F.coalesce(value, F.lit("")), "UTF-8")
+    return F.concat(le64(F.octet_length(data)), data)
+
+
+def round_id(stream: list[Column], message_uuid: Column, line: Column, block: Column) -> Column:
+    """The id of the round that starts at a block: it stays the same however often the transcript is read."""
+    place = F.when(message_uuid.isNotNull(), F.concat(F.unhex(F.lit("01")), with_length(message_uuid))).otherwise(F.concat(F.unhex(F.lit("00")), le64(line), le64(block)))
+    return F.concat(F.lit("round_"), uuid5_oid(F.concat(F.encode(F.lit(ROUND_ID_TAG), "UTF-8"), *map(with_length, stream), place)))
 
 
 def valid_capsule_id(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import trimmed
+
 
 def as_ms(ts: Column) -> Column:
     return ts.cast("bigint")
@@ -43,7 +45,8 @@ def lenient_ms(value: Column) -> Column:
 
 def normalize_event_time(value: Column) -> Column:
     """Digits or an ISO date-time to a stamp; negative or unreadable: null."""
-    digits = F.when(value.rlike("^[0-9]{1,18}$"), value.cast("bigint"))
+    value = trimmed(value)
+    digits = F.when(value.rlike("^0*[0-9]{1,18}$"), value.cast("bigint"))
     parsed = F.unix_millis(F.try_to_timestamp(value))
     ms = F.coalesce(digits, F.when(parsed >= 0, parsed))
     return F.when(ms.isNotNull(), stamp(ms))

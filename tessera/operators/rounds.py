@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.sequences import STREAM, completed_rounds, segments
+from tessera.operators.sequences import STREAM, call, completed_rounds, segments
 
 # The most that a session may hold to be rebuilt.
 MOST_BLOCKS, MOST_BYTES = 20_000, 64 << 20
@@ -24,12 +24,12 @@ def block_digest() -> Column:
 
 
 def source_fingerprints(blocks: DataFrame) -> DataFrame:
-    """One row a session: its blocks counted and fingerprinted. A block's digest holds its place, so the digests are combined without an order (by XOR, in four
-    parts of 32 bits), block by block in a partial aggregate: no session is gathered."""
+    """One row a session: its blocks counted and fingerprinted. A block's digest holds its place, so the digests are combined without an order: added up, in four parts of 32 bits, block by block
+    in a partial aggregate. No session is gathered, and a block that is stored twice counts twice."""
     rows = blocks.where(F.col("session_id").isNotNull()).withColumn("d_", block_digest())
-    part = lambda i: F.bit_xor(F.conv(F.substring("d_", 8 * i + 1, 8), 16, 10).cast("bigint"))
+    part = lambda i: F.sum(F.conv(F.substring("d_", 8 * i + 1, 8), 16, 10).cast("bigint"))
     per = rows.groupBy(*SESSION).agg(F.count("*").alias("blocks"), F.sum(F.octet_length("content")).alias("bytes"), *(part(i).alias(f"p{i}") for i in range(4)))
-    return per.select(*SESSION, "blocks", "bytes", F.concat(*(F.lpad(F.lower(F.hex(f"p{i}")), 8, "0") for i in range(4))).alias("fingerprint"))
+    return per.select(*SESSION, "blocks", "bytes", F.concat(*(F.lpad(F.lower(F.hex(F.pmod(f"p{i}", F.lit(1 << 32)))), 8, "0") for i in range(4))).alias("fingerprint"))
 
 
 def rebuild(blocks: DataFrame, builds: DataFrame, now: str, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -40,14 +40,15 @@ def rebuild(blocks: DataFrame, builds: DataFrame, now: str, dry_run: bool = Fals
     small = blocks.join(prints.where(fits).select(*SESSION), SESSION, "left_semi")
     rounds = completed_rounds(small)
     counts = rounds.groupBy(*SESSION).agg(F.count("*").alias("rounds"), F.count_if("clean").alias("clean"))
-    cuts = segments(small).select(*STREAM, "segment_no").distinct().groupBy(*SESSION).agg(F.count("*").alias("segments"))
+    each = segments(small).where("segment_no > 0").groupBy(*STREAM, "segment_no").agg(F.max(call()).alias("tools"))
+    cuts = each.groupBy(*SESSION).agg(F.count_if("tools").alias("with_tools"), F.count_if(~F.col("tools")).alias("without_tools"))
     last = builds.groupBy(*SESSION).agg(F.max_by(F.struct("version", "fingerprint", "round_count"), F.col("built_at")).alias("b"))
     n = F.coalesce("rounds", F.lit(0))
     same = (F.col("b.version") == VERSION) & (F.col("b.fingerprint") == F.col("fingerprint")) & (F.col("b.round_count") == n)
     status = F.when(~fits, "too_large").when(F.lit(dry_run), "dry_run").when(F.coalesce(same, F.lit(False)), "unchanged").otherwise("published")
     joined = prints.join(counts, SESSION, "left").join(cuts, SESSION, "left").join(last, SESSION, "left")
     report = joined.select(
-        *SESSION, status.alias("status"), "blocks", n.alias("rounds"), F.coalesce("clean", F.lit(0)).alias("clean"), (n - F.coalesce("clean", F.lit(0))).alias("gapped"), (F.coalesce("segments", F.lit(0)) - n).alias("incomplete"), "fingerprint"
+        *SESSION, status.alias("status"), "blocks", n.alias("rounds"), F.coalesce("clean", F.lit(0)).alias("clean"), (n - F.coalesce("clean", F.lit(0))).alias("gapped"), (F.coalesce("with_tools", F.lit(0)) - n).alias("incomplete"), F.coalesce("without_tools", F.lit(0)).alias("without_tools"), "fingerprint"
     )
     todo = report.where("status = 'published'")
     built = todo.select(*SESSION, F.lit(VERSION).cast("bigint").alias("version"), "fingerprint", F.col("rounds").alias("round_count"), F.lit(now).alias("built_at"))

@@ -83,9 +83,9 @@ def score_hits(candidates: DataFrame, lexical: DataFrame, semantic: DataFrame, a
     return rows.withColumn("score", score.cast("bigint"))
 
 
-def message_groups(blocks: DataFrame) -> DataFrame:
+def message_groups(blocks: DataFrame, keys: tuple[str, ...] = ("transcript_path",)) -> DataFrame:
     """group_no per transcript: a new group wherever message_uuid (or the line, where both lack one) changes."""
-    w = Window.partitionBy("transcript_path").orderBy("line_number", "block_index")
+    w = Window.partitionBy(*keys).orderBy("line_number", "block_index", *(["block_id"] if "block_id" in blocks.columns else []))
     previous, line = F.lag("message_uuid").over(w), F.lag("line_number").over(w)
     same = F.when(F.col("message_uuid").isNull() & previous.isNull(), line == F.col("line_number")).otherwise(F.coalesce(F.col("message_uuid") == previous, F.lit(False)))
     marked = blocks.withColumn("new_", F.when(line.isNull() | ~F.coalesce(same, F.lit(False)), 1).otherwise(0))

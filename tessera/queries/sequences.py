@@ -17,30 +17,62 @@ from tessera.sources import jsonl, sync
 from tessera.streaming import stateful
 
 HUMAN = f"role = 'user' AND block_type = 'text' AND {trim('content')} <> ''"
+TOOLS = "block_type IN ('tool_use', 'tool_result')"
 FINAL = f"""role = 'assistant' AND block_type = 'text' AND {trim('content')} <> '' AND NOT uses AND CASE WHEN json_extract_string(meta_json, '$.phase') IS NOT NULL THEN json_extract_string(meta_json, '$.phase') = 'final_answer'
  WHEN json_extract_string(meta_json, '$.stop_reason') IS NOT NULL THEN json_extract_string(meta_json, '$.stop_reason') IN ('stop', 'end_turn') ELSE true END"""
-GROUPS = f"""{prelude('messages')}, l AS (SELECT *, lag(message_uuid) OVER w AS pu, lag(line_number) OVER w AS pl FROM messages WHERE session_id IS NOT NULL WINDOW w AS (PARTITION BY transcript_path ORDER BY line_number, block_index)),
+
+
+def groups_sql(blocks: str) -> str:
+    """Segments: s has the blocks of a view with their group_no and segment_no."""
+    return f"""{prelude(blocks)}, l AS (SELECT *, lag(message_uuid) OVER w AS pu, lag(line_number) OVER w AS pl FROM {blocks} WHERE session_id IS NOT NULL WINDOW w AS (PARTITION BY transcript_path ORDER BY line_number, block_index)),
 m AS (SELECT *, CASE WHEN pl IS NULL THEN 1 WHEN message_uuid IS NULL AND pu IS NULL THEN CASE WHEN pl = line_number THEN 0 ELSE 1 END WHEN coalesce(message_uuid = pu, false) THEN 0 ELSE 1 END AS f FROM l),
 g AS (SELECT *, sum(f) OVER (PARTITION BY transcript_path ORDER BY line_number, block_index) AS group_no FROM m),
-h AS (SELECT transcript_path, group_no, bool_or({HUMAN}) AS human FROM g GROUP BY 1, 2), o AS (SELECT *, lag(human) OVER (PARTITION BY transcript_path ORDER BY group_no) AS ph FROM h),
-sg AS (SELECT transcript_path, group_no, sum(CASE WHEN ph IS NULL OR (human AND NOT ph) THEN 1 ELSE 0 END) OVER (PARTITION BY transcript_path ORDER BY group_no) AS segment_no FROM o),
+h AS (SELECT transcript_path, group_no, bool_or({HUMAN}) AS human, bool_or(role = 'assistant') AS agent FROM g GROUP BY 1, 2),
+hh AS (SELECT *, lag(group_no) OVER (PARTITION BY transcript_path ORDER BY group_no) AS pg FROM h WHERE human),
+op AS (SELECT transcript_path, group_no FROM hh WHERE pg IS NULL OR EXISTS (SELECT 1 FROM h x WHERE x.transcript_path = hh.transcript_path AND x.agent AND NOT x.human AND x.group_no > hh.pg AND x.group_no < hh.group_no)),
+sg AS (SELECT h.transcript_path, h.group_no, count(op.group_no) AS segment_no FROM h LEFT JOIN op ON op.transcript_path = h.transcript_path AND op.group_no <= h.group_no GROUP BY 1, 2),
 s AS (SELECT g.*, segment_no, bool_or(block_type = 'tool_use') OVER (PARTITION BY transcript_path, group_no) AS uses FROM g JOIN sg USING (transcript_path, group_no))"""
 
 
+GROUPS = groups_sql("messages")
+#: Ordered matching: of the results of an id up to a place, as many have no call as the largest excess of results over calls so far; rd has the rounds.
+ROUNDS = f"""{groups_sql("exchanges")}, e AS (SELECT block_id, sum(CASE block_type WHEN 'tool_result' THEN 1 ELSE -1 END) OVER (PARTITION BY transcript_path, segment_no, tool_use_id ORDER BY line_number) AS x, transcript_path, segment_no, tool_use_id, line_number FROM s WHERE {TOOLS} AND tool_use_id IS NOT NULL AND segment_no > 0),
+w AS (SELECT block_id, greatest(0, max(x) OVER (PARTITION BY transcript_path, segment_no, tool_use_id ORDER BY line_number)) AS u, x FROM e), o AS (SELECT w.block_id, w.u > coalesce((SELECT max(y.x) FROM e y JOIN e z ON z.block_id = w.block_id WHERE y.transcript_path = z.transcript_path AND y.segment_no = z.segment_no AND y.tool_use_id = z.tool_use_id AND y.line_number < z.line_number), 0) AND w.u > 0 AS orphan FROM w),
+t AS (SELECT s.*, block_type = 'tool_result' AND tool_use_id IS NOT NULL AND NOT coalesce(orphan, false) AS matched FROM s LEFT JOIN o USING (block_id) WHERE segment_no > 0),
+p AS (SELECT tenant, caller_agent, session_id, transcript_path, segment_no, count(*) FILTER (WHERE block_type = 'tool_use') AS tools, count(*) FILTER (WHERE matched) AS matched, count(*) FILTER (WHERE block_type = 'tool_result' AND NOT matched) AS orphan,
+ count(*) FILTER (WHERE matched AND json_extract_string(meta_json, '$.is_error') = 'true') AS errors, count(*) FILTER (WHERE matched AND json_extract_string(meta_json, '$.is_error') IS NULL) AS unknown,
+ max(group_no) FILTER (WHERE {TOOLS}) AS lt, max(group_no) FILTER (WHERE {FINAL}) AS fg, max(line_number) FILTER (WHERE {FINAL}) AS end_line, min(line_number) FILTER (WHERE {HUMAN}) AS start_line,
+ coalesce(string_agg(tool_use_id, ',' ORDER BY line_number) FILTER (WHERE block_type = 'tool_use'), '') AS call_ids,
+ string_agg(CASE lower(trim(coalesce(tool_name, ''))) WHEN 'bash' THEN 'shell' WHEN 'read' THEN 'read_file' WHEN 'grep' THEN 'search_files' ELSE 'other' END, chr(0) ORDER BY line_number) FILTER (WHERE block_type = 'tool_use') AS pattern,
+ list(CASE lower(trim(tool_name)) WHEN 'bash' THEN 'shell' WHEN 'read' THEN 'read_file' WHEN 'grep' THEN 'search_files' ELSE 'other' END ORDER BY line_number) FILTER (WHERE block_type = 'tool_use' AND tool_name IS NOT NULL) AS fam,
+ string_agg({trim('content')}, chr(10) ORDER BY line_number) FILTER (WHERE {HUMAN}) AS task, max(CASE WHEN {FINAL} THEN created_at END) AS created FROM t GROUP BY ALL),
+rd AS (SELECT *, tools - matched AS missing, tools = matched AND orphan = 0 AS clean, CASE WHEN segment_no < max(segment_no) OVER (PARTITION BY transcript_path) THEN 'next_human' ELSE 'stream_end' END AS seal FROM p QUALIFY tools > 0 AND fg >= lt)"""
+
+
 @query(f"{GROUPS} SELECT block_id, CAST(group_no AS BIGINT) AS group_no, CAST(segment_no AS BIGINT) AS segment_no FROM s")
 def segments(spark, sf_dir):
     return Q.segments(view(spark, sf_dir, "messages")).select("block_id", "group_no", "segment_no")
 
 
 @query(
-    f"""{GROUPS}, c AS (SELECT transcript_path, segment_no, tool_use_id, count(*) FILTER (WHERE block_type = 'tool_use') AS c, count(*) FILTER (WHERE block_type = 'tool_result') AS r FROM s WHERE block_type IN ('tool_use', 'tool_result') GROUP BY 1, 2, 3),
-mt AS (SELECT transcript_path, segment_no, sum(least(c, r)) AS matched, sum(greatest(0, c - r)) AS missing, sum(greatest(0, r - c)) AS orphan FROM c GROUP BY 1, 2),
-p AS (SELECT transcript_path, segment_no, count(*) FILTER (WHERE block_type = 'tool_use') AS tools, max(line_number) FILTER (WHERE block_type IN ('tool_use', 'tool_result')) AS lt, max(line_number) FILTER (WHERE {FINAL}) AS fa, count(*) FILTER (WHERE block_type = 'tool_result' AND json_extract_string(meta_json, '$.is_error') = 'true') AS errors, min(line_number) FILTER (WHERE {HUMAN}) AS st,
- string_agg(CASE lower(tool_name) WHEN 'bash' THEN 'shell' WHEN 'read' THEN 'read_file' WHEN 'grep' THEN 'search_files' ELSE 'other' END, '>' ORDER BY line_number) FILTER (WHERE block_type = 'tool_use') AS pattern FROM s GROUP BY 1, 2)
-SELECT transcript_path, CAST(segment_no AS BIGINT) AS segment_no, tools, CAST(matched AS BIGINT) AS matched, CAST(missing AS BIGINT) AS missing, CAST(orphan AS BIGINT) AS orphan, pattern, missing = 0 AND orphan = 0 AS clean, errors FROM p JOIN mt USING (transcript_path, segment_no) WHERE tools > 0 AND st IS NOT NULL AND fa > lt"""
+    f"""{ROUNDS} SELECT transcript_path, CAST(segment_no AS BIGINT) AS segment_no, tools, matched, missing, orphan, errors, unknown, clean, call_ids,
+ coalesce((SELECT string_agg(x, ',' ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT fam[i] AS x, i FROM (SELECT unnest(generate_series(1, len(fam))) AS i)) GROUP BY x)), '') AS families,
+ sha256(unhex('0100000000') || encode(pattern)) AS pattern_fingerprint, md5(task) AS task, seal, start_line, end_line,
+ lpad(CASE WHEN created LIKE '%T%' THEN '1704067200000' ELSE ltrim(created, '0') END, 20, '0') AS completed_at FROM rd"""
 )
 def completed_rounds(spark, sf_dir):
-    return Q.completed_rounds(view(spark, sf_dir, "messages")).select("transcript_path", "segment_no", "tools", "matched", "missing", "orphan", "pattern", "clean", "errors")
+    out = Q.completed_rounds(view(spark, sf_dir, "exchanges"))
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return out.select(
+        "transcript_path", "segment_no", "tools", "matched", "missing", "orphan", "errors", "unknown", "clean", listed("call_ids"), listed("families"), "pattern_fingerprint", F.md5("task").alias("task"), "seal",
+        F.col("start_at.line_number").alias("start_line"), F.col("final_at.line_number").alias("end_line"), "completed_at",
+    )
+
+
+@query()
+def named_rounds(spark, sf_dir):
+    """Ids and task fingerprints of rounds; held against plain Python in tests, as SQL has no name-based ids."""
+    return Q.named_rounds(Q.completed_rounds(view(spark, sf_dir, "exchanges"))).select("transcript_path", "segment_no", "round_id", "task_fingerprint")
 
 
 def event_rounds(spark, sf_dir):

@@ -186,22 +186,19 @@ _FRAMED = " || ".join(f"strlen(coalesce(CAST({c} AS VARCHAR), '')) || ':' || coa
 
 
 def rebuild_sql() -> str:
-    from tessera.queries.sequences import FINAL, GROUPS, HUMAN
-
-    part = lambda i: f"bit_xor(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT))"
-    tools = "block_type IN ('tool_use', 'tool_result')"
-    return f"""{GROUPS}, fp AS (SELECT tenant, session_id, count(*) AS blocks, {" || ".join(f"lpad(lower(to_hex({part(i)})), 8, '0')" for i in range(4))} AS fingerprint FROM (SELECT *, md5({_FRAMED}) AS d FROM messages WHERE session_id IS NOT NULL) GROUP BY 1, 2),
-c AS (SELECT tenant, session_id, segment_no, tool_use_id, count(*) FILTER (WHERE block_type = 'tool_use') AS c, count(*) FILTER (WHERE block_type = 'tool_result') AS r FROM s WHERE {tools} GROUP BY 1, 2, 3, 4), mt AS (SELECT tenant, session_id, segment_no, sum(abs(c - r)) AS gaps FROM c GROUP BY 1, 2, 3),
-p AS (SELECT tenant, session_id, segment_no, count(*) FILTER (WHERE block_type = 'tool_use') AS tools, max(line_number) FILTER (WHERE {tools}) AS lt, max(line_number) FILTER (WHERE {FINAL}) AS fa, min(line_number) FILTER (WHERE {HUMAN}) AS st FROM s GROUP BY 1, 2, 3),
-rd AS (SELECT p.*, gaps FROM p JOIN mt USING (tenant, session_id, segment_no) WHERE tools > 0 AND st IS NOT NULL AND fa > lt), ag AS (SELECT tenant, session_id, count(*) AS rounds, count(*) FILTER (WHERE gaps = 0) AS clean FROM rd GROUP BY 1, 2), sgm AS (SELECT tenant, session_id, count(*) AS segments FROM p GROUP BY 1, 2)
-SELECT fp.tenant, fp.session_id, CASE WHEN fp.tenant = 't2' THEN 'unchanged' ELSE 'published' END AS status, blocks, coalesce(rounds, 0) AS rounds, coalesce(clean, 0) AS clean, coalesce(rounds, 0) - coalesce(clean, 0) AS gapped, segments - coalesce(rounds, 0) AS incomplete, fingerprint
+    from tessera.queries.sequences import ROUNDS
+
+    part = lambda i: f"sum(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT)) % 4294967296"
+    return f"""{ROUNDS}, fp AS (SELECT tenant, session_id, count(*) AS blocks, {" || ".join(f"lpad(lower(to_hex(CAST({part(i)} AS BIGINT))), 8, '0')" for i in range(4))} AS fingerprint FROM (SELECT *, md5({_FRAMED}) AS d FROM exchanges WHERE session_id IS NOT NULL) GROUP BY 1, 2),
+ag AS (SELECT tenant, session_id, count(*) AS rounds, count(*) FILTER (WHERE clean) AS clean FROM rd GROUP BY 1, 2), sgm AS (SELECT tenant, session_id, count(*) FILTER (WHERE tools > 0) AS wt, count(*) FILTER (WHERE tools = 0) AS wo FROM p GROUP BY 1, 2)
+SELECT fp.tenant, fp.session_id, CASE WHEN fp.tenant = 't2' THEN 'unchanged' ELSE 'published' END AS status, blocks, coalesce(rounds, 0) AS rounds, coalesce(clean, 0) AS clean, coalesce(rounds, 0) - coalesce(clean, 0) AS gapped, coalesce(wt, 0) - coalesce(rounds, 0) AS incomplete, coalesce(wo, 0) AS without_tools, fingerprint
 FROM fp LEFT JOIN ag USING (tenant, session_id) LEFT JOIN sgm USING (tenant, session_id)"""
 
 
 @query(rebuild_sql())
 def round_rebuild(spark, sf_dir):
     """Built once for a tenant; then all sessions again, of which that tenant's are unchanged."""
-    m = view(spark, sf_dir, "messages")
+    m = view(spark, sf_dir, "exchanges")
     none = spark.createDataFrame([], "tenant string, session_id string, version bigint, fingerprint string, round_count bigint, built_at string")
     built = rounds.rebuild(m.where("tenant = 't2'"), none, NOW)[2]
     return rounds.rebuild(m, built, NOW)[0]

@@ -65,7 +65,8 @@ def test_hashes(spark):
     assert one(spark, hashing.uuid5_oid(F.col("t")), t="abc") == str(uuid.uuid5(uuid.NAMESPACE_OID, "abc"))
     assert hashing.framed(["a", "bc"]) != hashing.framed(["ab", "c"])
     assert one(spark, hashing.task_text(F.col("t")), t="Fix ﬁle 12 at https://x.y/z now") == "fix file <num> at <url> now"
-    assert one(spark, hashing.task_text(F.col("t")), t="12 34") is None
+    assert one(spark, hashing.task_text(F.col("t")), t="12") is None and one(spark, hashing.task_text(F.col("t")), t="12 34") == "<num> <num>"  # letters of tags count
+    assert one(spark, hashing.task_text(F.col("t")), t="see /usr/lib/x.so c:\\a\\b deadbeef deadbeef0123 /tmp x1 3f2504e0-4f89-41d3-9a0c-0305e82c3301") == "see <path> <path> deadbeef <hex> /tmp x1 <uuid>"
 
 
 def test_deterministic_embedding(spark):
