@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard, normalize_alias, workflow_key
 from tessera.operators.capsules import is_episodic, is_guidance, themes
+from tessera.operators.neighbours import nearest_in_band, similarity_forest
 from tessera.operators.retrieval import SCALE, components, similarity_pairs
 from tessera.operators.storage import first_of_each
 
@@ -60,8 +61,7 @@ def corecall(capsules: DataFrame, linked: DataFrame, least: int = 2, most: int =
 def clusters(capsules: DataFrame, vectors: DataFrame, threshold: float, keys: tuple[str, ...]) -> DataFrame:
     """capsule_id, root, of capsules alike within equal keys; a capsule alone is its own root."""
     v = vectors.join(capsules.select("capsule_id", *keys), "capsule_id")
-    pairs = similarity_pairs(v.select("capsule_id", "embedding", *(F.coalesce(k, F.lit("")).alias(k) for k in keys)), threshold, keys=keys)
-    roots = components(pairs.select("a", "b"))
+    roots = components(similarity_forest(v.select("capsule_id", "embedding", *keys), threshold, keys=keys))
     return v.select("capsule_id").distinct().join(roots.withColumnRenamed("node", "capsule_id"), "capsule_id", "left").withColumn("root", F.coalesce("root", "capsule_id"))
 
 
@@ -74,13 +74,9 @@ def near_duplicate_groups(capsules: DataFrame, vectors: DataFrame, threshold: fl
     return grouped.join(best, "root").select("capsule_id", "root", "survivor")
 
 
-def band_links(vectors: DataFrame, low: float, high: float, most: int = 4) -> DataFrame:
-    """Neighbours in a band of similarity, the best `most` of each capsule: from, to, sim."""
-    pairs = similarity_pairs(vectors, low, high)
-    both = pairs.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "sim").unionAll(pairs.select(F.col("b"), F.col("a"), "sim"))
-    from pyspark.sql.window import Window
-
-    return both.withColumn("pos", F.row_number().over(Window.partitionBy("from_id").orderBy(F.desc("sim"), "to_id"))).where(F.col("pos") <= most)
+def band_links(vectors: DataFrame, low: float, high: float, most: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Neighbours in a band of similarity, the best `most` of each capsule (of equal keys: tenant, model): from, to, sim."""
+    return nearest_in_band(vectors, most, low, high, keys)
 
 
 def detect_merge(clustered: DataFrame) -> DataFrame:

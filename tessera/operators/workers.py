@@ -14,12 +14,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.embedding import Provider, deterministic, embed
 from tessera.functions.text import chunks, embed_input, redact
 from tessera.functions.timefn import add_ms
 from tessera.operators import queue as Q
-from tessera.operators.storage import cut, replace_by_key, update_where
+from tessera.operators.neighbours import nearest_in_band
+from tessera.operators.retrieval import SCALE
+from tessera.operators.storage import cut, first_of_each, replace_by_key, update_where
 
 FOR_GOOD = ("no_provider", "missing")
 
@@ -70,6 +73,35 @@ def tick(jobs: DataFrame, rows: DataFrame, vectors: DataFrame, s: Settings, now:
     return Tick(settled(taken if jobs_after is None else jobs_after, outcomes, s.most_attempts, now), replace_by_key(vectors.select(*new.columns), new, [id_column]), outcomes)
 
 
+# Fixed values of the neighbourhood that a committed vector gets.
+NEAR_AT, LINK_AT, LOOKED_AT, MOST_LINKS = 0.92, 0.80, 12, 4
+
+
+def neighbourhood(capsules: DataFrame, vectors: DataFrame, completed: DataFrame, now: str, near_at: float | None = NEAR_AT, link_at: float | None = LINK_AT) -> tuple[DataFrame, DataFrame]:
+    """(capsules, edges) once the vectors of `completed` (capsule_id) are committed. Of an active capsule its 11 nearest live neighbours of the tenant are looked at, those embedded by the same model count.
+
+    Neighbours at near_at or above are suspected copies: the capsule waits for review, and an edge points to the most complete of them (the longest content, then the earliest). Neighbours from link_at up to near_at, four at
+    most, are linked. None switches a part off; without the first, links have no upper bound. vectors: capsule_id, chunk, embedding, model; the first chunk stands for a capsule."""
+    live = capsules.where(~F.col("status").isin("archived", "rejected") & (F.col("capsule_type") != "diary")).select("capsule_id", "tenant", "status", F.octet_length("content").alias("bytes"), "created_at")
+    rows = vectors.where("chunk = 0").select("capsule_id", "embedding", "model").join(live, "capsule_id")
+    asks = rows.where("status = 'active'").join(completed.select("capsule_id"), "capsule_id", "left_semi").select("capsule_id")
+    near = cut(nearest_in_band(rows, LOOKED_AT - 1, keys=("tenant",), queries=asks))
+    side = lambda name: rows.select(F.col("capsule_id").alias(f"{name}_id"), F.col("model").alias(f"{name}_model"), F.col("bytes").alias(f"{name}_bytes"), F.col("created_at").alias(f"{name}_at"))
+    known = near.join(side("from"), "from_id").join(side("to"), "to_id").where("from_model = to_model").select("from_id", "to_id", "sim", "to_bytes", "to_at")
+    node = lambda c: F.concat(F.lit("capability_capsule:"), c)
+    edge = lambda rows_, relation, extractor: rows_.select(
+        node("from_id").alias("from_node"), node("to_id").alias("to_node"), F.lit(relation).alias("relation"), F.lit(now).alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), (F.col("sim") / SCALE).alias("confidence"), F.lit(extractor).alias("extractor")
+    )
+    copies = known.where(F.lit(False) if near_at is None else F.col("sim") >= round(near_at * SCALE))
+    flagged = first_of_each(copies, ["from_id"], F.desc("to_bytes"), F.asc("to_at"), F.asc("to_id"))
+    band = F.lit(False) if link_at is None else (F.col("sim") >= round(link_at * SCALE)) & (F.lit(True) if near_at is None else F.col("sim") < round(near_at * SCALE))
+    order = Window.partitionBy("from_id").orderBy(F.desc("sim"), "to_id")
+    links = known.where(band).withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= MOST_LINKS)
+    marked = capsules.join(flagged.select(F.col("from_id").alias("capsule_id"), F.lit(True).alias("flagged_")), "capsule_id", "left")
+    state = update_where(marked, F.col("flagged_"), status=F.lit("pending_confirmation")).select(*capsules.columns)
+    return state, edge(flagged, "suspected_supersede", "o7_neardup_cluster").unionByName(edge(links, "related_to", "ingest_link"))
+
+
 def settled(jobs: DataFrame, outcomes: DataFrame, most_attempts: int, now: str) -> DataFrame:
     """The queue after a batch: each job that is still ours takes the state of its outcome."""
     joined = jobs.join(outcomes.select("job_id", F.col("outcome").alias("o_")), "job_id", "left")

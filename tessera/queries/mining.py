@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.fixtures import edges, prelude, view
 from tessera.operators import mining as M
 from tessera.operators import retrieval as R
+from tessera.operators import workers
 from tessera.queries import query
 
 CAP = prelude("capsules")
@@ -65,6 +66,23 @@ def band_links(spark, sf_dir):
     return M.band_links(vecs(spark, sf_dir), 0.30, 0.45)
 
 
+NEIGHBOURS = f"""{CV}, {UNIT}, v AS (SELECT u.*, c.tenant, c.status, octet_length(encode(c.content)) AS bytes, c.created_at, u.n % 3 = 0 AS model FROM u JOIN capsules c USING (capsule_id) WHERE c.status NOT IN ('archived', 'rejected') AND c.capsule_type <> 'diary'),
+p AS (SELECT x.capsule_id AS f, y.capsule_id AS t, {SIM} AS sim, x.model = y.model AS alike, y.bytes, y.created_at FROM v x JOIN v y ON x.tenant = y.tenant AND x.capsule_id <> y.capsule_id WHERE x.status = 'active'),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY sim DESC, t) AS pos FROM p) WHERE pos <= 11 AND alike),
+fl AS (SELECT f, t, sim, row_number() OVER (PARTITION BY f ORDER BY bytes DESC, created_at, t) AS pos FROM k WHERE sim >= 420000), li AS (SELECT f, t, sim, row_number() OVER (PARTITION BY f ORDER BY sim DESC, t) AS pos FROM k WHERE sim >= 250000 AND sim < 420000)
+SELECT 'capability_capsule:' || f AS from_node, 'capability_capsule:' || t AS to_node, 'suspected_supersede' AS relation, sim, 'pending_confirmation' AS status FROM fl WHERE pos = 1
+UNION ALL SELECT 'capability_capsule:' || f, 'capability_capsule:' || t, 'related_to', sim, CASE WHEN EXISTS (SELECT 1 FROM fl WHERE fl.f = li.f) THEN 'pending_confirmation' ELSE 'active' END FROM li WHERE pos <= 4"""
+
+
+@query(NEIGHBOURS)
+def embedding_neighbourhood(spark, sf_dir):
+    """All active capsules as if their vectors had just been committed; two models."""
+    c, v = caps(spark, sf_dir), vecs(spark, sf_dir).select("capsule_id", F.lit(0).alias("chunk"), "embedding", (F.col("n") % 3 == 0).alias("model"))
+    state, links = workers.neighbourhood(c, v, c.select("capsule_id"), "00000001704070000000", 0.42, 0.25)
+    now = state.select(F.concat(F.lit("capability_capsule:"), "capsule_id").alias("from_node"), "status")
+    return links.join(now, "from_node").select("from_node", "to_node", "relation", F.round(F.col("confidence") * 1_000_000).cast("bigint").alias("sim"), "status")
+
+
 CLUSTER = f"""{CV}, {UNIT}, g AS (SELECT u.*, c.capsule_type AS k FROM u JOIN capsules c USING (capsule_id)), pr AS (SELECT x.capsule_id AS a, y.capsule_id AS b FROM g x JOIN g y ON x.k = y.k AND x.capsule_id < y.capsule_id WHERE {SIM} >= 300000),
 l AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), reach(id, r) AS (SELECT capsule_id, capsule_id FROM g UNION SELECT l.b, reach.r FROM reach JOIN l ON l.a = reach.id), roots AS (SELECT id AS capsule_id, min(r) AS root FROM reach GROUP BY id),
 cl AS (SELECT c.*, roots.root FROM roots JOIN capsules c USING (capsule_id))"""
