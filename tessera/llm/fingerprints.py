@@ -5,7 +5,7 @@ densification: bin j tries bins h(j, 1), h(j, 2), ... until one is not empty, a
 of each bin are packed. The likeness of two fingerprints is the share of equal bins, corrected for equality by chance (2^-bits).
 
 Defined results: rows without a doc_id come first in the order and have a next document like all others; rows that repeat a doc_id follow each other by
-text. doc_id is an integer, or text that reads as one. Very long texts are hashed whole, one at a time. Extra columns, whatever their names, do no harm.
+text. doc_id is an integer, or text that reads as one; other text counts as no doc_id. Very long texts are hashed whole, one at a time. Extra columns, whatever their names, do no harm.
 Texts without words have an all-zero fingerprint marked `-` (empty string for the packed form); two of them are alike (1.0), one
 of them and any other are not (0.0). Texts of fewer words than a shingle are one shingle. Equal texts have equal fingerprints.
 """
@@ -100,7 +100,7 @@ def edited(text: str, following: str) -> str:
 def in_order_with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """Rows (doc_id, text, part, ghost), dealt by ranges of doc_id and sorted in each: a range ends with a copy (ghost) of the first row of the
     next range that has rows, so each row meets its successor without a global window. One shuffle of texts; the driver sees one id per range."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.select("doc_id").where("doc_id is not null")
     cuts = np.array(sorted({int(x) for x in ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))}), np.int64)
 

@@ -15,7 +15,7 @@ members, s of them strays, costs about n s / STRAY_BLOCK copies of a text. Compo
 the corpus reaches the driver.
 
 Defined results: texts without words have an empty set and are linked with nothing; each is kept. Texts of fewer words than a shingle are one
-shingle. doc_id is an integer, or text that reads as one. Rows of one doc_id are one document, linked by any of its texts. Rows without a doc_id are linked with nothing, kept, and have no
+shingle. doc_id is an integer, or text that reads as one; other text counts as no doc_id. Rows of one doc_id are one document, linked by any of its texts. Rows without a doc_id are linked with nothing, kept, and have no
 component. Extra columns do no harm.
 """
 
@@ -99,7 +99,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             "sig": [signature(s).tobytes() if len(s) else None for s in sets],
         }
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, code long, n_shingles long, digest binary, sig binary")
+    return map_rows(docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text"), run, "doc_id long, code long, n_shingles long, digest binary, sig binary")
 
 
 def list_keys(classes: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def pack_texts(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
         return {"doc_id": doc_id, "packed": [pack((t or "").encode("utf-8", "surrogatepass")) for t in text]}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, packed binary")
+    return map_rows(docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text"), run, "doc_id long, packed binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -288,9 +288,9 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     first, so that a retry keeps the same). All columns pass."""
     verdict = near_duplicates(docs, size, percent)
     dropped = verdict.where("not kept").select(F.col("doc_id").alias("d_id")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("d_id_"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").try_cast("long").alias("d_id_"))
     left = rows.join(dropped, F.col("d_id_") == F.col("d_id"), "left_anti")
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"))
+    repeats = docs.select(F.col("doc_id").try_cast("long").alias("r_id")).where("r_id is not null").groupBy("r_id").agg(F.count("*").alias("n")).where("n > 1").select("r_id")
     if repeats.isEmpty():
         return left.select("row.*")
     repeated = F.col("d_id_") == F.col("r_id")

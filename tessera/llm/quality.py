@@ -166,8 +166,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").alias("l_id"), "quality")
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("quality", "text")  # fit_rows rows of two numbers at most
-    found = map_rows(sample, _fit_columns, "quality int, x array<double>").limit(2 * fit_rows).toPandas()
+    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("l_id", "quality", "text")  # fit_rows rows of two numbers at most
+    each = map_rows(sample, _fit_columns, f"l_id {sample.schema['l_id'].dataType.simpleString()}, quality int, x array<double>")
+    found = each.groupBy("l_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("r.*").toPandas()  # one row a doc_id, whichever task comes first
     rows = sorted(zip(map(tuple, found["x"]), found["quality"], strict=True))  # the order of arrival must not matter
     y = np.array([q for _, q in rows], float)
     if len(y) == 0 or y.min() == y.max():
@@ -175,8 +176,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return fit_trees(np.array([x for x, _ in rows], float), y, list(FEATURES.values()))
 
 
-def _fit_columns(quality: list, text: list) -> dict[str, list]:
-    return {"quality": quality, "x": [statistics(t)[1] for t in text]}
+def _fit_columns(l_id: list, quality: list, text: list) -> dict[str, list]:
+    return {"l_id": l_id, "quality": quality, "x": [statistics(t)[1] for t in text]}
 
 
 def judge_quality(docs: DataFrame, trees: Trees | None, keep_at: float = KEEP_AT) -> DataFrame:

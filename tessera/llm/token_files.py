@@ -245,7 +245,7 @@ def encode_corpus(docs: DataFrame, model: str = MODEL, ranges: int | None = None
     """Written table (part, doc_id, seq, ids): ids as little-endian 32-bit bytes, dealt by ranges of doc_id."""
     spark = docs.sparkSession
     ranges = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     cuts = range_parts(rows.select("doc_id"), ranges)
 
     def run(doc_id: list, text: list) -> dict[str, list]:

@@ -154,17 +154,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, f
         return None
     pick = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for k in (0, 1)]
     wanted = pick[0].unionAll(pick[1]).select(F.col("doc_id").alias("l_id"), "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("toxic", "text")  # 2 x fit_rows ids at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("l_id", "toxic", "text")  # 2 x fit_rows ids at most
 
-    def spread(toxic: list, text: list) -> dict[str, list]:
+    def spread(l_id: list, toxic: list, text: list) -> dict[str, list]:
         out = []
         for t in text:
             w = windows(t)
             step = max(1, math.ceil(len(w) * WINDOW_BYTES / fit_bytes))
             out.append([x.decode("utf-8", "ignore") for x in w[::step]])
-        return {"toxic": toxic, "windows": out}
+        return {"l_id": l_id, "toxic": toxic, "windows": out}
 
-    found = map_rows(rows, spread, "toxic int, windows array<string>").distinct().limit(2 * fit_rows).collect()
+    each = map_rows(rows, spread, f"l_id {rows.schema['l_id'].dataType.simpleString()}, toxic int, windows array<string>")
+    found = each.groupBy("l_id").agg(F.min(F.struct("toxic", "windows")).alias("r")).select("r.*").distinct().collect()  # one row a doc_id, whichever task comes first
     found = sorted((r["toxic"], [w.encode() for w in r["windows"]]) for r in found if r["windows"])
     made, rest = found[::2], found[1::2]
     sides = [[w for y, w in made if y == k] for k in (1, 0)]

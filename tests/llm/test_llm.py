@@ -745,3 +745,20 @@ def test_written_tables_can_be_removed(spark):
     assert df.count() == 5 and common.remove_written(spark) == 1
     with pytest.raises(Exception, match=r"FILE_NOT_EXIST|does not exist|FileNotFound"):
         df.collect()
+
+
+def test_ids_that_are_no_numbers(spark):
+    """Text that does not read as an integer counts as no doc_id, and nothing fails."""
+    docs = spark.createDataFrame([("1", "one two three four five six"), ("doc-1", "one two three four five six"), ("2", "one two three four five six"), (None, "x")], "doc_id string, text string")
+    same(near_dups.near_duplicates(docs, 2, 80).collect(), [(1, 5, 1, True), (2, 5, 1, False), (None, 5, None, True), (None, 1, None, True)])
+    assert sorted(r["doc_id"] or "" for r in near_dups.drop_near_duplicates(docs, 2, 80).collect()) == ["", "1", "doc-1"]
+    assert fingerprints.fingerprint_documents(docs).count() == 4
+
+
+def test_fits_do_not_depend_on_the_order_of_repeated_rows(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    again = docs.unionByName(docs.withColumn("text", F.reverse("text")))
+    one, two = (quality.fit_quality(again.repartition(n), labels, fit_rows=150) for n in (3, 7))
+    assert all(np.array_equal(getattr(one, f), getattr(two, f)) for f in ("feature", "threshold", "left", "right", "value"))
+    one, two = (toxicity.fit_toxicity(again.repartition(n), labels, fit_rows=100) for n in (3, 7))
+    assert one.ordinary == two.ordinary and one.toxic == two.toxic and np.array_equal(one.weights, two.weights)
