@@ -61,9 +61,15 @@ def within(line: Column, index: Column, start: tuple[Column, Column], stop: tupl
     return pair(line, index).between(pair(*start), pair(*stop))
 
 
+# Fixed value: what counts as success where a workflow names nothing.
+NO_SIGNAL = "task completed without rollback"
+
+
 def success_signals() -> Column:
-    """Evidence, else code references, else a default text."""
-    return F.when(F.size("evidence") > 0, F.col("evidence")).when(F.size("code_refs") > 0, F.col("code_refs")).otherwise(F.array(F.lit("outcome confirmed by the user")))
+    """The evidence as one text, the code references as another; a default text without both."""
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", "))
+    found = F.array_compact(F.array(joined("evidence"), joined("code_refs")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_SIGNAL)))
 
 
 def anchor_nodes() -> Column:

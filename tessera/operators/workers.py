@@ -10,6 +10,7 @@ All jobs of a batch go through the same joins, so a batch costs a fixed number o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.embedding import Provider, deterministic, embed
-from tessera.functions.text import chunks, embed_input, redact
+from tessera.functions.subwords import subword_chunks
+from tessera.functions.text import embed_input, redact
 from tessera.functions.timefn import add_ms
 from tessera.operators import queue as Q
 from tessera.operators.neighbours import nearest_in_band
@@ -34,6 +36,8 @@ class Settings:
     batch: int = 32
     most_attempts: int = 3
     call: Provider = deterministic
+    #: How a text is cut to what the provider takes: windows of subwords, or of words where no vocabulary is at hand.
+    windows: Callable[[Column], Column] = subword_chunks
 
 
 @dataclass
@@ -60,7 +64,7 @@ def tick(jobs: DataFrame, rows: DataFrame, vectors: DataFrame, s: Settings, now:
     picked = cut(Q.claim(jobs, now, s.most_attempts, s.batch))  # s.batch rows; what follows reads the claim, not the queue
     taken = Q.claimed(jobs, picked, now)
     before = guard(picked, rows, id_column, s.provider, check_hash)
-    pieces = before.where("outcome is null").select("job_id", F.posexplode(chunks(F.col("text"))).alias("chunk", "piece"))
+    pieces = before.where("outcome is null").select("job_id", F.posexplode(s.windows(F.col("text"))).alias("chunk", "piece"))
     made = cut(pieces.select("job_id", "chunk", embed(s.call)(F.col("piece")).alias("embedding")))
     sound = made.groupBy("job_id").agg(F.count("*").alias("chunks"), F.bool_and(F.coalesce(F.size("embedding") == s.dim, F.lit(False))).alias("sound"))
     again = guard(picked, rows if after is None else after, id_column, s.provider, check_hash).select("job_id", F.col("outcome").alias("later"))

@@ -66,7 +66,7 @@ def finalize(scored: DataFrame, s: Search) -> DataFrame:
 
 
 def section() -> Column:
-    text = F.lower(F.concat_ws(" ", "summary", "content"))
+    text = F.lower(F.concat_ws(" ", "summary", "content", F.array_join("tags", " ")))
     return (
         F.when(F.col("capsule_type") == "preference", "directive").when(F.col("capsule_type") == "workflow", "workflow")
         .when(text.rlike("pattern|heuristic|workflow|repeat"), "pattern").otherwise("fact")
@@ -77,12 +77,16 @@ def section_items(budget: int) -> int:
     return 1 if budget <= 120 else 2 if budget <= 250 else 3 if budget <= 450 else 4
 
 
+def shares_of(budget: int) -> dict[str, int]:
+    """The sections' shares of a budget."""
+    shares = {"directive": budget * 30 // 100, "fact": budget * 35 // 100, "pattern": budget * 20 // 100}
+    return shares | {"workflow": budget - sum(shares.values())}
+
+
 def pack(ranked: DataFrame, budget: int) -> DataFrame:
     """section, pos: the first rows of each section within its share of the budget."""
-    shares = {"directive": budget * 30 // 100, "fact": budget * 35 // 100, "pattern": budget * 20 // 100}
-    shares["workflow"] = budget - sum(shares.values())
     most = F.lit(0)
-    for name, b in shares.items():
+    for name, b in shares_of(budget).items():
         most = F.when(F.col("section") == name, section_items(b) if name != "workflow" else 1).otherwise(most)
     usable = ranked.withColumn("section", section()).where((F.col("section") != "workflow") | (F.col("status") == "active"))
     return usable.withColumn("pos", F.row_number().over(Window.partitionBy("section").orderBy("rank"))).where(F.col("pos") <= most)

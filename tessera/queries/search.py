@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.fixtures import prelude, view
+from tessera.functions.text import WHITE, redact
 from tessera.operators import retrieval as R
 from tessera.plans import capsule_search as S
+from tessera.plans import packing
 from tessera.queries import query
-from tessera.queries.dialect import words
+from tessera.queries.dialect import SPACE, trim, words
+from tessera.queries.text import redact_sql
 from tessera.schemas import CAPSULE_TYPES
 
 QUERY = "the thing of erin für than in heer"
@@ -146,17 +149,85 @@ def recall_score(spark, sf_dir):
     return out.select("capsule_id", "score", text_match_score(SCORED).alias("text_score"), freshness_score(F.col("newest"), freshness_anchor()).alias("fresh"))
 
 
-@query(
-    f"""{search_sql()}, us AS (SELECT *, CASE WHEN capsule_type = 'preference' THEN 'directive' WHEN capsule_type = 'workflow' THEN 'workflow'
- WHEN regexp_matches(lower(concat_ws(' ', summary, content)), 'pattern|heuristic|workflow|repeat') THEN 'pattern' ELSE 'fact' END AS section FROM rk),
-ps AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY rank) AS pos FROM us WHERE section <> 'workflow' OR status = 'active')
-SELECT section, CAST(pos AS INTEGER) AS pos, capsule_id FROM ps WHERE pos <= CASE section WHEN 'directive' THEN 1 WHEN 'fact' THEN 2 WHEN 'pattern' THEN 1 ELSE 1 END"""
-)
+def sections_sql(rows: str, most: tuple[int, int, int]) -> str:
+    """ps: the first rows of each section; directives, facts and patterns as many as `most`."""
+    return f"""us AS (SELECT *, CASE WHEN capsule_type = 'preference' THEN 'directive' WHEN capsule_type = 'workflow' THEN 'workflow'
+ WHEN regexp_matches(lower(concat_ws(' ', summary, content, array_to_string(tags, ' '))), 'pattern|heuristic|workflow|repeat') THEN 'pattern' ELSE 'fact' END AS section FROM {rows}),
+ps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY rank) AS pos FROM us WHERE section <> 'workflow' OR status = 'active') WHERE pos <= CASE section WHEN 'directive' THEN {most[0]} WHEN 'fact' THEN {most[1]} WHEN 'pattern' THEN {most[2]} ELSE 1 END)"""
+
+
+@query(f"""{search_sql()}, {sections_sql('rk', (1, 2, 1))} SELECT section, CAST(pos AS INTEGER) AS pos, capsule_id FROM ps""")
 def packed_sections(spark, sf_dir):
     r = request()
     return S.pack(S.search(view(spark, sf_dir, "capsules"), view(spark, sf_dir, "vectors"), r), r.budget).select("section", "pos", "capsule_id")
 
 
+def words_cut(x: str, n: int) -> str:
+    """A text cut to so many words, its secrets masked."""
+    safe, n = redact_sql(x), max(8, n)
+    return f"CASE WHEN len(regexp_extract_all({safe}, '[^{WHITE}]+')) <= {n} THEN {safe} ELSE {trim(f"regexp_extract({safe}, '^({SPACE}*([^{WHITE}]+{SPACE}+){{{n}}})', 1)")} END"
+
+
+def packed_sql(budget: int) -> str:
+    """The texts of ps."""
+    share = S.shares_of(max(80, budget))
+    flow = share["workflow"]
+    items = S.section_items(flow)
+    spoken, patterns = f"CASE WHEN {trim('summary')} = '' THEN content ELSE summary END", "CASE WHEN contains(content, chr(10)) THEN content ELSE summary END"
+    facts = f"CASE WHEN {trim('content')} = '' THEN summary ELSE content END"
+    split = lambda c: f"list_filter(list_transform(regexp_split_to_array({c}, '[\n;•]'), lambda x: {trim(f"regexp_replace({trim('x')}, '^-+', '')")}), lambda x: x <> '')"
+    steps = f"(CASE WHEN len({split('content')}) > 0 THEN {split('content')} ELSE {split('summary')} END)[1:{max(2, items)}]"
+    signals = f"(CASE WHEN len(code_refs) = 0 THEN ['task completed without rollback'] ELSE [array_to_string(code_refs, ', ')] END)[1:{max(1, items)}]"
+    cut_all = lambda xs, n: f"list_transform({xs}, lambda y: {words_cut('y', n)})"
+    return f"""SELECT section, CAST(pos AS INTEGER) AS pos, capsule_id,
+ md5(CASE section WHEN 'directive' THEN {words_cut(spoken, share['directive'])} WHEN 'fact' THEN {words_cut(facts, share['fact'])} WHEN 'pattern' THEN {words_cut(patterns, share['pattern'])} ELSE {words_cut(spoken, flow // 3 + 8)} END) AS text,
+ CASE section {" ".join(f"WHEN '{n}' THEN {words_cut('summary', share[n] // 2 + 8)}" for n in ('directive', 'fact', 'pattern'))} END AS source_summary,
+ CASE WHEN section = 'fact' THEN array_to_string(code_refs, '|') END AS code_refs, CASE WHEN section = 'pattern' THEN nullif(concat_ws(', ', 'project ' || project, 'repo ' || repo, 'module ' || module), '') END AS applies,
+ CASE WHEN section = 'workflow' THEN array_to_string({cut_all(steps, flow // max(2, items) + 6)}, '|') END AS steps, CASE WHEN section = 'workflow' THEN array_to_string({cut_all(signals, flow // max(1, items) + 4)}, '|') END AS signals FROM ps"""
+
+
+def with_evidence(spark, sf_dir):
+    return view(spark, sf_dir, "capsules").withColumn("evidence", F.expr("CAST(array() AS array<string>)"))
+
+
+def plain_texts(out):
+    return out.withColumns({"text": F.md5("text")} | {c: F.array_join(c, "|") for c in ("code_refs", "steps", "signals")})
+
+
+@query(f"{search_sql()}, {sections_sql('rk', (1, 2, 1))} {packed_sql(400)}")
+def packed_texts(spark, sf_dir):
+    """Search down to its texts, cut by words, which SQL can count; by subwords they are tested against the library."""
+    r = request()
+    found = S.search(with_evidence(spark, sf_dir), view(spark, sf_dir, "vectors"), r)
+    return plain_texts(packing.packed(found, r.budget, packing.by_words))
+
+
+@query(
+    f"""{prelude('capsules')}, p AS (SELECT * FROM capsules WHERE tenant = '{TENANT}' AND {LIVE} ORDER BY updated_at DESC, version DESC, capsule_id LIMIT 256),
+q AS (SELECT * FROM p WHERE NOT (capsule_type = 'workflow' AND source_agent = 'skill-proposal-compiler')),
+rk AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN repo = 'repo_1' OR project = 'src0' THEN 0 ELSE 1 END, updated_at DESC, version DESC, capsule_id) AS rank FROM q QUALIFY rank <= 64),
+{sections_sql('rk', (3, 3, 2))} {packed_sql(1000)}"""
+)
+def wake_up_texts(spark, sf_dir):
+    r = request()
+    r.budget = 1000
+    return plain_texts(packing.wake_up(with_evidence(spark, sf_dir), None, r, packing.by_words)[0])
+
+
+@query(
+    f"""{prelude('messages')}, p AS (SELECT * FROM messages WHERE tenant = 't1' AND embed_eligible AND session_id IS NOT NULL ORDER BY created_at DESC, line_number DESC, block_index DESC, block_id DESC LIMIT 80),
+s AS (SELECT session_id, max(created_at) AS last_at FROM p GROUP BY session_id ORDER BY last_at DESC, session_id LIMIT 3),
+h AS (SELECT p.*, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, line_number DESC, block_index DESC) AS pos FROM p JOIN s USING (session_id) QUALIFY pos <= 4),
+n AS (SELECT *, greatest(20, greatest(40, 300 // (SELECT count(DISTINCT session_id) FROM h)) // count(*) OVER (PARTITION BY session_id)) AS own FROM h)
+SELECT session_id, CAST(pos AS INTEGER) AS pos, block_id, role, md5(array_to_string(regexp_extract_all({redact_sql('content')}, '[^{WHITE}]+')[1:own], ' ')) AS text FROM n"""
+)
+def wake_up_sessions(spark, sf_dir):
+    first_words = lambda c, n: F.array_join(F.slice(F.regexp_extract_all(redact(c), F.lit(f"[^{WHITE}]+"), 0), F.lit(1), n.cast("int")), " ")
+    r = S.Search("t1", "", [], budget=1000)
+    out = packing.wake_up(with_evidence(spark, sf_dir), view(spark, sf_dir, "messages"), r, packing.by_words, first_words)[1]
+    return out.withColumn("text", F.md5("text"))
+
+
 @query(
     f"""{prelude('capsules')}, p AS (SELECT * FROM capsules WHERE tenant = '{TENANT}' AND {LIVE} ORDER BY updated_at DESC, capsule_id LIMIT 64)
 SELECT capsule_id, CAST(row_number() OVER (ORDER BY CASE WHEN repo = 'repo_1' OR project = 'src0' THEN 0 ELSE 1 END, updated_at DESC, capsule_id) AS INTEGER) AS rank FROM p

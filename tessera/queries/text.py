@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.fixtures import prelude, view
-from tessera.functions import metrics, text, timefn
+from tessera.functions import metrics, subwords, text, timefn
 from tessera.queries import query
 from tessera.queries.dialect import SPACE, fingerprint, trim
 
@@ -211,3 +211,11 @@ def ranking_metrics(spark, sf_dir):
     runs = items.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("item_id") * 7919 + F.col("query_id") * 31) % 101, "item_id")))
     out = metrics.evaluate(runs, qr, 5)
     return out.select("query_id", *(F.round(F.col(c) * 1_000_000).cast("bigint").alias(c) for c in ("dcg", "ndcg", "mrr", "recall", "recall_any", "recall_all", "precision")))
+
+
+@query()
+def subword_windows(spark, sf_dir):
+    """Windows of subwords with their bytes' offsets; held against the library's encode and decode in tests, as SQL has no vocabulary."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    w = d.select("doc_id", F.posexplode(subwords.subword_windows(F.col("text"), 200, 20)).alias("chunk", "w"))
+    return w.select("doc_id", "chunk", "w.start", "w.stop", F.md5("w.text").alias("text"))

@@ -134,7 +134,7 @@ SELECT job_id, outcome, CASE WHEN outcome <> 'completed' THEN 0 WHEN n <= 2000 T
 def embed_tick(spark, sf_dir):
     c = caps(spark, sf_dir)
     none = spark.createDataFrame([], "capsule_id string, tenant string, chunk int, embedding array<float>, content_hash string")
-    t = workers.embed_capsules(tick_jobs(spark, sf_dir), c, none, workers.Settings("p1", batch=64), NOW)
+    t = workers.embed_capsules(tick_jobs(spark, sf_dir), c, none, workers.Settings("p1", batch=64, windows=text.chunks), NOW)  # words, which SQL can count
     return t.outcomes.select("job_id", "outcome", F.col("chunks").cast("bigint").alias("chunks")).join(t.jobs.select("job_id", "status", "attempts"), "job_id")
 
 
@@ -584,13 +584,17 @@ def evidence_blocks(spark, sf_dir):
 
 
 @query(
-    f"""{CAP} SELECT capsule_id, concat_ws('|', 'capability_capsule:' || capsule_id, 'project:' || project, 'repo:' || repo, 'module:' || module, CASE WHEN capsule_type = 'workflow' THEN 'workflow:' || capsule_id END) AS nodes, CASE WHEN len(code_refs) > 0 THEN array_to_string(code_refs, '|') ELSE 'outcome confirmed by the user' END AS signals,
-array_to_string(list_distinct(list_concat(topics, ['topic_1'])), '|') = array_to_string(list_distinct(list_concat(topics, ['topic_1'])), '|') AS emitted FROM capsules"""
+    f"""{CAP}, e AS (SELECT *, CASE WHEN n % 4 = 0 THEN ['ev_' || n, 'ev_' || n % 7] ELSE CAST([] AS VARCHAR[]) END AS evidence, ['topic_1', 'topic_' || n % 5] AS more FROM capsules),
+u AS (SELECT capsule_id, string_agg(x, '|' ORDER BY x) AS emitted FROM (SELECT DISTINCT capsule_id, unnest(list_concat(topics, more)) AS x FROM e) GROUP BY capsule_id)
+SELECT capsule_id, concat_ws('|', 'capability_capsule:' || capsule_id, 'project:' || project, 'repo:' || repo, 'module:' || module, CASE WHEN capsule_type = 'workflow' THEN 'workflow:' || capsule_id END) AS nodes,
+CASE WHEN len(evidence) + len(code_refs) = 0 THEN 'task completed without rollback' ELSE concat_ws('|', nullif(array_to_string(evidence, ', '), ''), nullif(array_to_string(code_refs, ', '), '')) END AS signals, emitted FROM e JOIN u USING (capsule_id)"""
 )
 def ranked_row_texts(spark, sf_dir):
-    c = caps(spark, sf_dir).withColumn("evidence", F.expr(NO_STRINGS)).withColumn("more", F.array(F.lit("topic_1")))
-    ids = sessions.emitted_ids("topics", "more")
-    return c.select("capsule_id", F.array_join(codec.anchor_nodes(), "|").alias("nodes"), F.array_join(codec.success_signals(), "|").alias("signals"), ((F.size(ids) == F.size(F.array_distinct(ids))) & F.array_contains(ids, "topic_1")).alias("emitted"))
+    n = F.col("n")
+    evidence = F.when(n % 4 == 0, F.array(F.concat(F.lit("ev_"), n), F.concat(F.lit("ev_"), n % 7))).otherwise(F.expr(NO_STRINGS))
+    c = caps(spark, sf_dir).withColumn("evidence", evidence).withColumn("more", F.array(F.lit("topic_1"), F.concat(F.lit("topic_"), n % 5)))
+    ids = F.array_sort(sessions.emitted_ids("topics", "more"))
+    return c.select("capsule_id", F.array_join(codec.anchor_nodes(), "|").alias("nodes"), F.array_join(codec.success_signals(), "|").alias("signals"), F.array_join(ids, "|").alias("emitted"))
 
 
 @query(f"{prelude('edges')} SELECT from_node, to_node, relation, CAST(round(CASE WHEN relation = 'part_of' THEN least(5.0, confidence + 0.05) ELSE confidence END * 1000000) AS BIGINT) AS strength, CASE WHEN relation = 'part_of' THEN 1 ELSE 0 END AS access_count, CAST(round(greatest(0.05, confidence * exp(-3.0 / 7.0)) * 1000000) AS BIGINT) AS decayed FROM edges")
