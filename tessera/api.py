@@ -13,7 +13,7 @@ from tessera.operators import mining as M
 from tessera.operators import queue as Q
 from tessera.operators import evolution, maintenance, proposals, registry, rounds, sequences, workers
 from tessera.operators import transcripts as X
-from tessera.plans import capsule_search, ingest, transcript_search
+from tessera.plans import capsule_search, ingest, packing, transcript_search
 
 
 @dataclass
@@ -33,6 +33,13 @@ class KnowledgeStore:
     def search(self, request: capsule_search.Search, boosts: DataFrame | None = None) -> DataFrame:
         return capsule_search.search(self.capsules, self.vectors, request, boosts)
 
+    def search_with_graph(self, request: capsule_search.Search, dynamic: bool = False) -> DataFrame:
+        return capsule_search.search_with_graph(self.capsules, self.vectors, self.edges, request, dynamic)[0]
+
+    def search_texts(self, request: capsule_search.Search) -> DataFrame:
+        """What search shows: texts within the request's budget."""
+        return packing.packed(self.search_with_graph(request) if self.edges is not None else self.search(request), request.budget)
+
     def search_sections(self, request: capsule_search.Search) -> DataFrame:
         return capsule_search.pack(self.search(request), request.budget)
 

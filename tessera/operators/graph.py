@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scoring import spread_decay
+from tessera.functions.scoring import decayed_strength, spread_decay
 from tessera.functions.text import trimmed
 from tessera.operators.storage import cut, update_where
 
 # Fixed values of graph boosts and edge dynamics.
 GRAPH_BOOST, SIMILARITY_BOOST = 12, 4
 DAMPING, ROUNDS, TOLERANCE = 0.5, 20, 1e-6
-FRONTIER, VISITED = 2048, 10_000
+FRONTIER = 2048
+CAPSULE_NODE = "capability_capsule:"
+#: Edges that one task walks.
+SMALL = 200_000
 #: Rounds of the walk in one plan.
 CUT = 10
 SIMILARITY_EXTRACTORS = ("ingest_link", "o7_neardup_cluster")
@@ -97,9 +102,6 @@ def top_relations(edges: DataFrame, limit: int = 16) -> DataFrame:
     return edges.groupBy("relation").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "relation").limit(limit)
 
 
-CAPSULE_NODE = "capability_capsule:"
-
-
 def without_deleted_ends(incoming: DataFrame, deleted: DataFrame) -> DataFrame:
     """Edges none of whose ends is a capsule that was deleted for good (deleted: capsule_id)."""
     gone = deleted.select(F.concat(F.lit(CAPSULE_NODE), "capsule_id").alias("node_")).distinct()
@@ -141,35 +143,56 @@ def base_boost() -> Column:
     return F.when(F.col("extractor").isin(*SIMILARITY_EXTRACTORS), SIMILARITY_BOOST * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(1.0))))).otherwise(float(GRAPH_BOOST))
 
 
+def ends_of(edges: DataFrame, *columns: Column) -> DataFrame:
+    """Each edge from both of its ends: anchor, node, and what else is asked of it."""
+    way = lambda a, b: edges.select(F.col(a).alias("anchor"), F.col(b).alias("node"), *columns)
+    return way("from_node", "to_node").unionAll(way("to_node", "from_node"))
+
+
 def one_hop_boosts(edges: DataFrame, anchors: list[str]) -> DataFrame:
     """node, boost: the best of a node's active edges to an anchor, thinned by the anchor's degree."""
-    live = edges.where(active())
-    ends = live.select(F.col("from_node").alias("anchor"), F.col("to_node").alias("node"), base_boost().alias("base")).unionAll(live.select(F.col("to_node").alias("anchor"), F.col("from_node").alias("node"), base_boost().alias("base")))
-    ends = ends.where(F.col("anchor").isin(*anchors))
+    ends = ends_of(edges.where(active()), base_boost().alias("base")).where(F.col("anchor").isin(*anchors))
     degree = ends.groupBy("anchor").agg(F.count("*").alias("degree"))
     scored = ends.join(degree, "anchor").where(~F.col("node").isin(*anchors))
     return scored.groupBy("node").agg(F.max(F.round(F.col("base") * spread_decay(F.col("degree"))).cast("bigint")).alias("boost"))
 
 
+def strength_at(now: str) -> Column:
+    """What is left of an edge's strength: it decays from its last activation, by its stability in days; what was never activated stays as it is."""
+    strength, stability = F.coalesce("strength", F.lit(1.0)), F.coalesce("stability", F.lit(1.0))
+    days = (F.lit(int(now)) - F.col("last_activated").cast("bigint")) / 86_400_000.0
+    return F.when(F.coalesce(days > 0, F.lit(False)), decayed_strength(strength, F.when(stability > 0, stability).otherwise(1.0), days)).otherwise(strength)
+
+
+def dynamic_boosts(edges: DataFrame, anchors: list[str], now: str) -> tuple[DataFrame, DataFrame]:
+    """(node, boost of capsules one step from an anchor; the edges walked, to be potentiated). A boost is the edge's class, thinned by how many capsules its anchor has, times what is left of its strength."""
+    walked = edges.where(active() & touches(*anchors))
+    ends = ends_of(walked, (base_boost() * strength_at(now)).alias("worth")).where(F.col("anchor").isin(*anchors))
+    capsule = F.col("node").startswith(CAPSULE_NODE)
+    degree = ends.groupBy("anchor").agg(F.count_if(capsule).alias("degree"))
+    thinned = spread_decay(F.greatest(F.lit(1), F.col("degree")))
+    scored = ends.where(capsule & ~F.col("node").isin(*anchors)).join(F.broadcast(degree), "anchor")  # one row an anchor
+    return scored.groupBy("node").agg(F.max(F.round(F.col("worth") * thinned).cast("bigint")).alias("boost")), walked.select("from_node", "to_node", "relation")
+
+
 def frontier(edges: DataFrame, anchors: list[str]) -> DataFrame:
-    """Active edges within two steps of the anchors; the second step leaves from the first FRONTIER nodes by name."""
+    """Active edges within two steps of the anchors; the second step leaves from the first nodes by name that are no anchors, FRONTIER nodes with these."""
     seeds = edges.sparkSession.createDataFrame([(a,) for a in anchors], "node string")
     first = incident(edges, seeds)
-    nodes = first.select(F.explode(F.array("from_node", "to_node")).alias("node")).distinct().orderBy("node").limit(FRONTIER)
+    nodes = first.select(F.explode(F.array("from_node", "to_node")).alias("node")).where(~F.col("node").isin(*anchors)).distinct().orderBy("node").limit(max(0, FRONTIER - len(set(anchors))))
     return first.unionByName(incident(edges, nodes)).dropDuplicates(["from_node", "to_node", "relation", "valid_from"])
 
 
 def personalised_pagerank(edges: DataFrame, anchors: list[str], rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """node, p: mass that starts at the anchors and walks edges by weight, without direction. A join and an aggregation a round, written every CUT rounds;
-    ends there once the last round moved less than the tolerance. Only an anchor can lack edges: its mass returns to the anchors, as arcs to them."""
-    weight = base_boost()
-    arcs = edges.select(F.col("from_node").alias("u"), F.col("to_node").alias("v"), weight.alias("w")).unionAll(edges.select(F.col("to_node").alias("u"), F.col("from_node").alias("v"), weight.alias("w"))).where("w > 0")
+    """node, p: mass that starts at the anchors that edges touch and walks edges by weight, without direction and not from a node to itself. A join and an aggregation a round, written every CUT
+    rounds; ends there once the last round moved less than the tolerance."""
+    spark = edges.sparkSession
+    touched = edges.select(F.explode(F.array("from_node", "to_node")).alias("node")).where(F.col("node").isin(*anchors)).distinct()
+    present = sorted(r["node"] for r in touched.collect())  # anchors at most
+    seeds = spark.createDataFrame([(a, 1.0 / len(present)) for a in present], "node string, seed double")
+    arcs = ends_of(edges, base_boost().alias("w")).where("w > 0 and anchor <> node").withColumnsRenamed({"anchor": "u", "node": "v"})
     total = arcs.groupBy("u").agg(F.sum("w").alias("t"))
-    seeds = edges.sparkSession.createDataFrame([(a, 1.0 / len(set(anchors))) for a in dict.fromkeys(anchors)], "node string, seed double")
-    walks = arcs.join(total, "u").groupBy("u", "v").agg(F.sum(F.col("w") / F.col("t")).alias("share"))
-    home = F.broadcast(seeds.select(F.col("node").alias("v"), F.col("seed").alias("share")))  # one row an anchor
-    bare = seeds.select(F.col("node").alias("u")).join(total, "u", "left_anti").join(home, F.lit(True)).select("u", "v", "share")
-    steps = cut(walks.unionAll(bare))
+    steps = cut(arcs.join(total, "u").groupBy("u", "v").agg(F.sum(F.col("w") / F.col("t")).alias("share")))
     start = seeds.select("node", ((1 - damping) * F.col("seed")).alias("x"))
     p = seeds.select("node", F.col("seed").alias("p"))
     for i in range(rounds):
@@ -184,11 +207,46 @@ def personalised_pagerank(edges: DataFrame, anchors: list[str], rounds: int = RO
     return p
 
 
-def pagerank_boosts(p: DataFrame, anchors: list[str], prefix: str, ceiling: int = GRAPH_BOOST) -> DataFrame:
-    """node, boost: a share of the ceiling by the mass against the largest anchor's."""
+def small_pagerank(edges: DataFrame, anchors: list[str], rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same walk over a graph of at most SMALL edges, which the caller has counted, in one task: one job in place of a join a round."""
+    kind = "node string, p double"
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(np.concatenate([g["from_node"].to_numpy(str), g["to_node"].to_numpy(str)]), return_inverse=True)
+        u, v = at[: len(g)], at[len(g) :]
+        seeds = np.flatnonzero(np.isin(nodes, anchors))
+        if not len(seeds):
+            return pd.DataFrame({"node": pd.Series(dtype=str), "p": pd.Series(dtype=float)})
+        w = g["w"].to_numpy(float)
+        real = (w > 0) & (u != v)
+        u, v, w = np.concatenate([u[real], v[real]]), np.concatenate([v[real], u[real]]), np.concatenate([w[real], w[real]])
+        share = w / np.bincount(u, w, minlength=len(nodes))[u]
+        reset = np.zeros(len(nodes))
+        reset[seeds] = 1.0 / len(seeds)
+        p = reset
+        for _ in range(rounds):
+            new = (1 - damping) * reset + damping * np.bincount(v, p[u] * share, minlength=len(nodes))
+            moved, p = np.abs(new - p).sum(), new
+            if moved < tolerance:
+                break
+        return pd.DataFrame({"node": nodes, "p": p})
+
+    return edges.select("from_node", "to_node", base_boost().alias("w"), F.lit(1).alias("one")).groupBy("one").applyInPandas(run, kind)
+
+
+def pagerank_boosts(p: DataFrame, edges: DataFrame, anchors: list[str], prefix: str = CAPSULE_NODE) -> DataFrame:
+    """node, boost: of the strongest class of edge that reaches a node, the share that its mass is of the largest anchor's; nothing that rounds to 0."""
     top = p.where(F.col("node").isin(*anchors)).agg(F.max("p")).scalar()
-    boost = F.round(ceiling * F.least(F.lit(1.0), F.col("p") / top)).cast("bigint")
-    return p.where(~F.col("node").isin(*anchors) & F.col("node").startswith(prefix)).select("node", boost.alias("boost")).where("boost > 0")
+    ceiling = ends_of(edges, base_boost().alias("base")).where("anchor <> node").groupBy("node").agg(F.max("base").alias("ceiling"))
+    reached = p.where(~F.col("node").isin(*anchors) & F.col("node").startswith(prefix)).join(ceiling, "node")
+    return reached.select("node", F.round(F.col("ceiling") * F.least(F.lit(1.0), F.col("p") / top)).cast("bigint").alias("boost")).where("boost > 0")
+
+
+def walked_boosts(edges: DataFrame, anchors: list[str]) -> DataFrame:
+    """node, boost of the capsules that a walk from the anchors reaches within two steps' edges. The frontier is written and counted; up to SMALL edges of it are walked in one task, more of them as joins."""
+    near = cut(frontier(edges, anchors).select("from_node", "to_node", "extractor", F.col("confidence").cast("double").alias("confidence")))
+    walk = small_pagerank if near.count() <= SMALL else personalised_pagerank
+    return pagerank_boosts(walk(near, anchors), near, anchors)
 
 
 def edge_drafts(capsules: DataFrame) -> DataFrame:

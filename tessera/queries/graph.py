@@ -114,21 +114,29 @@ def one_hop_boosts(spark, sf_dir):
     return G.one_hop_boosts(edges(spark, sf_dir), ["nation:1", "supplier:4", "supplier:8"])
 
 
-def ppr_sql(rounds: int) -> str:
-    seeds = "sd AS (SELECT unnest(['supplier:4', 'supplier:8']) AS node, 0.5 AS seed)"
-    head = f"""{E}, {seeds}, w AS (SELECT *, CASE WHEN extractor IN ('ingest_link', 'o7_neardup_cluster') THEN 4 * least(1.0, greatest(0.0, coalesce(confidence, 1.0))) ELSE 12.0 END AS b FROM edges WHERE valid_to IS NULL),
-ar AS (SELECT from_node AS u, to_node AS v, b FROM w WHERE b > 0 UNION ALL SELECT to_node, from_node, b FROM w WHERE b > 0),
-st AS (SELECT u, v, sum(b / t) AS share FROM ar JOIN (SELECT u, sum(b) AS t FROM ar GROUP BY u) USING (u) GROUP BY u, v), p0 AS (SELECT node, seed AS p FROM sd)"""
+BASE = "CASE WHEN extractor IN ('ingest_link', 'o7_neardup_cluster') THEN 4 * least(1.0, greatest(0.0, coalesce(confidence, 1.0))) ELSE 12.0 END"
+
+
+def walk_sql(edges: str, anchors: str, rounds: int) -> str:
+    """CTEs up to p<rounds> (node, p): the walk over a table of edges from a table of anchors (node); no step from a node to itself."""
+    head = f"""w AS (SELECT *, {BASE} AS b FROM {edges}), nd AS (SELECT from_node AS node FROM w UNION SELECT to_node FROM w), pr AS (SELECT node FROM {anchors} WHERE node IN (SELECT node FROM nd)),
+sd AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM pr) AS seed FROM pr),
+ar AS (SELECT from_node AS u, to_node AS v, b FROM w WHERE b > 0 AND from_node <> to_node UNION ALL SELECT to_node, from_node, b FROM w WHERE b > 0 AND from_node <> to_node),
+sh AS MATERIALIZED (SELECT u, v, sum(b / t) AS share FROM ar JOIN (SELECT u, sum(b) AS t FROM ar GROUP BY u) USING (u) GROUP BY u, v), p0 AS (SELECT node, seed AS p FROM sd)"""
     steps = [
-        f"p{i} AS MATERIALIZED (SELECT node, 0.5 * (coalesce(flow, 0) + (SELECT coalesce(sum(p), 0) FROM p{i - 1} WHERE node NOT IN (SELECT u FROM st)) * coalesce(seed, 0)) + 0.5 * coalesce(seed, 0) AS p FROM (SELECT v AS node, sum(p * share) AS flow FROM p{i - 1} JOIN st ON node = u GROUP BY v) FULL OUTER JOIN sd USING (node))"
+        f"p{i} AS MATERIALIZED (SELECT node, 0.5 * coalesce(flow, 0) + 0.5 * coalesce(seed, 0) AS p FROM (SELECT v AS node, sum(p * share) AS flow FROM p{i - 1} JOIN sh ON node = u GROUP BY v) FULL OUTER JOIN sd USING (node))"
         for i in range(1, rounds + 1)
     ]
-    return ", ".join([head, *steps]) + f" SELECT node, CAST(round(p * 1000000) AS BIGINT) AS p FROM p{rounds}"
+    return ", ".join([head, *steps])
+
+
+def ppr_sql(rounds: int) -> str:
+    return f"""{E}, live AS (SELECT * FROM edges WHERE valid_to IS NULL), an AS (SELECT unnest(['supplier:4', 'supplier:8', 'absent:1']) AS node), {walk_sql('live', 'an', rounds)} SELECT node, CAST(round(p * 1000000) AS BIGINT) AS p FROM p{rounds}"""
 
 
 @query(ppr_sql(20))
 def personalised_pagerank(spark, sf_dir):
-    p = G.personalised_pagerank(edges(spark, sf_dir).where("valid_to is null"), ["supplier:4", "supplier:8"])
+    p = G.personalised_pagerank(edges(spark, sf_dir).where("valid_to is null"), ["supplier:4", "supplier:8", "absent:1"])
     return p.select("node", F.round(F.col("p") * 1_000_000).cast("bigint").alias("p"))
 
 

@@ -111,7 +111,8 @@ def request() -> S.Search:
     return S.Search(TENANT, QUERY, VECTOR, intent="debugging", scope_filters=FILTERS, now=NOW)
 
 
-def search_sql() -> str:
+def score_sql(rows: str, out: str, boost: str = "0") -> str:
+    """CTE `out`: rows with their score; `boost` is what the graph adds."""
     from tessera.functions.scoring import INTENT_SCORES
 
     has = lambda field, t: f"contains({field}, '{t}')"
@@ -119,22 +120,38 @@ def search_sql() -> str:
     text = " + ".join(" + ".join(f"CASE WHEN {has(f, t)} THEN {w} ELSE 0 END" for f, w in fields.items()) + f" + CASE WHEN {' OR '.join(has(f, t) for f in fields)} THEN 4 ELSE 0 END" for t in SCORED)
     kind = "CASE capsule_type " + " ".join(f"WHEN '{t}' THEN {INTENT_SCORES['debug'][t]}" for t in CAPSULE_TYPES) + " END"
     anchor = "CAST(coalesce(last_used_at, updated_at) AS BIGINT)"
-    return f"""{hybrid_sql(192)},
-top AS (SELECT capsule_id, rrf FROM hits WHERE rank <= 48),
-pool AS (SELECT capsule_id FROM capsules c WHERE tenant = '{TENANT}' AND {LIVE} AND NOT EXISTS (SELECT 1 FROM capsules s WHERE s.status = 'active' AND s.tenant = c.tenant AND s.supersedes_id = c.capsule_id)
- UNION SELECT capsule_id FROM top),
-rw AS (SELECT c.*, top.rrf FROM capsules c JOIN pool USING (capsule_id) LEFT JOIN top USING (capsule_id) WHERE tenant = '{TENANT}'
- AND NOT coalesce(length(expires_at) = 20 AND expires_at <= '{NOW}', false) AND NOT (capsule_type = 'workflow' AND source_agent = 'skill-proposal-compiler')),
-sd AS (SELECT *, CAST({text} AS BIGINT) AS text_score, CASE WHEN repo = 'repo_1' THEN 18 ELSE -4 END + CASE WHEN project = 'src0' THEN 18 ELSE -4 END AS scope_points,
+    return f"""sd_{out} AS (SELECT *, CAST({text} AS BIGINT) AS text_score, CASE WHEN repo = 'repo_1' THEN 18 ELSE -4 END + CASE WHEN project = 'src0' THEN 18 ELSE -4 END AS scope_points,
  {kind} AS type_points, CAST(round(confidence * 10) AS BIGINT) + CASE WHEN last_validated_at IS NULL THEN 0 ELSE 3 END - CAST(round(decay_score * 12) AS BIGINT) AS trust,
- 6 - least(20, CAST(floor(((SELECT max({anchor}) FROM rw) - {anchor}) / 10000.0) AS BIGINT)) AS fresh,
- CASE WHEN status IN ('provisional', 'pending_confirmation') THEN -4 ELSE 0 END AS unsettled, CASE WHEN rrf IS NOT NULL THEN CAST(round(rrf * 1000) AS BIGINT) + 2 ELSE 0 END AS fused FROM rw),
-ss AS (SELECT *, text_score + scope_points + type_points + trust + fresh + unsettled + fused AS score FROM sd),
-ad AS (SELECT * FROM ss WHERE CASE WHEN capsule_type IN ('preference', 'workflow') THEN (scope NOT IN ('project', 'repo') OR repo = 'repo_1' OR project = 'src0') ELSE score > 25 END),
+ 6 - least(20, CAST(floor(((SELECT max({anchor}) FROM {rows}) - {anchor}) / 10000.0) AS BIGINT)) AS fresh,
+ CASE WHEN status IN ('provisional', 'pending_confirmation') THEN -4 ELSE 0 END AS unsettled, CASE WHEN rrf IS NOT NULL THEN CAST(round(rrf * 1000) AS BIGINT) + 2 ELSE 0 END AS fused FROM {rows}),
+{out} AS (SELECT *, text_score + scope_points + type_points + trust + fresh + unsettled + fused + {boost} AS score FROM sd_{out})"""
+
+
+def final_sql(scored: str) -> str:
+    """CTE `rk`: the scored rows that are shown, with their rank."""
+    return f"""ad AS (SELECT * FROM {scored} WHERE CASE WHEN capsule_type IN ('preference', 'workflow') THEN (scope NOT IN ('project', 'repo') OR repo = 'repo_1' OR project = 'src0') ELSE score > 25 END),
 ov AS (SELECT *, row_number() OVER (PARTITION BY coalesce(session_id, capsule_id) ORDER BY score DESC, updated_at DESC, version DESC, capsule_id) > 3 AS overflow FROM ad),
 rk AS (SELECT *, row_number() OVER (ORDER BY overflow, score DESC, updated_at DESC, version DESC, capsule_id) AS rank FROM ov QUALIFY rank <= 1000)"""
 
 
+SHOWN = f"""NOT coalesce(length(expires_at) = 20 AND expires_at <= '{NOW}', false) AND NOT (capsule_type = 'workflow' AND source_agent = 'skill-proposal-compiler')"""
+IN_POOL = f"tenant = '{TENANT}' AND {LIVE} AND NOT EXISTS (SELECT 1 FROM capsules s WHERE s.status = 'active' AND s.tenant = c.tenant AND s.supersedes_id = c.capsule_id)"
+
+
+def candidates_sql(newest: int | None = None) -> str:
+    """CTEs up to `rw`: pool and hits."""
+    pool = f"SELECT capsule_id FROM capsules c WHERE {IN_POOL}"
+    if newest:
+        pool = f"SELECT capsule_id FROM (SELECT * FROM capsules c WHERE {IN_POOL} ORDER BY updated_at DESC, version DESC, capsule_id LIMIT {newest}) UNION {pool} AND capsule_type IN ('preference', 'workflow')"
+    return f"""{hybrid_sql(192)},
+top AS (SELECT capsule_id, rrf FROM hits WHERE rank <= 48), pool AS ({pool} UNION SELECT capsule_id FROM top),
+rw AS (SELECT c.*, top.rrf FROM capsules c JOIN pool USING (capsule_id) LEFT JOIN top USING (capsule_id) WHERE tenant = '{TENANT}' AND {SHOWN})"""
+
+
+def search_sql() -> str:
+    return f"{candidates_sql()}, {score_sql('rw', 'ss')}, {final_sql('ss')}"
+
+
 @query(f"{search_sql()} SELECT capsule_id, CAST(score AS BIGINT) AS score, overflow, CAST(rank AS INTEGER) AS rank FROM rk")
 def capsule_search(spark, sf_dir):
     out = S.search(view(spark, sf_dir, "capsules"), view(spark, sf_dir, "vectors"), request())
@@ -235,3 +252,89 @@ WHERE NOT coalesce(length(expires_at) = 20 AND expires_at <= '{NOW}', false)"""
 )
 def wake_up(spark, sf_dir):
     return S.wake_up(view(spark, sf_dir, "capsules"), request()).select("capsule_id", "rank")
+
+
+# the graph channel ----------------------------------------------------------------------------------------------------
+
+#: Capsules hang at their project, repository and topics; every third is linked to the one seven places on, as by its likeness.
+GRAPH_SQL = """ge AS (SELECT 'capability_capsule:' || capsule_id AS from_node, 'repo:' || repo AS to_node, 'observed_in' AS relation, 'ingest' AS extractor, NULL::DOUBLE AS confidence, 1.0 AS strength, NULL AS last_activated FROM capsules WHERE n % 8 = 0
+UNION ALL SELECT 'capability_capsule:' || capsule_id, 'topic:' || topics[1], 'discusses', 'ingest', NULL, 1.0, NULL FROM capsules WHERE n % 6 = 1
+UNION ALL SELECT 'capability_capsule:' || capsule_id, 'capability_capsule:cap_' || (n + 7), 'related_to', 'ingest_link', (n % 10) / 10.0, 2.0, lpad(CAST(1704070000000 - n * 3600000 AS VARCHAR), 20, '0') FROM capsules WHERE n % 3 <> 2
+UNION ALL SELECT 'capability_capsule:' || capsule_id, 'capability_capsule:' || capsule_id, 'mentions', 'ingest', 1.0, 1.0, NULL FROM capsules WHERE n % 50 = 0)"""
+
+
+def graph_edges(spark, sf_dir):
+    n, me = F.col("n"), F.concat(F.lit("capability_capsule:"), "capsule_id")
+    none = F.lit(None).cast("string")
+    edge = lambda rows, to, relation, extractor, confidence, strength, last: rows.select(
+        me.alias("from_node"), to.alias("to_node"), F.lit(relation).alias("relation"), F.lit("0" * 20).alias("valid_from"), none.alias("valid_to"), confidence.cast("double").alias("confidence"), F.lit(extractor).alias("extractor"), F.lit(strength).alias("strength"), F.lit(1.0).alias("stability"), last.alias("last_activated")
+    )
+    c = view(spark, sf_dir, "capsules")
+    return (
+        edge(c.where("n % 8 = 0"), F.concat(F.lit("repo:"), "repo"), "observed_in", "ingest", F.lit(None), 1.0, none)
+        .unionAll(edge(c.where("n % 6 = 1"), F.concat(F.lit("topic:"), F.col("topics")[0]), "discusses", "ingest", F.lit(None), 1.0, none))
+        .unionAll(edge(c.where("n % 3 <> 2"), F.concat(F.lit("capability_capsule:cap_"), n + 7), "related_to", "ingest_link", (n % 10) / 10.0, 2.0, F.lpad((F.lit(1704070000000) - n * 3600000).cast("string"), 20, "0")))
+        .unionAll(edge(c.where("n % 50 = 0"), me, "mentions", "ingest", F.lit(1.0), 1.0, none))
+    )
+
+
+def anchored_sql(newest: int | None) -> str:
+    """CTEs up to `an` (node): the anchors of the first pass."""
+    node = lambda prefix, c: f"SELECT '{prefix}' || {c} AS node FROM bs"
+    return f"""{candidates_sql(newest)}, {GRAPH_SQL}, {score_sql('rw', 's1')}, bs AS (SELECT * FROM s1 ORDER BY score DESC, updated_at DESC, version DESC, capsule_id LIMIT 5),
+an AS (SELECT node FROM ({node('capability_capsule:', 'capsule_id')} UNION {node('project:', 'project')} UNION {node('repo:', 'repo')} UNION {node('module:', 'module')} UNION {node('workflow:', 'capsule_id')} WHERE capsule_type = 'workflow') WHERE node IS NOT NULL)"""
+
+
+def boosts_sql(rounds: int = 20) -> str:
+    from tessera.queries.graph import walk_sql
+
+    return f"""f1 AS (SELECT * FROM ge WHERE from_node IN (SELECT node FROM an) OR to_node IN (SELECT node FROM an)),
+fn AS (SELECT node FROM (SELECT from_node AS node FROM f1 UNION SELECT to_node FROM f1) WHERE node NOT IN (SELECT node FROM an) ORDER BY node LIMIT (SELECT 2048 - count(*) FROM an)),
+fr AS (SELECT DISTINCT * FROM ge WHERE from_node IN (SELECT node FROM an UNION SELECT node FROM fn) OR to_node IN (SELECT node FROM an UNION SELECT node FROM fn)), {walk_sql('fr', 'an', rounds)},
+ce AS (SELECT u AS node, max(b) AS ceiling FROM (SELECT u, b FROM ar) GROUP BY u),
+bo AS (SELECT node, CAST(round(ceiling * least(1.0, p / (SELECT max(p) FROM p{rounds} WHERE node IN (SELECT node FROM an)))) AS BIGINT) AS boost FROM p{rounds} JOIN ce USING (node) WHERE starts_with(node, 'capability_capsule:') AND node NOT IN (SELECT node FROM an))"""
+
+
+def graph_search_sql(newest: int | None, boosts: str, select: str) -> str:
+    return f"""{anchored_sql(newest)}, {boosts}, gb AS (SELECT substr(node, 20) AS capsule_id, boost FROM bo WHERE boost > 0),
+ms AS (SELECT * FROM capsules WHERE tenant = '{TENANT}' AND status = 'active' AND capsule_id IN (SELECT capsule_id FROM gb) AND capsule_id NOT IN (SELECT capsule_id FROM rw)),
+rp AS (SELECT supersedes_id FROM rw WHERE supersedes_id IS NOT NULL UNION SELECT supersedes_id FROM ms WHERE supersedes_id IS NOT NULL),
+r2 AS (SELECT x.*, coalesce(boost, 0) AS boost, FALSE AS hydrated FROM rw x LEFT JOIN gb USING (capsule_id) UNION ALL SELECT ms.*, NULL, boost, TRUE FROM ms JOIN gb USING (capsule_id) WHERE {SHOWN} AND capsule_type <> 'diary' AND capsule_id NOT IN (SELECT supersedes_id FROM rp)),
+{score_sql('r2', 's2', 'boost')}, {final_sql('s2')} {select}"""
+
+
+SHOW = "SELECT capsule_id, CAST(score AS BIGINT) AS score, CAST(boost AS BIGINT) AS graph_boost, CAST(rank AS INTEGER) AS rank FROM rk"
+
+
+def graph_rows(out):
+    return out.select("capsule_id", "score", F.coalesce("graph_boost", F.lit(0)).cast("bigint").alias("graph_boost"), "rank")
+
+
+@query(graph_search_sql(None, boosts_sql(), SHOW))
+def graph_search(spark, sf_dir):
+    out, _ = S.search_with_graph(view(spark, sf_dir, "capsules"), view(spark, sf_dir, "vectors"), graph_edges(spark, sf_dir), request())
+    return graph_rows(out)
+
+
+@query(graph_search_sql(20, boosts_sql(), SHOW))
+def graph_search_of_a_small_pool(spark, sf_dir):
+    """Only the 20 newest rows, guidance and the hits are candidates: others come in by the graph alone."""
+    r = request()
+    r.pool = 20
+    out, _ = S.search_with_graph(view(spark, sf_dir, "capsules"), view(spark, sf_dir, "vectors"), graph_edges(spark, sf_dir), r)
+    return graph_rows(out)
+
+
+@query(
+    graph_search_sql(
+        None,
+        f"""en AS (SELECT from_node AS anchor, to_node AS node, confidence, extractor, strength, last_activated FROM ge UNION ALL SELECT to_node, from_node, confidence, extractor, strength, last_activated FROM ge), ea AS (SELECT * FROM en WHERE anchor IN (SELECT node FROM an)),
+dg AS (SELECT anchor, greatest(1, count(*) FILTER (WHERE starts_with(node, 'capability_capsule:'))) AS d FROM ea GROUP BY anchor),
+dy AS (SELECT node, CASE WHEN extractor = 'ingest_link' THEN 4 * confidence ELSE 12.0 END * (1.0 / (1.0 + 0.001 * (d - 1) * (d - 1))) * CASE WHEN {int(NOW)} > CAST(last_activated AS BIGINT) THEN greatest(0.05, strength * exp(-({int(NOW)} - CAST(last_activated AS BIGINT)) / 86400000.0)) ELSE strength END AS x FROM ea JOIN dg USING (anchor)),
+bo AS (SELECT node, max(CAST(round(x) AS BIGINT)) AS boost FROM dy WHERE starts_with(node, 'capability_capsule:') AND node NOT IN (SELECT node FROM an) GROUP BY node)""",
+        SHOW,
+    )
+)
+def dynamic_graph_search(spark, sf_dir):
+    out, _ = S.search_with_graph(view(spark, sf_dir, "capsules"), view(spark, sf_dir, "vectors"), graph_edges(spark, sf_dir), request(), dynamic=True)
+    return graph_rows(out)
