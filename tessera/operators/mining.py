@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.text import jaccard, normalize_alias, workflow_key
 from tessera.operators.capsules import is_episodic, is_guidance, themes
@@ -136,24 +137,50 @@ def gate(signals: DataFrame, beta: float = 0.8, execute_at: int = 3, hysteresis:
 # fact checks -------------------------------------------------------------------------------------------------------
 
 
-def deletions(word: Column, most: int) -> Column:
-    """The word, and the word with up to `most` characters left out: two words within that edit distance share one of these."""
-    drop = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.char_length(w))))
-    out = F.array(word)
-    ring = out
-    for _ in range(most):
-        ring = F.array_distinct(F.flatten(F.transform(ring, lambda w: F.when(F.char_length(w) > 0, drop(w)).otherwise(F.array(w)))))
-        out = F.array_union(out, ring)
-    return out
+def segment(length: Column, i: Column, most: int) -> tuple[Column, Column]:
+    """(start, size) of the i-th of most + 1 even segments of so many characters."""
+    base, longer = F.floor(length / (most + 1)).cast("int"), most + 1 - length % (most + 1)
+    return (i * base + F.greatest(F.lit(0), i - longer)).cast("int"), (base + F.when(i >= longer, 1).otherwise(0)).cast("int")
+
+
+def within_edits(words: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """word, norm, distance (1 to `most`) of words (word) and names (norm), two tables of distinct texts. Exact, by the pigeonhole principle: of the most + 1 segments of a name, an edit
+    spoils one at most, so a word within `most` edits holds one of them whole, moved by `most` places at most, and is no more than `most` longer or shorter. A name has most + 1 keys and a word (most + 1) (2 most + 1)^2, however
+    long both are; names of `most` characters or less meet all short words."""
+    steps = lambda lo, hi: F.explode(F.sequence(F.lit(lo) if isinstance(lo, int) else lo, F.lit(hi) if isinstance(hi, int) else hi))
+    n = names.where(F.char_length("norm") > 0).withColumn("length", F.char_length("norm")).withColumn("i", steps(0, most))
+    start, size = segment(F.col("length"), F.col("i"), most)
+    n = n.select("norm", "length", "i", F.substring("norm", start + 1, size).alias("piece")).where("piece <> '' or i = 0")
+    m = F.char_length("word")
+    w = words.where(m > 0).withColumn("length", steps(F.greatest(F.lit(1), m - most), m + most)).withColumn("i", steps(0, most)).withColumn("shift", steps(-most, most))
+    start, size = segment(F.col("length"), F.col("i"), most)
+    at = start + F.col("shift")
+    w = w.where((at >= 0) & (at + size <= m)).select("word", "length", "i", F.substring("word", at + 1, size).alias("piece")).where("piece <> '' or i = 0").distinct()
+    met = w.join(n, ["length", "i", "piece"]).select("word", "norm").distinct()
+    return met.withColumn("distance", F.levenshtein("word", "norm", most)).where(F.col("distance").between(1, most))
 
 
 def similar_names(words: DataFrame, names: DataFrame, most: int = 2) -> DataFrame:
-    """word, name, distance: names within 1 to `most` edits of a word that is no name itself. Joined on shared deletions, never crossed."""
+    """word, name, distance: names within 1 to `most` edits of a word that is no name itself."""
     w = words.select(normalize_alias(F.col("word")).alias("word")).distinct()
     n = names.select(F.col("name"), normalize_alias(F.col("name")).alias("norm")).distinct()
     w = w.join(n, w["word"] == n["norm"], "left_anti")
-    met = w.select("word", F.explode(deletions(F.col("word"), most)).alias("d")).join(n.select("name", "norm", F.explode(deletions(F.col("norm"), most)).alias("d")), "d").select("word", "name", "norm").distinct()
-    return met.withColumn("distance", F.levenshtein("word", "norm")).where(F.col("distance").between(1, most)).select("word", "name", "distance")
+    return within_edits(w, n.select("norm").distinct(), most).join(n, "norm").select("word", "name", "distance")
+
+
+# Fixed values of suggestions for a node that has no neighbours.
+SUGGEST_EDITS, SUGGESTIONS = 3, 5
+
+
+def neighbour_suggestions(nodes: DataFrame, entities: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
+    """tenant, node, pos, suggested, canonical_name, distance: entities of the tenant whose name is within three edits of what a node calls (`entity:` before it does not count), nearest first, then by name. nodes: tenant, node."""
+    asked = nodes.select("tenant", "node", normalize_alias(F.regexp_replace("node", "^entity:", "")).alias("word")).where("word <> ''").distinct()
+    known = entities.select("tenant", "entity_id", "canonical_name", normalize_alias(F.col("canonical_name")).alias("norm"))
+    near = within_edits(asked.select("word").distinct(), known.select("norm").distinct(), SUGGEST_EDITS)
+    found = asked.join(near, "word").join(known, ["tenant", "norm"])
+    order = Window.partitionBy("tenant", "node").orderBy("distance", "canonical_name", "entity_id")
+    ranked_ = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= max(1, limit))
+    return ranked_.select("tenant", "node", "pos", F.concat(F.lit("entity:"), "entity_id").alias("suggested"), "canonical_name", "distance")
 
 
 def relation_conflicts(claims: DataFrame, edges: DataFrame) -> DataFrame:

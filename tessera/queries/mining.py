@@ -166,6 +166,19 @@ def evidence_gate(spark, sf_dir):
     return M.gate(e.groupBy("candidate_id", "sweep").agg(F.bool_or("signal").alias("signal")))
 
 
+@query(
+    f"""{prelude('entities')}, q AS (SELECT tenant, 'entity:' || CASE CAST(substr(entity_id, 5) AS INTEGER) % 3 WHEN 0 THEN substring(canonical_name, 3) WHEN 1 THEN upper(canonical_name) || ' xy' ELSE replace(canonical_name, 'a', 'oo') END AS node FROM entities),
+w AS (SELECT DISTINCT tenant, node, lower(trim(regexp_replace(substr(node, 8), '\\s+', ' ', 'g'))) AS word FROM q), n AS (SELECT tenant, entity_id, canonical_name, lower(trim(canonical_name)) AS norm FROM entities),
+d AS (SELECT w.tenant, node, entity_id, canonical_name, levenshtein(word, norm) AS distance FROM w JOIN n USING (tenant) WHERE abs(length(word) - length(norm)) <= 3 AND levenshtein(word, norm) BETWEEN 1 AND 3)
+SELECT tenant, node, CAST(row_number() OVER (PARTITION BY tenant, node ORDER BY distance, canonical_name, entity_id) AS INTEGER) AS pos, 'entity:' || entity_id AS suggested, canonical_name, CAST(distance AS INTEGER) AS distance FROM d QUALIFY pos <= 5"""
+)
+def neighbour_suggestions(spark, sf_dir):
+    e, name = view(spark, sf_dir, "entities"), F.col("canonical_name")
+    way = F.substring("entity_id", 5, 20).cast("int") % 3
+    asked = F.when(way == 0, F.expr("substring(canonical_name, 3)")).when(way == 1, F.concat(F.upper(name), F.lit(" xy"))).otherwise(F.replace(name, F.lit("a"), F.lit("oo")))
+    return M.neighbour_suggestions(e.select("tenant", F.concat(F.lit("entity:"), asked).alias("node")), e)
+
+
 @query(
     """WITH n AS (SELECT DISTINCT p_name AS name, lower(trim(p_name)) AS norm FROM part), w AS (SELECT DISTINCT lower(trim(CASE p_partkey % 3 WHEN 0 THEN substring(p_name, 2) WHEN 1 THEN p_name || 'x' ELSE replace(p_name, 'e', '') END)) AS word FROM part)
 SELECT word, name, CAST(levenshtein(word, norm) AS INTEGER) AS distance FROM w JOIN n ON levenshtein(word, norm) BETWEEN 1 AND 2 WHERE word NOT IN (SELECT norm FROM n)"""
