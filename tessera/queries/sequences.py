@@ -10,6 +10,7 @@ from tessera.fixtures import edges, prelude, view
 from tessera.functions import embedding
 from tessera.operators import sequences as Q
 from tessera.operators.storage import shared_dir
+from tessera.plans import feedback
 from tessera.queries import query
 from tessera.queries.dialect import fingerprint as fingerprint_sql
 from tessera.queries.dialect import trim
@@ -114,6 +115,44 @@ def evidence_credits(spark, sf_dir):
     return Q.evidence_credits(b.where("role = 'user'").withColumn("capsule_id", F.col("line_number").cast("string")), b, 2)
 
 
+#: Transcripts of recalls: before every turn of a user, a search shows its text as a capsule, and a banner that of every fourth conversation again; in every fifth the first capsule is fetched at the end.
+RECALLS = f"""c AS (SELECT '/t/' || conv_id AS path, conv_id, turn, role, {TOK} AS tk FROM conversations), sh AS (SELECT path, 3 * turn + 2 AS line, 'mem_0000000' || turn || '-' || conv_id AS id, tk FROM c WHERE role = 'user'),
+ft AS (SELECT path, 'mem_00000000-' || conv_id AS id, 100 AS line FROM c WHERE turn = 0 AND role = 'user' AND conv_id % 5 = 0), r AS (SELECT * FROM sh WHERE (path, id) NOT IN (SELECT (path, id) FROM ft)),
+tl AS (SELECT path, line, id, unnest(tk) AS t FROM r), sd AS (SELECT path, 3 * turn + 3 AS line, unnest(tk) AS t FROM c WHERE role = 'assistant'),
+us AS (SELECT tl.path, id, tl.line AS at, sd.line FROM tl JOIN sd ON sd.path = tl.path AND sd.t = tl.t AND sd.line > tl.line GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
+cr AS (SELECT path, id, min(line) AS line FROM (SELECT path, id, line FROM us UNION ALL SELECT path, id, line FROM r WHERE len(tk) = 0) GROUP BY 1, 2 UNION ALL SELECT path, id, line FROM ft WHERE (path, id) IN (SELECT (path, id) FROM sh))"""
+
+
+def recall_blocks(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    path, none = F.concat(F.lit("/t/"), F.col("conv_id")).alias("transcript_path"), F.lit(None).cast("string")
+    capsule = F.concat(F.lit("mem_0000000"), "turn", F.lit("-"), "conv_id")
+    block = lambda rows, line, role, kind, content, tool, use: rows.select(path, (3 * F.col("turn") + line).alias("line_number"), F.lit(0).alias("block_index"), F.lit(role).alias("role"), F.lit(kind).alias("block_type"), content.alias("content"), F.lit(tool).alias("tool_name"), use.alias("tool_use_id"))
+    asked, said = c.where("role = 'user'"), c.where("role = 'assistant'")
+    use = F.concat(F.lit("s"), F.col("turn").cast("string"))
+    found = F.to_json(F.struct(F.array(F.struct(capsule.alias("capability_capsule_id"), F.col("text").alias("text"))).alias("relevant_facts")))
+    gets = block(asked.where("turn = 0 and conv_id % 5 = 0"), 100, "assistant", "tool_use", F.to_json(F.struct(capsule.alias("capability_capsule_id"))), "mcp__mem__capability_capsule_get", none)
+    return (
+        block(asked, 1, "assistant", "tool_use", F.lit("{}"), "mcp__mem__capability_capsule_search", use).unionByName(block(asked, 2, "user", "tool_result", found, None, use))
+        .unionByName(block(said, 3, "assistant", "text", F.col("text"), None, none)).unionByName(gets)
+    )
+
+
+@query(f"WITH {RECALLS} SELECT path AS transcript_path, id AS capsule_id, line FROM cr")
+def transcript_credits(spark, sf_dir):
+    return feedback.credits(recall_blocks(spark, sf_dir), least=2, most=1 << 20)
+
+
+@query(f"WITH {RECALLS} SELECT id AS capsule_id, 'applies_here' AS kind, path AS transcript_path, line FROM cr WHERE line > 9")
+def credits_after_cursor(spark, sf_dir):
+    """The second pass over transcripts of which a first one has read nine lines."""
+    b = recall_blocks(spark, sf_dir)
+    lines = b.select(F.col("transcript_path").alias("path"), "line_number")
+    none = spark.createDataFrame([], "transcript_path string, last_line_number bigint")
+    first = feedback.advanced(none, lines.withColumn("line_number", F.lit(9)))
+    return feedback.credit_pass(b, lines, first, "applies_here", "0" * 20, least=2, most=1 << 20)[0].select("capsule_id", "kind", "transcript_path", "line")
+
+
 def lines_of(spark, sf_dir):
     """Conversations as transcripts of dialect A, one file's worth of lines by conversation."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
