@@ -119,12 +119,12 @@ def rerank_veto(pairs: DataFrame, floor: float = VETO_FLOOR) -> DataFrame:
 
 
 def procedural_siblings(members: DataFrame) -> DataFrame:
-    """proposal_id of clusters whose members all have anchors and share next to none: a cluster is bounded by the sweep, pairs are made within it."""
-    anchored = members.groupBy("proposal_id").agg(F.min(F.size("anchors")).alias("least"), F.count("*").alias("n")).where("least > 0 and n > 1")
-    a = members.join(anchored, "proposal_id").select("proposal_id", F.col("capsule_id").alias("a"), F.col("anchors").alias("x"))
-    b = a.select("proposal_id", F.col("a").alias("b"), F.col("x").alias("y"))
-    worst = a.join(b, "proposal_id").where("a < b").groupBy("proposal_id").agg(F.max(overlap(F.col("x"), F.col("y"))).alias("most"))
-    return worst.where(F.col("most") <= SIBLING_OVERLAP).select("proposal_id")
+    """proposal_id of clusters whose members all have anchors and share next to none. Members meet on the anchors that they share, so a pair that shares none costs nothing."""
+    anchored = members.groupBy("proposal_id").agg(F.min(F.size("anchors")).alias("least"), F.count("*").alias("n")).where("least > 0 and n > 1").select("proposal_id")
+    a = members.join(anchored, "proposal_id").select("proposal_id", "capsule_id", F.size(F.array_distinct("anchors")).alias("size"), F.explode(F.array_distinct("anchors")).alias("anchor"))
+    pairs = a.join(a.select("proposal_id", "anchor", F.col("capsule_id").alias("other"), F.col("size").alias("other_size")), ["proposal_id", "anchor"]).where("capsule_id < other")
+    close = pairs.groupBy("proposal_id", "capsule_id", "other").agg(F.count("*").alias("common"), F.min(F.least("size", "other_size")).alias("least")).where(F.col("common") / F.col("least") > SIBLING_OVERLAP)
+    return anchored.join(close.select("proposal_id").distinct(), "proposal_id", "left_anti")
 
 
 def supersede_target(proposals: DataFrame, existing: DataFrame, floor: float = COMPILE_OVERLAP) -> DataFrame:

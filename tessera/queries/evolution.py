@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.fixtures import prelude, view
+from tessera.fixtures import edges, prelude, view
 from tessera.operators import evolution as V
+from tessera.plans import evolution_sweep
 from tessera.queries import query
 
 CAP = prelude("capsules")
@@ -104,3 +105,50 @@ def supersede_targets(spark, sf_dir):
 @query(f"{CAP} SELECT capsule_id, version, status, content FROM capsules WHERE NOT (tenant = 'en' AND capsule_id = 'cap_7') UNION ALL SELECT capsule_id, version, CASE WHEN status = 'pending_confirmation' THEN 'rejected' ELSE status END, content FROM capsules WHERE tenant = 'en' AND capsule_id = 'cap_7' UNION ALL SELECT 'cap_7b', version + 1, 'active', 'edited' FROM capsules WHERE tenant = 'en' AND capsule_id = 'cap_7' AND status = 'pending_confirmation'")
 def edit_and_accept(spark, sf_dir):
     return V.edit_and_accept(view(spark, sf_dir, "capsules"), "en", "cap_7", "edited", "cap_7b", NOW).select("capsule_id", "version", "status", "content")
+
+
+# the sweep --------------------------------------------------------------------------------------------------------------
+
+_OPS = ("merge", "generalize", "reweight_up", "corecall")
+SWEEP_SQL = f"""{CAP}, g AS (SELECT tenant, n % 25 AS k, list(capsule_id ORDER BY capsule_id) AS members, list(capsule_id ORDER BY capsule_id) FILTER (WHERE n % 125 <> n % 25) AS kept FROM capsules GROUP BY 1, 2),
+pr AS (SELECT tenant, k, CASE k % 4 WHEN 0 THEN 'merge' WHEN 1 THEN 'generalize' WHEN 2 THEN 'reweight_up' ELSE 'corecall' END AS op_kind, members, '{{"k":' || k || '}}' AS params FROM g WHERE k % 6 <> 5),
+cd AS (SELECT 'cand_' || tenant || '_' || lpad(CAST(k AS VARCHAR), 2, '0') AS candidate_id, tenant, CASE k % 4 WHEN 0 THEN 'merge' WHEN 1 THEN 'generalize' WHEN 2 THEN 'reweight_up' ELSE 'corecall' END AS op_kind, CASE WHEN k % 8 = 7 THEN members ELSE coalesce(kept, []) END AS member_ids, CASE WHEN k % 3 = 0 THEN '{{"k":' || k || '}}' ELSE '{{}}' END AS params,
+ k % 7 / 5.0::DOUBLE AS evidence, k % 4 AS cycles, CASE k % 5 WHEN 3 THEN 'executed' WHEN 4 THEN 'cancelled' ELSE 'pending' END AS status FROM g WHERE k % 7 <> 6),
+mt AS (SELECT p.tenant, p.op_kind, p.k, p.params AS np, c.candidate_id, c.params, c.status, c.member_ids = p.members AS same, len(list_intersect(p.members, c.member_ids)) / len(list_distinct(list_concat(p.members, c.member_ids))) AS j FROM pr p JOIN cd c ON c.tenant = p.tenant AND c.op_kind = p.op_kind),
+dr AS (SELECT tenant, k FROM mt WHERE round(j * 1000000) >= 800000 AND status = 'executed' AND op_kind IN ('merge', 'generalize') UNION SELECT tenant, k FROM mt WHERE op_kind = 'corecall' AND status = 'cancelled' AND same AND params = np),
+bs AS (SELECT *, row_number() OVER (PARTITION BY tenant, k ORDER BY round(j * 1000000) DESC, candidate_id) AS rn FROM mt WHERE round(j * 1000000) >= 800000 AND status = 'pending' AND (tenant, k) NOT IN (SELECT (tenant, k) FROM dr)),
+hr AS (SELECT candidate_id, max(np) AS np FROM bs WHERE rn = 1 AND NOT (op_kind = 'corecall' AND params = np) GROUP BY 1),
+nw AS (SELECT * FROM pr WHERE (tenant, k) NOT IN (SELECT (tenant, k) FROM dr) AND (tenant, k) NOT IN (SELECT (tenant, k) FROM bs)),
+st AS (SELECT c.tenant, c.op_kind, c.member_ids, CASE WHEN np IS NOT NULL AND op_kind = 'corecall' THEN np ELSE params END AS params, 0.7::DOUBLE * evidence + CASE WHEN np IS NULL THEN 0 ELSE 1 END AS evidence, CASE WHEN np IS NULL THEN 0 ELSE cycles + 1 END AS cycles, np IS NOT NULL AS heard FROM cd c LEFT JOIN hr USING (candidate_id) WHERE status = 'pending'
+ UNION ALL SELECT tenant, op_kind, members, params, 1.0, 1, true FROM nw),
+af AS (SELECT *, CASE WHEN heard AND cycles >= 3 AND op_kind <> 'reweight_up' THEN 'executed' WHEN NOT heard AND evidence < 0.5 THEN 'cancelled' ELSE 'pending' END AS status, heard AND cycles >= 3 AS ran FROM st)
+SELECT tenant, op_kind, md5(array_to_string(member_ids, ',')) AS members, params, CAST(round(evidence * 1000000) AS BIGINT) AS evidence, CAST(cycles AS BIGINT) AS cycles, status, ran FROM af
+UNION ALL SELECT tenant, op_kind, md5(array_to_string(member_ids, ',')), params, CAST(round(evidence * 1000000) AS BIGINT), CAST(cycles AS BIGINT), status, false FROM cd WHERE status <> 'pending'"""
+
+
+@query(SWEEP_SQL)
+def evolution_reconcile(spark, sf_dir):
+    """Proposals of a sweep against candidates of earlier ones: groups of capsules, and the same groups with a fifth of their members gone."""
+    c = view(spark, sf_dir, "capsules")
+    k = F.col("n") % 25
+    g = c.groupBy("tenant", k.alias("k")).agg(F.array_sort(F.collect_list("capsule_id")).alias("members"), F.array_sort(F.collect_list(F.when(F.col("n") % 125 != k, F.col("capsule_id")))).alias("kept"))
+    k = F.col("k")
+    op, params = F.element_at(F.array(*map(F.lit, _OPS)), (k % 4 + 1).cast("int")), F.concat(F.lit('{"k":'), k, F.lit("}"))
+    found = g.where(k % 6 != 5).select("tenant", op.alias("op_kind"), "members", params.alias("params"))
+    none = F.lit(None).cast("string")
+    before = g.where(k % 7 != 6).select(
+        F.concat(F.lit("cand_"), "tenant", F.lit("_"), F.lpad(k.cast("string"), 2, "0")).alias("candidate_id"), "tenant", op.alias("op_kind"), F.when(k % 8 == 7, F.col("members")).otherwise(F.col("kept")).alias("member_ids"), F.when(k % 3 == 0, params).otherwise("{}").alias("params"),
+        (k % 7 / 5.0).cast("double").alias("evidence"), (k % 4).cast("bigint").alias("cycles"), F.when(k % 5 == 3, "executed").when(k % 5 == 4, "cancelled").otherwise("pending").alias("status"), F.lit("0").alias("first_proposed_at"), F.lit("0").alias("last_signal_at"), none.alias("executed_at"),
+    )
+    after = evolution_sweep.reconcile(found, before, evolution_sweep.Sweep(NOW))[1]
+    return after.select("tenant", "op_kind", F.md5(F.array_join("member_ids", ",")).alias("members"), "params", F.round(F.col("evidence") * 1_000_000).cast("bigint").alias("evidence"), "cycles", "status", (F.col("executed_at") == NOW).alias("ran")).na.fill({"ran": False})
+
+
+@query()
+def evolution_sweep_of_all(spark, sf_dir):
+    """All detectors over all capsules and their vectors; held against plain Python in tests."""
+    c = view(spark, sf_dir, "capsules")
+    v = view(spark, sf_dir, "vectors").select("capsule_id", F.lit(0).alias("chunk"), "embedding")
+    none = spark.createDataFrame([], evolution_sweep.CANDIDATES)
+    _, _, candidates = evolution_sweep.sweep(c, v, edges(spark, sf_dir), view(spark, sf_dir, "feedback"), none, evolution_sweep.Sweep(NOW, cluster_at=0.3, merge_at=0.4))
+    return candidates.select("candidate_id", "tenant", "op_kind", F.array_join("member_ids", ",").alias("members"), F.round(F.col("evidence") * 1_000_000).cast("bigint").alias("evidence"), "cycles", "status")
