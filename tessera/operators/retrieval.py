@@ -31,8 +31,9 @@ def tokens(text: Column) -> Column:
     apart = F.regexp_replace(text, f"([{UNSPACED}]+)", " $1 ")
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(r) - 1)), lambda i: F.substring(r, i, F.lit(2)))
     mixed = F.flatten(F.transform(F.regexp_extract_all(apart, F.lit(WORD), 0), lambda r: F.when(r.rlike(f"^[{UNSPACED}]"), pairs(r)).otherwise(F.array(r))))
-    words = F.when(F.octet_length(text) == F.char_length(text), F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), 0)).otherwise(F.regexp_extract_all(text, F.lit(WORD), 0))
-    return F.when(text.rlike(f"[{UNSPACED}]"), mixed).otherwise(words)
+    # most texts are ASCII, and then nothing else is looked for in them
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), 0)).when(text.rlike(f"[{UNSPACED}]"), mixed).otherwise(F.regexp_extract_all(text, F.lit(WORD), 0))
 
 
 def query_terms(query: str) -> list[str]:
@@ -110,8 +111,7 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_column: str = "ca
             best: dict = {}
             away = np.rint(np.sqrt(((m - q) ** 2).sum(axis=1)) * SCALE).astype(np.int64)
             ids = batch.column(0).to_pylist()
-            order = sorted(range(len(ids)), key=lambda i: (away[i], ids[i]))
-            for i in order:
+            for i in np.lexsort((np.array(ids), away)).tolist():
                 best.setdefault(ids[i], int(away[i]))
                 if len(best) == k:
                     break
