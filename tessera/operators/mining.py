@@ -10,6 +10,7 @@ from tessera.functions.text import jaccard, normalize_alias, workflow_key
 from tessera.operators.capsules import is_episodic, is_guidance, themes
 from tessera.operators.neighbours import nearest_in_band, similarity_forest
 from tessera.operators.retrieval import SCALE, components, similarity_pairs
+from tessera.operators.set_match import best_match
 from tessera.operators.storage import first_of_each
 
 
@@ -115,12 +116,10 @@ def detect_split(chunks: DataFrame, within: float, apart: float) -> DataFrame:
 
 
 def match_candidates(proposals: DataFrame, pending: DataFrame, least: float = 0.8) -> DataFrame:
-    """The pending candidate of the same operation with the most alike members (.8 or more). Only candidates that share a member are compared."""
-    p = proposals.select("proposal_id", "op_kind", "members", F.explode("members").alias("m"))
-    c = pending.select("candidate_id", "op_kind", F.col("member_ids").alias("theirs"), F.explode("member_ids").alias("m"))
-    met = p.join(c, ["op_kind", "m"]).select("proposal_id", "candidate_id", "members", "theirs").dropDuplicates(["proposal_id", "candidate_id"])
-    scored = met.withColumn("score", F.round(jaccard(F.col("members"), F.col("theirs")) * SCALE).cast("bigint")).where(F.col("score") >= int(least * SCALE))
-    return first_of_each(scored, ["proposal_id"], F.desc("score"), F.asc("candidate_id")).select("proposal_id", "candidate_id", "score")
+    """The pending candidate of the same operation with the most alike members (.8 or more). Equal sets of members meet once, others by their rarest members."""
+    asks = proposals.select(F.col("proposal_id").alias("ask"), F.col("op_kind").alias("kind"), "members")
+    offers = pending.select(F.col("candidate_id").alias("offer"), F.col("op_kind").alias("kind"), F.col("member_ids").alias("members"), F.lit("").alias("made"))
+    return best_match(asks, offers, least, jaccard).select(F.col("ask").alias("proposal_id"), F.col("offer").alias("candidate_id"), "score")
 
 
 def gate(signals: DataFrame, beta: float = 0.8, execute_at: int = 3, hysteresis: float = 0.25) -> DataFrame:
