@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import overlap
+from tessera.operators.set_match import best_match
 from tessera.operators.storage import first_of_each, update_where
 from tessera.schemas import FEEDBACK
 
@@ -128,11 +129,10 @@ def procedural_siblings(members: DataFrame) -> DataFrame:
 
 
 def supersede_target(proposals: DataFrame, existing: DataFrame, floor: float = COMPILE_OVERLAP) -> DataFrame:
-    """The existing workflow whose members overlap a proposal's most (floor or more; the newest of equals). Only those that share a member meet."""
-    p = proposals.select("proposal_id", "members", F.explode("members").alias("m"))
-    e = existing.select(F.col("capsule_id").alias("target"), F.col("members").alias("theirs"), "created_at", F.explode("members").alias("m"))
-    met = p.join(e, "m").dropDuplicates(["proposal_id", "target"]).withColumn("score", F.round(overlap(F.col("members"), F.col("theirs")) * 1_000_000).cast("bigint"))
-    return first_of_each(met.where(F.col("score") >= int(floor * 1_000_000)), ["proposal_id"], F.desc("score"), F.desc("created_at"), F.asc("target")).select("proposal_id", "target", "score")
+    """The existing workflow whose members overlap a proposal's most (floor or more; the newest of equals). Equal sets of members meet once, others by their rarest members."""
+    asks = proposals.select(F.col("proposal_id").alias("ask"), F.lit("").alias("kind"), "members")
+    offers = existing.select(F.col("capsule_id").alias("offer"), F.lit("").alias("kind"), "members", F.col("created_at").alias("made"))
+    return best_match(asks, offers, floor, overlap, by_smaller=True).select(F.col("ask").alias("proposal_id"), F.col("offer").alias("target"), "score")
 
 
 def successor(original: DataFrame, content: Column, new_id: Column, now: str) -> DataFrame:
