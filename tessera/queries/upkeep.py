@@ -160,8 +160,8 @@ def embed_blocks_tick(spark, sf_dir):
 )
 def streamed_embeddings(spark, sf_dir):
     """Every block as a job of a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    c = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/conversations.parquet"  # a file, or a folder of files with names of their own
+    c = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/conversations.parque[t]")  # as a pattern, since a stream's plain path must be a folder
     k = F.col("turn")
     block = F.concat_ws("_", F.lit("mb"), F.col("conv_id").cast("string"), k.cast("string"))
     jobs = c.select(

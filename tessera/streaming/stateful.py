@@ -70,10 +70,16 @@ def embedded(jobs: DataFrame, tick: Callable[[DataFrame], workers.Tick]) -> tupl
     spark = jobs.sparkSession
     base = f"{shared_dir(spark)}/embedded-{uuid.uuid4().hex}"
 
+    schemas = {}
+
     def put(batch: DataFrame, number: int) -> None:
         done = tick(batch)
-        done.vectors.write.mode("overwrite").parquet(f"{base}/vectors/b={number}")
-        done.outcomes.write.mode("overwrite").parquet(f"{base}/outcomes/b={number}")
+        for name in ("vectors", "outcomes"):
+            rows = getattr(done, name)
+            schemas[name] = rows.schema
+            rows.write.mode("overwrite").parquet(f"{base}/{name}/b={number}")
 
     jobs.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return tuple(spark.read.option("recursiveFileLookup", True).parquet(f"{base}/{name}") for name in ("outcomes", "vectors"))
+    if not schemas:  # a stream without files has no batch: its result is that of no jobs
+        put(spark.createDataFrame([], jobs.schema), 0)
+    return tuple(spark.read.schema(schemas[name]).option("recursiveFileLookup", True).parquet(f"{base}/{name}") for name in ("outcomes", "vectors"))

@@ -81,3 +81,14 @@ def test_similarity_pairs_across_cells(spark):
         found = [(r["a"], r["b"]) for r in retrieval.similarity_pairs(df, threshold, block=10).collect()]
         assert len(found) == len(set(found)) and set(found) == wanted
     assert retrieval.similarity_pairs(df.limit(0), 0.9).count() == 0
+
+
+def test_streamed_embeddings_of_a_folder_of_files(spark, sf_dir, tmp_path):
+    """Larger tables are folders whose files have names of their own: before, the stream found none of them and its output could not be read."""
+    from tessera.queries import load
+
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").limit(60).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = load()[0]["streamed_embeddings"](spark, str(tmp_path)).collect()
+    assert len(found) == 60 == len({r["job_id"] for r in found}) and {r["outcome"] for r in found} == {"no_provider", "missing", "completed"}
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert load()[0]["streamed_embeddings"](spark, f"{tmp_path}/none").count() == 0
