@@ -131,9 +131,14 @@ def close_conflicts(edges: DataFrame, incoming: DataFrame, functional: list[str]
     return joined.withColumn("valid_to", F.when(active() & (F.col("new_to") != F.col("to_node")), F.lit(now)).otherwise(F.col("valid_to"))).select(*edges.columns)
 
 
+def clock(column: str) -> Column:
+    """Milliseconds of a stamp; null for what is no whole number (a stamp before the epoch is none once padded)."""
+    return F.when(F.col(column).rlike(r"^\s*\+?[0-9]+\s*$"), F.col(column).try_cast("bigint"))
+
+
 def potentiate(edges: DataFrame, hit: Column, now: str) -> DataFrame:
     """Stronger (5 at most), and steadier if an hour has passed; counted."""
-    hour_passed = F.coalesce(F.lit(int(now)) - F.col("last_activated").cast("bigint") >= 3_600_000, F.lit(False))
+    hour_passed = F.coalesce(F.lit(int(now)) - clock("last_activated") >= 3_600_000, F.lit(False))
     return update_where(
         edges, hit, strength=F.least(F.lit(5.0), F.col("strength") + 0.05), stability=F.when(hour_passed, F.col("stability") + 0.1).otherwise(F.col("stability")), access_count=F.col("access_count") + 1, last_activated=F.lit(now)
     )
@@ -158,9 +163,9 @@ def one_hop_boosts(edges: DataFrame, anchors: list[str]) -> DataFrame:
 
 
 def strength_at(now: str) -> Column:
-    """What is left of an edge's strength: it decays from its last activation, by its stability in days; what was never activated stays as it is."""
+    """What is left of an edge's strength: it decays from its last activation, by its stability in days; what was never activated, or at a time that cannot be read, stays as it is."""
     strength, stability = F.coalesce("strength", F.lit(1.0)), F.coalesce("stability", F.lit(1.0))
-    days = (F.lit(int(now)) - F.col("last_activated").cast("bigint")) / 86_400_000.0
+    days = (F.lit(int(now)) - clock("last_activated")) / 86_400_000.0
     return F.when(F.coalesce(days > 0, F.lit(False)), decayed_strength(strength, F.when(stability > 0, stability).otherwise(1.0), days)).otherwise(strength)
 
 

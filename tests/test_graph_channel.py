@@ -96,3 +96,14 @@ def test_the_graph_brings_in_capsules(sf_dir):
         con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{path if os.path.isfile(path) else path + '/*.parquet'}'")
     boosted, hydrated = con.execute(Q.graph_search_sql(20, Q.boosts_sql(), "SELECT count(*) FILTER (WHERE boost > 0), count(*) FILTER (WHERE hydrated) FROM s2")).fetchone()
     assert boosted > 3 and hydrated > 0, (boosted, hydrated)
+
+
+def test_times_that_cannot_be_read_stop_nothing(spark):
+    """A padded stamp of a time before the epoch ("0000000-123") is no number: before, the search failed; the edge's strength stays as it is."""
+    now = str(10 * 86_400_000).rjust(20, "0")
+    stamps = ("-3600000".rjust(20, "0"), "-5", "", "soon", "9" * 30, None)
+    rows = [("repo:a", C + str(i), "r", "0", None, None, "ingest", 2.0, 1.0, last) for i, last in enumerate(stamps)]
+    edges = spark.createDataFrame(rows, EDGE).withColumn("access_count", F.lit(0))
+    boosts, _ = G.dynamic_boosts(edges, ["repo:a"], now)
+    assert {r["node"]: r["boost"] for r in boosts.collect()} == {C + str(i): int(np.floor(12 / (1 + 0.001 * 5**2) * 2 + 0.5)) for i in range(len(stamps))}
+    assert {r["stability"] for r in G.potentiate(edges, F.lit(True), now).collect()} == {1.0}
