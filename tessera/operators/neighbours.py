@@ -1,101 +1,27 @@
-"""Neighbours and clusters of vectors without all pairs: the nearest few of each vector within a band of similarity, and the components of a similarity graph by spanning forests.
+"""Neighbours and clusters of vectors without all pairs of rows: the nearest few of each vector within a band of similarity, and the components of a similarity graph by spanning forests.
 
-Both lay vectors of unit length into the cells of at most `cells` centres (rows of least hash). The plane halfway between two centres bounds how near a member of the other cell can be: a vector
-meets only the cells that the bound leaves open. Cells of more than `block` rows are dealt to blocks by hash, so a task multiplies matrices of bounded size, and what leaves it is bounded too: a few neighbours for each row, or a forest.
-All results are exact. Vectors of another length than most meet in a cell of their length; null, empty and zero vectors, and rows without an id, are like nothing. Extra columns do no harm."""
+Rows are dealt to blocks, `cells` at most, and a task multiplies two of them (operators.vector_blocks): what is shuffled is each row once for each block, and what leaves a task is bounded too: a few neighbours for each row, or a forest.
+The products are of all pairs in the worst case, so their time grows with the square; a forest leaves out the tiles whose rows are joined already. All results are exact. Vectors of another length than most meet among themselves;
+null, empty and zero vectors, and rows without an id, are like nothing. Extra columns do no harm."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.retrieval import SCALE, unit, vectors_of
-from tessera.operators.storage import cut, ensure_importable
-
-BLOCK, CELLS = 1024, 1024
-#: Similarities are compared as whole millionths; a bound gives way by this much.
-SLACK = 2e-6
-
-
-class Cells:
-    """Centres, and how near the members of another centre's cell can be."""
-
-    def __init__(self, rows: DataFrame, block: int, cells: int):
-        top = rows.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-        self.dim, wanted = (top["dim"], min(cells, -(-top["n"] // block))) if top else (0, 1)
-        found = rows.where(F.size("e") == self.dim).orderBy(F.xxhash64("id"), "id").limit(wanted).collect() if wanted > 1 else []  # `cells` rows at most
-        self.centres = unit(np.array([r["e"] for r in found], float).reshape(-1, self.dim or 1))
-        self.apart = np.sqrt(np.maximum(0.0, 2 - 2 * self.centres @ self.centres.T))
-
-    def home(self, m: np.ndarray) -> np.ndarray:
-        return (m @ self.centres.T).argmax(axis=1) if len(self.centres) else np.zeros(len(m), np.int64)
-
-    def open_cells(self, m: np.ndarray, home: np.ndarray, least_sim: np.ndarray) -> np.ndarray:
-        """Rows x cells: whether a vector with this similarity or more can lie in a cell; never the row's own."""
-        if not len(self.centres):
-            return np.zeros((len(m), 1), bool)
-        away = np.maximum(0.0, 2 - 2 * (m @ self.centres.T))
-        reach = np.sqrt(np.maximum(0.0, 2 - 2 * np.maximum(-1.0, least_sim - SLACK))) + 1e-9
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.nan_to_num((away - away[np.arange(len(m)), home, None]) / (2 * self.apart[home]), nan=0.0, posinf=0.0)
-        return (plane <= reach[:, None]) & (np.arange(len(self.centres)) != home[:, None])
-
-
-def usable(vectors: DataFrame, keys: tuple[str, ...], id_column: str) -> tuple[DataFrame, list[str]]:
-    """k0, k1, ..., id, e: the rows that can be like any other."""
-    names = [f"k{i}" for i in range(len(keys))]
-    e = F.col("embedding").cast("array<double>")
-    rows = vectors.select(*(F.coalesce(F.col(k).cast("string"), F.lit("")).alias(n) for k, n in zip(keys, names, strict=True)), F.col(id_column).cast("string").alias("id"), e.alias("e"))
-    return rows.where(F.col("id").isNotNull() & (F.size("e") > 0) & ~F.exists("e", lambda x: x.isNull()) & F.exists("e", lambda x: x != 0)), names
-
-
-def in_cells(rows: DataFrame, cells: Cells) -> DataFrame:
-    """rows with the cell of each: the number of its centre, or less than 0 for lengths that few vectors have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                e = part.column(part.schema.get_field_index("e"))
-                sizes = e.value_lengths().to_numpy(zero_copy_only=False)
-                cell = -sizes.astype(np.int32)
-                usual = np.flatnonzero(sizes == cells.dim)
-                if len(usual):
-                    cell[usual] = cells.home(unit(vectors_of(e.take(pa.array(usual))).astype(float)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell)], names=[*part.schema.names, "cell"])
-
-    return rows.mapInArrow(run, ddl(rows) + ", cell int")
-
-
-def ddl(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+from tessera.operators import vector_blocks as B
+from tessera.operators.retrieval import SCALE, pa_schema
+from tessera.operators.storage import cut
+from tessera.operators.vector_blocks import BLOCK, CELLS
 
 
-def in_blocks(rows: DataFrame, names: list[str], block: int) -> DataFrame:
-    """rows with their block: blocks are dealt by hash within a cell."""
-    sizes = rows.groupBy(*names, "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    return rows.join(sizes, [*names, "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-
-
-def best_of(sims: np.ndarray, ids: np.ndarray, own: np.ndarray, low: int, high: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of sims the k best ids in the band: most alike first, then by id; a row's own id does not count, and an id of several vectors counts once, by the best."""
-    out = []
-    repeats = len(set(ids.tolist())) < len(ids)
-    for row, me in zip(sims, own, strict=True):
-        x = np.flatnonzero((row >= low) & (row < high) & (ids != me))
-        if len(x) > k and not repeats:  # all that tie with the k-th best stay in the choice
-            x = x[row[x] >= np.partition(row[x], len(x) - k)[len(x) - k]]
-        x = x[np.lexsort((ids[x].astype(str), -row[x]))]
-        if repeats and len(x):
-            x = x[np.sort(np.unique(ids[x].astype(str), return_index=True)[1])]
-        out.append((row[x[:k]], ids[x[:k]]))
-    return out
+def usable(vectors: DataFrame, keys: tuple[str, ...], id_column: str) -> tuple[DataFrame, list[str], str]:
+    """The rows that can be like any other, packed; a null key is an empty one."""
+    rows = vectors.where(F.exists("embedding", lambda x: x != 0)).withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys}) if keys else vectors.where(F.exists("embedding", lambda x: x != 0))
+    return B.packed(rows, keys, id_column)
 
 
 def nearest_in_band(
@@ -103,103 +29,29 @@ def nearest_in_band(
 ) -> DataFrame:
     """from_id, to_id, sim (millionths), pos: for each vector (or each whose id is in `queries`) the k most alike of equal keys, of those with low <= similarity < high.
 
-    A vector looks in its own block first. The k-th best that it finds there bounds what is still of use, and it goes on only to cells (and blocks of its own) where the bound leaves room for better, so most of what has
-    good neighbours travels little. A task returns k rows for each vector that came to it, at most. Who comes to a block is counted before, and crowds are cut into parts of bounded size."""
-    spark = vectors.sparkSession
-    ensure_importable(spark)
-    rows, names = usable(vectors, keys, id_column)
-    at = Cells(rows, block, cells)
+    A task looks both ways between two blocks and returns k rows for each vector in them, at most; of these the k best stay."""
+    rows, names, kind = usable(vectors, keys, id_column)
     asks = F.lit(True)
     if queries is not None:
         ids = queries.select(F.col(id_column).cast("string").alias("id")).where("id is not null").distinct().withColumn("asks", F.lit(True))
         rows, asks = rows.join(ids, "id", "left"), F.coalesce("asks", F.lit(False))
-    placed = in_blocks(in_cells(rows.select(*names, "id", "e", asks.alias("asks")), at), names, block)
+    pairs = B.in_pairs(B.in_blocks(rows.select(*names, "id", "v", asks.alias("asks")), names, block, cells))
     lowest, highest = round(low * SCALE), 2 * SCALE if high is None else round(high * SCALE)
-    found_ddl = "best array<struct<sim:bigint,to_id:string>>"
-
-    def first_look(g: pd.DataFrame) -> pd.DataFrame:
-        m, ids = unit(np.vstack(g["e"].to_numpy()).astype(float)), g["id"].to_numpy()
-        ask = np.flatnonzero(g["asks"].to_numpy(bool))
-        sims = np.rint(m[ask] @ m.T * SCALE).astype(np.int64)
-        best = dict(zip(ask.tolist(), best_of(sims, ids, ids[ask], lowest, highest, k), strict=True))
-        g["best"] = [[{"sim": int(s), "to_id": t} for s, t in zip(*best[i], strict=True)] if i in best else [] for i in range(len(g))]
-        return g.drop(columns=["n"])
-
-    # written: read for the crowds, for who travels, and for those that stay
-    looked = cut(placed.groupBy(*names, "cell", "own").applyInPandas(first_look, f"{ddl(placed.drop('n'))}, {found_ddl}"))
+    ddl = "from_id string, to_id string, sim bigint"
+    out = pa_schema(ddl)
 
-    def targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                column = lambda c: part.column(part.schema.get_field_index(c))
-                home = column("cell").to_numpy(zero_copy_only=False)
-                open_ = [[int(c)] for c in home]
-                usual = np.flatnonzero(home >= 0)
-                if len(usual):
-                    m = unit(vectors_of(column("e").take(pa.array(usual))).astype(float))
-                    least = column("least").to_numpy(zero_copy_only=False)[usual] / SCALE
-                    for i, row in zip(usual, at.open_cells(m, home[usual], least), strict=True):
-                        open_[i] += np.flatnonzero(row).tolist()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(open_, pa.list_(pa.int32()))], names=[*part.schema.names, "cells"])
+    def look(table: pa.Table) -> pa.Table:
+        at = B.Pair(table, kind)
+        ask = at.table.column("asks").to_numpy().astype(bool)
+        ways = [(at.left, at.right)] if at.same else [(at.left, at.right), (at.right, at.left)]
+        found = [part for mine, theirs in ways for part in at.best(mine[ask[mine]], theirs, lowest, highest, k)]
+        return B.table_of([{"from_id": at.ids.take(pa.array(x)), "to_id": at.ids.take(pa.array(y)), "sim": s} for x, y, s in found], out)
 
-    least = F.when(F.size("best") == k, F.try_element_at("best", F.lit(k))["sim"]).otherwise(F.lit(lowest))
-    travels = looked.where("asks").select(*names, "id", "e", "cell", "own", least.alias("least"))
-    to = travels.mapInArrow(targets, ddl(travels) + ", cells array<int>").withColumnsRenamed({"cell": "home", "own": "home_block"})
-    blocks = looked.select(*names, "cell", "own").distinct()
-    to = to.withColumn("cell", F.explode("cells")).drop("cells").join(blocks, [*names, "cell"]).where("cell <> home or own <> home_block")
-    crowd = to.groupBy(*names, "cell", "own").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("parts"))
-    visitors = to.join(crowd, [*names, "cell", "own"]).select(*names, "cell", "own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("visits"), "id", "e")
-    hosts = looked.join(crowd, [*names, "cell", "own"]).select(*names, "cell", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("visits"), "id", "e")
-
-    def second_look(g: pd.DataFrame) -> pd.DataFrame:
-        visits, ids = g["visits"].to_numpy(bool), g["id"].to_numpy()
-        m = unit(np.vstack(g["e"].to_numpy()).astype(float))
-        guests, own = np.flatnonzero(visits), np.flatnonzero(~visits)
-        out = []
-        for start in range(0, len(guests), 512):
-            some = guests[start : start + 512]
-            sims = np.rint(m[some] @ m[own].T * SCALE).astype(np.int64)
-            out += [(ids[i], int(s), t) for i, (found, those) in zip(some, best_of(sims, ids[own], ids[some], lowest, highest, k), strict=True) for s, t in zip(found, those, strict=True)]
-        return pd.DataFrame(out, columns=["from_id", "sim", "to_id"])
-
-    farther = visitors.unionByName(hosts).groupBy(*names, "cell", "own", "part").applyInPandas(second_look, "from_id string, sim bigint, to_id string")
-    nearer = looked.select(F.col("id").alias("from_id"), F.explode("best").alias("b")).select("from_id", "b.sim", "b.to_id")
+    found = pairs.groupBy(*names, "i", "j").applyInArrow(look, ddl)
     order = Window.partitionBy("from_id").orderBy(F.desc("sim"), "to_id")
-    return nearer.unionByName(farther).groupBy("from_id", "to_id").agg(F.max("sim").alias("sim")).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("from_id", "to_id", "sim", "pos")
-
-
-def labels_within(close: np.ndarray) -> np.ndarray:
-    """The component of each row of a symmetric matrix of links, as the least row in it."""
-    n = len(close)
-    label = np.full(n, -1)
-    for i in range(n):
-        if label[i] < 0:
-            front = np.array([i])
-            label[i] = i
-            while len(front):
-                front = np.flatnonzero(close[front].any(axis=0) & (label < 0))
-                label[front] = i
-    return label
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[str, str]]:
-    """Of links between labels as many as join what they join, no more: union and find."""
-    parent: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
-        return x
-
-    out = []
-    for x, y in sorted(set(zip(a.tolist(), b.tolist(), strict=True))):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
+    # dealt by from_id once: both the best of each pair and the order need no other
+    best = found.repartition("from_id").groupBy("from_id", "to_id").agg(F.max("sim").alias("sim"))
+    return best.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("from_id", "to_id", "sim", "pos")
 
 
 def similarity_forest(vectors: DataFrame, threshold: float, keys: tuple[str, ...] = (), id_column: str = "capsule_id", block: int = BLOCK, cells: int = CELLS) -> DataFrame:
@@ -207,62 +59,32 @@ def similarity_forest(vectors: DataFrame, threshold: float, keys: tuple[str, ...
 
     Equal vectors become one representative and its copies. Each block finds its own components and labels its rows by them; between blocks only labels are linked, and a task keeps a spanning forest of what it finds. n vectors
     that are all alike give n rows if equal, else n rows and one for each pair of blocks."""
-    spark = vectors.sparkSession
-    ensure_importable(spark)
-    rows, names = usable(vectors, keys, id_column)
+    rows, names, kind = usable(vectors, keys, id_column)
     # 128 bits: two hashes under different seeds
-    hashed = rows.withColumns({"h1": F.xxhash64("e"), "h2": F.xxhash64(F.lit("second"), "e")})
+    hashed = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})
     same = hashed.groupBy(*names, "h1", "h2").agg(F.min("id").alias("rep"))
     single = cut(hashed.join(same, [*names, "h1", "h2"]))
     copies = single.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    reps = single.where("id = rep").dropDuplicates([*names, "id", "h1", "h2"]).select(*names, "id", "e")
-    at = Cells(reps, block, cells)
-    placed = in_blocks(in_cells(reps, at), names, block)
+    reps = single.where("id = rep").dropDuplicates([*names, "id", "h1", "h2"]).select(*names, "id", "v")
+    placed = B.in_blocks(reps, names, block, cells)
     least = round(threshold * SCALE)
 
-    def within(g: pd.DataFrame) -> pd.DataFrame:
-        m, ids = unit(np.vstack(g["e"].to_numpy()).astype(float)), g["id"].to_numpy()
-        order = np.argsort(ids.astype(str))
-        close = np.rint(m[order] @ m[order].T * SCALE).astype(np.int64) >= least
-        label = np.empty(len(ids), object)
-        label[order] = ids[order][labels_within(close)]
-        g["label"] = label
-        return g.drop(columns=["n"])
+    def within(table: pa.Table) -> pa.Table:
+        at = B.Pair(table, kind)
+        label, _ = at.joined(at.group, least)
+        first = np.searchsorted(at.group, label[at.group])  # the least id of the component
+        return at.table.append_column("label", at.ids.take(pa.array(first)))
 
-    known = cut(placed.groupBy(*names, "cell", "own").applyInPandas(within, f"{ddl(placed.drop('n'))}, label string"))
+    known = cut(placed.groupBy(*names, "own").applyInArrow(within, f"{B.ddl(placed)}, label string"))
     own = known.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
+    ddl = "a string, b string"
+    out = pa_schema(ddl)
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                column = lambda c: part.column(part.schema.get_field_index(c))
-                home = column("cell").to_numpy(zero_copy_only=False)
-                usual = np.flatnonzero(home >= 0)
-                open_: list[list[int]] = [[] for _ in range(part.num_rows)]
-                if len(usual):
-                    m = unit(vectors_of(column("e").take(pa.array(usual))).astype(float))
-                    for i, row in zip(usual, at.open_cells(m, home[usual], np.full(len(usual), threshold)), strict=True):
-                        open_[i] = [int(c) for c in np.flatnonzero(row) if c > home[i]]  # a pair meets in the cell of the higher number
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(open_, pa.list_(pa.int32()))], names=[*part.schema.names, "cells"])
-
-    plain = known.select(*names, "cell", "id", "e", "label")
-    visitors = plain.mapInArrow(visits, ddl(plain) + ", cells array<int>").select(*names, F.explode("cells").alias("cell"), "id", "e", "label", F.lit(True).alias("visits"))
-    both = plain.withColumn("visits", F.lit(False)).unionByName(visitors)
-    sizes = both.groupBy(*names, "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.max("visits").alias("any_visits"), F.min("visits").alias("all_visit")).where("(n > 1 or any_visits) and not all_visit")
-    dealt = both.join(sizes, [*names, "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select(*names, "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "visits", "label", "e")
-
-    def between(g: pd.DataFrame) -> pd.DataFrame:
-        m = unit(np.vstack(g["e"].to_numpy()).astype(float))
-        own_, guest, label = g["own"].to_numpy(), g["visits"].to_numpy(bool), g["label"].to_numpy()
-        left, right = np.flatnonzero(own_ == g["i"].iloc[0]), np.flatnonzero(own_ == g["j"].iloc[0])
-        close = np.rint(m[left] @ m[right].T * SCALE).astype(np.int64) >= least
-        close &= ~(guest[left][:, None] & guest[right])
-        x, y = np.nonzero(close)
-        a, b = label[left[x]], label[right[y]]
-        differ = a != b
-        return pd.DataFrame(forest(a[differ], b[differ]), columns=["a", "b"])
+    def between(table: pa.Table) -> pa.Table:
+        at = B.Pair(table, kind)
+        labels, code = np.unique(at.column("label").astype(str), return_inverse=True)
+        links = [(str(labels[a]), str(labels[b])) for a, b in at.joined(code, least)[1]]
+        return pa.Table.from_arrays([pa.array([x[n] for x in links], pa.string()) for n in (0, 1)], schema=out)
 
-    across = dealt.groupBy(*names, "cell", "i", "j").applyInPandas(between, "a string, b string")
+    across = B.in_pairs(known, between_only=True).groupBy(*names, "i", "j").applyInArrow(between, ddl)
     return copies.unionByName(own).unionByName(across).distinct()

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,68 +143,32 @@ def hybrid(capsules: DataFrame, vectors: DataFrame, tenant: str, query: str, vec
     return ranked(hydrated.orderBy(*order).limit(k), *order)
 
 
-def similarity_pairs(vectors: DataFrame, threshold: float, upper: float | None = None, keys: tuple[str, ...] = (), id_column: str = "capsule_id", block: int = 1024, cells: int = 1024) -> DataFrame:
+def similarity_pairs(vectors: DataFrame, threshold: float, upper: float | None = None, keys: tuple[str, ...] = (), id_column: str = "capsule_id", block: int | None = None, cells: int | None = None) -> DataFrame:
     """a, b (a < b), sim (millionths) of all pairs at or over the threshold (and under `upper`), within equal keys. Exact.
 
-    Vectors of unit length go to the cell of the nearest of at most `cells` centres (rows of least hash). Two vectors within the threshold lie within
-    e = sqrt(2 - 2 threshold) of each other, so one of them can only meet members of another cell if it is within e of the plane halfway between both
-    centres: to such cells (of a higher number than its own) it goes as a visitor, and no pair is missed. Cells of more than `block` rows are dealt to blocks by
-    hash, and a task multiplies two blocks, so memory is bounded; only pairs that hold leave it."""
-    spark = vectors.sparkSession
-    ensure_importable(spark)
-    names = [f"k{i}" for i in range(len(keys))]
-    rows = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(*(F.col(k).cast("string").alias(n) for k, n in zip(keys, names, strict=True)), F.col(id_column).cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    top = rows.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim, wanted = (top["dim"], min(cells, -(-top["n"] // block))) if top else (0, 1)
-    centres = unit(np.array([r["e"] for r in rows.where(F.size("e") == dim).orderBy(F.xxhash64("id"), "id").limit(wanted).collect()], float).reshape(-1, dim or 1))
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    apart = np.sqrt(((centres[:, None] - centres) ** 2).sum(axis=2))
-    kinds = [f.type for f in pa_schema("id string, e array<double>, cell int, visits boolean")]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row to its cell, and to those that it visits; vectors of another length than most have a cell for their length."""
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                lists = part.column(part.num_columns - 1)
-                sizes = np.array([len(x) for x in lists])
-                place, cell, visits = [np.flatnonzero(sizes != dim)], [-sizes[sizes != dim]], [np.zeros((sizes != dim).sum(), bool)]
-                usual = np.flatnonzero(sizes == dim)
-                if len(usual):
-                    m = unit(vectors_of(lists.take(pa.array(usual))).astype(float))
-                    away = np.maximum(0.0, 2 - 2 * (m @ centres.T))
-                    home = away.argmin(axis=1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        plane = (away - away[np.arange(len(m)), home, None]) / (2 * apart[home])
-                    near = (np.nan_to_num(plane, nan=0.0) <= reach) & (np.arange(len(centres)) > home[:, None])
-                    x, y = np.nonzero(near)
-                    place += [usual, usual[x]]
-                    cell += [home, y]
-                    visits += [np.zeros(len(m), bool), np.ones(len(x), bool)]
-                index = pa.array(np.concatenate(place))
-                columns = [c.take(index) for c in part.columns] + [pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(visits))]
-                yield pa.RecordBatch.from_arrays([c.cast(kinds[1]) if i == len(names) + 1 else c for i, c in enumerate(columns)], names=[*names, "id", "e", "cell", "visits"])
-
-    key_ddl = "".join(f"{n} string, " for n in names)
-    dealt = rows.mapInArrow(deal, key_ddl + "id string, e array<double>, cell int, visits boolean") if len(centres) > 1 else rows.withColumn("cell", -F.size("e")).withColumn("visits", F.lit(False))
-    names = [*names, "cell"]
-    sizes = dealt.groupBy(*names).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    placed = dealt.join(sizes, names).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*names, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "visits", "id", "e")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        m = unit(np.vstack(g["e"].to_numpy()).astype(float))
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        own, visits, ids = g["own"].to_numpy(), g["visits"].to_numpy(bool), g["id"].to_numpy()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        sims = np.rint(m[left] @ m[right].T * SCALE).astype(np.int64)
-        x, y = np.nonzero((sims >= round(threshold * SCALE)) & (sims < (2 * SCALE if upper is None else round(upper * SCALE))) & ~(visits[left][:, None] & visits[right]))
-        a, b = ids[left[x]], ids[right[y]]
-        out = pd.DataFrame({"a": np.minimum(a, b) if len(a) else a, "b": np.maximum(a, b) if len(a) else b, "sim": sims[x, y]})
-        return out[out["a"] < out["b"]].drop_duplicates()
-
-    found = pairs.groupBy(*names, "i", "j").applyInPandas(run, "a string, b string, sim bigint")
-    return found.distinct()
+    Rows are dealt to blocks by the hash of their id, `cells` at most, and a task meets two of them: a pair is found in one task alone, so what is shuffled is each row once for each block, and pairs leave unshuffled."""
+    from tessera.operators import vector_blocks as B
+
+    rows, names, kind = B.packed(vectors, keys, id_column)
+    pairs = B.in_pairs(B.in_blocks(rows, names, block or B.BLOCK, cells or B.CELLS))
+    low, high = round(threshold * SCALE), None if upper is None else round(upper * SCALE)
+    ddl = "a string, b string, sim bigint"
+    out = pa_schema(ddl)
+
+    def run(table: pa.Table) -> pa.Table:
+        at = B.Pair(table, kind)
+        repeats = bool(len(at.group)) and at.group[-1] + 1 < len(at.group)
+        found = []
+        for x, y, s in at.in_band(low, high):
+            found.append((np.minimum(x, y), np.maximum(x, y), s))
+        if repeats and found:  # an id of several vectors: one row for each similarity
+            x, y, s = (np.concatenate(c) for c in zip(*found, strict=True))
+            one = np.unique(np.stack([at.group[x], at.group[y], s], axis=1), axis=0)
+            first = np.searchsorted(at.group, one[:, :2])
+            found = [(first[:, 0], first[:, 1], one[:, 2])]
+        return B.table_of([{"a": at.ids.take(pa.array(x)), "b": at.ids.take(pa.array(y)), "sim": s} for x, y, s in found], out)
+
+    return pairs.groupBy(*names, "i", "j").applyInArrow(run, ddl)
 
 
 def unit(m: np.ndarray) -> np.ndarray:
