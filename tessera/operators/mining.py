@@ -176,7 +176,9 @@ def neighbour_suggestions(nodes: DataFrame, entities: DataFrame, limit: int = SU
     asked = nodes.select("tenant", "node", normalize_alias(F.regexp_replace("node", "^entity:", "")).alias("word")).where("word <> ''").distinct()
     known = entities.select("tenant", "entity_id", "canonical_name", normalize_alias(F.col("canonical_name")).alias("norm"))
     near = within_edits(asked.select("word").distinct(), known.select("norm").distinct(), SUGGEST_EDITS)
-    found = asked.join(near, "word").join(known, ["tenant", "norm"])
+    # of the entities of one name only the first few can be suggested: they are as near to any node
+    first = known.withColumn("rn_", F.row_number().over(Window.partitionBy("tenant", "norm").orderBy("canonical_name", "entity_id"))).where(F.col("rn_") <= max(1, limit)).drop("rn_")
+    found = asked.join(near, "word").join(first, ["tenant", "norm"])
     order = Window.partitionBy("tenant", "node").orderBy("distance", "canonical_name", "entity_id")
     ranked_ = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= max(1, limit))
     return ranked_.select("tenant", "node", "pos", F.concat(F.lit("entity:"), "entity_id").alias("suggested"), "canonical_name", "distance")

@@ -101,3 +101,17 @@ def test_neighbourhood_of_committed_vectors(spark):
     state, edges = workers.neighbourhood(capsules, vectors, done, "9", near_at=None)  # nothing owns the top of the band: links reach up to it
     assert {r["capsule_id"]: r["status"] for r in state.collect()}["new"] == "active"
     assert {(r["to_node"][19:], r["relation"]) for r in edges.collect()} == {("long", "related_to"), ("older", "related_to"), ("band", "related_to")}
+
+
+def test_suggestions_of_names_that_many_share(spark):
+    """A node meets the first few entities of a name alone: before, all of them."""
+    from tessera.operators import mining
+
+    entities = spark.range(400).select(F.lit("t").alias("tenant"), F.format_string("e%03d", "id").alias("entity_id"), F.when(F.col("id") % 2 == 0, "Alpha").otherwise("alpha").alias("canonical_name"))
+    nodes = spark.createDataFrame([("t", "entity:alphas"), ("t", "entity:alpho"), ("u", "entity:alpho")], "tenant string, node string")
+    found = mining.neighbour_suggestions(nodes, entities)
+    want = [(i + 1, f"entity:e{2 * i:03}", "Alpha", 1) for i in range(5)]
+    for node in ("entity:alphas", "entity:alpho"):
+        assert sorted((r["pos"], r["suggested"], r["canonical_name"], r["distance"]) for r in found.where(F.col("node") == node).collect()) == want
+    assert found.count() == 10
+    assert "Window" in found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]  # cut before the join
