@@ -6,16 +6,20 @@ is cut from a text are its own bytes: nothing is decoded anew. Where a cut falls
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.pieces import pieces
 from tessera.functions.text import CHUNK_OVERLAP, CHUNK_TOKENS, redact
 
 WINDOWS = "array<struct<start:bigint,stop:bigint,text:string>>"
+ARROW_WINDOWS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string())]))
 LEAST_BUDGET = 8
 
 
@@ -82,14 +86,20 @@ def loaded(path: str) -> Subwords:
     return Subwords(path)
 
 
+def windows_of(batches: Iterator[pa.Array], own: Subwords, size: int, overlap: int) -> Iterator[pa.Array]:
+    """Windows of whole batches, given on piece by piece."""
+    for texts in batches:
+        for piece in pieces(texts):
+            yield pa.array([None if t is None else [{"start": a, "stop": b, "text": s} for a, b, s in own.windows(t, size, overlap)] for t in piece.to_pylist()], ARROW_WINDOWS)
+
+
 def subword_windows(text: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP, vocabulary: str | None = None) -> Column:
     """Windows of a text: start, stop (bytes of UTF-8) and text."""
     path = vocabulary or default_vocabulary()
 
-    @F.pandas_udf(WINDOWS)
-    def cut(texts: pd.Series) -> pd.Series:
-        own = loaded(path)
-        return pd.Series([None if t is None else [{"start": a, "stop": b, "text": s} for a, b, s in own.windows(t, size, overlap)] for t in texts], dtype=object)
+    @F.arrow_udf(WINDOWS)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from windows_of(batches, loaded(path), size, overlap)
 
     return cut(text)
 
