@@ -7,9 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.pieces import pieces
+
 # Fixed values of the deterministic provider and of the query form.
 MULTIPLIER, INCREMENT = 6364136223846793005, 1
 QUERY_TEMPLATE = "Instruct: Given a query, retrieve relevant passages that answer it\nQuery: {}"
@@ -30,12 +34,13 @@ def deterministic(texts: list[str], dim: int = 64) -> list[list[float]]:
 
 
 def embed(provider: Provider = deterministic) -> Callable[[Column], Column]:
-    """A column function; the provider sees batches."""
+    """A column function; the provider sees pieces of batches."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(provider(texts.fillna("").tolist()))
+            for piece in pieces(texts):
+                yield pa.array(list(provider(pc.fill_null(piece, "").to_pylist())), pa.list_(pa.float32()))
 
     return run
 

@@ -1,9 +1,10 @@
 """Workers hold pieces of Arrow batches, whatever the batch."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tessera.functions import subwords
-from tessera.functions.pieces import ROWS, pieces
+from tessera.functions import embedding, subwords
+from tessera.functions.pieces import BYTES, ROWS, pieces
 
 
 def test_pieces_are_the_column_within_rows_and_bytes():
@@ -15,6 +16,16 @@ def test_pieces_are_the_column_within_rows_and_bytes():
     assert [len(c) for c in pieces(pa.array([], pa.string()))] == [0]
 
 
+def test_a_provider_sees_pieces_of_a_batch(spark):
+    def provider(texts):
+        assert len(texts) <= ROWS and sum(map(len, texts)) <= BYTES
+        return embedding.deterministic(texts, 4)
+
+    df = spark.range(3000, numPartitions=1).select(F.when(F.col("id") % 7 != 0, F.repeat(F.col("id").cast("string"), 400)).alias("t"))
+    rows = df.select("t", embedding.embed(provider)(F.col("t")).alias("e")).collect()
+    assert len(rows) == 3000 and [list(r["e"]) for r in rows] == embedding.deterministic([r["t"] or "" for r in rows], 4)
+
+
 def test_windows_leave_a_batch_in_pieces(spark):
     own = subwords.loaded(subwords.default_vocabulary())
     texts = [None if i % 9 == 0 else f"text {i} " * (i % 40) for i in range(2000)]
