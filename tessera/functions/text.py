@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ SECRETS = (
     (r"\bxox[baprs]-[A-Za-z0-9-]{10,}", "[redacted:slack]"),
     (r"\bAIza[0-9A-Za-z_-]{35}", "[redacted:google]"),
 )
+#: A text with none of these, nor `bearer` in any case, matches no pattern of SECRETS.
+SECRET_HINTS = ("PRIVATE KEY-----", "<private>", "sk-", "AKIA", "ghp_", "gho_", "ghs_", "ghr_", "ghu_", "eyJ", "k_live_", "github_pat_", "xox", "AIza")
 PLACEHOLDERS = (
     (r"(?i)\bhttps?://[A-Za-z0-9._-]+(:[0-9]{1,5})?(/[^\s,;]*)?", "{{url}}"),
     (r"(?m)(^|[\s(\[{\"'=])/([A-Za-z0-9._~-]+/)*[A-Za-z0-9._~-]+", "$1{{path}}"),
@@ -153,9 +157,12 @@ def prompt_to_recall(prompt: Column) -> Column:
 def redact(text: Column, on: bool = True) -> Column:
     if not on:
         return text
+    masked = text
     for pattern, mark in SECRETS:
-        text = F.regexp_replace(text, pattern, mark)
-    return text
+        masked = F.regexp_replace(masked, pattern, mark)
+    # searches for fixed strings cost a fraction of the patterns, and most texts hold none
+    hints = [F.contains(text, F.lit(h)) for h in SECRET_HINTS]
+    return F.when(reduce(Column.__or__, hints, F.contains(F.lower(text), F.lit("bearer"))), masked).otherwise(text)
 
 
 def parameterize(text: Column, literals: dict[str, str] | None = None) -> Column:
@@ -246,7 +253,9 @@ def within_tokens(text: Column, budget: int) -> Column:
     """Secrets masked, then at most max(8, budget) tokens. Tokens are runs of non-space here, each with the space before it: an approximation of subword tokens."""
     masked = redact(text)
     most = max(8, budget)
-    return F.when(F.regexp_count(masked, F.lit(rf"[^{WHITE}]+")) <= most, masked).otherwise(trimmed(F.regexp_extract(masked, rf"^({SPACE}*([^{WHITE}]+{SPACE}+){{{most}}})", 1)))
+    # what matches has more words; the search ends there, and possessive runs never go back
+    more = masked.rlike(rf"\A{SPACE}*+([^{WHITE}]++{SPACE}++){{{most}}}[^{WHITE}]")
+    return F.when(more.isNull() | ~more, masked).otherwise(trimmed(F.regexp_extract(masked, rf"^({SPACE}*([^{WHITE}]+{SPACE}+){{{most}}})", 1)))
 
 
 def final_answer_phase(meta: Column) -> Column:
