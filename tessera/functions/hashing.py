@@ -6,11 +6,12 @@ import hashlib
 import unicodedata
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera.functions.pieces import mapped
 from tessera.functions.text import SPACE, WHITE, redact, trimmed
 
 # Tags that stand for what varies between tasks, in the order in which they are put in; a word ends where no ASCII letter, digit or _ follows.
@@ -36,19 +37,19 @@ def framed(parts: list[str | None]) -> str:
     return h.hexdigest()
 
 
-@F.pandas_udf(StringType())
-def framed_sha256(parts: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else framed(list(p)) for p in parts])
+@F.arrow_udf(StringType())
+def framed_sha256(parts: pa.Array) -> pa.Array:
+    return mapped(framed, parts, pa.string())
 
 
-@F.pandas_udf(StringType())
-def uuid5_oid(name: pd.Series) -> pd.Series:
-    return pd.Series([None if n is None else str(uuid.uuid5(uuid.NAMESPACE_OID, n)) for n in name])  # text, or bytes
+@F.arrow_udf(StringType())
+def uuid5_oid(name: pa.Array) -> pa.Array:
+    return mapped(lambda n: str(uuid.uuid5(uuid.NAMESPACE_OID, n)), name, pa.string())  # text, or bytes
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in text])
+@F.arrow_udf(StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    return mapped(lambda t: unicodedata.normalize("NFKC", t), text, pa.string())
 
 
 def versioned(version: int, value: Column) -> Column:
