@@ -120,12 +120,17 @@ def rerank_veto(pairs: DataFrame, floor: float = VETO_FLOOR) -> DataFrame:
 
 
 def procedural_siblings(members: DataFrame) -> DataFrame:
-    """proposal_id of clusters whose members all have anchors and share next to none. Members meet on the anchors that they share, so a pair that shares none costs nothing."""
+    """proposal_id of clusters whose members all have anchors and share next to none. Members meet on the anchors that they share, so a pair that shares none costs nothing.
+
+    One anchor in common is too much where one of the two has few: such clusters are told by counting, and make no pairs."""
     anchored = members.groupBy("proposal_id").agg(F.min(F.size("anchors")).alias("least"), F.count("*").alias("n")).where("least > 0 and n > 1").select("proposal_id")
     a = members.join(anchored, "proposal_id").select("proposal_id", "capsule_id", F.size(F.array_distinct("anchors")).alias("size"), F.explode(F.array_distinct("anchors")).alias("anchor"))
-    pairs = a.join(a.select("proposal_id", "anchor", F.col("capsule_id").alias("other"), F.col("size").alias("other_size")), ["proposal_id", "anchor"]).where("capsule_id < other")
+    met = a.groupBy("proposal_id", "anchor").agg(F.min("size").alias("size"), F.min("capsule_id").alias("one"), F.max("capsule_id").alias("other")).where("one < other")
+    alike = met.where(1 / F.col("size") > SIBLING_OVERLAP).select("proposal_id").distinct()
+    shared = a.join(alike, "proposal_id", "left_anti").join(met.select("proposal_id", "anchor"), ["proposal_id", "anchor"], "left_semi")
+    pairs = shared.join(shared.select("proposal_id", "anchor", F.col("capsule_id").alias("other"), F.col("size").alias("other_size")), ["proposal_id", "anchor"]).where("capsule_id < other")
     close = pairs.groupBy("proposal_id", "capsule_id", "other").agg(F.count("*").alias("common"), F.min(F.least("size", "other_size")).alias("least")).where(F.col("common") / F.col("least") > SIBLING_OVERLAP)
-    return anchored.join(close.select("proposal_id").distinct(), "proposal_id", "left_anti")
+    return anchored.join(alike.unionByName(close.select("proposal_id")).distinct(), "proposal_id", "left_anti")
 
 
 def supersede_target(proposals: DataFrame, existing: DataFrame, floor: float = COMPILE_OVERLAP) -> DataFrame:

@@ -49,8 +49,8 @@ def packed(vectors: DataFrame, keys: tuple[str, ...], id_column: str) -> tuple[D
 
 
 def in_blocks(rows: DataFrame, names: list[str], block: int, cells: int) -> DataFrame:
-    """rows with the number of blocks of their kind (n) and their own."""
-    sizes = rows.groupBy(*names).agg(F.least(F.lit(cells), F.ceil(F.count("*") / block)).cast("int").alias("n"))
+    """rows with the number of blocks of their kind (n) and their own. A row alone of its kind has nothing to meet and is left out, so keys of one row cost no task a call."""
+    sizes = rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").withColumn("n", F.least(F.lit(cells), F.ceil(F.col("n") / block)).cast("int"))
     return rows.join(sizes, names).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
 
 

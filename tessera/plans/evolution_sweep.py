@@ -27,6 +27,8 @@ ONE_SHOT = ("merge", "generalize", "refine", "split")
 RECURRING = ("reweight_up", "reweight_decay")
 DYING, ACTIVE_SHARE, MEAN_CONFIDENCE, SHARED_THEMES = 0.8, 0.5, 0.6, 2
 REFINE_WINDOW_S, LEAST_OUTDATED = 30 * 86_400, 2
+#: What the detectors of clusters read of a capsule; texts are not among it.
+JUDGED = ("capsule_id", "tenant", "capsule_type", "topics", "tags", "confidence", "decay_score", "last_recalled_at")
 CANDIDATES = "candidate_id string, tenant string, op_kind string, member_ids array<string>, params string, evidence double, cycles bigint, status string, first_proposed_at string, last_signal_at string, executed_at string"
 
 
@@ -52,11 +54,15 @@ def proposed(members: DataFrame, op: str | Column, params: Column | None = None,
 def merges(living: DataFrame, first: DataFrame, s: Sweep) -> DataFrame:
     """Capsules of one agent, project and repository that say nearly the same; where they are executions of one procedure (hardly an anchor in common), a workflow instead, if they are enough."""
     rows = living.where(~is_guidance())
-    grouped = M.clusters(rows, first, s.merge_at, ("tenant", "source_agent", "project", "repo")).join(rows, "capsule_id")
+    ids = rows.select("capsule_id", "tenant", "source_agent", "project", "repo", "supersedes_id")
+    grouped = M.clusters(ids, first, s.merge_at, ("tenant", "source_agent", "project", "repo")).join(ids, "capsule_id")
     superseding = grouped.select("root", F.col("capsule_id").alias("supersedes_id"))
     free = grouped.join(superseding, ["root", "supersedes_id"], "left_anti")
     sizes = free.groupBy("root").agg(F.count("*").alias("size")).where("size >= 2")
-    free = cut(free.join(sizes, "root").select("tenant", F.col("root").alias("proposal_id"), "capsule_id", "size", fact_anchors(F.col("content"), F.coalesce("code_refs", F.expr("CAST(array() AS array<string>)"))).alias("anchors"), themes().alias("themes")))
+    free = free.join(sizes, "root").select("tenant", F.col("root").alias("proposal_id"), "capsule_id", "size")
+    # texts meet the members that are left, once, and stay behind
+    texts = rows.select("capsule_id", "content", "code_refs", "topics", "tags")
+    free = cut(free.join(texts, "capsule_id").select("tenant", "proposal_id", "capsule_id", "size", fact_anchors(F.col("content"), F.coalesce("code_refs", F.expr("CAST(array() AS array<string>)"))).alias("anchors"), themes().alias("themes")))
     kin = procedural_siblings(free).withColumn("kin", F.lit(True))
     told = free.join(kin, "proposal_id", "left").where(F.col("kin").isNull() | (F.col("size") >= s.generalize_from))
     return proposed(told, F.when(F.col("kin"), "workflow_generalize").otherwise("merge"), None, "proposal_id", "kin")
@@ -108,7 +114,7 @@ def proposals(capsules: DataFrame, vectors: DataFrame, edges: DataFrame, feedbac
     living = capsules.where((F.col("status") == "active") & ~F.coalesce(F.col("expires_at") <= s.now, F.lit(False)))
     mapped = vectors.join(living.select("capsule_id"), "capsule_id", "left_semi")
     first = mapped.where("chunk = 0").select("capsule_id", "embedding")
-    clustered = cut(M.clusters(living, first, s.cluster_at, ("tenant",)).join(living, "capsule_id"))
+    clustered = cut(M.clusters(living, first, s.cluster_at, ("tenant",)).join(living.select(*JUDGED), "capsule_id"))
     found = merges(living, first, s)
     for more in (generalizations(clustered, s), reweights(clustered, s), splits(living, mapped, s), refinements(living, edges, feedback, s), corecalls(living, edges)):
         found = found.unionByName(more)

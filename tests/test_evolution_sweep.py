@@ -8,6 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators.evolution import procedural_siblings
 from tessera.plans import evolution_sweep as E
 
 CAPSULE = "capsule_id string, tenant string, source_agent string, project string, repo string, capsule_type string, status string, content string, code_refs array<string>, topics array<string>, tags array<string>, confidence double, decay_score double, last_recalled_at string, expires_at string, supersedes_id string"
@@ -170,6 +171,27 @@ def one_sweep(found, candidates, s):
     return list(after.values())
 
 
+def test_texts_stay_out_of_what_is_written(spark, monkeypatch):
+    """Before, clusters were joined to whole capsules, so every text was shuffled and written with them."""
+    caps, vectors, edges, feedback = world()
+    frames = (spark.createDataFrame(caps, CAPSULE), spark.createDataFrame(vectors, "capsule_id string, chunk int, embedding array<double>"), spark.createDataFrame(edges, "from_node string, to_node string, relation string, valid_to string"), spark.createDataFrame(feedback, "capsule_id string, kind string"))
+    kept, write = [], E.cut
+    monkeypatch.setattr(E, "cut", lambda df: kept.append(set(df.columns)) or write(df))
+    assert E.proposals(*frames, E.Sweep(NOW)).count()
+    assert len(kept) == 3 and not any("content" in columns for columns in kept)
+
+
+def test_siblings_share_next_to_nothing(spark):
+    """Sets of few anchors (one in common is too much) and of many (two of nine), against all pairs."""
+    g = random.Random(5)
+    sets = {f"p{p}": [{f"a{g.randrange(most)}" for _ in range(g.randrange(1, size))} for _ in range(g.randrange(1, 5))] for p, (most, size) in enumerate([(9, 4), (60, 5), (60, 12), (200, 12), (400, 14)] * 12)} | {"none": [{"a1"}, set()]}
+    rows = [(p, f"c{i}", sorted(s)) for p, group in sets.items() for i, s in enumerate(group)]
+    found = {r[0] for r in procedural_siblings(spark.createDataFrame(rows, "proposal_id string, capsule_id string, anchors array<string>")).collect()}
+    close = lambda group: any(len(x & y) / min(len(x), len(y)) > 0.2 for i, x in enumerate(group) for y in group[:i])
+    want = {p for p, group in sets.items() if len(group) > 1 and all(group) and not close(group)}
+    assert found == want and 5 < len(want) < 50
+
+
 def test_six_sweeps_equal_a_sequential_run(spark):
     g = random.Random(5)
     kinds = ["merge", "generalize", "workflow_generalize", "refine", "split", "reweight_up", "reweight_decay", "corecall"]

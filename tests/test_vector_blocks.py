@@ -24,6 +24,15 @@ def test_a_row_travels_a_bounded_number_of_times(spark):
         assert placed.groupBy("own").count().count() == 6
 
 
+def test_rows_alone_of_their_key_reach_no_task(spark):
+    """Before, each key of one row was a group of its own, with a call of Python."""
+    v = scattered(spark, 60).withColumn("k", F.when(F.col("capsule_id") < "v00004", "together").otherwise(F.col("capsule_id")))
+    rows, names, _ = B.packed(v, ("k",), "capsule_id")
+    assert sorted(r["id"] for r in B.in_blocks(rows, names, 16, 6).collect()) == ["v00000", "v00001", "v00002", "v00003"]
+    assert retrieval.similarity_pairs(v, -1.0, keys=("k",)).count() == 6
+    assert {r["from_id"] for r in N.nearest_in_band(v, 2, keys=("k",)).collect()} == {"v00000", "v00001", "v00002", "v00003"}
+
+
 def test_pairs_leave_unshuffled(spark):
     """Before, all pairs were shuffled once more for what is distinct already."""
     plan = retrieval.similarity_pairs(scattered(spark, 50), 0.3)._jdf.queryExecution().optimizedPlan().toString()
