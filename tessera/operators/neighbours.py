@@ -42,15 +42,13 @@ def nearest_in_band(
 
     def look(table: pa.Table) -> pa.Table:
         at = B.Pair(table, kind)
-        ask = at.table.column("asks").to_numpy().astype(bool)
-        ways = [(at.left, at.right)] if at.same else [(at.left, at.right), (at.right, at.left)]
-        found = [part for mine, theirs in ways for part in at.best(mine[ask[mine]], theirs, lowest, highest, k)]
+        found = at.nearest(at.table.column("asks").to_numpy().astype(bool), lowest, highest, k)
         return B.table_of([{"from_id": at.ids.take(pa.array(x)), "to_id": at.ids.take(pa.array(y)), "sim": s} for x, y, s in found], out)
 
-    found = pairs.groupBy(*names, "i", "j").applyInArrow(look, ddl)
+    found = B.dealt(pairs, *names, "i", "j").groupBy(*names, "i", "j").applyInArrow(look, ddl)
     order = Window.partitionBy("from_id").orderBy(F.desc("sim"), "to_id")
     # dealt by from_id once: both the best of each pair and the order need no other
-    best = found.repartition("from_id").groupBy("from_id", "to_id").agg(F.max("sim").alias("sim"))
+    best = B.dealt(found, "from_id").groupBy("from_id", "to_id").agg(F.max("sim").alias("sim"))
     return best.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).select("from_id", "to_id", "sim", "pos")
 
 
@@ -75,7 +73,7 @@ def similarity_forest(vectors: DataFrame, threshold: float, keys: tuple[str, ...
         first = np.searchsorted(at.group, label[at.group])  # the least id of the component
         return at.table.append_column("label", at.ids.take(pa.array(first)))
 
-    known = cut(placed.groupBy(*names, "own").applyInArrow(within, f"{B.ddl(placed)}, label string"))
+    known = cut(B.dealt(placed, *names, "own").groupBy(*names, "own").applyInArrow(within, f"{B.ddl(placed)}, label string"))
     own = known.where("id <> label").select(F.col("label").alias("a"), F.col("id").alias("b"))
     ddl = "a string, b string"
     out = pa_schema(ddl)
@@ -86,5 +84,5 @@ def similarity_forest(vectors: DataFrame, threshold: float, keys: tuple[str, ...
         links = [(str(labels[a]), str(labels[b])) for a, b in at.joined(code, least)[1]]
         return pa.Table.from_arrays([pa.array([x[n] for x in links], pa.string()) for n in (0, 1)], schema=out)
 
-    across = B.in_pairs(known, between_only=True).groupBy(*names, "i", "j").applyInArrow(between, ddl)
+    across = B.dealt(B.in_pairs(known, between_only=True), *names, "i", "j").groupBy(*names, "i", "j").applyInArrow(between, ddl)
     return copies.unionByName(own).unionByName(across).distinct()

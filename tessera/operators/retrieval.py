@@ -168,7 +168,7 @@ def similarity_pairs(vectors: DataFrame, threshold: float, upper: float | None =
             found = [(first[:, 0], first[:, 1], one[:, 2])]
         return B.table_of([{"a": at.ids.take(pa.array(x)), "b": at.ids.take(pa.array(y)), "sim": s} for x, y, s in found], out)
 
-    return pairs.groupBy(*names, "i", "j").applyInArrow(run, ddl)
+    return B.dealt(pairs, *names, "i", "j").groupBy(*names, "i", "j").applyInArrow(run, ddl)
 
 
 def unit(m: np.ndarray) -> np.ndarray:

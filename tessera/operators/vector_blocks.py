@@ -17,9 +17,11 @@ from pyspark.sql.types import ArrayType, FloatType
 from tessera.operators.retrieval import SCALE, unit
 from tessera.operators.storage import ensure_importable
 
-BLOCK, CELLS = 4096, 16
+BLOCK, CELLS, TASKS = 4096, 16, 256
 ROWS, COLUMNS, DENSE = 256, 2048, 0.05
 NONE = np.float32(-9)
+# a similarity and a position in one number, the best and first the least
+PLACE, WORST = 22, 2 * SCALE
 
 
 def ddl(df: DataFrame) -> str:
@@ -49,9 +51,14 @@ def packed(vectors: DataFrame, keys: tuple[str, ...], id_column: str) -> tuple[D
 
 
 def in_blocks(rows: DataFrame, names: list[str], block: int, cells: int) -> DataFrame:
-    """rows with the number of blocks of their kind (n) and their own. A row alone of its kind has nothing to meet and is left out, so keys of one row cost no task a call."""
-    sizes = rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").withColumn("n", F.least(F.lit(cells), F.ceil(F.col("n") / block)).cast("int"))
-    return rows.join(sizes, names).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    """rows with the number of blocks of their kind (n) and their own. A row alone of its kind has nothing to meet and is left out, so keys of one row cost no task a call.
+
+    A kind meets its size in `cells` parts, by the hash of the ids, so rows of one kind, all of them perhaps, pass through no single task."""
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(cells)))
+    counts = parts.groupBy(*names, "part").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(*names).agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where("n > 1")
+    sizes = sizes.select(*names, F.explode("parts").alias("part"), F.least(F.lit(cells), F.ceil(F.col("n") / block)).cast("int").alias("n"))
+    return parts.join(sizes, [*names, "part"]).drop("part").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
 
 
 def in_pairs(placed: DataFrame, between_only: bool = False) -> DataFrame:
@@ -60,6 +67,11 @@ def in_pairs(placed: DataFrame, between_only: bool = False) -> DataFrame:
     return pairs.where("i < j") if between_only else pairs
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by keys over a fixed number of partitions. Spark joins partitions by their bytes as they were packed: it would give most pairs of blocks, which cost by their products, to a few tasks, and millions of short rows to one."""
+    return rows.repartition(max(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 class Pair:
     """The rows of a task in order of their ids, with the positions of both blocks."""
 
@@ -121,6 +133,69 @@ class Pair:
                 if keep.any():
                     yield x[keep], y[keep], s[keep]
 
+    def nearest(self, asks: np.ndarray, low: int, high: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, position, millionths): for each row that asks (a flag each) the k best of the other block, or of its own if both are one, as best() has them.
+
+        A tile is multiplied once for both ways, and what cannot be among the k best that a row has by then is not looked at again."""
+        if self.group[-1] + 1 < len(self.group) or len(self.group) >= 1 << PLACE:  # ids of several vectors, or more rows than a place can number
+            for mine, theirs in [(self.left, self.right)] if self.same else [(self.left, self.right), (self.right, self.left)]:
+                yield from self.best(mine[asks[mine]], theirs, low, high, k)
+            return
+        least, most = np.float32(low / SCALE) - self.slack, np.float32(high / SCALE) + self.slack
+        bound = np.where(asks, least, np.float32(np.inf)).astype(np.float32)  # of those that do not ask nothing is looked at
+        none = (WORST + WORST) << PLACE
+        top = np.full((len(asks), k), none, np.int64)
+
+        def merge(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> None:
+            if not len(x):
+                return
+            rows, at = np.unique(x, return_inverse=True)
+            width = 2 * PLACE
+            keys = np.concatenate([(np.arange(len(rows))[:, None] << width | top[rows]).ravel(), at << width | (WORST - s) << PLACE | y])
+            keys.sort()
+            at = keys >> width
+            best = (keys[np.arange(len(keys)) - np.searchsorted(at, at) < k] & ((1 << width) - 1)).reshape(-1, k)
+            top[rows] = best
+            bound[rows] = np.maximum(bound[rows], ((WORST - (best[:, -1] >> PLACE)) / SCALE).astype(np.float32) - 2 * self.slack)
+
+        def look(mine: np.ndarray, theirs: np.ndarray, sims: np.ndarray, axis: int, flag: np.ndarray) -> None:
+            over = lambda: np.greater_equal(sims, np.expand_dims(bound[mine], axis), out=flag)
+            n = np.count_nonzero(over())
+            if n > 4 * k * len(mine) and len(theirs) > k:  # a first bound: k of the tile that are under the band's end for sure
+                under = np.where(sims < most - 3 * self.slack, sims, NONE) if high < 2 * SCALE else sims
+                kth = np.partition(under if axis else np.ascontiguousarray(under.T), len(theirs) - k, axis=1)[:, len(theirs) - k]
+                bound[mine] = np.maximum(bound[mine], kth - 2 * self.slack)
+                n = np.count_nonzero(over())
+            if n > 64 * k * len(mine):  # very many tie
+                for found in self.best(mine[asks[mine]], theirs, low, high, k):
+                    merge(*found)
+            elif n:
+                r, c = where(flag)
+                x, y = (mine[r], theirs[c]) if axis else (mine[c], theirs[r])
+                s = self.sims(x, y)
+                keep = (s >= low) & (s < high)
+                merge(x[keep], y[keep], s[keep])
+
+        left, right = self.single[self.left], self.single[self.right]
+        room, flags = np.empty(ROWS * COLUMNS, np.float32), np.empty(ROWS * COLUMNS, bool)
+        for c in range(0, len(right), COLUMNS):
+            columns = self.right[c : c + COLUMNS]
+            for r in range(0, len(left), ROWS):
+                rows = self.left[r : r + ROWS]
+                size, shape = len(rows) * len(columns), (len(rows), len(columns))
+                sims, flag = room[:size].reshape(shape), flags[:size].reshape(shape)
+                np.matmul(left[r : r + ROWS], right[c : c + COLUMNS].T, out=sims)
+                if self.same:
+                    _, x, y = np.intersect1d(rows, columns, assume_unique=True, return_indices=True)
+                    sims[x, y] = NONE
+                if high < 2 * SCALE:
+                    sims[where(np.greater_equal(sims, most, out=flag))] = NONE
+                look(rows, columns, sims, 1, flag)
+                if not self.same:
+                    look(columns, rows, sims, 0, flag)
+        x, n = np.nonzero(top < none)
+        yield x, top[x, n] & ((1 << PLACE) - 1), WORST - (top[x, n] >> PLACE)
+
     def best(self, asks: np.ndarray, hosts: np.ndarray, low: int, high: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(position, position, millionths): for each of asks the k hosts most alike in the band, then by id; an id counts once, by its best vector, and never for itself."""
         if not len(asks) or not len(hosts):
@@ -226,8 +301,12 @@ class Pair:
 
 
 def where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.nonzero of a contiguous matrix, by its quick way for one dimension."""
-    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+    """np.nonzero of a contiguous matrix of flags: eight at a time, then those of the words that have any."""
+    if mask.size % 8:
+        return np.divmod(np.flatnonzero(mask), mask.shape[1])
+    words = np.flatnonzero(mask.reshape(-1).view(np.uint64))
+    word, at = np.nonzero(mask.reshape(-1, 8)[words])
+    return np.divmod(words[word] * 8 + at, mask.shape[1])
 
 
 def table_of(chunks: list[dict], schema: pa.Schema) -> pa.Table:

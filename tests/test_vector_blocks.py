@@ -1,6 +1,8 @@
 """Blocks of vectors: how often a row travels, what leaves the tasks, and crowds of ties."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import neighbours as N
@@ -73,3 +75,47 @@ def test_a_band_is_cut_where_double_precision_says(spark):
     assert [r["sim"] for r in best] == [699_999, 699_998]
     pairs = retrieval.similarity_pairs(rows, 0.5, 0.7).where(F.col("a") == "q")
     assert {(r["b"], r["sim"]) for r in pairs.collect()} == wanted
+
+
+def test_pairs_of_blocks_go_to_many_tasks(spark):
+    """Before, partitions were joined by their bytes, and one task did all products of a small table, four those of 100,000 vectors."""
+    found = retrieval.similarity_pairs(scattered(spark, 300), -1.0, block=16, cells=6)  # 21 pairs of blocks
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 12
+    near = N.nearest_in_band(scattered(spark, 300), 2, block=16, cells=6)
+    assert near.select(F.spark_partition_id().alias("p")).distinct().count() > 100  # and what they find
+
+
+def test_rows_of_one_key_meet_its_size_in_many_tasks(spark):
+    """Before, they were shuffled by their key alone to learn how many blocks it has."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(held, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        rows, names, _ = B.packed(scattered(spark, 1200), (), "capsule_id")
+        placed = B.in_blocks(rows, names, 16, 16)
+        per = [r["count"] for r in placed.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(per) == 1200 and len(per) > 1 and max(per) < 1200
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("low,high", [(-1_000_000, 2_000_000), (300_000, 700_000), (900_000, 2_000_000)])
+def test_both_ways_at_once_find_what_each_way_finds(monkeypatch, low, high):
+    """Scattered vectors, clusters and copies, in tiles far smaller than the blocks."""
+    monkeypatch.setattr(B, "ROWS", 13)
+    monkeypatch.setattr(B, "COLUMNS", 50)
+    g = np.random.default_rng(7)
+    m = g.normal(size=(400, 8)).astype(np.float32)
+    m[200:300] = m[g.integers(0, 5, 100)] + g.normal(size=(100, 8)).astype(np.float32) * 0.2
+    m[300:] = m[0]
+    m = m[g.permutation(400)]
+    asks = g.random(400) < 0.7
+    for one in (False, True):
+        own = np.zeros(400, np.int32) if one else (np.arange(400) % 3 == 0).astype(np.int32)
+        at = B.Pair(pa.table({"dim": [8] * 400, "id": [f"v{i:03}" for i in range(400)], "v": [r.tobytes() for r in m], "own": own, "i": np.zeros(400, np.int32), "j": np.full(400, 0 if one else 1, np.int32)}), "<f4")
+        ways = [(at.left, at.right)] if one else [(at.left, at.right), (at.right, at.left)]
+        for k in (1, 4, 60):
+            listed = lambda found: sorted(t for x, y, s in found for t in zip(x.tolist(), y.tolist(), s.tolist(), strict=True))
+            wanted = listed(f for mine, theirs in ways for f in at.best(mine[asks[mine]], theirs, low, high, k))
+            assert listed(at.nearest(asks, low, high, k)) == wanted and wanted
